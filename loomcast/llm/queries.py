@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mix_sources, quality_gam, topk_search, url_filter
+from . import kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_url_filter": url_filter.op5,
     "op7_quality_gam": quality_gam.op7,
     "op8_line_dedup": line_dedup.op8,
+    "op9_kmer_dedup": kmer_dedup.op9,
     "op10_mix_sources": mix_sources.op10,
 }
 
