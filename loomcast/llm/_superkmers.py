@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._common import NULL_ID, join_checked, stored
 
 #: Bytes of text hashed at a time, bytes of text in a chunk, and bytes of packed strings meant for a bucket.
-PIECE, CHUNK, BUCKET = 2 << 20, 24 << 20, 6 << 20
+PIECE, CHUNK, BUCKET = 1 << 20, 16 << 20, 6 << 20
 #: Documents in the sample that finds frequent minimisers, and the share of them that makes one frequent.
 SAMPLE, FREQUENT = 8_000, 0.004
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -139,6 +139,13 @@ class Piece:
         join("length", length)
         join("start", start)
 
+    def seal(self, spec: Windows) -> None:
+        """Keep what describes the strings; drop what is as large as the text several times over."""
+        self.digests = self.digest(self.start, self.length) ^ self.hash
+        self.lo, self.hi = self.begin[self.start], self.end[self.start + self.length - 1]
+        self.rel, self.offset = self.start - self.first[self.doc], self.anchor - self.start
+        self.gram = self.wide = self.begin = self.end = self.start = self.anchor = None
+
 
 def frequent(docs: DataFrame, spec: Windows, rows: int) -> np.ndarray:
     """Hashes of minimisers that FREQUENT of at most about SAMPLE sampled documents have."""
@@ -177,16 +184,11 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
 
     def flush(ids: list[int], marks: list[int], pieces: list[tuple[Piece, int]]) -> Iterator[pd.DataFrame]:
         ids_, marks_ = np.array(ids, np.int64), np.array(marks, np.int64)
-        piece = np.concatenate([np.full(len(p.start), i) for i, (p, _) in enumerate(pieces)])
+        piece = np.concatenate([np.full(len(p.hash), i) for i, (p, _) in enumerate(pieces)])
         doc = np.concatenate([p.doc + base for p, base in pieces])
-        rel = np.concatenate([p.start - p.first[p.doc] for p, _ in pieces])
-        units, length = np.concatenate([p.start for p, _ in pieces]), np.concatenate([p.length for p, _ in pieces])
-        h, offset = np.concatenate([p.hash for p, _ in pieces]), np.concatenate([p.anchor - p.start for p, _ in pieces])
-        digest = np.concatenate([p.digest(p.start, p.length) for p, _ in pieces]) ^ h
+        rel, length, h, offset, digest, lo, hi = (np.concatenate([getattr(p, name) for p, _ in pieces]) for name in ("rel", "length", "hash", "offset", "digests", "lo", "hi"))
         if not len(h):
             return
-        lo = np.concatenate([p.begin[p.start] for p, _ in pieces])
-        hi = np.concatenate([p.end[p.start + p.length - 1] for p, _ in pieces])
         bufs = [p.buf for p, _ in pieces]
         # whole repeats within the chunk: the first stands for the others if the bytes agree
         order, heads = _first_by((digest, ids_[doc], rel))
@@ -212,7 +214,7 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
             used, inv = np.unique(doc[np.concatenate([t, d])], return_inverse=True)
             data = b"".join([bufs[p][x:y] for p, x, y in zip(piece[t].tolist(), lo[t].tolist(), hi[t].tolist())])
             out_b.append(b)
-            out.append(pack((ids_[used], marks_[used].astype(np.int32), inv[: len(t)].astype(np.int32), h[t], rel[t].astype(np.int32), length[t].astype(np.int16), offset[t].astype(np.int16), (hi - lo)[t].astype(np.int32), data, inv[len(t) :].astype(np.int32), rel[d].astype(np.int32), length[d].astype(np.int16))))
+            out.append(pack((ids_[used], marks_[used].astype(np.int32), inv[: len(t)].astype(np.int32), (h[t] // np.uint64(buckets)).astype(np.uint32), rel[t].astype(np.int32), length[t].astype(np.int16), offset[t].astype(np.int16), (hi - lo)[t].astype(np.int32) if spec.words else None, data, inv[len(t) :].astype(np.int32), rel[d].astype(np.int32), length[d].astype(np.int16))))
             if len(out) == 64:
                 yield pd.DataFrame({"bucket": out_b, "blob": out})
                 out_b, out = [], []
@@ -228,8 +230,7 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
             if texts:
                 p = Piece(spec, texts)
                 p.split(spec, hot)
-                # what only finding them needed goes
-                p.gram = None
+                p.seal(spec)
                 pieces.append((p, base))
             base, texts, held = len(ids), [], 0
 
@@ -238,7 +239,7 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
                 raw = (t or "").encode("utf-8", "replace")
                 if held and held + len(raw) > PIECE:
                     piece()
-                    if size >= (CHUNK if spec.words else CHUNK // 4):
+                    if size >= CHUNK // (1 if spec.words else 2):
                         yield from flush(ids, marks, pieces)
                         ids, marks, pieces, size, base = [], [], [], 0, 0
                 ids.append(i)
@@ -254,7 +255,7 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
 
 @dataclass
 class Strings:
-    """A bucket's strings, each with its minimiser's hash and offset and its place; text holds them back to back."""
+    """A bucket's strings, each with 32 bits of its minimiser's hash, its offset and its place; text holds them back to back."""
 
     doc: np.ndarray
     hash: np.ndarray
@@ -294,10 +295,11 @@ def _settle(spec: Windows, s: Strings, resolve: Callable) -> tuple[np.ndarray, n
     at, first, count = resolve(spec, s, cand) if len(cand) else none
     tied = ~later & (i != of)
     if tied.any() and len(at):  # a row repeated under one id fares as the row it repeats
-        extra = [(x, a, c) for x, y in zip(i[tied], of[tied]) for z, a, c in zip(at, first, count) if z == y]
-        if extra:
-            x, a, c = map(np.array, zip(*extra))
-            at, first, count = np.concatenate([at, x]), np.concatenate([first, a]), np.concatenate([count, c])
+        o = np.argsort(at, kind="stable")
+        lo, hi = np.searchsorted(at[o], of[tied]), np.searchsorted(at[o], of[tied], side="right")
+        n = hi - lo
+        run = o[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at, first, count = np.concatenate([at, np.repeat(i[tied], n)]), np.concatenate([first, first[run]]), np.concatenate([count, count[run]])
     return np.concatenate([whole, at]), np.concatenate([np.zeros(len(whole), np.int64), first]), np.concatenate([s.length[whole] - spec.k + 1, count])
 
 
@@ -319,7 +321,7 @@ def bucket_of(spec: Windows, resolve: Callable, doc_buckets: int) -> Callable:
         cat = lambda i, kind=np.int64: np.concatenate([g[i] for g in got]).astype(kind)
         ids, marks = cat(0), cat(1)
         doc = np.concatenate([g[2] + b for g, b in zip(got, base)]).astype(np.int64)
-        size = cat(7)
+        size = cat(7) if spec.words else cat(5)
         s = Strings(doc, cat(3, np.uint64), cat(4), cat(5), cat(6), size, np.cumsum(size) - size, b"".join(g[8] for g in got), ids)
         done = np.concatenate([g[9] + b for g, b in zip(got, base)]).astype(np.int64)
         done_rel, done_len = cat(10), cat(11)

@@ -65,8 +65,8 @@ def _cut(words: list[bytes], a: bytes | None, b: bytes | None) -> tuple[list[byt
     return kept + words[at:], int((b - a).sum())
 
 
-def kmer_dedup(docs: DataFrame, spec: Windows = WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and kept, the words that stay, joined by one space.
+def kmer_dedup(docs: DataFrame, spec: Windows = WORDS, texts: bool = True) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space; only if texts) and kept_sha256.
 
     A word goes if a window of spec.k words that covers it also starts in a document with a smaller
     doc_id. Null text: no words. A null doc_id is smaller than all others. Rows that repeat a doc_id are
@@ -77,14 +77,18 @@ def kmer_dedup(docs: DataFrame, spec: Windows = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [(t or "").encode("utf-8", "replace").split() for t in b["text"]]
-            got = [_cut(*x) for x in zip(words, b["span_from"], b["span_to"])]
-            kept = [b" ".join(g[0]) for g in got]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": [len(w) for w in words], "n_removed": [g[1] for g in got], "kept": [k.decode("utf-8", "replace") for k in kept], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
+            for lo in range(0, len(b), 500):
+                part, rows = b.iloc[lo : lo + 500], []
+                for t, x, y in zip(part["text"], part["span_from"], part["span_to"]):
+                    words = (t or "").encode("utf-8", "replace").split()
+                    left, gone = _cut(words, x, y)
+                    kept = b" ".join(left)
+                    rows.append((len(words), gone, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if texts else [])))
+                yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]).assign(doc_id=part["doc_id"].to_numpy())
 
-    return with_spans(docs, find_spans(docs, spec, resolve), run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return with_spans(docs, find_spans(docs, spec, resolve), run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return kmer_dedup(docs).drop("kept")
+    return kmer_dedup(docs, texts=False)
