@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
+from . import decontaminate, jaccard_join, kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1,
+    "op2_decontaminate": decontaminate.op2,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op5_url_filter": url_filter.op5,
+    "op6_jaccard_join": jaccard_join.op6,
     "op7_quality_gam": quality_gam.op7,
     "op8_line_dedup": line_dedup.op8,
     "op9_kmer_dedup": kmer_dedup.op9,
