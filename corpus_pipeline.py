@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcast.llm import line_dedup, mix_sources, quality_gam
+from loomcast.llm import decontaminate, jaccard_join, line_dedup, mix_sources, quality_gam
+from loomcast.llm._common import stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,19 +20,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select(*docs.columns)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-copies connect the one with the least doc_id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, edited or not, go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mix_sources.mix(docs)
+    """Each document as many times as the mix takes it."""
+    return mix_sources.emitted(docs)
 
 
-STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("mix", mix)]
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("n-gram Jaccard join", keep_one), ("benchmark decontamination", no_benchmark), ("mixing sources", mix)]
 #: SQL cannot learn the classifier.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomcast.llm._common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
