@@ -47,3 +47,12 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def id_in() -> "F.Column":
+    """doc_id with NULL_ID for null: pandas would turn a column with nulls into floating point."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+
+
+def id_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import id_in, id_out, join_checked, stored
+
 #: Characters of items that go out to the executors at a time: more items take more passes.
 WAVE = 4 << 20
 FOUND = "doc_id long, item_id long, distance int, match_from int, match_to int"
@@ -113,7 +115,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFra
     are read once per wave.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(id_in(), "text")
 
     def wave(batch: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(batch)
@@ -137,15 +139,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFra
         batch.append((row["item_id"], text))
         size += len(text)
     last = wave(batch) if batch or found is None else None
-    return last if found is None else found if last is None else found.unionAll(last)
+    return id_out(last if found is None else found if last is None else found.unionAll(last))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """The documents in which no item is found. Rows with a null doc_id are told apart by their text's hash."""
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_key"))
     leaks = find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), items, rate).select(F.col("doc_id").alias("_key")).distinct()
-    from ._common import join_checked, stored
-
     return join_checked(keyed, stored(leaks, "leaks"), ["_key"], "left_anti").drop("_key")
 
 

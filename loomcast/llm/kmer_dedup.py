@@ -15,6 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from ._common import id_in, id_out
 from ._superkmers import Strings, Windows, _first_by, find_spans, mixed, runs_of, with_spans
 
 WORDS = Windows(k=50, g=8, words=True, other_docs=True)
@@ -73,7 +74,7 @@ def kmer_dedup(docs: DataFrame, spec: Windows = WORDS, texts: bool = True) -> Da
     one document: they never remove each other's words. Texts of fewer than k words lose none. An empty
     table: no rows. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(id_in(), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,7 +87,7 @@ def kmer_dedup(docs: DataFrame, spec: Windows = WORDS, texts: bool = True) -> Da
                     rows.append((len(words), gone, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if texts else [])))
                 yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]).assign(doc_id=part["doc_id"].to_numpy())
 
-    return with_spans(docs, find_spans(docs, spec, resolve), run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    return id_out(with_spans(docs, find_spans(docs, spec, resolve), run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
+from . import decontaminate, jaccard_join, katz_lm, kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_topk_search": topk_search.op1,
     "op2_decontaminate": decontaminate.op2,
+    "op3_katz_lm": katz_lm.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op5_url_filter": url_filter.op5,
     "op6_jaccard_join": jaccard_join.op6,
