@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -56,3 +57,14 @@ def id_in() -> "F.Column":
 
 def id_out(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
+def release() -> None:
+    """Give memory that a task's arrays left behind back to the system: Python workers live on between tasks."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass

@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_in, id_out, stored
+from ._common import id_in, id_out, release, stored
 from ._superkmers import mixed, pack, unpack
 
 RESERVE, CUT = 0.1, 5
 #: Bytes of text in a chunk and meant for a bucket; documents in a chunk at most.
-CHUNK, BUCKET, DOCS = 16 << 20, 32 << 20, 60_000
+CHUNK, BUCKET, DOCS = 8 << 20, 14 << 20, 60_000
 #: Documents sampled for frequent words, and the share of tokens that makes one frequent.
 SAMPLE, FREQUENT = 2_000, 0.005
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -45,6 +45,27 @@ def _name(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
 
+def pack_sorted(h: np.ndarray) -> bytes:
+    """Ascending hashes as byte planes of their differences, which compress."""
+    return np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+#: Sums of logarithms travel as whole multiples of this.
+_UNIT = 1e-9
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.rint(x / _UNIT).astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def _real(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel() * _UNIT
+
+
 class _Chunk:
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -54,7 +75,7 @@ class _Chunk:
 
     def add(self, doc_id, held_out: bool, text: str | None) -> None:
         w, known = words(text), self.known
-        self.ids.append(np.fromiter((known.setdefault(x, len(known) + 2) for x in w), np.int64, len(w)))
+        self.ids.append(np.fromiter((known.setdefault(x, len(known) + 2) for x in w), np.int32, len(w)))
         self.docs.append((doc_id, held_out))
         self.size += len(text or "") + 64
 
@@ -64,19 +85,24 @@ class _Chunk:
         n = np.array([len(x) + 1 for x in self.ids], np.int64)
         yield number % buckets, "docs", pack((number, ids, held, n))
         h = np.concatenate([np.array([END, START], np.uint64), np.fromiter((_name(x) for x in self.known), np.uint64, len(self.known))])
-        end = np.zeros(1, np.int64)
-        w = np.concatenate([y for x in self.ids for y in (x, end)])
-        v = np.concatenate([[1], w[:-1]])
-        v[np.cumsum(n)[:-1]] = 1
-        doc = np.repeat(np.arange(len(n)), n)
-        to = (mixed(h * _G) % np.uint64(buckets)).astype(np.int64)
+        # numbered in the order of their hashes
+        rank = np.empty(len(h), np.int32)
+        rank[np.argsort(h)] = np.arange(len(h), dtype=np.int32)
+        h = np.sort(h)
+        end = np.zeros(1, np.int32)
+        w = rank[np.concatenate([y for x in self.ids for y in (x, end)])]
+        v = np.concatenate([rank[1:2], w[:-1]])
+        v[np.cumsum(n)[:-1]] = rank[1]
+        doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        to = (mixed(h * _G) % np.uint64(buckets)).astype(np.int32)
         b = to[w]
         spread = np.isin(h, hot)[w]
         if spread.any():
-            b[spread] = (mixed(h[w[spread]] * _G + h[v[spread]]) % np.uint64(buckets)).astype(np.int64)
+            b[spread] = (mixed(h[w[spread]] * _G + h[v[spread]]) % np.uint64(buckets)).astype(np.int32)
         m = len(h)
-        key = (b * m + w) * m + v if buckets * m * m < 2**62 else None
+        key = (b.astype(np.int64) * m + w) * m + v if buckets * m * m < 2**62 else None
         order = np.argsort(key, kind="stable") if key is not None else np.lexsort((v, w, b))
+        del key, spread
         b, w, v, doc = b[order], w[order], v[order], doc[order]
         first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
         times = np.diff(np.append(first, len(w)))
@@ -90,7 +116,7 @@ class _Chunk:
             ws, wi = np.unique(w[f], return_inverse=True)
             vs, vi = np.unique(v[f], return_inverse=True)
             per_word = np.bincount(wi)
-            yield k, "grams", pack((number, len(n), bits, h[ws], per_word.astype(np.int32), h[vs], vi.astype(np.int32), times[x:y].astype(np.int32), doc[cut[k] : cut[k + 1]].astype(np.uint16)))
+            yield k, "grams", pack((number, len(n), bits, pack_sorted(h[ws]), per_word.astype(np.int32), pack_sorted(h[vs]), vi.astype(np.int32), times[x:y].astype(np.int32), doc[cut[k] : cut[k + 1]]))
 
 
 def _chunks(buckets: int, hot: np.ndarray):
@@ -107,6 +133,7 @@ def _chunks(buckets: int, hot: np.ndarray):
                     rows = []
             yield pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
             seq, chunk = seq + 1, _Chunk()
+            release()
 
         for b in batches:
             for i, o, t in zip(b["doc_id"].tolist(), b["held_out"].tolist(), b["text"]):
@@ -123,7 +150,28 @@ def _logs(n: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(n, 1))
 
 
-def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray, save: bool):
+def _contexts(buckets: int, hot: np.ndarray):
+    """From a bucket's stored counts: of each context how many successors have each count, the mass of higher
+    counts, and what P(w) gives the seen, dealt by context; frequent contexts go to all buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for blob in b["blob"]:
+                _, cw, per, v, pv, c = unpack(blob)
+                v, low = unpack_sorted(v), cw[np.repeat(np.arange(len(per)), per)] + 1
+                columns = (*((c == r).astype(float) for r in range(1, CUT + 1)), np.where(c > CUT, c, 0).astype(float), low.astype(float))
+                table = np.stack([np.bincount(pv, x, len(v)) for x in columns], 1).astype(np.int64)
+                where, everywhere, out = (mixed(v * _G) % np.uint64(buckets)).astype(np.int64), np.isin(v, np.append(hot, START)), []
+                for k in range(buckets):
+                    s = (where == k) | everywhere
+                    if s.any():
+                        out.append(("contexts", k, pack((pack_sorted(v[s]), table[s]))))
+                yield pd.DataFrame(out, columns=["kind", "key", "blob"])
+
+    return run
+
+
+def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray):
     """A bucket: counts what training documents hold, then adds up every document's tokens."""
 
     def run(key, blobs: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +180,8 @@ def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray, save: bool):
             if kind == "docs":
                 out.append(("docs", unpack(blob)[0], blob))
             else:
-                got.append(unpack(blob))
+                g = unpack(blob)
+                got.append((*g[:3], unpack_sorted(g[3]), g[4], unpack_sorted(g[5]), *g[6:]))
         if not got:
             return pd.DataFrame(out, columns=["kind", "key", "blob"])
         w_all, v_all = np.unique(np.concatenate([g[3] for g in got])), np.unique(np.concatenate([g[5] for g in got]))
@@ -148,16 +197,13 @@ def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray, save: bool):
         cw = np.bincount(pw, c, len(w_all)).astype(np.int64)
         is_hot = np.isin(w_all, hot)
         cw[is_hot] = hot_counts[np.searchsorted(hot, w_all[is_hot])]
-        # contexts: how many successors have each count, the mass of higher counts, what P(w) gives the seen
         seen = c > 0
-        table = np.stack([np.bincount(pv[seen], wt, len(v_all)) for wt in (*((c[seen] == r).astype(float) for r in range(1, CUT + 1)), np.where(c[seen] > CUT, c[seen], 0).astype(float), (cw[pw[seen]] + 1).astype(float))], 1).astype(np.int64)
         counts = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         out.append(("stats", 0, pack((counts.tolist(), int(((cw > 0) & ~is_hot).sum())))))
-        if save:
-            out.append(("grams", int(key[0]), pack((w_all, v_all, np.diff(np.append(0, np.searchsorted(pw[seen], np.arange(len(w_all)), side="right"))).astype(np.int32), pv[seen].astype(np.int32), c[seen].astype(np.int32)))))
-            out.append(("words", int(key[0]), pack((w_all[~is_hot], cw[~is_hot]))))
+        held, hv = np.unique(pv[seen], return_inverse=True)
+        per = np.bincount(pw[seen], minlength=len(w_all))
+        out.append(("grams", int(key[0]), pack((pack_sorted(w_all), cw, per.astype(np.int32), pack_sorted(v_all[held]), hv.astype(np.int32), c[seen].astype(np.int32)))))
         where = (mixed(v_all * _G) % np.uint64(contexts)).astype(np.int64)
-        used = table[:, :-1].any(1)
         hot_v = np.isin(v_all, np.append(hot, START))
         miss = [[] for _ in range(contexts)]
         lo = 0
@@ -171,7 +217,7 @@ def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray, save: bool):
             add = lambda x: np.bincount(doc, x[each], n)
             # every token's part of the score and of the base; how many are known, back off, have counts 1..CUT
             low = np.stack([add((ct == r).astype(float)) for r in range(1, CUT + 1)]).astype(np.int32)
-            out.append(("sums", number, pack((add(gram), add(_logs(cn + 1)), add((cn > 0).astype(float)).astype(np.int32), add((~known).astype(float)).astype(np.int32), low))))
+            out.append(("sums", number, pack((_whole(add(gram)), _whole(add(_logs(cn + 1))), add((cn > 0).astype(float)).astype(np.int32), add((~known).astype(float)).astype(np.int32), low))))
             off = ~known[each]
             mv, md = pv[here][each[off]], doc[off]
             to = np.where(hot_v[mv], (where[mv] + number) % contexts, where[mv])
@@ -180,12 +226,14 @@ def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray, save: bool):
             for k in range(contexts):
                 s = o[ends[k] : ends[k + 1]]
                 if len(s):
-                    u, i = np.unique(mv[s], return_inverse=True)
-                    miss[k].append((number, n, v_all[u], i.astype(np.int32), md[s]))
+                    miss[k].append((number, n, mv[s], md[s]))
         for k in range(contexts):
-            s = used & ((where == k) | hot_v)
-            if s.any() or miss[k]:
-                out.append(("contexts", k, pack((v_all[s], table[s].astype(np.int64), miss[k]))))
+            if miss[k]:
+                u, i = np.unique(np.concatenate([m[2] for m in miss[k]]), return_inverse=True)
+                cuts = np.cumsum([len(m[2]) for m in miss[k]])[:-1]
+                out.append(("misses", k, pack((pack_sorted(v_all[u]), [(m[0], m[1], x.astype(np.int32), m[3]) for m, x in zip(miss[k], np.split(i, cuts))]))))
+        del got, grams, trained, pairs, at
+        release()
         return pd.DataFrame(out, columns=["kind", "key", "blob"])
 
     return run
@@ -213,18 +261,22 @@ def log_alpha(table: np.ndarray, discounts: np.ndarray, total: int) -> np.ndarra
 
 def _back_off(discounts: np.ndarray, total: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        got = [unpack(b) for b in rows["blob"]]
-        v, i = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        got = {k: [unpack(b) for b in g] for k, g in rows.groupby("kind")["blob"]}
+        held = [(unpack_sorted(v), t) for v, t in got.get("contexts", [])]
+        v, i = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in held)]), return_inverse=True)
         table = np.zeros((len(v), CUT + 2), np.int64)
-        np.add.at(table, i, np.concatenate([g[1] for g in got]))
-        a = log_alpha(table, discounts, total)
+        if held:
+            np.add.at(table, i, np.concatenate([t for _, t in held]))
+        a = np.append(log_alpha(table, discounts, total), 0.0)  # the last: contexts never seen
         sums: dict[int, np.ndarray] = {}
-        for g in got:
-            for number, n, vs, vi, doc in g[2]:
-                at = np.minimum(np.searchsorted(v, vs), max(len(v) - 1, 0))
-                known = v[at] == vs if len(v) else np.zeros(len(vs), bool)
-                value = np.where(known, a[at], 0.0) if len(v) else np.zeros(len(vs))
-                sums[number] = sums.get(number, 0) + np.bincount(doc, value[vi], n)
+        for names, chunks in got.get("misses", []):
+            names = unpack_sorted(names)
+            at = np.searchsorted(v, names)
+            at[np.append(v, np.uint64(0))[at] != names] = len(v)
+            for number, n, vi, doc in chunks:
+                sums[number] = sums.get(number, 0) + np.bincount(doc, a[at[vi]], n)
+        del got, held, table
+        release()
         return pd.DataFrame([("alphas", k, pack(x)) for k, x in sums.items()], columns=["kind", "key", "blob"])
 
     return run
@@ -237,7 +289,8 @@ def _finish(discounts: np.ndarray, total: int, tokens: int, start: float):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         parts = {k: [unpack(b) for b in g] for k, g in rows.groupby("kind")["blob"]}
         _, ids, held, n = parts["docs"][0]
-        score, base, known, off = (sum(p[i] for p in parts["sums"]) for i in range(4))
+        score, base = (sum(_real(p[i]) for p in parts["sums"]) for i in range(2))
+        known, off = (sum(p[i] for p in parts["sums"]) for i in (2, 3))
         low = sum(p[4] for p in parts["sums"])
         score = score + np.log10(discounts) @ low - off * np.log10(total) - start + sum(parts.get("alphas", []), np.zeros(len(n)))
         return pd.DataFrame({"doc_id": np.array(ids, np.int64), "held_out": held, "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base - n * np.log10(total), "score": score})
@@ -286,14 +339,14 @@ def _totals(docs: DataFrame, hot: np.ndarray) -> tuple[int, int, np.ndarray]:
     return by.get(-2, 0), by.get(-1, 0), np.array([by.get(i, 0) for i in range(len(hot))], np.int64)
 
 
-def katz_scores(docs: DataFrame, held_out: F.Column, save: bool = True) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     """A row per document as SCORES: learn from documents where held_out is not true, score all, whole.
 
     score is the log10 probability of the text's words and its end, base_score that of the add-one
     unigrams alone. Null text: only the end. A null held_out counts as training; repeated rows count and
     score each time. Without training documents N and V are 0 and every token has probability 1. An empty
-    table: no rows. With save the buckets' bigram and word counts are kept as the tables 'grams' and
-    'words' among the stored parts.
+    table: no rows. Each bucket's word and bigram counts are stored as a row of kind 'grams'; contexts and
+    their alphas are computed from those rows.
     """
     docs = docs.select(id_in(), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -301,14 +354,15 @@ def katz_scores(docs: DataFrame, held_out: F.Column, save: bool = True) -> DataF
     hot = _hot_words(docs, rows)
     tokens, n_docs, hot_counts = _totals(docs, hot)
     blobs = docs.mapInPandas(_chunks(buckets, hot), "bucket int, kind string, blob binary")
-    parts = blobs.groupBy("bucket").applyInPandas(_count(buckets, hot, hot_counts, save), PARTS)
+    parts = blobs.groupBy("bucket").applyInPandas(_count(buckets, hot, hot_counts), PARTS)
     parts = stored(parts, "katz")
     counts, vocabulary = np.zeros(CUT + 1, np.int64), int((hot_counts > 0).sum())
     for r in parts.where("kind = 'stats'").select("blob").toLocalIterator():
         c, v = unpack(bytes(r[0]))
         counts, vocabulary = counts + c, vocabulary + v
     discounts, total = good_turing(counts.tolist()), tokens + vocabulary + 1
-    alphas = parts.where("kind = 'contexts'").groupBy("key").applyInPandas(_back_off(discounts, total), PARTS)
+    contexts = parts.where("kind = 'grams'").mapInPandas(_contexts(buckets, hot), PARTS)
+    alphas = contexts.unionAll(parts.where("kind = 'misses'")).groupBy("key").applyInPandas(_back_off(discounts, total), PARTS)
     mine = parts.where("kind in ('docs', 'sums')").unionAll(alphas)
     start = float(np.log10(n_docs + RESERVE)) if n_docs else 0.0
     return id_out(mine.groupBy("key").applyInPandas(_finish(discounts, total, tokens, start), SCORES))
