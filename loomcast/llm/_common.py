@@ -39,6 +39,15 @@ def doc_key() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_th")]
 
 
+def whole(df: DataFrame, *more) -> DataFrame:
+    """The row as one column _row, so that no name of the input meets one of ours, and the named columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+
+
+def unpacked(columns: list[str]) -> list:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a stored table. It is broadcast only when its measured size is within BROADCAST_BYTES, else both sides shuffle."""
     sizes = [F.coalesce(F.octet_length(c) if t == "binary" else F.lit(8), F.lit(0)) if not t.startswith("array") else F.size(c) * 8 + 16 for c, t in small.dtypes]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_in, id_out, join_checked, stored
+from ._common import id_in, id_out, join_checked, stored, unpacked, whole
 
 #: Characters of items that go out to the executors at a time: more items take more passes.
 WAVE = 4 << 20
@@ -144,9 +144,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFra
 
 def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
     """The documents in which no item is found. Rows with a null doc_id are told apart by their text's hash."""
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_key"))
-    leaks = find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), items, rate).select(F.col("doc_id").alias("_key")).distinct()
-    return join_checked(keyed, stored(leaks, "leaks"), ["_key"], "left_anti").drop("_key")
+    key = F.xxhash64("doc_id", "text").alias("_key")
+    keyed = whole(docs, key)
+    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), items, rate).select(F.col("doc_id").alias("_key")).distinct()
+    return join_checked(keyed, stored(leaks, "leaks"), ["_key"], "left_anti").select(*unpacked(docs.columns))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, doc_key, join_checked, stored
+from ._common import SPACE, doc_key, join_checked, stored, unpacked, whole
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,7 +59,7 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_dropped", "dropped_at", "dropped_len")
     bitmaps = stored(keep_bitmaps(docs, **options), "bitmaps")
-    keyed = docs.select("*", *doc_key())
+    keyed = whole(docs, "text", *doc_key())
     out = join_checked(keyed, bitmaps, ["_id", "_th"], "left").drop("_id", "_th")
     out = out.withColumn("_lines", _lines("text"))
     last = F.size("dropped_at") - 1
@@ -68,7 +68,7 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     tail = F.slice(F.col("_lines"), done + 1, F.size("_lines") - done)
     kept = F.when(F.col("dropped_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.concat(F.flatten(cut), tail), "\n"))
     dropped = F.coalesce(F.aggregate("dropped_len", F.lit(0), lambda a, x: a + x), F.lit(0))
-    return out.select(*[c for c in docs.columns if c != "text"], F.size("_lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("text"), "dropped_at", "dropped_len")
+    return out.select(*unpacked([c for c in docs.columns if c != "text"]), F.size("_lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("text"), "dropped_at", "dropped_len")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

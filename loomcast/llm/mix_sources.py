@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import stored, unpacked, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,18 +58,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     Columns of the input named size, source_size, target or copies are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = with_size(docs)
+    sized = with_size(whole(docs, "doc_id", "source", "text"))
     targets = source_targets(stored(sized.groupBy("source").agg(F.sum("size").alias("size")), "sizes"), weights, max_repeats)
     t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     joined = sized.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("copies", (F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("long")).cast("int"))
+    copies = (F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    return joined.select(*unpacked(docs.columns), "size", "source_size", "target", copies.alias("copies"))
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document's row as often as the mix takes it, in the input's columns."""
-    out = mix(docs, **options)
-    return out.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))).select(*docs.columns)
+    out = mix(whole(docs, "doc_id", "source", "text"), **options)
+    times = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies")))
+    return out.select("_row", F.explode(times).alias("copy")).select(*unpacked(docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

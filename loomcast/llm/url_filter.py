@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import unpacked, whole
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 
 
@@ -42,14 +44,16 @@ def url_filter(captures: DataFrame, events: DataFrame, url: str = "url", day: st
     before anything is joined. Null or unparsable URLs have a null host and are not blocked, nor are
     captures without a day. Repeated captures are each answered. Columns of the result's names are replaced.
     """
-    captures = captures.drop("host", "blocked", "entry_key", "entry_since").withColumn("host", host_of(F.col(url)))
-    asked = captures.select("host", F.col(day).alias("_day")).dropna().distinct()
+    captures = captures.drop("host", "blocked", "entry_key", "entry_since")
+    rows = whole(captures, host_of(F.col(url)).alias("host"), F.col(day).alias("day"))
+    asked = rows.select("host", F.col("day").alias("_day")).dropna().distinct()
     keys = asked.select("host", "_day", F.explode(suffixes(F.col("host"))).alias("key"))
     active = keys.join(intervals(events), "key").where((F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     longest = F.max_by(F.struct("key", "action", "since"), F.char_length("key")).alias("e")
     decided = active.groupBy(F.col("host").alias("_host"), "_day").agg(longest)
-    out = captures.join(decided, (F.col("host") == F.col("_host")) & (F.col(day) == F.col("_day")), "left")
-    return out.withColumns({"blocked": F.coalesce(F.col("e.action") == "block", F.lit(False)), "entry_key": F.col("e.key"), "entry_since": F.coalesce(F.col("e.since"), F.lit(-1))}).drop("e", "_host", "_day")
+    out = rows.join(decided, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
+    blocked = F.coalesce(F.col("e.action") == "block", F.lit(False))
+    return out.select(*unpacked(captures.columns), "host", blocked.alias("blocked"), F.col("e.key").alias("entry_key"), F.coalesce(F.col("e.since"), F.lit(-1)).alias("entry_since"))
 
 
 def sample_list(captures: DataFrame) -> DataFrame:
