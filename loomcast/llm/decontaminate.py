@@ -105,7 +105,7 @@ class Matcher:
         return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFrame:
     """(doc_id, item_id, distance, match_from, match_to): each document's best match of each item within its budget.
 
     Texts are compared in lower case with white space as single spaces; places are in that form. Null or
@@ -142,7 +142,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFra
     return id_out(last if found is None else found if last is None else found.unionAll(last))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.05) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFrame:
     """The documents in which no item is found. Rows with a null doc_id are told apart by their text's hash."""
     key = F.xxhash64("doc_id", "text").alias("_key")
     keyed = whole(docs, key)

@@ -186,7 +186,7 @@ def test_decontaminate(spark, docs, empty):
             texts += [prose(rng, 30) + " " + t.upper().replace(" ", "\n", 1) + " " + prose(rng, 5), prose(rng, 9) + " " + edited + " " + prose(rng, 9), prose(rng, 10) + t[: len(t) // 2] + prose(rng, 10)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (50, None), (51, "")], "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(df, it).collect()}
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(df, it, rate=0.05).collect()}
     want = {}
     for d, t in [*enumerate(texts), (None, texts[0])]:
         for i, x in items:
