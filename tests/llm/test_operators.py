@@ -289,3 +289,15 @@ def test_mix(docs, empty):
     again = mix_sources.emitted(docs)
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in rows)
     assert mix_sources.mix(empty).count() == 0
+
+
+def test_joins_beyond_the_broadcast_bound_give_the_same(docs, monkeypatch):
+    from loomcast.llm import _common
+
+    def results():
+        plain = lambda df, *c: sorted(str(tuple(r)) for r in df.select(*c).collect())
+        return plain(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed", "kept_sha256"), plain(line_dedup.line_dedup(docs), "doc_id", "n_dropped", "text"), plain(jaccard_join.jaccard_classes(docs), "doc_id", "class_id", "n_links"), plain(jaccard_join.keep_one(docs), "doc_id")
+
+    small = results()
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", -1)
+    assert results() == small
