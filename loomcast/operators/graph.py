@@ -65,6 +65,16 @@ def two_hop(adj: DataFrame) -> DataFrame:
     return reach.join(adj.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def reachable(adj: DataFrame, hops: int) -> DataFrame:
+    """(src, dst): distinct pairs within so many steps."""
+    edges = adj.select("src", "dst").distinct()
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+    found = edges
+    for _ in range(hops - 1):
+        found = found.unionAll(found.join(step, "dst").where("src <> far").select("src", F.col("far").alias("dst"))).distinct()
+    return found
+
+
 def masked(adj: DataFrame, active: DataFrame) -> DataFrame:
     """Edges with both ends active."""
     on = active.select("workload").distinct()

@@ -128,6 +128,36 @@ def shape_set(d: np.ndarray, threshold: float = 0.9, most: int = 8, seed: int =
     return {"medoids": medoids, "assignment": own, "coverage": covered, "radius": radius, "sigma": sigma}
 
 
+def farthest_points(d: np.ndarray, k: int) -> list[int]:
+    """k items of a distance matrix, each the farthest from those before; the first is nearest to the middle of all.
+
+    Items that repeat a chosen one are taken only when no others are left.
+    """
+    if not len(d):
+        return []
+    chosen = [int(d.sum(1).argmin())]
+    while len(chosen) < min(k, len(d)):
+        near = d[:, chosen].min(1)
+        near[chosen] = -1.0
+        chosen.append(int(near.argmax()))
+    return chosen
+
+
+def window_prototypes(windows: list[np.ndarray], k: int, points: int, window: int = 5) -> np.ndarray:
+    """k x points x channels: windows resampled to equal length, spread out by warped distance. For a bounded candidate set."""
+    x = [resample(w, points) for w in windows if len(w)]
+    d = np.array([[dtw(a, b, window=window) for b in x] for a in x])
+    picked = farthest_points(d, k)
+    return np.stack([x[picked[i % len(picked)]] for i in range(k)])
+
+
+def slot_prototypes(slots: np.ndarray, k: int, points: int) -> np.ndarray:
+    """k x points x channels: single slots spread out by mean squared distance, each repeated along the prototype."""
+    d = ((slots[:, None, :] - slots[None, :, :]) ** 2).mean(2)
+    picked = farthest_points(d, k)
+    return np.stack([np.repeat(slots[picked[i % len(picked)]][None, :], points, 0) for i in range(k)])
+
+
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, state, d2): the nearest centroid, of equals the first. centroids (state, c) is a model of K rows; it goes as one array."""
     model = centroids.agg(F.sort_array(F.collect_list(F.struct("state", "c"))).alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import forecast, graph, ingest, markov, metrics, sequences, shapes
+from ..operators import forecast, graph, ingest, markov, metrics, sampling, sequences, shapes
 from ..sources import tables
 from . import usage as u
 
@@ -536,6 +536,21 @@ def union_missing_cols(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("SELECT src, dst FROM adj UNION SELECT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst", DEP)
+def reachable_2(spark, d):
+    return graph.reachable(graph.adjacency(u.deployment(spark, d)), 2)
+
+
+@query("SELECT DISTINCT workload, md5(workload::VARCHAR) AS digest FROM u ORDER BY digest, workload LIMIT 25", U)
+def seeded_sample(spark, d):
+    return sampling.digest_sample(u.usage(spark, d).select("workload").distinct(), "workload", 25).withColumn("digest", F.md5(F.col("workload").cast("string").cast("binary")))
+
+
+@query("SELECT workload FROM u GROUP BY 1 ORDER BY min(event_id), workload LIMIT 40", U)
+def first_seen(spark, d):
+    return sampling.first_seen(u.usage(spark, d), "workload", "event_id", 40)
+
+
 @query()
 def bootstrap_ci(spark, d):
     e = u.read(spark, d, "events").select(F.col("event_type").alias("k"), F.col("user_id").alias("origin"), "value", F.lit(1.0).alias("one"))

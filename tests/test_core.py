@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcast.functions import arrays
-from loomcast.operators import forecast, graph, ingest, markov, metrics, sequences, shapes
+from loomcast.operators import forecast, graph, ingest, markov, metrics, sampling, sequences, shapes
 from loomcast.operators.components import components
 from loomcast.sources import tables, usage
 from loomcast.streaming import usage as streams
@@ -220,3 +220,19 @@ def test_decayed_state_equals_a_scan(spark, tmp_path):
         got = spark.table("decayed").where((F.col("ctx") == c) & (F.col("t") == last)).collect()[-1]
         want = [sum(math.exp(-0.05 * (last - t)) for t, s in events if s == k and t >= last - 15) for k in range(3)]
         assert np.allclose(got.counts, want)
+
+
+def test_sampling():
+    ids = [f"c{i}" for i in range(30)]
+    a = sampling.seeded_choice(ids[::-1], 5, 7)
+    assert a == sampling.seeded_choice(ids, 5, 7) == sorted(a) and len(set(a)) == 5 and sampling.seeded_choice(ids, 99, 7) == sorted(ids)
+    assert sampling.thin(list(range(11)), 3) == [0, 5, 10] and sampling.thin([1, 2], 5) == [1, 2]
+    assert 0 <= sampling.stable_seed(7, "a") < 2**31 and sampling.stable_seed(7, "a") != sampling.stable_seed(7, "b")
+
+
+def test_prototypes_spread_out():
+    p = np.array([[0.0], [0.1], [5.0], [9.0], [9.0]])
+    assert {float(x[0, 0]) for x in shapes.slot_prototypes(p, 3, 4)} == {0.0, 5.0, 9.0}
+    w = shapes.window_prototypes([np.zeros((3, 1)), np.ones((5, 1)), np.zeros((4, 1))], 2, 6)
+    assert w.shape == (2, 6, 1) and {0.0, 1.0} == {float(x.mean()) for x in w}
+    assert shapes.slot_prototypes(p[:1], 2, 3).shape == (2, 3, 1)
