@@ -153,6 +153,13 @@ def test_jaccard_join(docs, empty):
     assert kept.columns == docs.columns and {plain(r.doc_id) for r in kept.collect()} == {c for d, c, _ in want}
 
 
+def test_jaccard_join_counts_repeated_rows_once_each(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (1, base), (2, base + " end"), (2, base + " end"), (3, "other words stand here alone")]
+    got = Counter(map(tuple, jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter({(1, 1, 3): 2, (2, 1, 3): 2, (3, 3, 0): 1})
+
+
 def test_jaccard_join_of_large_groups_in_blocks(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(200)]
