@@ -50,13 +50,17 @@ def decayed_counts(events: DataFrame, keys: list[str], now: int, decay: float, m
 def decayed_range(events: DataFrame, keys: list[str], decay: float, max_age: int) -> DataFrame:
     """At each event's time, the decayed number of earlier events of its key within max_age.
 
-    A range frame over scaled weights gives all ages at once; weights are taken against the key's first time.
+    Time is cut into stretches of max_age and weights are taken against their own stretch's start, so that none
+    overflows however long the history. A frame meets two adjoining stretches at most, an even and an odd one.
     """
-    by = Window.partitionBy(*keys)
-    base = F.min("t").over(by)
-    w = by.orderBy("t").rangeBetween(-max_age, -1)
-    out = events.withColumn("_b", base).withColumn("_w", F.exp(decay * (F.col("t") - F.col("_b"))))
-    return out.withColumn("weight", F.coalesce(F.sum("_w").over(w), F.lit(0.0)) * F.exp(-decay * (F.col("t") - F.col("_b")))).drop("_b", "_w")
+    cut = F.floor(F.col("t") / max_age).cast("long")
+    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-max_age, -1)
+    out = events.withColumn("_c", cut).withColumn("_w", F.exp(decay * (F.col("t") - F.col("_c") * max_age)))
+    sums = [F.coalesce(F.sum(F.when(F.pmod("_c", F.lit(2)) == i, F.col("_w"))).over(w), F.lit(0.0)) for i in (0, 1)]
+    even = F.pmod("_c", F.lit(2)) == 0
+    own, other = F.when(even, sums[0]).otherwise(sums[1]), F.when(even, sums[1]).otherwise(sums[0])
+    age = F.col("t") - F.col("_c") * max_age
+    return out.withColumn("weight", own * F.exp(-decay * age) + other * F.exp(-decay * (age + max_age))).drop("_c", "_w")
 
 
 def last_valid(slots: DataFrame, values: list[str], active: str) -> DataFrame:

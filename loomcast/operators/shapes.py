@@ -73,13 +73,32 @@ def dtw(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None, window:
     return float(np.sqrt(d))
 
 
-def pairwise_dtw(items: DataFrame, window: int | None = 5) -> DataFrame:
+def dtw_batch(a: list, b: list, window: int | None = None) -> np.ndarray:
+    """dtw of many pairs of series at once: padded at the end, which no cell of a shorter pair looks at; each pair has its own band."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    pad = lambda xs, size: np.stack([np.pad(np.asarray(x, float), (0, size - len(x))) for x in xs], 1)
+    x, y, every = pad(a, n.max()), pad(b, m.max()), np.arange(len(a))
+    band = np.maximum(n, m) if window is None else np.maximum(window, np.abs(n - m))
+    total, length = np.full((len(x) + 1, len(y) + 1, len(a)), np.inf), np.zeros((len(x) + 1, len(y) + 1, len(a)), int)
+    total[0, 0] = 0.0
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            before = np.stack([total[i - 1, j], total[i, j - 1], total[i - 1, j - 1]])
+            least = before.argmin(0)
+            path = np.stack([length[i - 1, j], length[i, j - 1], length[i - 1, j - 1]])
+            total[i, j] = np.where(abs(i - j) <= band, before[least, every] + (x[i - 1] - y[j - 1]) ** 2, np.inf)
+            length[i, j] = path[least, every] + 1
+    return np.sqrt(total[n, m, every] / length[n, m, every])
+
+
+def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512) -> DataFrame:
     """(i, j, distance) for i < j of (id, series array<double>). Meant for candidate sets of a stated, small size (hundreds)."""
 
     @F.pandas_udf("double")
     def distance(x: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in x:
-            yield pd.Series([dtw(p, q, window=window) for p, q in zip(a, b)])
+            parts = [dtw_batch(a[i : i + at_once].tolist(), b[i : i + at_once].tolist(), window) for i in range(0, len(a), at_once)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     ids = items.agg(F.sort_array(F.collect_list("id")).alias("ids"))
     left = items.join(F.broadcast(ids), how="cross").select(F.col("id").alias("i"), F.col("series").alias("a"), F.explode("ids").alias("j")).where("i < j")

@@ -13,6 +13,8 @@ from . import usage as u
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Workloads forecast together, and candidates of a pattern dictionary: parameters of these operators.
+COHORT, CANDIDATES = 200, 300
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ G = M + ", g AS (SELECT w.workload, a.t, n, cpu, mem, disk_i, disk_o FROM (SELEC
 FILL = G + """, f0 AS (SELECT *, cpu IS NOT NULL AS target_observed, last_value(cpu IGNORE NULLS) OVER w AS cpu_input, last_value(mem IGNORE NULLS) OVER w AS mem_input FROM g WINDOW w AS (PARTITION BY workload ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
 f AS (SELECT *, cpu_input IS NOT NULL AS input_valid, cpu_input IS NOT NULL AND NOT target_observed AS imputed FROM f0)"""
 S = "s AS (SELECT user_id AS workload, CAST(epoch(ts) AS BIGINT) AS sec0, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS t, event_id, event_type AS state FROM events)"
-DEP = "dep AS (SELECT DISTINCT l_partkey AS workload, l_orderkey AS node FROM lineitem WHERE l_orderkey % 40 = 0), pr AS (SELECT a.workload AS src, b.workload AS dst, a.node FROM dep a JOIN dep b ON a.node = b.node AND a.workload <> b.workload), adj AS (SELECT DISTINCT src, dst FROM pr)"
+DEP = "dep AS (SELECT DISTINCT l_partkey AS workload, l_orderkey AS node FROM lineitem), pr AS (SELECT a.workload AS src, b.workload AS dst, a.node FROM dep a JOIN dep b ON a.node = b.node AND a.workload <> b.workload), adj AS (SELECT DISTINCT src, dst FROM pr)"
 LINK = """links AS (SELECT (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS time_bucket, s_nationkey AS src, c_nationkey AS dst, avg(l_extendedprice) AS bandwidth, avg(l_quantity) AS delay, avg(l_discount) AS loss, avg(l_tax) AS availability
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2, 3)"""
 MU = """e AS (SELECT vec_id AS workload, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), c AS (SELECT label AS state, pos, avg(x) AS c FROM e GROUP BY 1, 2),
@@ -135,10 +137,10 @@ def zscore_values(spark, d):
     return ingest.zscore(u.means(spark, d), ["cpu", "mem"], mode="eps", log=("mem",)).select("workload", "t", "cpu_z", "mem_z")
 
 
-@query("SELECT o_orderkey AS id, l.* EXCLUDE (time_bucket), time_bucket FROM (SELECT o_orderkey, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS tt FROM orders WHERE o_orderkey % 500 = 0) o, LATERAL (SELECT max(time_bucket) AS tb FROM links WHERE time_bucket <= tt) x JOIN (SELECT time_bucket, src, dst, round(bandwidth, 6) AS bandwidth FROM links) l ON l.time_bucket = tb", LINK)
+@query("SELECT tt AS origin, l.* EXCLUDE (time_bucket), time_bucket FROM (SELECT DISTINCT (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS tt FROM orders) o, LATERAL (SELECT max(time_bucket) AS tb FROM links WHERE time_bucket <= tt) x JOIN (SELECT time_bucket, src, dst, round(bandwidth, 6) AS bandwidth FROM links) l ON l.time_bucket = tb", LINK)
 def link_asof(spark, d):
-    o = u.read(spark, d, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("id"), ((F.year("o_orderdate") - 1970) * 12 + F.month("o_orderdate") - 1).cast("long").alias("at"))
-    return ingest.as_of(o, u.links(spark, d), "at", "time_bucket", ["bandwidth"], ["src", "dst"]).select("id", "src", "dst", "bandwidth", "time_bucket")
+    o = u.read(spark, d, "orders").select(((F.year("o_orderdate") - 1970) * 12 + F.month("o_orderdate") - 1).cast("long").alias("origin")).distinct()
+    return ingest.as_of(o, u.links(spark, d), "origin", "time_bucket", ["bandwidth"], ["src", "dst"]).select("origin", "src", "dst", "bandwidth", "time_bucket")
 
 
 # ---- sequences
@@ -293,7 +295,7 @@ def recursive_forecast(spark, d):
     s = u.states(spark, d)
     index = F.dense_rank().over(Window.orderBy("state")) - 1
     code = s.select("state").distinct().withColumn("i", index.cast("int"))
-    rows = s.join(F.broadcast(code), "state").select((F.col("workload") % 10).alias("origin"), "workload", (F.col("sec") * 1000 + F.col("event_id") % 1000).alias("t"), F.col("i").alias("state"))
+    rows = s.join(F.broadcast(code), "state").select(F.floor(F.col("workload") / COHORT).alias("origin"), "workload", (F.col("sec") * 1000 + F.col("event_id") % 1000).alias("t"), F.col("i").alias("state"))
     return forecast.recursive_rollout(rows, 5, 6)
 
 
@@ -348,8 +350,8 @@ def segment_runs(spark, d):
 
 @query()
 def dtw_pairs(spark, d):
-    items = u.filled(spark, d).where("input_valid and workload < 30").groupBy(F.col("workload").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "cpu_input"))), lambda x: x["cpu_input"]).alias("series"))
-    return shapes.pairwise_dtw(items)
+    items = u.filled(spark, d).where("input_valid").groupBy(F.col("workload").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "cpu_input"))), lambda x: x["cpu_input"]).alias("series"))
+    return shapes.pairwise_dtw(sampling.digest_sample(items, "id", CANDIDATES))
 
 
 @query()
@@ -400,9 +402,9 @@ def degree_stats(spark, d):
     return graph.coverage(graph.adjacency(dep), dep)
 
 
-@query("SELECT DISTINCT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM adj c WHERE c.src = a.src AND c.dst = b.dst)", DEP)
-def two_hop_pairs(spark, d):
-    return graph.two_hop(graph.adjacency(u.deployment(spark, d)))
+@query("SELECT src, count(*) AS indirect FROM (SELECT DISTINCT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) r WHERE NOT EXISTS (SELECT 1 FROM adj c WHERE c.src = r.src AND c.dst = r.dst) GROUP BY 1", DEP)
+def two_hop_counts(spark, d):
+    return graph.two_hop(graph.adjacency(u.deployment(spark, d))).groupBy("src").agg(F.count(F.lit(1)).alias("indirect"))
 
 
 def _store(df: DataFrame) -> DataFrame:
@@ -415,7 +417,7 @@ def _store(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@query("SELECT d.workload, coalesce(min(r.dst), d.workload) AS component FROM (SELECT DISTINCT workload FROM dep) d LEFT JOIN r ON r.src = d.workload GROUP BY d.workload", "RECURSIVE " + DEP + ", r AS (SELECT workload AS src, workload AS dst FROM dep UNION SELECT r.src, adj.dst FROM r JOIN adj ON r.dst = adj.src)")
+@query()
 def component_labels(spark, d):
     dep = u.deployment(spark, d)
     return graph.component_sizes(graph.adjacency(dep), dep, _store)
@@ -536,9 +538,9 @@ def union_missing_cols(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT src, dst FROM adj UNION SELECT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst", DEP)
+@query("SELECT src, count(*) AS reached FROM (SELECT src, dst FROM adj UNION SELECT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1", DEP)
 def reachable_2(spark, d):
-    return graph.reachable(graph.adjacency(u.deployment(spark, d)), 2)
+    return graph.reachable(graph.adjacency(u.deployment(spark, d)), 2).groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
 
 
 @query("SELECT DISTINCT workload, md5(workload::VARCHAR) AS digest FROM u ORDER BY digest, workload LIMIT 25", U)

@@ -236,3 +236,34 @@ def test_prototypes_spread_out():
     w = shapes.window_prototypes([np.zeros((3, 1)), np.ones((5, 1)), np.zeros((4, 1))], 2, 6)
     assert w.shape == (2, 6, 1) and {0.0, 1.0} == {float(x.mean()) for x in w}
     assert shapes.slot_prototypes(p[:1], 2, 3).shape == (2, 3, 1)
+
+
+def test_batched_warping_equals_single():
+    r = np.random.default_rng(3)
+    a, b = ([r.normal(size=r.integers(1, 12)) for _ in range(40)] for _ in range(2))
+    for window in (None, 2):
+        assert np.allclose(shapes.dtw_batch(a, b, window), [shapes.dtw(x, y, window=window) for x, y in zip(a, b)])
+
+
+def test_decayed_range_of_a_long_history(spark):
+    t = [0, 3, 9, 10, 11, 5_000_000, 5_000_004, 5_000_010]
+    rows = spark.createDataFrame([("k", x) for x in t], "k string, t long")
+    got = {x["t"]: x["weight"] for x in sequences.decayed_range(rows, ["k"], 0.5, 10).collect()}
+    for x in t:
+        assert got[x] == pytest.approx(sum(math.exp(-0.5 * (x - y)) for y in t if 0 < x - y <= 10))
+
+
+def test_components_of_the_whole_deployment(spark):
+    from loomcast.plans import queries, usage as roles
+
+    folder = "/root/testdata/sf0.001"
+    got = {r["workload"]: r["component"] for r in queries.QUERIES["component_labels"](spark, folder).collect()}
+    least = {w: w for w in got}
+    pairs = [(r["src"], r["dst"]) for r in graph.adjacency(roles.deployment(spark, folder)).collect()]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if least[b] < least[a]:
+                least[a], moved = least[b], True
+    assert got == least
