@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import forecast, graph, ingest, markov, metrics, sampling, sequences, shapes
+from ..operators import forecast, graph, ingest, learn, markov, metrics, sampling, sequences, shapes
 from ..sources import tables
 from . import usage as u
 
@@ -570,5 +570,33 @@ def gd_transition(spark, d):
     return spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
+@query("SELECT bin, count(*) AS n, round(avg(conf), 6) AS confidence, round(avg((pred = truth)::INT), 6) AS accuracy, round(abs(avg(conf) - avg((pred = truth)::INT)), 6) AS gap FROM (SELECT hs.*, greatest(len(list_filter(edges, lambda e: e < conf)) - 1, 0) AS bin FROM hs, (SELECT list_distinct(list_concat([0.0::DOUBLE, 1.0::DOUBLE], list_filter(quantile_cont(conf, [0.2, 0.4, 0.6, 0.8]), lambda x: x > 0 AND x < 1))) AS edges FROM hs)) GROUP BY 1", _HARD)
+def calibration_quantile(spark, d):
+    h = _hard(spark, d).withColumn("hit", F.col("pred") == F.col("truth"))
+    return metrics.edge_bins(h, "conf", "hit", metrics.bin_edges(h, "conf", 5, "quantile"))
+
+
+@query("SELECT l_returnflag AS run, round(sum(l_extendedprice) / 1048576.0::DOUBLE, 6) AS peak_mb, round(count(*) / sum(l_quantity), 6) AS throughput, round(sum(l_quantity) * 1000 / count(*), 6) AS ms_per_sample FROM lineitem GROUP BY 1")
+def efficiency(spark, d):
+    runs = u.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run")).agg(F.sum("l_quantity").alias("seconds"), F.count(F.lit(1)).cast("double").alias("samples"), F.sum("l_extendedprice").alias("bytes"))
+    return metrics.efficiency(runs, "seconds", "samples", "bytes").select("run", "peak_mb", "throughput", "ms_per_sample")
+
+
+@query()
+def learned_forecast(spark, d):
+    """Losses of three epochs over all next states; workloads whose node of most rows is the same are neighbours within blocks of 20."""
+    s = u.states(spark, d)
+    code = {r[0]: i for i, r in enumerate(s.select("state").distinct().orderBy("state").collect())}
+    one_hot = {name: F.array(*[(F.col(c) == x).cast("double") for x in code]) for name, c in (("mu", "ctx"), ("target", "state"))}
+    pairs = sequences.contexts(s, ORDER, 1)
+    last = pairs.groupBy("workload", "t").agg(F.max_by(F.struct("ctx", "state"), F.struct(*ORDER)).alias("r")).select("workload", "t", "r.*")
+    rows = last.select((F.floor(F.col("workload") / COHORT)).alias("origin"), "workload", "t", F.lit(1).alias("h"), *(c.alias(n) for n, c in one_hot.items()), F.lit(None).cast("array<double>").alias("back"))
+    home = ingest.majority_node(u.usage(spark, d)).withColumn("node", F.concat_ws("/", "node", F.floor(F.col("workload") / 20)))
+    packed = learn.pack(rows, graph.adjacency(home))
+    blocks = learn.Blocks(max(len(code), 1), period=7.0, hidden=8)
+    trained = learn.train(_store(packed), blocks, np.full((blocks.k, blocks.k), 1 / blocks.k), epochs=3, rate=0.05)
+    return spark.createDataFrame(list(enumerate(trained.losses)), "epoch int, loss double")
+
+
 def run(spark: SparkSession, name: str, d: str) -> DataFrame:
     return QUERIES[name](spark, d)
