@@ -72,7 +72,7 @@ def run(verb: str, config: str, run_id: str | None = None, variant: str | None =
     return 0
 
 
-def smoke(folder: str | None = None, spark=None) -> int:
+def smoke(folder: str | None = None, spark=None, **change) -> int:
     """A whole run on a small made-up trace."""
     import math
 
@@ -85,7 +85,7 @@ def smoke(folder: str | None = None, spark=None) -> int:
     rules = [{"name": "cpu", "column": "cpu", "scale": 0.01, "valid_min": 0}, {"name": "mem", "column": "mem", "scale": 0.01, "valid_min": 0}]
     source = {"path": "usage.csv", "key": "id", "time": "at", "node": "machine", "fmt": "csv", "header": False, "columns": ["id", "machine", "at", "cpu", "mem"], "rules": rules}
     with open(os.path.join(top, "experiment.json"), "w") as f:
-        json.dump({"source": source, "out": "runs", "start": 0, "end": 4800, "histories": [6], "horizons": [1, 3], "stride": 2, "k": 3, "epochs": 2, "period": 20}, f)
+        json.dump({"source": source, "out": "runs", "start": 0, "end": 4800, "histories": [6], "horizons": [1, 3], "stride": 2, "k": 3, "epochs": 2, "period": 20} | change, f)
     code = run("run-all", os.path.join(top, "experiment.json"), "smoke", spark=spark)
     if folder is None:
         shutil.rmtree(top)

@@ -348,3 +348,71 @@ def variant(b: Blocks, name: str) -> Blocks:
     """Blocks of an ablation variant; 'hypergraph' and 'vo_markov' change the edges and the back-off that rows bring."""
     changes = {"full": {}, "ns_mem": {"spatial": False}, "dyn_trans": {"dynamic": False}, "multi_hop": {"rounds": 1}, "hypergraph": {}, "vo_markov": {}}
     return replace(b, **changes[name])
+
+
+def pack_histories(mu: DataFrame, edges: DataFrame, origins: DataFrame, history: int) -> DataFrame:
+    """(origin, cohort): per origin its workloads with what each showed in the last `history` slots, from (workload, t, mu, state).
+
+    A slot is sent to the origins that may see it, so all joins are on equality. Slots without a state are skipped.
+    """
+    seen = mu.where("state is not null").withColumn("origin", F.explode(F.sequence(F.col("t"), F.col("t") + history - 1)))
+    seen = seen.join(origins.select("origin").distinct(), "origin")
+    past = seen.groupBy("origin", "workload").agg(F.sort_array(F.collect_list(F.struct("t", "state", "mu"))).alias("past"))
+    near = edges.groupBy(F.col("src").alias("workload")).agg(F.sort_array(F.collect_list(F.struct("dst", F.col("weight").cast("double").alias("weight")))).alias("near"))
+    rows = past.join(near, "workload", "left").select("origin", F.struct("workload", "past", "near").alias("r"))
+    return rows.groupBy("origin").agg(F.sort_array(F.collect_list("r")).alias("cohort"))
+
+
+def roll_out(packed: DataFrame, p: dict[str, np.ndarray], b: Blocks, prior: np.ndarray, horizon: int, order: int = 3, decay: float = 0.02, max_age: float | None = None, hard: bool = False, kind: str = "long") -> DataFrame:
+    """(origin, workload, h, state, p): recursive forecasts of packed histories, all workloads of an origin in step.
+
+    Each step's soft answer is the next step's state, its likeliest state extends the context, and the
+    answer joins the counts that back-off uses. The graph stays as it is at the origin. hard: first order
+    or none, nothing mixed. A cohort is one task's work; its size is a parameter of the experiment.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .contexts import DecayedContexts
+
+        vs = {k: Var(v) for k, v in p.items()}
+        for batch in batches:
+            for origin, cohort in zip(batch["origin"], batch["cohort"]):
+                names = [r["workload"] for r in cohort]
+                at = {w: i for i, w in enumerate(names)}
+                adj = np.zeros((len(names), len(names)))
+                for i, r in enumerate(cohort):
+                    for e in r["near"] if r["near"] is not None else ():
+                        if e["dst"] in at and at[e["dst"]] != i:
+                            adj[i, at[e["dst"]]] = e["weight"]
+                back = DecayedContexts(b.k, order, decay, max_age or np.inf)
+                for r in cohort:
+                    for x in r["past"]:
+                        back.append(r["workload"], x["t"], x["state"], x["mu"])
+                mu, rows = np.stack([np.asarray(r["past"][-1]["mu"], float) for r in cohort]), []
+                for h in range(1, horizon + 1):
+                    now = float(origin + h)
+                    answers = np.stack([back.predict(back.context(w, now), now, hard)[0] for w in names])
+                    mu = step(vs, b, mu, adj, np.full(len(names), now - 1), answers, prior)[0].x
+                    mu = mu / mu.sum(1, keepdims=True)
+                    for i, w in enumerate(names):
+                        back.append(w, now, int(mu[i].argmax()), mu[i])
+                        rows += [(origin, w, h, s, float(mu[i, s])) for s in range(b.k)]
+                yield pd.DataFrame(rows, columns=["origin", "workload", "h", "state", "p"])
+
+    return packed.mapInPandas(run, f"origin long, workload {kind}, h int, state int, p double")
+
+
+def roll_out_to(path: str, packed: DataFrame, *args, **options) -> DataFrame:
+    """roll_out written under path by origin; origins that an earlier, stopped call finished are not run again.
+
+    The write's commit puts all origins of a call in place or none, so what is there is whole.
+    """
+    spark = packed.sparkSession
+    try:
+        done = spark.read.parquet(path).select("origin").distinct()
+        packed = packed.join(done, "origin", "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    roll_out(packed, *args, **options).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -52,6 +52,7 @@ class Experiment:
     rate: float = 0.02
     seed: int = 7
     variant: str = "full"
+    strategy: str = "direct"
     locked: bool = False
 
     def check(self) -> Experiment:
@@ -65,6 +66,8 @@ class Experiment:
             wrong.append("splits must be three shares that sum to 1")
         if not self.histories or not self.horizons or min(*self.histories, *self.horizons) < 1:
             wrong.append("histories and horizons must be positive")
+        if self.strategy not in ("direct", "recursive"):
+            wrong.append("strategy must be direct or recursive")
         if self.k < 2 or self.workloads < 1 or not 0 <= self.blend <= 1:
             wrong.append("k, workloads or blend out of range")
         if wrong:

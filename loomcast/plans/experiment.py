@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -158,7 +158,7 @@ def origin_rows(mu: DataFrame, e: Experiment, history: int, split: str) -> DataF
 
 
 def _blocks(e: Experiment, k: int) -> learn.Blocks:
-    b = learn.Blocks(k, rounds=e.rounds, strength=e.strength, period=float(e.period), blend=e.blend, horizon=max(*e.horizons, 2))
+    b = learn.Blocks(k, rounds=e.rounds, strength=e.strength, period=float(e.period), blend=e.blend, horizon=max(*e.horizons, 2) if e.strategy == "direct" else 1)
     return learn.variant(b, e.variant)
 
 
@@ -176,7 +176,9 @@ def _packed(spark: SparkSession, e: Experiment, run_dir: str, model: WorkloadMod
 
 
 def train(spark: SparkSession, e: Experiment, run_dir: str, who: dict) -> bool:
-    """One training per history length, resumed from its newest checkpoint."""
+    """One training per history length, resumed from its newest checkpoint. A recursive model learns one step ahead."""
+    if e.strategy == "recursive":
+        e = replace(e, horizons=(1,))
     channels = tuple(r["name"] for r in e.source["rules"])
     fitted = f"{run_dir}/model.json"
     if not os.path.exists(fitted):
@@ -205,7 +207,12 @@ def evaluate(spark: SparkSession, e: Experiment, run_dir: str) -> DataFrame:
         packed = _packed(spark, e, run_dir, model, history, "test")
         kind = dict(packed.select(F.explode("cohort").alias("r")).select("r.*").dtypes)["workload"]
         path = f"{run_dir}/forecasts/L={history}"
-        learn.forecast(packed, p, b, prior, kind).write.mode("overwrite").parquet(path)
+        if e.strategy == "recursive":
+            past = learn.pack_histories(model.transform(spark.read.parquet(f"{run_dir}/slots")), _edges(spark.read.parquet(f"{run_dir}/deployment"), e), packed.select("origin"), history)
+            hard = e.variant == "vo_markov"
+            learn.roll_out_to(path, past, p, b, prior, max(e.horizons), 1 if hard else e.order, e.decay, history, hard, kind)
+        else:
+            learn.forecast(packed, p, b, prior, kind).write.mode("overwrite").parquet(path)
         truth = packed.select("origin", F.explode("cohort").alias("r")).select("origin", "r.workload", F.col("r.h").cast("int").alias("h"), "r.target", "r.mu").where("target is not null")
         long = truth.select("origin", "workload", "h", F.posexplode("target").alias("state", "truth"), "mu").withColumn("same", F.get("mu", F.col("state"))).drop("mu")
         both = long.join(spark.read.parquet(path).withColumnRenamed("p", "pred"), ["origin", "workload", "h", "state"])

@@ -118,3 +118,10 @@ def test_whole_run_and_again(spark, tmp_path, capsys):
     assert cli.main(["plan", "--config", config]) == 0 and cli.main(["preflight", "--config", str(tmp_path / "none.json")]) == 1
     assert cli.main(["status", "--run-dir", str(run_dir)]) == 0
     capsys.readouterr()
+
+
+def test_recursive_run(spark, tmp_path, capsys):
+    assert cli.smoke(str(tmp_path), spark, strategy="recursive", variant="vo_markov") == 0
+    m = spark.read.parquet(str(tmp_path / "runs" / "smoke" / "metrics_by_h")).toPandas()
+    assert sorted(m["h"]) == [1, 3] and np.isfinite(m["brier"]).all()
+    capsys.readouterr()
