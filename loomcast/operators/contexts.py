@@ -20,6 +20,7 @@ class DecayedContexts:
         self.smoothing, self.threshold, self.temperature = smoothing, threshold, temperature
         self.events: dict = defaultdict(list)  # workload -> [(t, state, target)] in order of time
         self.index: dict | None = None
+        self.memo: dict = {}  # counts since the last change, by context and time
         self.frozen = False
 
     def append(self, workload, t: float, state: int, target=None) -> None:
@@ -30,6 +31,7 @@ class DecayedContexts:
         mine, event = self.events[workload], (float(t), int(state), soft)
         late = bool(mine) and event < mine[-1]
         insort(mine, event)
+        self.memo = {}
         if late:
             self.index = None
         elif self.index is not None:
@@ -54,7 +56,7 @@ class DecayedContexts:
         for mine in self.events.values():
             gone = sum(e[0] < now - self.max_age for e in mine)
             del mine[: max(0, gone - self.order)]
-        self.index = None
+        self.index, self.memo = None, {}
 
     def freeze(self) -> DecayedContexts:
         self.frozen = True
@@ -83,6 +85,11 @@ class DecayedContexts:
         return [e[1] for e in self.events.get(workload, ()) if e[0] < before][-self.order :] if self.order else []
 
     def counts(self, ctx: tuple, now: float) -> np.ndarray:
+        if (ctx, now) not in self.memo:
+            self.memo[ctx, now] = self._counted(ctx, now)
+        return self.memo[ctx, now]
+
+    def _counted(self, ctx: tuple, now: float) -> np.ndarray:
         times, targets = self._indexed().get(ctx, ((), ()))
         if not times:
             return np.zeros(self.k)

@@ -350,17 +350,18 @@ def variant(b: Blocks, name: str) -> Blocks:
     return replace(b, **changes[name])
 
 
-def pack_histories(mu: DataFrame, edges: DataFrame, origins: DataFrame, history: int) -> DataFrame:
+def pack_histories(mu: DataFrame, edges: DataFrame, origins: DataFrame, history: int, part: F.Column | None = None) -> DataFrame:
     """(origin, cohort): per origin its workloads with what each showed in the last `history` slots, from (workload, t, mu, state).
 
     A slot is sent to the origins that may see it, so all joins are on equality. Slots without a state are skipped.
+    part, of workload, cuts the workloads of an origin into cohorts, each a row of its own.
     """
     seen = mu.where("state is not null").withColumn("origin", F.explode(F.sequence(F.col("t"), F.col("t") + history - 1)))
     seen = seen.join(origins.select("origin").distinct(), "origin")
     past = seen.groupBy("origin", "workload").agg(F.sort_array(F.collect_list(F.struct("t", "state", "mu"))).alias("past"))
     near = edges.groupBy(F.col("src").alias("workload")).agg(F.sort_array(F.collect_list(F.struct("dst", F.col("weight").cast("double").alias("weight")))).alias("near"))
-    rows = past.join(near, "workload", "left").select("origin", F.struct("workload", "past", "near").alias("r"))
-    return rows.groupBy("origin").agg(F.sort_array(F.collect_list("r")).alias("cohort"))
+    rows = past.join(near, "workload", "left").select("origin", (F.lit(0) if part is None else part).alias("part"), F.struct("workload", "past", "near").alias("r"))
+    return rows.groupBy("origin", "part").agg(F.sort_array(F.collect_list("r")).alias("cohort")).drop("part")
 
 
 def roll_out(packed: DataFrame, p: dict[str, np.ndarray], b: Blocks, prior: np.ndarray, horizon: int, order: int = 3, decay: float = 0.02, max_age: float | None = None, hard: bool = False, kind: str = "long") -> DataFrame:

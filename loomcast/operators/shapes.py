@@ -74,9 +74,16 @@ def dtw(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None, window:
 
 
 def dtw_batch(a: list, b: list, window: int | None = None) -> np.ndarray:
-    """dtw of many pairs of series at once: padded at the end, which no cell of a shorter pair looks at; each pair has its own band."""
+    """dtw of many pairs of series, of one channel or several, at once.
+
+    They are padded at the end, which no cell of a shorter pair looks at; each pair has its own band.
+    """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pad = lambda xs, size: np.stack([np.pad(np.asarray(x, float), (0, size - len(x))) for x in xs], 1)
+
+    def pad(xs: list, size: int) -> np.ndarray:
+        wide = [np.asarray(x, float).reshape(len(x), -1) for x in xs]
+        return np.stack([np.pad(x, ((0, size - len(x)), (0, 0))) for x in wide], 1)
+
     x, y, every = pad(a, n.max()), pad(b, m.max()), np.arange(len(a))
     band = np.maximum(n, m) if window is None else np.maximum(window, np.abs(n - m))
     total, length = np.full((len(x) + 1, len(y) + 1, len(a)), np.inf), np.zeros((len(x) + 1, len(y) + 1, len(a)), int)
@@ -86,7 +93,7 @@ def dtw_batch(a: list, b: list, window: int | None = None) -> np.ndarray:
             before = np.stack([total[i - 1, j], total[i, j - 1], total[i - 1, j - 1]])
             least = before.argmin(0)
             path = np.stack([length[i - 1, j], length[i, j - 1], length[i - 1, j - 1]])
-            total[i, j] = np.where(abs(i - j) <= band, before[least, every] + (x[i - 1] - y[j - 1]) ** 2, np.inf)
+            total[i, j] = np.where(abs(i - j) <= band, before[least, every] + ((x[i - 1] - y[j - 1]) ** 2).sum(1), np.inf)
             length[i, j] = path[least, every] + 1
     return np.sqrt(total[n, m, every] / length[n, m, every])
 
@@ -229,3 +236,22 @@ def window_memberships(slots: DataFrame, channels: list[str], prototypes: np.nda
         return pd.DataFrame({"workload": pdf["workload"], "t": pdf["t"], "mu": out})
 
     return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")
+
+
+def warped_memberships(slots: DataFrame, channels: list[str], prototypes: list[np.ndarray], sigma: list[float], window: int | None = 5, at_once: int = 512) -> DataFrame:
+    """(workload, t, mu) of valid slots: a Gaussian of the warped distance between each prototype and as many of the
+    workload's last valid slots as it has points, divided by the sum; without mass uniform. A group is one workload's time axis."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["input_valid"].astype(bool)].sort_values("t")
+        x, mu = pdf[channels].to_numpy(float), np.zeros((len(pdf), len(prototypes)))
+        for c, p in enumerate(prototypes):
+            for at in range(0, len(x), at_once):
+                ends = range(at, min(at + at_once, len(x)))
+                d = dtw_batch([x[max(0, i - len(p) + 1) : i + 1] for i in ends], [p] * len(ends), window)
+                mu[at : at + len(ends), c] = np.exp(-(d**2) / (2 * sigma[c] ** 2))
+        mass = mu.sum(1, keepdims=True)
+        mu = np.where(mass > 1e-12, mu / np.maximum(mass, 1e-12), 1 / len(prototypes))
+        return pd.DataFrame({"workload": pdf["workload"], "t": pdf["t"], "mu": list(mu)})
+
+    return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")

@@ -373,6 +373,13 @@ def window_membership(spark, d):
     return shapes.window_memberships(f, ["cpu", "mem"], protos, 5).select("workload", "t", F.posexplode("mu").alias("state", "mu"))
 
 
+@query()
+def warped_membership(spark, d):
+    protos = [np.array([[0.2]] * 4), np.array([[0.2], [0.5], [1.0]]), np.array([[1.0]] * 4)]
+    f = u.filled(spark, d).select("workload", "t", F.col("cpu_input").alias("cpu"), "input_valid")
+    return shapes.warped_memberships(f, ["cpu"], protos, [0.3, 0.3, 0.3]).select("workload", "t", F.posexplode("mu").alias("state", "mu"))
+
+
 # ---- graphs
 
 
@@ -598,5 +605,24 @@ def learned_forecast(spark, d):
     return spark.createDataFrame(list(enumerate(trained.losses)), "epoch int, loss double")
 
 
+@query()
+def roll_out(spark, d):
+    """Recursive forecasts of all users from the last day, with untrained blocks and the counted transition matrix."""
+    s = u.states(spark, d)
+    names = [r[0] for r in s.select("state").distinct().orderBy("state").collect()]
+    k = max(len(names), 1)
+    code = F.array_position(F.array(*map(F.lit, names)), F.col("state")) - 1
+    last = s.groupBy("workload", "t").agg(F.max_by("state", F.struct(*ORDER)).alias("state")).withColumn("state", code.cast("int"))
+    mu = last.withColumn("mu", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("state")).cast("double")))
+    counts = {(r[0], r[1]): r[2] for r in sequences.transition_counts(s, ORDER).collect()}
+    prior = np.array([[counts.get((a, b), 0) + 1.0 for b in names] for a in names])
+    end, home = s.agg(F.max("t")).first()[0] or 0, ingest.majority_node(u.usage(spark, d))
+    home = home.withColumn("node", F.concat_ws("/", "node", F.floor(F.col("workload") / 20)))
+    origin = spark.range(end, end + 1).withColumnRenamed("id", "origin")
+    parts = learn.pack_histories(mu, graph.hypergraph(home), origin, 30, F.floor(F.col("workload") / COHORT))
+    blocks = learn.Blocks(k, period=7.0)
+    return learn.roll_out(parts, blocks.start(), blocks, prior / prior.sum(1, keepdims=True), 5)
+
+
 def run(spark: SparkSession, name: str, d: str) -> DataFrame:
     return QUERIES[name](spark, d)

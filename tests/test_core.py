@@ -243,6 +243,15 @@ def test_batched_warping_equals_single():
     a, b = ([r.normal(size=r.integers(1, 12)) for _ in range(40)] for _ in range(2))
     for window in (None, 2):
         assert np.allclose(shapes.dtw_batch(a, b, window), [shapes.dtw(x, y, window=window) for x, y in zip(a, b)])
+    a, b = ([r.normal(size=(r.integers(1, 9), 3)) for _ in range(20)] for _ in range(2))
+    assert np.allclose(shapes.dtw_batch(a, b, 3), [shapes.dtw(x, y, window=3) for x, y in zip(a, b)])
+
+
+def test_warped_membership_follows_shape(spark):
+    rows = spark.createDataFrame([(1, t, float(v), v >= 0) for t, v in enumerate([0, 0, -1, 0, 1, 2, 3])], "workload long, t long, cpu double, input_valid boolean")
+    flat, rise = np.zeros((3, 1)), np.array([[1.0], [2.0], [3.0]])
+    out = {r["t"]: r["mu"] for r in shapes.warped_memberships(rows, ["cpu"], [flat, rise], [0.5, 0.5]).collect()}
+    assert sorted(out) == [0, 1, 3, 4, 5, 6] and out[3][0] > 0.9 and out[6][1] > 0.9 and all(sum(x) == pytest.approx(1) for x in out.values())
 
 
 def test_decayed_range_of_a_long_history(spark):
