@@ -37,6 +37,13 @@ class DecayedContexts:
         elif self.index is not None:
             self._enter(mine, len(mine) - 1)
 
+    def enter(self, ctx: tuple, t: float, target) -> None:
+        """Targets of one context and time that were summed elsewhere; a state fed so holds no events of its own."""
+        self.index, self.memo = self._indexed(), {}
+        times, targets = self.index.setdefault(ctx, ([], []))
+        times.append(float(t))
+        targets.append(tuple(float(x) for x in target))
+
     def _enter(self, mine: list, i: int) -> None:
         for o in range(min(self.order, i) + 1):
             times, targets = self.index.setdefault(tuple(x[1] for x in mine[i - o : i]), ([], []))

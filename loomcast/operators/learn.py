@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import base64
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,20 +132,62 @@ def horizon_features(h: np.ndarray, top: int) -> np.ndarray:
     return np.stack([s, np.log1p(h) / np.log1p(top), np.sin(2 * np.pi * s), np.cos(2 * np.pi * s)], 1)
 
 
-def modulated(p: dict[str, Var], b: Blocks, mu, adjacency: np.ndarray) -> Var:
-    """Memberships (n, k) after rounds of neighbours' messages and a residual. A workload without neighbours gets no message."""
+class Nodes:
+    """Workloads on one node are one another's neighbours, all equally near. A node's total stands for its pairs.
+
+    at: each workload's node, any value; None for a workload without node, which has no neighbours.
+    """
+
+    def __init__(self, at: list):
+        names = {x: i for i, x in enumerate(dict.fromkeys(x for x in at if x is not None))}
+        self.at = np.array([names.get(x, len(names)) for x in at], int)
+        size = np.bincount(self.at, minlength=len(names) + 1)
+        size[-1] = 1
+        self.degree = (size - 1)[self.at].reshape(-1, 1)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def _mean(self, x: np.ndarray) -> np.ndarray:
+        total = np.stack([np.bincount(self.at, x[:, j], self.at.max(initial=0) + 1) for j in range(x.shape[1])], 1)
+        return np.where(self.degree > 0, (total[self.at] - x) / np.maximum(self.degree, 1), 0.0)
+
+    def mean(self, h: Var) -> Var:
+        # a node's workloads have one degree, so the map is its own transpose
+        return Var(self._mean(h.x), (h, self._mean))
+
+
+def _near(adjacency, h: Var) -> Var:
+    if isinstance(adjacency, Nodes):
+        return adjacency.mean(h)
+    return var(adjacency / np.maximum(adjacency.sum(1, keepdims=True), EPS)) @ h
+
+
+def told(p: dict[str, Var], b: Blocks, h: Var, near, deg: np.ndarray, n) -> Var:
+    """One round: memberships h, moved by the neighbours' mean near; deg of n workloads are neighbours."""
+    m = (beside(near, deg / np.maximum(n - 1, 1)) @ p["theta"]).tanh() * (deg > 0) * b.strength
+    r = h * 2.0 - 1.0
+    h = ((r + m) / (r * m + 1.0).clip(EPS, np.inf) * 0.5 + 0.5).clip(EPS, 1.0)
+    return h / h.sum(1)
+
+
+def settled(p: dict[str, Var], mu: Var, h: Var) -> Var:
+    return (mu.log() + (beside(mu, h) @ p["res_w"] + p["res_b"]).tanh()).softmax()
+
+
+def modulated(p: dict[str, Var], b: Blocks, mu, adjacency) -> Var:
+    """Memberships (n, k) after rounds of neighbours' messages and a residual. A workload without neighbours gets no message.
+
+    adjacency: a matrix of weights, or Nodes.
+    """
     mu = var(mu)
     if not b.spatial:
         return mu
-    n, deg = len(adjacency), (adjacency > 0).sum(1, keepdims=True)
-    near, degree = adjacency / np.maximum(adjacency.sum(1, keepdims=True), EPS), deg / max(n - 1, 1)
+    deg = adjacency.degree if isinstance(adjacency, Nodes) else (adjacency > 0).sum(1, keepdims=True)
     h = mu
     for _ in range(b.rounds):
-        m = (beside(var(near) @ h, degree) @ p["theta"]).tanh() * (deg > 0) * b.strength
-        r = h * 2.0 - 1.0
-        h = ((r + m) / (r * m + 1.0).clip(EPS, np.inf) * 0.5 + 0.5).clip(EPS, 1.0)
-        h = h / h.sum(1)
-    return (mu.log() + (beside(mu, h) @ p["res_w"] + p["res_b"]).tanh()).softmax()
+        h = told(p, b, h, _near(adjacency, h), deg, len(adjacency))
+    return settled(p, mu, h)
 
 
 def moved(p: dict[str, Var], b: Blocks, mu, t: np.ndarray, prior: np.ndarray) -> Var:
@@ -165,7 +208,11 @@ def corrected(p: dict[str, Var], b: Blocks, base, mu, h: np.ndarray) -> Var:
 
 def step(p: dict[str, Var], b: Blocks, mu, adjacency, t, back, prior, h=None) -> tuple[Var, Var]:
     """(blended, dynamic): one forecast of every workload of a cohort; with h, directly for that horizon."""
-    now = modulated(p, b, mu, adjacency)
+    return answered(p, b, modulated(p, b, mu, adjacency), t, back, prior, h)
+
+
+def answered(p: dict[str, Var], b: Blocks, now: Var, t, back, prior, h=None) -> tuple[Var, Var]:
+    """(blended, dynamic) from memberships that neighbours have already moved."""
     dyn = moved(p, b, now, t, prior)
     out = dyn * (1 - b.blend) + var(back) * b.blend
     return (corrected(p, b, out, now, h) if h is not None else out), dyn
@@ -192,6 +239,16 @@ def pack(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return one.groupBy("origin").agg(F.sort_array(F.collect_list("r")).alias("cohort"))
 
 
+def pack_slots(rows: DataFrame, home: DataFrame) -> DataFrame:
+    """(origin, cohort): one row per slot t, from (workload, t, mu, target, back, h) and home (workload, node).
+
+    Messages stay inside a slot, so a slot with all its workloads is whole: no edge is lost. Neighbours are those
+    of one node, kept by name and not as pairs. A row's size is the number of workloads in its slot.
+    """
+    one = rows.join(home.select("workload", "node"), "workload", "left")
+    return one.groupBy(F.col("t").alias("origin")).agg(F.sort_array(F.collect_list(F.struct("workload", "t", "h", "mu", "target", "back", "node"))).alias("cohort"))
+
+
 def _dense(cohort, k: int):
     """A cohort's arrays: for each distinct (t, h) the workloads that have it, so that a message never crosses slots."""
     slots: dict[tuple, list] = {}
@@ -199,8 +256,8 @@ def _dense(cohort, k: int):
         slots.setdefault((r["t"], r["h"]), []).append(r)
     for (t, h), rs in slots.items():
         at = {r["workload"]: i for i, r in enumerate(rs)}
-        adj = np.zeros((len(rs), len(rs)))
-        for i, r in enumerate(rs):
+        adj = Nodes([r["node"] for r in rs]) if "node" in rs[0] else np.zeros((len(rs), len(rs)))
+        for i, r in enumerate(rs) if "node" not in rs[0] else ():
             for e in r["near"] if r["near"] is not None else ():
                 j = at.get(e["dst"])
                 if j is not None and j != i:
@@ -403,6 +460,79 @@ def roll_out(packed: DataFrame, p: dict[str, np.ndarray], b: Blocks, prior: np.n
     return packed.mapInPandas(run, f"origin long, workload {kind}, h int, state int, p double")
 
 
+def roll_out_whole(mu: DataFrame, home: DataFrame, origins: DataFrame, history: int, p: dict[str, np.ndarray], b: Blocks, prior: np.ndarray, horizon: int, store: Callable, order: int = 3, decay: float = 0.02, max_age: float | None = None, hard: bool = False) -> DataFrame:
+    """roll_out over all workloads of each origin, however many: from (workload, t, mu, state) and home (workload, node).
+
+    Workloads of one node are neighbours. A node's total, less a workload's own part, is what its neighbours say, so
+    no pairs are made; totals and context counts are summed in Spark over all workloads. Per origin, only sums by
+    context and slot reach the driver: their number is bounded by states, order, history and horizon.
+    store keeps a step's rows (one row per workload) and ends their lineage.
+    """
+    from .contexts import DecayedContexts
+
+    spark, kind, k = mu.sparkSession, dict(mu.dtypes)["workload"], b.k
+    sums_of = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(k)])
+    past = pack_histories(mu, spark.createDataFrame([], f"src {kind}, dst {kind}, weight double"), origins, history, F.col("workload")).select("origin", F.col("cohort")[0].alias("r"))
+    past = store(past.select("origin", "r.workload", "r.past").join(home.select("workload", "node"), "workload", "left"))
+    size = {r[0]: r[1] for r in past.groupBy("origin").count().collect()}
+    backs = {o: DecayedContexts(k, order, decay, max_age or np.inf) for o in size}
+
+    def enter(events: DataFrame) -> None:
+        """events: (origin, t, before, target), before being up to `order` earlier states."""
+        cut = F.transform(F.sequence(F.lit(0), F.size("before")), lambda o: F.slice("before", F.size("before") - o + 1, o))
+        for r in events.select("origin", "t", "target", F.explode(cut).alias("ctx")).groupBy("origin", "ctx", "t").agg(sums_of("target").alias("c")).orderBy("origin", "ctx", "t").collect():
+            backs[r["origin"]].enter(tuple(r["ctx"]), r["t"], r["c"])
+
+    tail = lambda c, n, upto: F.slice(c, F.greatest(upto - n, F.lit(0)) + 1, F.least(upto, F.lit(n)))
+    states = F.transform("past", lambda x: x["state"])
+    event = past.withColumn("states", states).select("origin", "states", F.posexplode("past").alias("i", "x"))
+    enter(event.select("origin", F.col("x.t").alias("t"), tail("states", order, F.col("i")).alias("before"), F.col("x.mu").alias("target")))
+    now = past.select("origin", "workload", "node", tail(states, order, F.size("past")).alias("ctx"), F.element_at("past", -1)["mu"].alias("mu"))
+    columns = f"origin long, workload {kind}, node {dict(home.dtypes)['node']}, ctx array<int>, mu array<double>"
+    answers = []
+
+    def round_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vs = {n: Var(v) for n, v in p.items()}
+        for x in batches:
+            if len(x):
+                h, deg = np.stack(x["h"].to_numpy()), np.maximum(x["d"].to_numpy(float) - 1, 0).reshape(-1, 1)
+                total = np.stack(x["total"].to_numpy())
+                near = np.where(deg > 0, (total - h) / np.maximum(deg, 1), 0.0)
+                n = x["origin"].map(size).to_numpy(float).reshape(-1, 1)
+                x = x.assign(h=list(told(vs, b, var(h), near, deg, n).x))
+                yield x[["origin", "workload", "node", "ctx", "mu", "h"]]
+
+    def ended(step_at: int, models):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vs, memo = {n: Var(v) for n, v in p.items()}, {}
+            for x in batches:
+                if len(x):
+                    then, ctx = x["origin"].to_numpy() + float(step_at), [tuple(c.tolist()) for c in x["ctx"]]
+                    for key in set(zip(x["origin"], ctx)):
+                        if key not in memo:
+                            memo[key] = models.value[key[0]].predict(list(key[1][-order:]) if order else [], float(key[0] + step_at), hard)[0]
+                    back, own = np.stack([memo[key] for key in zip(x["origin"], ctx)]), var(np.stack(x["mu"].to_numpy()))
+                    moved_on = settled(vs, own, var(np.stack(x["h"].to_numpy()))) if b.spatial else own
+                    out = answered(vs, b, moved_on, then - 1, back, prior)[0].x
+                    out = out / out.sum(1, keepdims=True)
+                    yield x[["origin", "workload", "node"]].assign(ctx=[[*c[max(len(c) - order, 0) :], int(s)] for c, s in zip(ctx, out.argmax(1))], mu=list(out))
+
+        return run
+
+    for h in range(1, horizon + 1):
+        x = now.withColumn("h", F.col("mu"))
+        for _ in range(b.rounds if b.spatial else 0):
+            total = x.where("node is not null").groupBy("origin", "node").agg(F.count(F.lit(1)).alias("d"), sums_of("h").alias("total"))
+            x = x.join(total, ["origin", "node"], "left").withColumn("d", F.coalesce("d", F.lit(1))).withColumn("total", F.coalesce("total", "h"))
+            x = x.mapInPandas(round_of, f"{columns}, h array<double>")
+        models = spark.sparkContext.broadcast(backs)
+        now = store(x.mapInPandas(ended(h, models), columns))
+        answers.append(now.select("origin", "workload", F.lit(h).alias("h"), F.posexplode("mu").alias("state", "p")))
+        if h < horizon:
+            enter(now.select("origin", (F.col("origin") + h).alias("t"), tail("ctx", order, F.size("ctx") - 1).alias("before"), F.col("mu").alias("target")))
+    return reduce(DataFrame.unionAll, answers)
+
+
 def roll_out_to(path: str, packed: DataFrame, *args, **options) -> DataFrame:
     """roll_out written under path by origin; origins that an earlier, stopped call finished are not run again.
 

@@ -591,15 +591,14 @@ def efficiency(spark, d):
 
 @query()
 def learned_forecast(spark, d):
-    """Losses of three epochs over all next states; workloads whose node of most rows is the same are neighbours within blocks of 20."""
+    """Losses of three epochs over all next states; workloads whose node of most rows is the same are neighbours."""
     s = u.states(spark, d)
     code = {r[0]: i for i, r in enumerate(s.select("state").distinct().orderBy("state").collect())}
     one_hot = {name: F.array(*[(F.col(c) == x).cast("double") for x in code]) for name, c in (("mu", "ctx"), ("target", "state"))}
     pairs = sequences.contexts(s, ORDER, 1)
     last = pairs.groupBy("workload", "t").agg(F.max_by(F.struct("ctx", "state"), F.struct(*ORDER)).alias("r")).select("workload", "t", "r.*")
-    rows = last.select((F.floor(F.col("workload") / COHORT)).alias("origin"), "workload", "t", F.lit(1).alias("h"), *(c.alias(n) for n, c in one_hot.items()), F.lit(None).cast("array<double>").alias("back"))
-    home = ingest.majority_node(u.usage(spark, d)).withColumn("node", F.concat_ws("/", "node", F.floor(F.col("workload") / 20)))
-    packed = learn.pack(rows, graph.adjacency(home))
+    rows = last.select("workload", "t", F.lit(1).alias("h"), *(c.alias(n) for n, c in one_hot.items()), F.lit(None).cast("array<double>").alias("back"))
+    packed = learn.pack_slots(rows, ingest.majority_node(u.usage(spark, d)))
     blocks = learn.Blocks(max(len(code), 1), period=7.0, hidden=8)
     trained = learn.train(_store(packed), blocks, np.full((blocks.k, blocks.k), 1 / blocks.k), epochs=3, rate=0.05)
     return spark.createDataFrame(list(enumerate(trained.losses)), "epoch int, loss double")
@@ -617,11 +616,9 @@ def roll_out(spark, d):
     counts = {(r[0], r[1]): r[2] for r in sequences.transition_counts(s, ORDER).collect()}
     prior = np.array([[counts.get((a, b), 0) + 1.0 for b in names] for a in names])
     end, home = s.agg(F.max("t")).first()[0] or 0, ingest.majority_node(u.usage(spark, d))
-    home = home.withColumn("node", F.concat_ws("/", "node", F.floor(F.col("workload") / 20)))
     origin = spark.range(end, end + 1).withColumnRenamed("id", "origin")
-    parts = learn.pack_histories(mu, graph.hypergraph(home), origin, 30, F.floor(F.col("workload") / COHORT))
     blocks = learn.Blocks(k, period=7.0)
-    return learn.roll_out(parts, blocks.start(), blocks, prior / prior.sum(1, keepdims=True), 5)
+    return learn.roll_out_whole(mu, home, origin, 30, blocks.start(), blocks, prior / prior.sum(1, keepdims=True), 5, _store)
 
 
 def run(spark: SparkSession, name: str, d: str) -> DataFrame:
