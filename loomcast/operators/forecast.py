@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ class Variant:
         return {"full": cls(), "ns_mem": cls(spatial=False), "hypergraph": cls(hypergraph=False), "dyn_trans": cls(dynamic=False), "vo_markov": cls(max_order=1), "multi_hop": cls(rounds=1)}[name]
 
 
-def _mix(history: list[list[int]], k: int, top: int, smoothing: float, threshold: float, temperature: float, decay: float) -> dict[tuple, np.ndarray]:
+def _mix(history: list[list[int]], k: int, top: int, decay: float) -> dict[tuple, np.ndarray]:
     """Counts by context of every order up to top: a context's counts decay with age in steps."""
     out: dict[tuple, np.ndarray] = {}
     for states in history:
@@ -54,29 +55,51 @@ def recursive_rollout(history: DataFrame, k: int, horizon: int, variant: Variant
     """(origin, workload, h, state, p) from (origin, workload, t, state int).
 
     Step by step: the transition matrix moves each workload's soft state, back-off answers its context, and
-    the blend's most likely state extends the context. Workloads of an origin share counts, so a group is an
-    origin's cohort, whose size is a parameter of the experiment.
+    the blend's most likely state extends the context. All workloads of an origin share counts and transitions,
+    however many they are: Spark sums them, and the sums, whose number is bounded by k, the order and the origins,
+    are sent to the tasks that roll the workloads out. A workload's own history is one row.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        names, seqs = zip(*[(w, g.sort_values("t")["state"].astype(int).tolist()) for w, g in pdf.groupby("workload", sort=True)])
-        counts = _mix(list(seqs), k, variant.max_order, smoothing, threshold, temperature, decay)
-        pairs = np.full((k, k), smoothing)
-        for s in seqs:
-            for a, b in zip(s, s[1:]):
-                pairs[a, b] += 1
-        matrix = pairs / pairs.sum(1, keepdims=True)
-        for name, seq in zip(names, seqs):
-            mu, ctx = np.eye(k)[seq[-1]], list(seq[-max(variant.max_order, 1) :])
-            for h in range(1, horizon + 1):
-                mu = (1 - beta) * (mu @ matrix) + beta * _predict(counts, ctx, k, variant.max_order, smoothing, threshold, temperature)
-                mu = mu / mu.sum()
-                ctx = [*ctx, int(mu.argmax())][-max(variant.max_order, 1) :]
-                rows += [(pdf["origin"].iloc[0], name, h, s, float(mu[s])) for s in range(k)]
-        return pd.DataFrame(rows, columns=["origin", "workload", "h", "state", "p"])
-
-    return history.groupBy("origin").applyInPandas(run, f"origin long, workload {dict(history.dtypes)['workload']}, h int, state int, p double")
+    top, kind = variant.max_order, dict(history.dtypes)["workload"]
+    seqs = history.groupBy("origin", "workload").agg(F.sort_array(F.collect_list(F.struct("t", F.col("state").cast("int").alias("s")))).alias("a")).select(F.col("origin").cast("long").alias("origin"), "workload", F.transform("a", lambda x: x["s"]).alias("states"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for origin, g in b.groupby("origin"):
+                states = [x.tolist() for x in g["states"]]
+                pairs = np.zeros((k, k))
+                for x in states:
+                    np.add.at(pairs, (x[:-1], x[1:]), 1)
+                rows += [(origin, "counts", list(c), i, v) for c, got in _mix(states, k, top, decay).items() for i, v in enumerate(got) if v]
+                rows += [(origin, "pairs", [i], j, pairs[i, j]) for i, j in zip(*np.nonzero(pairs))]
+            yield pd.DataFrame(rows, columns=["origin", "kind", "ctx", "state", "v"])
+
+    models: dict = {}
+    sums = seqs.select("origin", "states").mapInPandas(part, "origin long, kind string, ctx array<int>, state int, v double")
+    for r in sums.groupBy("origin", "kind", "ctx", "state").agg(F.sum("v").alias("v")).collect():
+        counts, pairs = models.setdefault(r["origin"], ({}, np.full((k, k), smoothing)))
+        if r["kind"] == "pairs":
+            pairs[r["ctx"][0], r["state"]] += r["v"]
+        else:
+            counts.setdefault(tuple(r["ctx"]), np.zeros(k))[r["state"]] += r["v"]
+    shared = history.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrices = {o: pairs / pairs.sum(1, keepdims=True) for o, (_, pairs) in shared.value.items()}
+        for b in batches:
+            rows = []
+            for origin, name, seq in zip(b["origin"], b["workload"], b["last"]):
+                counts, mu, ctx = shared.value[origin][0], np.eye(k)[seq[-1]], seq.tolist()
+                for h in range(1, horizon + 1):
+                    mu = (1 - beta) * (mu @ matrices[origin]) + beta * _predict(counts, ctx, k, top, smoothing, threshold, temperature)
+                    mu = mu / mu.sum()
+                    ctx = [*ctx, int(mu.argmax())][-max(top, 1) :]
+                    rows += [(origin, name, h, s, float(mu[s])) for s in range(k)]
+            yield pd.DataFrame(rows, columns=["origin", "workload", "h", "state", "p"])
+
+    keep = F.lit(max(top, 1))
+    last = F.slice("states", F.greatest(F.size("states") - keep, F.lit(0)) + 1, keep)
+    return seqs.select("origin", "workload", last.alias("last")).mapInPandas(run, f"origin long, workload {kind}, h int, state int, p double")
 
 
 def train_kernel(pairs: DataFrame, features: int, k: int, epochs: int = 20, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, list[float]]:

@@ -13,8 +13,8 @@ from . import usage as u
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: Workloads forecast together, and candidates of a pattern dictionary: parameters of these operators.
-COHORT, CANDIDATES = 200, 300
+#: Candidates of a pattern dictionary: a parameter of that operator.
+CANDIDATES = 300
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -292,10 +292,11 @@ def persistence_gain(spark, d):
 
 @query()
 def recursive_forecast(spark, d):
+    """All users from the end of their histories: one origin, numbered 0."""
     s = u.states(spark, d)
     index = F.dense_rank().over(Window.orderBy("state")) - 1
     code = s.select("state").distinct().withColumn("i", index.cast("int"))
-    rows = s.join(F.broadcast(code), "state").select(F.floor(F.col("workload") / COHORT).alias("origin"), "workload", (F.col("sec") * 1000 + F.col("event_id") % 1000).alias("t"), F.col("i").alias("state"))
+    rows = s.join(F.broadcast(code), "state").select(F.lit(0).cast("long").alias("origin"), "workload", (F.col("sec") * 1000 + F.col("event_id") % 1000).alias("t"), F.col("i").alias("state"))
     return forecast.recursive_rollout(rows, 5, 6)
 
 

@@ -4,7 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
-from loomcast.operators import graph, ingest, learn
+from loomcast.operators import forecast, graph, ingest, learn
 from loomcast.plans import queries, usage
 
 
@@ -20,7 +20,7 @@ def _events(spark, folder, step):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["learned_forecast", "roll_out"])
+@pytest.mark.parametrize("name", ["learned_forecast", "roll_out", "recursive_forecast"])
 def test_numbers_of_workloads_do_not_matter(spark, tmp_path, name):
     near, far = (queries.run(spark, name, _events(spark, tmp_path / str(step), step)).toPandas() for step in (1, 83))
     if "workload" in near:
@@ -77,3 +77,15 @@ def test_nodes_are_their_pairs(spark):
         out = learn.modulated(vs, b, mu, adjacency)
         got.append((out.x, learn.gradients(learn.soft_ce(out, mu, np.ones(len(at))), vs)))
     assert np.allclose(got[0][0], got[1][0]) and all(np.allclose(got[0][1][n], got[1][1][n]) for n in values)
+
+
+def test_recursive_forecasts_share_counts_over_all_workloads(spark):
+    """Workload 5000 was never in state 1 before its end; only the others tell that 1 is followed by 2."""
+    seqs = {w * 250: [0, 1, 2] * 6 for w in range(20)} | {5000: [0, 0, 1]}
+    h = spark.createDataFrame([(7, w, t, s) for w, x in seqs.items() for t, s in enumerate(x)], "origin long, workload long, t long, state int")
+    first = {r["state"]: r["p"] for r in forecast.recursive_rollout(h, 3, 2).where("workload = 5000 and h = 1").collect()}
+    counts, pairs = forecast._mix(list(seqs.values()), 3, 2, 0.02), np.ones((3, 3))
+    for x in seqs.values():
+        np.add.at(pairs, (x[:-1], x[1:]), 1)
+    mine = 0.5 * (pairs / pairs.sum(1, keepdims=True))[1] + 0.5 * forecast._predict(counts, [0, 1], 3, 2, 1.0, 2.0, 1.0)
+    assert np.allclose([first[s] for s in range(3)], mine / mine.sum()) and first[2] > 0.9
