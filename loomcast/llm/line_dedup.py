@@ -1,8 +1,9 @@
 """Line dedup, with DataFrame functions only.
 
-Hashes of long lines are dealt by range over (hash, document) with a secondary sort by document and
-position, so a hash that a third of the documents hold spans many tasks. Streams of that order give
-each hash's documents; what returns for a document is a run-length keep bitmap, not its text.
+Hashes of long lines are grouped by (hash, document) first and by hash after, with partial counts before
+each shuffle, so a hash that a third of the documents hold is counted by many tasks. No order of lines is
+needed: a count and a greatest document decide. What returns for a document is a run-length keep bitmap,
+not its text.
 """
 
 from __future__ import annotations
@@ -31,14 +32,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     A line's key must have min_chars code points and be found in min_docs distinct doc_ids; its lines
     stay only in the largest doc_id that holds it.
     """
-    spark = docs.sparkSession
     key = _key(F.col("line"))
     rows = docs.select(*doc_key(), F.posexplode(_lines("text")).alias("pos", "line")).where(F.char_length("line") >= min_chars).withColumn("line", key).where(F.char_length("line") >= min_chars)
     rows = stored(rows.select("_id", "_th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")), "lines")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "h1", "h2", "_id", "pos").sortWithinPartitions("h1", "h2", "_id", "pos")
     # one row per hash and document before the hash alone is grouped: partial counts merge a hot hash
-    held = dealt.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
+    held = rows.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
     common = held.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
     common = stored(common, "common")
     hits = join_checked(rows, common, ["h1", "h2"], "inner").where(F.col("_id") != F.col("last"))

@@ -134,6 +134,18 @@ def test_line_dedup(docs, empty):
     assert common and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_deals_rows_only_as_it_uses_them(docs, monkeypatch):
+    plans, stored = [], line_dedup.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    line_dedup.line_dedup(docs).count()
+    assert "common" in dict(plans) and not [n for n, x in plans if "Repartition" in x]
+
+
 def test_jaccard_join(docs, empty):
     rows = pairs()
     sets = [set(jaccard_join.shingles(t.decode()).tolist()) for _, t in rows]
