@@ -4,7 +4,8 @@ A vector component is an integer impact. The index packs vectors into blocks; wi
 postings of a dimension are cut into segments by quantised impact (the magnitude's power of two), the
 largest first. A search adds segments from the highest impact down for a batch of queries, bounds what
 the segments not yet read can add, and stops for a pair only when that bound proves it cannot reach the
-query's k-th score. Pairs that remain possible are scored again exactly in 64-bit integers.
+query's k-th score. Pairs that remain possible are scored again exactly in 64-bit integers. Vectors with
+a component too large for such bounds stay out of the segments: all their pairs are scored exactly.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from ._common import stored
 
 #: Vectors in a block of the index, queries in a batch, and queries sent to the executors at a time.
 BLOCK, BATCH, WAVE = 4096, 256, 8192
-#: A component at or beyond this leaves the exact 64-bit range; its vector takes no part.
-LIMIT = 2.0**27
+#: A vector with an impact at or beyond this is searched outside the segments. Impacts and scores are longs.
+LIMIT, LONG = 2**27, 2.0**63
 INDEX = "vec_ids binary, dims int, offsets binary, positions binary, impacts binary"
 
 
 def impacts(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, impacts): floor(scale * x) per component; vectors null or with null or non-finite parts are left out."""
-    ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LIMIT))
-    return vectors.where(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("impacts"))
+    """(vec_id, impacts): floor(scale * x) per component; vectors null or with null or non-finite parts are left out.
+
+    A finite component whose impact is no long is an error when it is read, as in SQL, and never a missing row.
+    """
+    ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    whole = lambda x: F.floor(F.when(F.abs(x.cast("double") * scale) < LONG, x.cast("double") * scale).otherwise(F.raise_error(F.lit("an impact is beyond 64 bits")).cast("double"))).cast("long")
+    return vectors.where(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", whole).alias("impacts"))
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -53,7 +58,8 @@ def _pack(ids: np.ndarray, m: np.ndarray) -> dict:
     # offsets[band from the top, dimension]: where that segment begins
     key = (top - bands[at, dim].astype(np.int64)) * max(m.shape[1], 1) + dim
     offsets = np.searchsorted(key, np.arange(top * max(m.shape[1], 1) + 1))
-    return {"vec_ids": ids.tobytes(), "dims": m.shape[1], "offsets": offsets.astype(np.int32).tobytes(), "positions": at.astype(np.uint16).tobytes(), "impacts": m[at, dim].astype(np.int32).tobytes()}
+    width = np.int32 if top < 32 else np.int64
+    return {"vec_ids": ids.tobytes(), "dims": m.shape[1], "offsets": offsets.astype(np.int32).tobytes(), "positions": at.astype(np.uint16).tobytes(), "impacts": m[at, dim].astype(width).tobytes()}
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
@@ -73,18 +79,35 @@ def build_index(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "impacts").mapInPandas(pack, INDEX)
 
 
-def _segments(row) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The block's vector ids, and its impacts by band from the highest, each laid out by vector."""
-    ids = np.frombuffer(row.vec_ids, np.int64)
-    offsets, at, v = np.frombuffer(row.offsets, np.int32), np.frombuffer(row.positions, np.uint16), np.frombuffer(row.impacts, np.int32)
-    bands, dims = [], max(row.dims, 1)
-    dim = np.repeat(np.arange(len(offsets) - 1) % dims, np.diff(offsets))
-    for b in range((len(offsets) - 1) // dims):
-        s = slice(offsets[b * dims], offsets[(b + 1) * dims])
-        m = np.zeros((len(ids), dims))
-        m[at[s], dim[s]] = v[s]
-        bands.append(m)
-    return ids, bands
+def _segments(row) -> tuple[np.ndarray, np.ndarray]:
+    """The block's vector ids, and its impacts laid out by vector."""
+    ids, at = np.frombuffer(row.vec_ids, np.int64), np.frombuffer(row.positions, np.uint16)
+    # 16-bit positions, and impacts of 32 bits or, in a block with larger ones, of 64
+    offsets, v = np.frombuffer(row.offsets, np.int32), np.frombuffer(row.impacts, np.int32 if len(row.impacts) == 2 * len(row.positions) else np.int64)
+    m = np.zeros((len(ids), max(row.dims, 1)), np.int64)
+    m[at, np.repeat(np.arange(len(offsets) - 1) % m.shape[1], np.diff(offsets))] = v
+    return ids, m
+
+
+def _by_band(m: np.ndarray) -> list[np.ndarray]:
+    """Impacts below LIMIT by power of two, the highest first."""
+    bands = _bands(m)
+    return [np.where(bands == b, m, 0).astype(np.float64) for b in range(int(bands.max(initial=0)), 0, -1)]
+
+
+def _wide(m: np.ndarray) -> np.ndarray:
+    return ((m >= LIMIT) | (m <= -LIMIT)).any(1)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products row by row; one that no long holds is an error, as in SQL."""
+    out = np.einsum("ij,ij->i", a, b)
+    for i in np.flatnonzero(np.einsum("ij,ij->i", np.abs(a.astype(np.float64)), np.abs(b.astype(np.float64))) >= LONG / 2):
+        s = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist()))
+        if not -(2**63) <= s < 2**63:
+            raise OverflowError("a score is beyond 64 bits")
+        out[i] = s
+    return out
 
 
 class _Top:
@@ -93,7 +116,7 @@ class _Top:
     def __init__(self, queries: np.ndarray, k: int):
         self.k, self.score, self.ids = k, np.full((len(queries), k), -np.iinfo(np.int64).max), np.full((len(queries), k), np.iinfo(np.int64).max)
 
-    def floor(self, s: slice) -> np.ndarray:
+    def floor(self, s: np.ndarray) -> np.ndarray:
         return self.score[s, -1]
 
     def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
@@ -106,13 +129,28 @@ class _Top:
         self.score[q[keep], rank[keep]], self.ids[q[keep], rank[keep]] = score[keep], ids[keep]
 
 
-def _search_block(ids: np.ndarray, bands: list[np.ndarray], qid: np.ndarray, qs: np.ndarray, top: _Top) -> None:
-    n, dims = len(ids), max([*(b.shape[1] for b in bands[:1]), qs.shape[1]])
+def _search_block(ids: np.ndarray, exact: np.ndarray, qid: np.ndarray, qs: np.ndarray, top: _Top) -> None:
+    dims = max(exact.shape[1], qs.shape[1])
     wide = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1]))) if m.shape[1] < dims else m
-    bands, qs = [wide(b) for b in bands], wide(qs)
-    exact = sum(bands, np.zeros((n, dims))).astype(np.int64)
-    for lo in range(0, len(qs), BATCH):
-        s = slice(lo, lo + BATCH)
+    exact, qs = wide(exact), wide(qs)
+    big_q, big = _wide(qs), _wide(exact)
+    for some, rows in ((np.flatnonzero(big_q), np.arange(len(ids))), (np.flatnonzero(~big_q), np.flatnonzero(big))):
+        step = max(1, (1 << 18) // max(len(rows), 1))
+        for lo in range(0, len(some) if len(rows) else 0, step):
+            x, y = np.repeat(some[lo : lo + step], len(rows)), np.tile(rows, len(some[lo : lo + step]))
+            other = qid[x] != ids[y]
+            if other.any():
+                top.add(x[other], ids[y[other]], _dots(qs[x[other]], exact[y[other]]))
+    _search_segments(ids[~big], exact[~big], qid, qs, np.flatnonzero(~big_q), top)
+
+
+def _search_segments(ids: np.ndarray, exact: np.ndarray, qid: np.ndarray, qs: np.ndarray, narrow: np.ndarray, top: _Top) -> None:
+    """Queries at the places `narrow` and a block's vectors, all impacts below LIMIT."""
+    n, bands = len(ids), _by_band(exact)
+    # a float sum of so many terms is off by at most this share of the sum of their magnitudes
+    share = (exact.shape[1] + len(bands) + 8) * 2.0**-51
+    for lo in range(0, len(narrow) if n else 0, BATCH):
+        s = narrow[lo : lo + BATCH]
         q, own = qs[s].astype(np.float64), qid[s]
         size = np.abs(q)
         score, seen = np.zeros((len(q), n)), np.zeros((len(q), n))
@@ -128,13 +166,14 @@ def _search_block(ids: np.ndarray, bands: list[np.ndarray], qid: np.ndarray, qs:
             if n > top.k:  # the k-th best of what each pair has for certain is reached by k vectors
                 sure = np.where(possible, score - rest, -np.inf)
                 floor = np.maximum(floor, np.partition(sure, n - top.k, axis=1)[:, n - top.k])
-            possible &= score + rest >= floor[:, None] - 0.5
+            slack = 0.5 + share * left * 2.0 ** len(bands) + 2.0**-51 * np.abs(np.where(np.isfinite(floor), floor, 0.0))[:, None]
+            possible &= score + rest >= floor[:, None] - slack
             if possible.sum() <= 4 * top.k * len(q):
                 break
         a, b = np.nonzero(possible)
         for i in range(0, len(a), 1 << 18):
-            x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
-            top.add(x + lo, ids[y], np.einsum("ij,ij->i", qs[s][x], exact[y]))
+            x, y = s[a[i : i + (1 << 18)]], b[i : i + (1 << 18)]
+            top.add(x, ids[y], _dots(qs[x], exact[y]))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

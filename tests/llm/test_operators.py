@@ -271,6 +271,23 @@ def test_topk(spark):
     assert topk_search.search(topk_search.build_index(none), df).count() == 0 and topk_search.search(topk_search.build_index(df), none).count() == 0
 
 
+def test_topk_keeps_large_vectors(spark):
+    rng = np.random.default_rng(1)
+    big = {0: [2.0**19, 1.0, 0.0], 7: [-(2.0**24), 3.0, 1.5], 50: [2.0**21 + 1, -2.0, 0.25], 60: [524287.996, 524287.992, 524287.988]}
+    rows = [(i, big.get(i, [float(x) for x in rng.normal(0, 400000 if i % 2 else 1, 3)])) for i in range(120)]
+    v = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    df = topk_search.impacts(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk_search.search(topk_search.build_index(df), df.where("vec_id % 10 = 0"), 5).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    want = [(q, r + 1, i, s) for q in v if q % 10 == 0 for r, (s, i) in enumerate(sorted(((dot(q, i), i) for i in v if i != q), key=lambda x: (-x[0], x[1]))[:5])]
+    assert sorted(map(tuple, got)) == sorted(want) and {x.vec_id for x in got} & set(big)
+    far = topk_search.impacts(spark.createDataFrame([(0, [2.0**30]), (1, [2.0**30])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk_search.search(topk_search.build_index(far), far).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk_search.impacts(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_url_filter(spark):
     events = spark.createDataFrame([("bad.com", 10, "block"), ("bad.com", 20, "remove"), ("ok.bad.com", 5, "allow"), ("BAD.com", 30, "block"), (None, 1, "block"), ("x.org", None, "block")], "key string, day long, action string")
     rows = [("http://bad.com/a", 9, False), ("http://www.bad.com", 10, True), ("https://u:p@BAD.com:80/?q", 19, True), ("http://bad.com", 20, False), ("http://bad.com", 31, True), ("http://a.ok.bad.com/", 12, False), (None, 12, False), ("nonsense", 12, False), ("http://bad.com", None, False), ("http://notbad.com", 12, False)]
