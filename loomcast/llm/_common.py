@@ -9,18 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcast.operators import joins
+
 #: A null doc_id is carried as this key; it sorts before every other one.
 NULL_ID = -(2**63)
-#: A side of at most so many bytes (measured, never estimated) may be broadcast.
-BROADCAST_BYTES = 24 << 20
+#: A side of at most so many bytes (measured, never estimated) may be broadcast; a key with more rows is dealt apart.
+BROADCAST_BYTES, HOT_ROWS = joins.BROADCAST_BYTES, joins.HOT_ROWS
 #: The bytes [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where the session names none."""
+    """The folder that driver and executors share; an own one only where the session names none and all run on one machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="loomcast-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,10 +53,8 @@ def unpacked(columns: list[str]) -> list:
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a stored table. It is broadcast only when its measured size is within BROADCAST_BYTES, else both sides shuffle."""
-    sizes = [F.coalesce(F.octet_length(c) if t == "binary" else F.lit(8), F.lit(0)) if not t.startswith("array") else F.size(c) * 8 + 16 for c, t in small.dtypes]
-    total = small.agg(F.sum(sum(sizes[1:], sizes[0]) + 16)).first()[0] or 0
-    return big.join(F.broadcast(small) if total <= BROADCAST_BYTES else small.hint("shuffle_merge"), on, how)
+    """Join a stored table that has a key once: broadcast when its measured size is within the bound, else by shuffles with hot keys apart."""
+    return joins.unique_join(big, small, on, how, lambda df: stored(df, "hot"), BROADCAST_BYTES, HOT_ROWS)
 
 
 def text_bytes(docs: DataFrame) -> int:
