@@ -76,7 +76,7 @@ class Matcher:
 
     def match(self, text: str) -> list[tuple]:
         """(item_id, distance, from, to) of each item's best match within its budget; of equals the first to end."""
-        near: dict[int, list] = {}
+        near: dict[int, set] = {}
         if not text or not len(self.hits):
             return []
         for end, (length, owners) in self.hits.iter(text):
@@ -84,13 +84,15 @@ class Matcher:
                 _, t, k = self.items[n]
                 start = end - length + 1 - at
                 lo, hi = max(0, start - k), start + len(t) + k
-                spans = near.setdefault(n, [])
-                if spans and lo <= spans[-1][1] and lo >= spans[-1][0]:
+                near.setdefault(n, set()).add((lo, hi))
+        out = []
+        for n, found in near.items():
+            spans: list[list[int]] = []
+            for lo, hi in sorted(found):  # every place is scanned once
+                if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(hi, spans[-1][1])
                 else:
                     spans.append([lo, hi])
-        out = []
-        for n, spans in near.items():
             item, t, k = self.items[n]
             best = None
             for lo, hi in spans:
@@ -109,8 +111,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFra
     """(doc_id, item_id, distance, match_from, match_to): each document's best match of each item within its budget.
 
     Texts are compared in lower case with white space as single spaces; places are in that form. Null or
-    blank items match nothing, null or blank texts hold nothing. An item that repeats under one id counts
-    once, one text under two ids twice. Repeated documents are each answered. Items go out in waves of at
+    blank items match nothing, null or blank texts hold nothing. An item that repeats under one id, in
+    whatever spelling of case and white space, counts once, one text under two ids twice. Repeated documents are each answered. Items go out in waves of at
     most WAVE characters (an item longer than that alone), so what executors hold is bounded; documents
     are read once per wave.
     """
@@ -124,15 +126,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.08) -> DataFra
             matcher = Matcher(sent.value, rate)
             for b in batches:
                 rows = [(i, *m) for i, t in zip(b["doc_id"], b["text"]) for m in matcher.match(normal(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "match_from", "match_to"])
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "match_from", "match_to"]).astype({"item_id": "Int64"})
 
         return docs.mapInPandas(run, FOUND)
 
-    found, batch, size, seen = None, [], 0, items.select("item_id", "text").where("text is not null").distinct()
-    for row in seen.orderBy("item_id", "text").toLocalIterator():
+    found, batch, size, same, forms = None, [], 0, (), set()
+    for row in items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         text = normal(row["text"])
-        if not text or batch and batch[-1] == (row["item_id"], text):
+        if same != (row["item_id"],):
+            same, forms = (row["item_id"],), set()
+        if not text or text in forms:
             continue
+        forms.add(text)
         if batch and size + len(text) > WAVE:
             found = wave(batch) if found is None else found.unionAll(wave(batch))
             batch, size = [], 0
