@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import unpacked, whole
+from ._common import join_checked, stored, unpacked, whole
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]*)"
+#: An IP address has no parent domains.
+ADDRESS = r"^(\[.*|[0-9.]+)$"
 
 
 def host_of(url) -> F.Column:
@@ -24,7 +26,8 @@ def host_of(url) -> F.Column:
 def suffixes(host: F.Column) -> F.Column:
     """The host and its parent domains, the longest first."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    last = F.when(host.rlike(ADDRESS), 1).otherwise(F.size(parts))
+    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -42,18 +45,23 @@ def url_filter(captures: DataFrame, events: DataFrame, url: str = "url", day: st
 
     Each distinct (host, day) is decided once, so a host with a third of all captures costs one row a day
     before anything is joined. Null or unparsable URLs have a null host and are not blocked, nor are
-    captures without a day. Repeated captures are each answered. Columns of the result's names are replaced.
+    captures without a day. A key under which a third of all hosts lie, listed or not, is joined
+    without meeting in one task. Repeated captures are each answered. Columns of the result's names are replaced.
     """
     captures = captures.drop("host", "blocked", "entry_key", "entry_since")
     rows = whole(captures, host_of(F.col(url)).alias("host"), F.col(day).alias("day"))
     asked = rows.select("host", F.col("day").alias("_day")).dropna().distinct()
     keys = asked.select("host", "_day", F.explode(suffixes(F.col("host"))).alias("key"))
-    active = keys.join(intervals(events), "key").where((F.col("_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
-    longest = F.max_by(F.struct("key", "action", "since"), F.char_length("key")).alias("e")
-    decided = active.groupBy(F.col("host").alias("_host"), "_day").agg(longest)
-    out = rows.join(decided, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
-    blocked = F.coalesce(F.col("e.action") == "block", F.lit(False))
-    return out.select(*unpacked(captures.columns), "host", blocked.alias("blocked"), F.col("e.key").alias("entry_key"), F.coalesce(F.col("e.since"), F.lit(-1)).alias("entry_since"))
+    # a key's entries as one row, so that keys, however many hosts share them, meet a side of unique keys
+    lists = stored(intervals(events).groupBy("key").agg(F.collect_list(F.struct("since", "until", "action")).alias("entries")), "lists")
+    entry = F.filter("entries", lambda x: (F.col("_day") >= x["since"]) & (x["until"].isNull() | (F.col("_day") < x["until"])))
+    active = join_checked(keys, lists, ["key"], "inner").withColumn("entry", F.get(entry, F.lit(0))).where("entry is not null")
+    longest = F.max_by(F.struct("key", "entry.action", "entry.since"), F.char_length("key")).alias("e")
+    decided = active.groupBy("host", F.col("_day").alias("day")).agg(longest)
+    decided = stored(decided.select("host", "day", F.col("e.key").alias("key"), F.col("e.action").alias("action"), F.col("e.since").alias("since")), "decided")
+    out = join_checked(rows, decided, ["host", "day"], "left")
+    blocked = F.coalesce(F.col("action") == "block", F.lit(False))
+    return out.select(*unpacked(captures.columns), "host", blocked.alias("blocked"), F.col("key").alias("entry_key"), F.coalesce("since", F.lit(-1)).alias("entry_since"))
 
 
 def sample_list(captures: DataFrame) -> DataFrame:
@@ -72,9 +80,9 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, page_id * 7 % 365 AS fetch_day, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.'), '') AS host FROM pages),
+WITH p AS (SELECT page_id, page_id * 7 % 365 AS fetch_day, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]*)', 1)), '.'), '') AS host FROM pages),
 h AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM p WHERE host IS NOT NULL),
-k AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(generate_series(1, len(parts))) AS i FROM h)),
+k AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(generate_series(1, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN 1 ELSE len(parts) END)) AS i FROM h)),
 n AS (SELECT key, ('0x' || substr(md5(key), 1, 7))::BIGINT AS a, ('0x' || substr(md5(key), 8, 7))::BIGINT AS b, ('0x' || substr(md5(key), 15, 7))::BIGINT AS c FROM (SELECT DISTINCT key FROM k WHERE contains(key, '.'))),
 v AS (SELECT key, b % 300 AS since, CASE WHEN c % 2 = 0 THEN b % 300 + 1 + c % 60 END AS until, CASE WHEN c % 4 = 0 THEN 'allow' ELSE 'block' END AS action FROM n WHERE a % 3 = 0),
 m AS (SELECT page_id, p.host, fetch_day, v.key, since, action, row_number() OVER (PARTITION BY page_id ORDER BY length(v.key) DESC NULLS LAST) AS r
