@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, unpacked, whole
+from ._common import join_checked, stored, unpacked, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,13 +23,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
 
     Sources by code point, null last, weigh `weights` in turn and share all words. A target stops at
     max_repeats times its source's size; the excess is shared again by weight until none is above.
-    The ranking window runs over one row per source, never over documents. An empty table has no sources.
+    Ranks are counted within ranges of sources and from range to range: no task ranks all sources. An
+    empty table has no sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(order) - 1
+    by = F.col("source").asc_nulls_last()
+    table = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(by)
+    table = stored(table.withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    skip = table.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1 + F.col("skip")
     w = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    table = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", w)
-    table = stored(table.withColumn("cap", F.col("source_size") * max_repeats), "sources")
+    table = stored(table.join(F.broadcast(skip), "range").select("source", "source_size", w.alias("weight"), (F.col("source_size") * max_repeats).alias("cap")), "sources")
     big = "decimal(38,0)"
     rest, share, capped = 0, 1, -1
     total = table.agg(F.sum("source_size")).first()[0] or 0
@@ -60,8 +64,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = with_size(whole(docs, "doc_id", "source", "text"))
     targets = source_targets(stored(sized.groupBy("source").agg(F.sum("size").alias("size")), "sizes"), weights, max_repeats)
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    key = [F.col("source").isNull().alias("_none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source")]
+    joined = join_checked(sized.select("*", *key), stored(targets.select(*key, "source_size", "target"), "targets"), ["_none", "_source"], "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = (F.floor(rate) + (draw(seed) < rate - F.floor(rate)).cast("long")).cast("int")
     return joined.select(*unpacked(docs.columns), "size", "source_size", "target", copies.alias("copies"))

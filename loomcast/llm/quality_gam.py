@@ -149,18 +149,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: F.Column | None = None,
 
     The sample bounds what the driver holds: max_rows rows of numbers. Rows for which held_out is true
     are never read. Null ids, labels other than 0 and 1 are void; of an id labelled twice the smallest
-    label counts; a document repeated under one id is one more example each time.
+    label counts; of documents repeated under one id the one whose text has the least hash is the example.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = chosen.where(~held_out) if held_out is not None else chosen
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("th"))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["quality"].astype("int32"), "x": list(_feature_rows(b["text"]))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["quality"].astype("int32"), "th": b["th"], "x": list(_feature_rows(b["text"]))})
 
-    got = rows.mapInPandas(look, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    one = rows.mapInPandas(look, "doc_id long, y int, th long, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("th", "x"))["x"].alias("x"))
+    got = one.toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(float), **options)
 
