@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomcast.llm import decontaminate, jaccard_join, katz_lm, kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
+from loomcast.llm import _common, decontaminate, jaccard_join, katz_lm, kmer_dedup, line_dedup, mix_sources, quality_gam, suffix_dedup, topk_search, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, size string, copies int, score string, _row string, host string"
 
@@ -134,16 +134,33 @@ def test_line_dedup(docs, empty):
     assert common and line_dedup.line_dedup(empty).count() == 0
 
 
-def test_line_dedup_deals_rows_only_as_it_uses_them(docs, monkeypatch):
-    plans, stored = [], line_dedup.stored
+def test_line_dedup_streams_sorted_ranges(docs, monkeypatch):
+    """One range exchange, the sort kept above it, and a window that streams in its order without another exchange."""
+    plans, stored = {}, line_dedup.stored
 
     def noted(df, name):
-        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().splitlines()
         return stored(df, name)
 
     monkeypatch.setattr(line_dedup, "stored", noted)
     line_dedup.line_dedup(docs).count()
-    assert "common" in dict(plans) and not [n for n, x in plans if "Repartition" in x]
+    at = lambda word: [i for i, x in enumerate(plans["streamed"]) if word in x]
+    ranges, sorts, windows = at("Exchange rangepartitioning(h1"), [i for i in at(" Sort ") if "_id" in plans["streamed"][i]], at("Window ")
+    assert len(ranges) == 1 and sorts and windows and max(windows) < min(sorts) < ranges[0]
+    assert not [i for i in at("Exchange hashpartitioning") if i < ranges[0]]
+
+
+def test_line_dedup_cuts_a_frequent_line(spark, monkeypatch):
+    rng = random.Random(8)
+    hot, warm = "A line that nearly every document holds", "another line that some of them hold"
+    rows = [(i, "\n".join([prose(rng, 8), *([hot] if i % 9 else []), prose(rng, 8), *([warm] * (i % 3 == 0)), "x" * 30 + str(i // 2), hot.upper() if i % 5 == 0 else ""])) for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, hot), (None, hot)], "doc_id long, text string")
+    plain = sorted(map(str, line_dedup.line_dedup(df).collect()))
+    monkeypatch.setattr(line_dedup, "CUT_ROWS", 100)
+    keyed = line_dedup.stored(df.selectExpr("doc_id", "posexplode(split(text, '\n')) as (pos, line)").selectExpr("xxhash64(line) h1", "xxhash64('s', line) h2", "coalesce(doc_id, -9) _id", "pos"), "t")
+    got = line_dedup.streamed(keyed)
+    assert got.where("is_cut").select("h1", "cut").distinct().count() > 2
+    assert sorted(map(str, line_dedup.line_dedup(df).collect())) == plain
 
 
 def test_jaccard_join(docs, empty):
@@ -215,6 +232,9 @@ def test_decontaminate(spark, docs, empty):
     assert got == want and len(want) >= 14
     for r in decontaminate.find_leaks(df.where("doc_id = 0"), it).collect():
         assert decontaminate.normal(texts[0])[r.match_from : r.match_to] == decontaminate.normal(items[r.item_id][1])
+    spelt = spark.createDataFrame([(1, "Alpha  beta gamma delta"), (1, "other words here"), (1, "alpha beta\ngamma DELTA"), (2**53 + 1, "alpha beta gamma delta"), (None, "other words here")], "item_id long, text string")
+    held = spark.createDataFrame([(0, "say alpha beta gamma delta now"), (1, "alpha " * 300)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(held, spelt).collect()) == Counter([(0, 1), (0, 2**53 + 1)])
     clean = decontaminate.decontaminate(docs, it)
     assert clean.count() == len(corpus()) and clean.columns == docs.columns
     assert decontaminate.find_leaks(empty, it).count() == 0 and decontaminate.find_leaks(df, it.limit(0)).count() == 0
@@ -288,13 +308,21 @@ def test_topk_keeps_large_vectors(spark):
         topk_search.impacts(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")).collect()
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     events = spark.createDataFrame([("bad.com", 10, "block"), ("bad.com", 20, "remove"), ("ok.bad.com", 5, "allow"), ("BAD.com", 30, "block"), (None, 1, "block"), ("x.org", None, "block")], "key string, day long, action string")
     rows = [("http://bad.com/a", 9, False), ("http://www.bad.com", 10, True), ("https://u:p@BAD.com:80/?q", 19, True), ("http://bad.com", 20, False), ("http://bad.com", 31, True), ("http://a.ok.bad.com/", 12, False), (None, 12, False), ("nonsense", 12, False), ("http://bad.com", None, False), ("http://notbad.com", 12, False)]
     caps = spark.createDataFrame([(i, u, d, "e", "k") for i, (u, d, _) in enumerate(rows)] * 2, "page_id long, url string, fetch_day long, e string, _day string")
     got = url_filter.url_filter(caps, events)
     assert Counter((r.page_id, r.blocked) for r in got.collect()) == Counter({(i, x[2]): 2 for i, x in enumerate(rows)})
     assert {"e", "_day"} <= set(got.columns)
+    hosts = spark.createDataFrame([(i, f"http://h{i}.hot.com/") for i in range(60)] + [(60, "http://[2001:db8::1]:80/x"), (61, "http://10.0.0.1/"), (62, "http://hot.com")] + [(63, "http://one.hot.com/")] * 40, "page_id long, url string").withColumn("fetch_day", F.lit(3))
+    listed = spark.createDataFrame([("hot.com", 1, "block"), ("0.1", 1, "block"), ("one.hot.com", 2, "allow"), ("[2001:db8::1]", 0, "block")], "key string, day long, action string")
+    small = sorted(map(str, url_filter.url_filter(hosts, listed).collect()))
+    by = {r.page_id: r for r in url_filter.url_filter(hosts, listed).collect()}
+    assert by[5].blocked and by[60].blocked and by[60].host == "[2001:db8::1]" and not by[61].blocked and by[62].blocked and not by[63].blocked
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(_common, "HOT_ROWS", 10)
+    assert sorted(map(str, url_filter.url_filter(hosts, listed).collect())) == small
     assert url_filter.url_filter(caps.limit(0), events).count() == 0 and url_filter.url_filter(caps, events.limit(0)).where("blocked").count() == 0
 
 
@@ -309,10 +337,64 @@ def test_quality(spark, docs, empty):
     odd = quality_gam.classify(docs, model)
     assert odd.count() == len(corpus()) and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert quality_gam.classify(empty, model).count() == 0
+    again = df.unionAll(df).unionAll(spark.createDataFrame([(4, "w1 " * 50)] * 500, df.schema))
+    one, two = (quality_gam.train(again, labels, max_rows=200) for _ in range(2))
+    assert {r.score for r in quality_gam.classify(df.limit(5), one).collect()} == {r.score for r in quality_gam.classify(df.limit(5), two).collect()}
     blank = quality_gam.train(df, labels.limit(0))
     assert {round(r.score, 3) for r in quality_gam.classify(df, blank).collect()} == {0.5}
 
 
+def test_quality_tables_against_a_plain_booster():
+    """The first rounds' tables, and a score, from loops over rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] > 0).astype(float)
+    model = quality_gam.fit(x, y, rounds=3, max_pairs=2)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])) for j in range(3)]
+    bins = [[int((edges[j] <= v).sum()) for v in x[:, j]] for j in range(3)]
+    f = [math.log(((y.sum() + 1) / 122) / (1 - (y.sum() + 1) / 122))] * 120
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+    assert [list(model.bins(x)[:, j]) for j in range(3)] == bins
+    for _ in range(3):
+        for j in range(3):
+            p = [1 / (1 + math.exp(-v)) for v in f]
+            g, h = [0.0] * len(tables[j]), [0.0] * len(tables[j])
+            for i, b in enumerate(bins[j]):
+                g[b] += y[i] - p[i]
+                h[b] += max(p[i] * (1 - p[i]), 1e-6)
+            step = quality_gam._tree(np.array(g), np.array(h), 2.0) * 0.15
+            for i, b in enumerate(bins[j]):
+                f[i] += step[b]
+            tables[j] = [a + b for a, b in zip(tables[j], step)]
+    assert all(np.allclose(a, b) for a, b in zip(tables, model.tables))
+    score = []
+    for i in range(120):
+        total = model.intercept + sum(model.tables[j][bins[j][i]] for j in range(3))
+        total += sum(t[bins[a][i] // model.coarse][bins[b][i] // model.coarse] for a, b, t in model.pairs)
+        score.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(score, model.score(x)) and len(model.pairs) == 2
+
+
+def test_mix_ranks_sources_over_ranges(spark):
+    rows = [(i, f"s{i % 37:02d}" if i % 37 else None, "w " * (1 + i % 11)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.source: (r.source_size, r.target) for r in mix_sources.mix(df).collect()}
+    size = Counter()
+    for i, s, t in rows:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    capped = set()
+    while True:
+        rest, share = sum(size.values()) - sum(3 * size[s] for s in capped), sum(weight[s] for s in names if s not in capped)
+        more = {s for s in names if s not in capped and weight[s] * rest / share > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    for s in names:
+        assert got[s][0] == size[s] and math.isclose(got[s][1], 3 * size[s] if s in capped else weight[s] * rest / share)
+
+
 def test_mix(docs, empty):
     out = mix_sources.mix(docs)
     rows = out.collect()
@@ -328,8 +410,6 @@ def test_mix(docs, empty):
 
 
 def test_joins_beyond_the_broadcast_bound_give_the_same(docs, monkeypatch):
-    from loomcast.llm import _common
-
     def results():
         plain = lambda df, *c: sorted(str(tuple(r)) for r in df.select(*c).collect())
         return plain(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed", "kept_sha256"), plain(line_dedup.line_dedup(docs), "doc_id", "n_dropped", "text"), plain(jaccard_join.jaccard_classes(docs), "doc_id", "class_id", "n_links"), plain(jaccard_join.keep_one(docs), "doc_id")
@@ -337,3 +417,5 @@ def test_joins_beyond_the_broadcast_bound_give_the_same(docs, monkeypatch):
     small = results()
     monkeypatch.setattr(_common, "BROADCAST_BYTES", -1)
     assert results() == small
+    monkeypatch.setattr(_common, "HOT_ROWS", 1)  # every key that repeats is dealt apart
+    assert results() == small
