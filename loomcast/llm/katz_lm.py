@@ -1,20 +1,24 @@
-"""Katz back-off language model: Good-Turing discounted bigrams over add-one unigrams.
-
-    P(w | v) = d_c * c(v,w) / (c(v) + RESERVE)   where c = c(v,w) > 0 in the training documents
-             = alpha(v) * P(w)                    otherwise, alpha(v) making the sum over all words exactly 1
-    P(w)     = (c(w) + 1) / (N + V + 1)           for known words, and for the one unknown word with c = 0
-
-d_1..d_5 are Katz's discounts from the counts of counts; RESERVE leaves every context some mass even
-when none of its counts is discounted. Counts, evaluation and sums are dealt out: a chunk of documents
-sends each bucket of second words the bigrams it has there with the documents that hold them. A bucket
-knows its words' and bigrams' counts, stores them as its part of the model, and adds up what its tokens
-give each document. A token that backs off asks the bucket of its context for alpha. Very frequent words
-(found in a sample, counted exactly over everything) are spread over buckets by their context.
+"""Katz back-off language model of order 3: Good-Turing discounted n-grams with exactly normalised back-off weights.
+
+    P(w | u v) = d3(c) c / C(u v)          where c = c(u v w) > 0 in the training documents
+               = alpha(u v) P(w | v)        otherwise; P(w | v) alike over bigrams, backing off to P(w)
+    P(w)       = (c(w) + 1) / (N + V + 1)   for known words, and for the one unknown word with c = 0
+
+d(1) .. d(CUT) are Katz's discounts from the counts of counts of each order; alpha makes every context sum
+to exactly 1. A context whose counts are all above CUT has nothing discounted: only there RESERVE is added
+to its total. The first word of a text has no context, the second a context of one word.
+
+Tables are dealt out by the middle word v, where all of P(. | u v) and P(. | v) lie together, so the
+recursion needs no other bucket but for counts of rare words, which are asked for by joins. A middle word
+with a large share of all tokens is spread by (u, v), and its bigrams are added up by an aggregation. A
+chunk of documents sends each bucket the trigrams it has there with the documents that hold them; what
+returns for a document are sums of logarithms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,13 +32,17 @@ from ._superkmers import mixed, pack, unpack
 
 RESERVE, CUT = 0.1, 5
 #: Bytes of text in a chunk and meant for a bucket; documents in a chunk at most.
-CHUNK, BUCKET, DOCS = 8 << 20, 14 << 20, 60_000
-#: Documents sampled for frequent words, and the share of tokens that makes one frequent.
-SAMPLE, FREQUENT = 2_000, 0.005
+CHUNK, BUCKET, DOCS = 8 << 20, 12 << 20, 60_000
+#: The commonest words are written as codes of 16 bits, others by their hash: a table of fixed size that loses nothing.
+CODES = 65_535
+#: A middle word with this share of all training tokens is spread; there are 1 / FREQUENT of them at most.
+FREQUENT = 0.003
 _G = np.uint64(0x9E3779B97F4A7C15)
-#: No word contains a space.
-END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
-PARTS = "kind string, key long, blob binary"
+#: No word contains a space. NONE is the code of what precedes a text.
+END, NONE = np.uint64(xxhash.xxh3_64_intdigest(b" end")), CODES
+#: kind docs, sums (key: chunk), late (key: bucket), word, pair (key: bucket that asks; w, or v and w with n of its own), stats.
+PARTS = "kind string, key long, v long, w long, n long, blob binary"
+COLUMNS = ["kind", "key", "v", "w", "n", "blob"]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,6 +74,55 @@ def _real(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel() * _UNIT
 
 
+class Lexicon:
+    """What every task knows of words: hashes and training counts of the commonest, and which middle words are spread."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, hot: np.ndarray):
+        order = np.argsort(hashes)
+        fill = CODES + 1 - len(order)
+        self.hashes, self.counts, self.hot = hashes[order], np.pad(counts[order], (0, fill)), np.pad(np.isin(hashes[order], hot), (0, fill))
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Codes of hashes, -1 for those that are not among the commonest."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def ids(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Codes of hashes, beyond them places among the rare."""
+        c = self.codes(h)
+        return np.where(c >= 0, c, CODES + 1 + np.searchsorted(rare, h))
+
+    def names(self, ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        every = np.concatenate([self.hashes, np.zeros(CODES + 1 - len(self.hashes), np.uint64), rare])
+        return every[ids]
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Numbers below 2^32 as byte planes, which compress."""
+    return np.ascontiguousarray(ids.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _plain(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns changes, 0 first."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(edges: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(edges, n))
+
+
 class _Chunk:
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -79,56 +136,69 @@ class _Chunk:
         self.docs.append((doc_id, held_out))
         self.size += len(text or "") + 64
 
-    def blobs(self, number: int, buckets: int, hot: np.ndarray) -> Iterator[tuple]:
-        """(bucket, kind, blob): the documents, and for each bucket its bigrams with the documents of each."""
+    def blobs(self, number: int, buckets: int, lexicon: Lexicon) -> Iterator[tuple]:
+        """(bucket, kind, blob): the documents, and for each bucket its trigrams with the documents of each."""
         ids, held = [d[0] for d in self.docs], np.array([d[1] for d in self.docs], bool)
         n = np.array([len(x) + 1 for x in self.ids], np.int64)
         yield number % buckets, "docs", pack((number, ids, held, n))
-        h = np.concatenate([np.array([END, START], np.uint64), np.fromiter((_name(x) for x in self.known), np.uint64, len(self.known))])
-        # numbered in the order of their hashes
-        rank = np.empty(len(h), np.int32)
-        rank[np.argsort(h)] = np.arange(len(h), dtype=np.int32)
-        h = np.sort(h)
-        end = np.zeros(1, np.int32)
+        bits = np.packbits(~held).tobytes()
+        # local words: 0 for none, 1 for the end; renumbered by bucket so that sorting by word sorts by bucket
+        h = np.concatenate([np.array([0, END], np.uint64), np.fromiter((_name(x) for x in self.known), np.uint64, len(self.known))])
+        to = (mixed(h * _G) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((h[1:], to[1:])) + 1
+        rank = np.zeros(len(h), np.int32)
+        rank[order] = np.arange(1, len(h), dtype=np.int32)
+        h, to = np.concatenate([h[:1], h[order]]), np.concatenate([to[:1], to[order]])
+        code = lexicon.codes(h)
+        code[0] = NONE
+        hot = lexicon.hot[code] & (code >= 0)
+        end = np.ones(1, np.int32)
         w = rank[np.concatenate([y for x in self.ids for y in (x, end)])]
-        v = np.concatenate([rank[1:2], w[:-1]])
-        v[np.cumsum(n)[:-1]] = rank[1]
+        start = np.cumsum(n) - n
+        v = np.concatenate([[0], w[:-1]]).astype(np.int32)
+        v[start] = 0
+        u = np.concatenate([[0], v[:-1]]).astype(np.int32)
+        u[start] = 0
         doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-        to = (mixed(h * _G) % np.uint64(buckets)).astype(np.int32)
-        b = to[w]
-        spread = np.isin(h, hot)[w]
-        if spread.any():
-            b[spread] = (mixed(h[w[spread]] * _G + h[v[spread]]) % np.uint64(buckets)).astype(np.int32)
-        m = len(h)
-        key = (b.astype(np.int64) * m + w) * m + v if buckets * m * m < 2**62 else None
-        order = np.argsort(key, kind="stable") if key is not None else np.lexsort((v, w, b))
-        del key, spread
-        b, w, v, doc = b[order], w[order], v[order], doc[order]
-        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
-        times = np.diff(np.append(first, len(w)))
-        cut, cut_first = np.searchsorted(b, np.arange(buckets + 1)), np.searchsorted(b[first], np.arange(buckets + 1))
-        bits = np.packbits(~held).tobytes()
-        for k in range(buckets):
-            x, y = cut_first[k], cut_first[k + 1]
-            if x == y:
-                continue
-            f = first[x:y]
-            ws, wi = np.unique(w[f], return_inverse=True)
-            vs, vi = np.unique(v[f], return_inverse=True)
-            per_word = np.bincount(wi)
-            yield k, "grams", pack((number, len(n), bits, pack_sorted(h[ws]), per_word.astype(np.int32), pack_sorted(h[vs]), vi.astype(np.int32), times[x:y].astype(np.int32), doc[cut[k] : cut[k + 1]]))
-
-
-def _chunks(buckets: int, hot: np.ndarray):
+        spread = hot[v] | (v == 0)
+        m = np.int64(len(h))
+        for some, deal in ((np.flatnonzero(~spread), None), (np.flatnonzero(spread), "mixed")):
+            x, y, z, d = u[some], v[some], w[some], doc[some]
+            b = to[y] if deal is None else np.where(y == 0, to[z], (mixed(h[y] * _G + h[x]) % np.uint64(buckets)).astype(np.int64))
+            if deal is None and m < 1 << 20:
+                o = np.argsort((y * m + x) * m + z, kind="stable")
+            else:
+                o = np.lexsort((z, x, y, b))
+            x, y, z, d, b = x[o], y[o], z[o], d[o], b[o]
+            heads = _edges(x, y, z, d)  # a document that holds a gram several times sends it once
+            times, x, y, z, d, b = _lengths(heads, len(d)), x[heads], y[heads], z[heads], d[heads], b[heads]
+            cut = np.searchsorted(b, np.arange(buckets + 1))
+            for k in np.flatnonzero(cut[1:] > cut[:-1]):
+                s = slice(cut[k], cut[k + 1])
+                yield int(k), "grams", self._blob(number, bits, len(n), h, code, x[s], y[s], z[s], d[s], times[s])
+
+    @staticmethod
+    def _blob(number, bits, docs, h, code, u, v, w, doc, times) -> bytes:
+        gram = _edges(u, v, w)
+        gu, gv, gw = u[gram], v[gram], w[gram]
+        ctx = _edges(gu, gv)
+        mid = _edges(gv[ctx])
+        used = (gu[ctx], gv[ctx][mid], gw)
+        rare = np.unique(np.concatenate([h[x[code[x] < 0]] for x in used]))
+        write = lambda x: _planes(np.where(code[x] >= 0, code[x], CODES + 1 + np.searchsorted(rare, h[x])))
+        return pack((number, docs, bits, pack_sorted(rare), write(used[1]), _planes(_lengths(mid, len(ctx))), write(used[0]), _planes(_lengths(ctx, len(gram))), write(used[2]), _planes(_lengths(gram, len(doc))), doc, _planes(times)))
+
+
+def _chunks(buckets: int, lexicon) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal seq, chunk
             rows = []
-            for row in chunk.blobs((part << 24) + seq, buckets, hot):
+            for row in chunk.blobs((part << 24) + seq, buckets, lexicon.value):
                 rows.append(row)
-                if len(rows) == 32:
+                if len(rows) == 64:
                     yield pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
                     rows = []
             yield pd.DataFrame(rows, columns=["bucket", "kind", "blob"])
@@ -150,91 +220,103 @@ def _logs(n: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(n, 1))
 
 
-def _contexts(buckets: int, hot: np.ndarray):
-    """From a bucket's stored counts: of each context how many successors have each count, the mass of higher
-    counts, and what P(w) gives the seen, dealt by context; frequent contexts go to all buckets."""
+class _Contexts:
+    """Totals of contexts from the counts c of what follows, `of` the context of each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for blob in b["blob"]:
-                _, cw, per, v, pv, c = unpack(blob)
-                v, low = unpack_sorted(v), cw[np.repeat(np.arange(len(per)), per)] + 1
-                columns = (*((c == r).astype(float) for r in range(1, CUT + 1)), np.where(c > CUT, c, 0).astype(float), low.astype(float))
-                table = np.stack([np.bincount(pv, x, len(v)) for x in columns], 1).astype(np.int64)
-                where, everywhere, out = (mixed(v * _G) % np.uint64(buckets)).astype(np.int64), np.isin(v, np.append(hot, START)), []
-                for k in range(buckets):
-                    s = (where == k) | everywhere
-                    if s.any():
-                        out.append(("contexts", k, pack((pack_sorted(v[s]), table[s]))))
-                yield pd.DataFrame(out, columns=["kind", "key", "blob"])
+    def __init__(self, of: np.ndarray, c: np.ndarray, size: int):
+        total = lambda x: np.bincount(of, x, size)
+        self.plain, self.low = total(c), total((c > 0) & (c <= CUT))
+        self.total = self.plain + np.where((self.plain > 0) & (self.low == 0), RESERVE, 0.0)
 
-    return run
+    @staticmethod
+    def mass(c: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        return np.where(c > CUT, c, discounts[np.clip(c, 1, CUT) - 1] * c).astype(float)
 
 
-def _count(contexts: int, hot: np.ndarray, hot_counts: np.ndarray):
-    """A bucket: counts what training documents hold, then adds up every document's tokens."""
+def _alpha(used: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """What is left over what the lower order leaves."""
+    return np.maximum(1 - used, 0) / np.maximum(1 - below, 1e-300)
+
+
+def _sums(number: int, docs: np.ndarray, n: int, real: list[np.ndarray], whole: list[np.ndarray]) -> tuple:
+    """A chunk's sums by document, for the documents that have any."""
+    here = np.unique(docs)
+    at = np.searchsorted(here, docs)
+    add = lambda x: np.bincount(at, x, len(here))
+    return ("sums", number, 0, 0, 0, pack((here.astype(np.uint16), np.stack([_whole(add(x)) for x in real]), np.stack([add(x).astype(np.int32) for x in whole]))))
+
+
+def _count(lexicon) -> Callable:
+    """A bucket: counts trigrams, adds up what tokens of seen trigrams give their documents, keeps the rest for later."""
 
     def run(key, blobs: pd.DataFrame) -> pd.DataFrame:
+        lex, bucket = lexicon.value, int(key[0])
         out, got = [], []
         for kind, blob in zip(blobs["kind"], blobs["blob"]):
+            g = unpack(blob)
             if kind == "docs":
-                out.append(("docs", unpack(blob)[0], blob))
+                out.append(("docs", g[0], 0, 0, 0, blob))
             else:
-                g = unpack(blob)
-                got.append((*g[:3], unpack_sorted(g[3]), g[4], unpack_sorted(g[5]), *g[6:]))
+                got.append((*g[:3], unpack_sorted(g[3]), *map(_plain, g[4:10]), g[10].astype(np.int64), _plain(g[11])))
         if not got:
-            return pd.DataFrame(out, columns=["kind", "key", "blob"])
-        w_all, v_all = np.unique(np.concatenate([g[3] for g in got])), np.unique(np.concatenate([g[5] for g in got]))
-        grams, trained = [], []
-        for _, n, bits, ws, per_word, vs, vi, times, doc in got:
-            wi = np.repeat(np.searchsorted(w_all, ws), per_word)
-            grams.append(wi * len(v_all) + np.searchsorted(v_all, vs)[vi])
-            train = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            trained.append(np.add.reduceat(train[doc].astype(np.int64), np.cumsum(times) - times))
-        pairs, at = np.unique(np.concatenate(grams), return_inverse=True)
-        c = np.bincount(at, np.concatenate(trained), len(pairs)).astype(np.int64)
-        pw, pv = pairs // len(v_all), pairs % len(v_all)
-        cw = np.bincount(pw, c, len(w_all)).astype(np.int64)
-        is_hot = np.isin(w_all, hot)
-        cw[is_hot] = hot_counts[np.searchsorted(hot, w_all[is_hot])]
-        seen = c > 0
-        counts = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        out.append(("stats", 0, pack((counts.tolist(), int(((cw > 0) & ~is_hot).sum())))))
-        held, hv = np.unique(pv[seen], return_inverse=True)
-        per = np.bincount(pw[seen], minlength=len(w_all))
-        out.append(("grams", int(key[0]), pack((pack_sorted(w_all), cw, per.astype(np.int32), pack_sorted(v_all[held]), hv.astype(np.int32), c[seen].astype(np.int32)))))
-        where = (mixed(v_all * _G) % np.uint64(contexts)).astype(np.int64)
-        hot_v = np.isin(v_all, np.append(hot, START))
-        miss = [[] for _ in range(contexts)]
-        lo = 0
-        for number, n, _, ws, per_word, vs, vi, times, doc in got:
-            here = at[lo : lo + len(vi)]
-            lo += len(vi)
-            ct, cn, w = c[here], cw[pw[here]], w_all[pw[here]]
-            known = ct > 0
-            gram = np.where(known, _logs(ct), _logs(cn + 1)) - np.where((w != END) & (cn > 0), np.log10(cn + RESERVE), 0)
-            each = np.repeat(np.arange(len(vi)), times)
-            add = lambda x: np.bincount(doc, x[each], n)
-            # every token's part of the score and of the base; how many are known, back off, have counts 1..CUT
-            low = np.stack([add((ct == r).astype(float)) for r in range(1, CUT + 1)]).astype(np.int32)
-            out.append(("sums", number, pack((_whole(add(gram)), _whole(add(_logs(cn + 1))), add((cn > 0).astype(float)).astype(np.int32), add((~known).astype(float)).astype(np.int32), low))))
-            off = ~known[each]
-            mv, md = pv[here][each[off]], doc[off]
-            to = np.where(hot_v[mv], (where[mv] + number) % contexts, where[mv])
-            o = np.lexsort((mv, to))
-            ends = np.searchsorted(to[o], np.arange(contexts + 1))
-            for k in range(contexts):
-                s = o[ends[k] : ends[k + 1]]
-                if len(s):
-                    miss[k].append((number, n, mv[s], md[s]))
-        for k in range(contexts):
-            if miss[k]:
-                u, i = np.unique(np.concatenate([m[2] for m in miss[k]]), return_inverse=True)
-                cuts = np.cumsum([len(m[2]) for m in miss[k]])[:-1]
-                out.append(("misses", k, pack((pack_sorted(v_all[u]), [(m[0], m[1], x.astype(np.int32), m[3]) for m, x in zip(miss[k], np.split(i, cuts))]))))
-        del got, grams, trained, pairs, at
+            return pd.DataFrame(out, columns=COLUMNS)
+        rare = np.unique(np.concatenate([g[3] for g in got]))
+        us, vs, ws, trained = [], [], [], []
+        for _, docs, bits, own, v, per_v, u, per_ctx, w, per_gram, doc, times in got:
+            at = np.searchsorted(rare, own)
+            known = lambda x: np.where(x <= CODES, x, CODES + 1 + np.append(at, 0)[np.maximum(x - CODES - 1, 0)])  # noqa: E731, B023
+            vs.append(np.repeat(np.repeat(known(v), per_v), per_ctx))
+            us.append(np.repeat(known(u), per_ctx))
+            ws.append(known(w))
+            train = np.unpackbits(np.frombuffer(bits, np.uint8), count=docs)
+            trained.append(np.add.reduceat(train[doc] * times, np.cumsum(per_gram) - per_gram))
+        top = np.int64(CODES + 1 + len(rare))
+        ctx, of = np.unique(np.concatenate(vs) * top + np.concatenate(us), return_inverse=True)
+        gram, at = np.unique(of * top + np.concatenate(ws), return_inverse=True)
+        del us, vs, ws, of
+        c = np.bincount(at, np.concatenate(trained), len(gram)).astype(np.int64)
+        gc, gw = gram // top, gram % top
+        cv, cu = ctx // top, ctx % top
+        three = (cu != NONE)[gc]
+        contexts = _Contexts(gc, np.where(three, c, 0), len(ctx))
+        tri = np.bincount(np.minimum(c[three], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+        # bigrams: whole for a middle word that lies here alone, else to be added up
+        gv = cv[gc]
+        pair, of = np.unique(gv[gv != NONE] * top + gw[gv != NONE], return_inverse=True)
+        c2 = np.bincount(of, c[gv != NONE], len(pair)).astype(np.int64)
+        pv, pw = pair // top, pair % top
+        spread = np.append(lex.hot, np.zeros(int(top) - len(lex.hot), bool))[pv]
+        two = np.bincount(np.minimum(c2[~spread], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+        out.append(("stats", 0, 0, 0, 0, pack((tri.tolist(), two.tolist()))))
+        name = lambda x: lex.names(x, rare).astype(np.int64)
+        asks = [("word", bucket, 0, int(x), 0, None) for x in rare.astype(np.int64)[np.unique(gw[gw > CODES]) - CODES - 1]]
+        asks += [("pair", bucket, a, b, n, None) for a, b, n in zip(name(pv[spread]).tolist(), name(pw[spread]).tolist(), c2[spread].tolist())]
+        seen = three & (c > 0)
+        value = np.where(seen, _logs(c) - np.log10(np.maximum(contexts.total[gc], 1e-300)), 0.0)
+        base = np.append(_logs(lex.counts + 1), np.zeros(int(top) - len(lex.counts)))[gw]
+        sure = (gw < len(lex.hashes)).astype(float)
+        open_ = np.flatnonzero(~seen)
+        place = np.full(len(gram), -1)
+        place[open_] = np.arange(len(open_))
+        late, lo = [], 0
+        for number, n, _, _, _, _, _, _, w, per_gram, doc, times in got:
+            g = np.repeat(at[lo : lo + len(w)], per_gram)
+            lo += len(w)
+            t = times.astype(float)
+            low = [np.where(seen[g] & (c[g] == r), t, 0) for r in range(1, CUT + 1)]
+            out.append(_sums(number, doc, n, [value[g] * t, base[g] * t], [sure[g] * t, *low]))
+            wait, scarce = place[g] >= 0, gw[g] > CODES
+            if wait.any() or scarce.any():
+                late.append((number, n, doc[wait].astype(np.uint16), _planes(times[wait]), _planes(place[g[wait]]), doc[scarce].astype(np.uint16), _planes(times[scarce]), _planes(gw[g[scarce]] - CODES - 1)))
+        # the bucket's tables, as they are stored: contexts, and of each its words with counts
+        keep = np.flatnonzero(c > 0)
+        used = np.unique(gc[keep])
+        blob = pack((pack_sorted(rare), _planes(cv[used]), _planes(cu[used]), _planes(np.bincount(np.searchsorted(used, gc[keep]), minlength=len(used))), _planes(gw[keep]), _planes(c[keep]), _planes(cv[gc[open_]]), _planes(cu[gc[open_]]), _planes(gw[open_]), late))
+        out.append(("late", bucket, 0, 0, 0, blob))
+        del got, trained, at, gram
         release()
-        return pd.DataFrame(out, columns=["kind", "key", "blob"])
+        return pd.concat([pd.DataFrame(out, columns=COLUMNS), pd.DataFrame(asks, columns=COLUMNS)], ignore_index=True)
 
     return run
 
@@ -251,92 +333,191 @@ def good_turing(counts: list[int]) -> np.ndarray:
     return out
 
 
-def log_alpha(table: np.ndarray, discounts: np.ndarray, total: int) -> np.ndarray:
-    """log10 of alpha(v) * (c(v) + RESERVE) for rows (n_1..n_CUT, higher mass, sum of c(w) + 1 over the seen)."""
-    r = np.arange(1, CUT + 1)
-    c = table[:, :CUT] @ r + table[:, CUT]
-    used = table[:, :CUT] @ (r * discounts) + table[:, CUT]
-    return np.log10(c + RESERVE - used) - np.log10((total - table[:, CUT + 1]) / total)
-
-
-def _back_off(discounts: np.ndarray, total: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        got = {k: [unpack(b) for b in g] for k, g in rows.groupby("kind")["blob"]}
-        held = [(unpack_sorted(v), t) for v, t in got.get("contexts", [])]
-        v, i = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in held)]), return_inverse=True)
-        table = np.zeros((len(v), CUT + 2), np.int64)
-        if held:
-            np.add.at(table, i, np.concatenate([t for _, t in held]))
-        a = np.append(log_alpha(table, discounts, total), 0.0)  # the last: contexts never seen
-        sums: dict[int, np.ndarray] = {}
-        for names, chunks in got.get("misses", []):
-            names = unpack_sorted(names)
-            at = np.searchsorted(v, names)
-            at[np.append(v, np.uint64(0))[at] != names] = len(v)
-            for number, n, vi, doc in chunks:
-                sums[number] = sums.get(number, 0) + np.bincount(doc, a[at[vi]], n)
-        del got, held, table
-        release()
-        return pd.DataFrame([("alphas", k, pack(x)) for k, x in sums.items()], columns=["kind", "key", "blob"])
-
-    return run
-
-
+class _Model:
+    """A bucket's part of the model, from its stored tables and the answers to what it asked."""
+
+    def __init__(self, lex: Lexicon, blob: bytes, answers: pd.DataFrame, d2: np.ndarray, d3: np.ndarray, total: int, spread: dict):
+        t = unpack(blob)
+        self.lex, self.rare, self.total, self.late = lex, unpack_sorted(t[0]), total, t[9]
+        self.cv, self.cu, per, self.w, self.c = map(_plain, t[1:6])
+        self.open = tuple(map(_plain, t[6:9]))
+        top = self.top = np.int64(CODES + 1 + len(self.rare))
+        v, w, n = (answers[x].to_numpy(np.int64) for x in ("v", "w", "n"))
+        single = v == 0
+        self.count = np.concatenate([lex.counts, np.zeros(int(top) - len(lex.counts), np.int64)])
+        self.count[lex.ids(w[single].view(np.uint64), self.rare)] = n[single]
+        self.p1 = (self.count + 1) / total
+        self.ctx = np.repeat(np.arange(len(per)), per)
+        # order 2
+        has = self.cv[self.ctx] != NONE
+        ov, ou, ow = self.open
+        pairs = np.concatenate([self.cv[self.ctx][has] * top + self.w[has], ov[ov != NONE] * top + ow[ov != NONE]])
+        self.pair, at = np.unique(pairs, return_inverse=True)
+        c2 = np.bincount(at[: has.sum()], self.c[has], len(self.pair)).astype(np.int64)
+        self.pv, self.pw = self.pair // top, self.pair % top
+        if (~single).any():
+            asked = lex.ids(v[~single].view(np.uint64), self.rare) * top + lex.ids(w[~single].view(np.uint64), self.rare)
+            c2[np.searchsorted(self.pair, asked)] = n[~single]
+        self.c2 = c2
+        self.middles, of = np.unique(self.pv, return_inverse=True)
+        two = _Contexts(of, c2, len(self.middles))
+        used, below = np.bincount(of, np.where(c2 > 0, two.mass(c2, d2), 0), len(self.middles)), np.bincount(of, np.where(c2 > 0, self.p1[self.pw], 0), len(self.middles))
+        names = lex.names(self.middles, self.rare)
+        for i in np.flatnonzero(np.append(lex.hot, np.zeros(int(top) - len(lex.hot), bool))[self.middles]):
+            two.total[i], used[i], below[i] = spread.get(int(names[i].astype(np.int64)), (0.0, 0.0, 0.0))
+        self.alpha2 = np.where(two.total > 0, _alpha(used / np.maximum(two.total, 1e-300), below), 1.0)
+        self.known = two.total > 0
+        self.p2 = np.where(c2 > 0, two.mass(c2, d2) / np.maximum(two.total[of], 1e-300), self.alpha2[of] * self.p1[self.pw])
+        # order 3
+        self.three = self.cu[self.ctx] != NONE
+        c = np.where(self.three, self.c, 0)
+        t3 = _Contexts(self.ctx, c, len(per))
+        self.p3 = np.where(self.three, t3.mass(self.c, d3) / np.maximum(t3.total[self.ctx], 1e-300), 0)
+        lower = np.zeros(len(self.ctx))
+        lower[has] = self.p2[at[: has.sum()]]
+        self.alpha3 = _alpha(np.bincount(self.ctx, self.p3, len(per)), np.bincount(self.ctx, np.where(self.three, lower, 0), len(per)))
+
+    def values(self) -> np.ndarray:
+        """log10 of the probability of each gram that was left open: from unseen trigrams down, as far as needed."""
+        v, u, w = self.open
+        out = np.log10(self.p1[w])
+        two = v != NONE
+        if len(self.pair):
+            out[two] = np.log10(self.p2[np.searchsorted(self.pair, v[two] * self.top + w[two])])
+        key = v * self.top + u
+        have = self.cv * self.top + self.cu
+        if len(have):
+            at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+            off = (u != NONE) & (have[at] == key)
+            out[off] += np.log10(np.maximum(self.alpha3[at[off]], 1e-300))
+        return out
+
+    def sums(self) -> list[tuple]:
+        value, rows = self.values(), []
+        scarce = self.count[CODES + 1 :]
+        for number, n, doc, times, at, doc1, times1, rare in self.late:
+            d, t, t1, r = np.concatenate([doc, doc1]).astype(np.int64), _plain(times), _plain(times1), _plain(rare)
+            none, none1, zero = np.zeros(len(t)), np.zeros(len(t1)), np.zeros(len(d))
+            real = [np.concatenate([value[_plain(at)] * t, none1]), np.concatenate([none, _logs(scarce[r] + 1) * t1])]
+            rows.append(_sums(number, d, n, real, [np.concatenate([none, (scarce[r] > 0) * t1]), *[zero] * CUT]))
+        return rows
+
+    def tables(self) -> pd.DataFrame:
+        """(order, u, v, w, n, p): grams; w null: contexts, with p their alpha. A spread word's bigrams come from each of its buckets."""
+        name = lambda x: self.lex.names(x, self.rare).astype(np.int64)
+        s, real = self.three, self.c2 > 0
+        ctx = np.flatnonzero(self.cu != NONE)
+        grams = [pd.DataFrame({"order": 3, "u": name(self.cu[self.ctx[s]]), "v": name(self.cv[self.ctx[s]]), "w": name(self.w[s]), "n": self.c[s], "p": self.p3[s]}), pd.DataFrame({"order": 2, "u": None, "v": name(self.pv[real]), "w": name(self.pw[real]), "n": self.c2[real], "p": self.p2[real]})]
+        above = [pd.DataFrame({"order": 3, "u": name(self.cu[ctx]), "v": name(self.cv[ctx]), "w": None, "n": None, "p": self.alpha3[ctx]}), pd.DataFrame({"order": 2, "u": None, "v": name(self.middles[self.known]), "w": None, "n": None, "p": self.alpha2[self.known]})]
+        return pd.concat([x.astype({"u": "Int64", "w": "Int64", "n": "Int64"}) for x in (*grams, *above)], ignore_index=True)
+
+
+TABLES = "order int, u long, v long, w long, n long, p double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(discounts: np.ndarray, total: int, tokens: int, start: float):
+def _finish(d3: np.ndarray, total: int, tokens: int) -> Callable:
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         parts = {k: [unpack(b) for b in g] for k, g in rows.groupby("kind")["blob"]}
         _, ids, held, n = parts["docs"][0]
-        score, base = (sum(_real(p[i]) for p in parts["sums"]) for i in range(2))
-        known, off = (sum(p[i] for p in parts["sums"]) for i in (2, 3))
-        low = sum(p[4] for p in parts["sums"])
-        score = score + np.log10(discounts) @ low - off * np.log10(total) - start + sum(parts.get("alphas", []), np.zeros(len(n)))
-        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "held_out": held, "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base - n * np.log10(total), "score": score})
+        real, whole = np.zeros((2, len(n))), np.zeros((CUT + 1, len(n)))
+        for here, x, y in parts.get("sums", []):
+            real[:, here] += np.stack([_real(p) for p in x])
+            whole[:, here] += y
+        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "held_out": held, "n_tokens": n, "n_known": whole[0].astype(np.int64), "train_tokens": tokens, "base_score": real[1] - n * np.log10(total), "score": real[0] + np.log10(d3) @ whole[1:]})
 
     return run
 
 
-def _hot_words(docs: DataFrame, rows: int) -> np.ndarray:
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found: dict[bytes, int] = {}
-            for t in b["text"]:
-                for w in words(t):
-                    found[w] = found.get(w, 0) + 1
-            yield pd.DataFrame({"h": np.fromiter((_name(w) for w in found), np.uint64, len(found)).astype(np.int64), "n": np.fromiter(found.values(), np.int64, len(found))})
-
-    seen = docs.select("text").sample(False, min(1.0, SAMPLE / max(rows, 1)), 29).mapInPandas(look, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    got = seen.where(F.col("n") >= max(20, FREQUENT * total)).collect()  # at most 1 / FREQUENT rows
-    return np.unique(np.array([r[0] for r in got] + [int(END.astype(np.int64))], np.int64).astype(np.uint64))
+def unigrams(docs: DataFrame) -> DataFrame:
+    """(w, n): every word of the training documents and the end by hash, with its count, as a stored table."""
 
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
 
-def _totals(docs: DataFrame, hot: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """Training tokens, training documents, and the frequent words' exact counts, over all training documents."""
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({"w": np.fromiter(map(_name, found), np.uint64, len(found)).astype(np.int64), "n": np.fromiter(found.values(), np.int64, len(found))})
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: dict[bytes, int] = {}
-        count, tokens, n = np.zeros(len(hot), np.int64), 0, 0
+        ends = 0
         for b in batches:
             for t in b["text"]:
-                w = words(t)
-                at = np.fromiter((names[x] if x in names else names.setdefault(x, _place(x)) for x in w), np.int64, len(w))
-                count += np.bincount(at[at >= 0], minlength=len(hot))
-                tokens, n = tokens + len(w) + 1, n + 1
-            if len(names) > 1 << 18:
-                names.clear()
-        count[np.searchsorted(hot, END)] = n
-        yield pd.DataFrame({"i": np.arange(-2, len(hot)), "n": np.concatenate([[tokens, n], count])})
+                found.update(words(t))
+                ends += 1
+            if len(found) > 1 << 19:
+                yield rows()
+                found.clear()
+        yield rows()
+        if ends:
+            yield pd.DataFrame({"w": [int(END.astype(np.int64))], "n": [ends]})
+
+    counted = docs.where("not held_out").select("text").mapInPandas(look, "w long, n long")
+    return stored(counted.groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
+
+
+class _Fitted:
+    """Stored counts of a corpus and what follows from them for all buckets."""
+
+    def __init__(self, docs: DataFrame, held_out: F.Column):
+        docs = docs.select(id_in(), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+        spark = docs.sparkSession
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.buckets = int(max(6, size // BUCKET))
+        self.unigrams = unigrams(docs)
+        self.tokens, known = self.unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        self.total = self.tokens + known + 1
+        top = self.unigrams.orderBy(F.desc("n"), "w").limit(CODES).toPandas()
+        h, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+        self.lexicon = spark.sparkContext.broadcast(Lexicon(h, n, h[(n >= FREQUENT * self.tokens) & (h != END)]))
+        blobs = docs.mapInPandas(_chunks(self.buckets, self.lexicon), "bucket int, kind string, blob binary")
+        self.parts = stored(blobs.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(_count(self.lexicon), PARTS), "katz")
+        asked = self.parts.where("kind = 'pair'").select("key", "v", "w", "n")
+        self.pairs = stored(asked.groupBy("v", "w").agg(F.sum("n").alias("n")), "pairs")
+        two = np.zeros(CUT + 1, np.int64)
+        tri = two.copy()
+        for r in self.parts.where("kind = 'stats'").select("blob").toLocalIterator():
+            a, b = unpack(bytes(r[0]))
+            tri, two = tri + a, two + b
+        for r in self.pairs.where(f"n between 1 and {CUT + 1}").groupBy("n").count().collect():
+            two[r["n"] - 1] += r["count"]
+        self.d3, self.d2 = good_turing(tri.tolist()), good_turing(two.tolist())
+        self.spread = self._spread()
+        words_asked = self.parts.where("kind = 'word'").select("key", F.lit(0).cast("long").alias("v"), "w").join(self.unigrams, "w").select("key", "v", "w", "n")
+        pairs_asked = asked.drop("n").join(self.pairs, ["v", "w"]).select("key", "v", "w", "n")
+        self.answers = words_asked.unionAll(pairs_asked)
+
+    def _spread(self) -> dict:
+        """Of each middle word that is spread: its total, the discounted mass, and P(w) of what is seen."""
+        p1 = (F.col("n1") + 1) / F.lit(float(self.total))
+        mass = F.col("n").cast("double")
+        for r, d in enumerate(self.d2.tolist(), 1):
+            mass = F.when(F.col("n") == r, F.lit(r * d)).otherwise(mass)
+        seen = self.pairs.where("n > 0").join(self.unigrams.withColumnRenamed("n", "n1"), "w")
+        rows = seen.groupBy("v").agg(F.sum("n").alias("c"), F.max((F.col("n") <= CUT).cast("int")).alias("low"), F.sum(mass).alias("used"), F.sum(p1).alias("below"))
+        return {r["v"]: (r["c"] + (0.0 if r["low"] else RESERVE), r["used"], r["below"]) for r in rows.collect()}
+
+    def each(self, run: Callable, schema: str) -> DataFrame:
+        """run on every bucket's part of the model."""
+        lexicon, d2, d3, total, spread = self.lexicon, self.d2, self.d3, self.total, self.spread
+
+        def task(key, late: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            out = [run(_Model(lexicon.value, b, answers, d2, d3, total, spread)) for b in late["blob"]]
+            release()
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+        late = self.parts.where("kind = 'late'").select(F.col("key").alias("bucket"), "blob").repartition(self.buckets, "bucket")
+        answers = self.answers.select(F.col("key").alias("asker"), "v", "w", "n").repartition(self.buckets, "asker")
+        return late.groupBy("bucket").cogroup(answers.groupBy("asker")).applyInPandas(task, schema)
 
-    def _place(w: bytes) -> int:
-        i = int(np.searchsorted(hot, np.uint64(_name(w))))
-        return i if i < len(hot) and hot[i] == np.uint64(_name(w)) else -1
 
-    got = docs.where("not held_out").select("text").mapInPandas(look, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    by = {r[0]: r[1] for r in got}
-    return by.get(-2, 0), by.get(-1, 0), np.array([by.get(i, 0) for i in range(len(hot))], np.int64)
+def katz_tables(docs: DataFrame, held_out: F.Column) -> DataFrame:
+    """The model as rows (order, u, v, w, n, p), words by hash.
+
+    With w: a gram with its training count and probability given its context (order 1: no context).
+    Without w: a context with its back-off weight. Null texts count their end; an empty table: no rows.
+    """
+    fit = _Fitted(docs, held_out)
+    one = fit.unigrams.select(F.lit(1).alias("order"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v"), "w", "n", ((F.col("n") + 1) / F.lit(float(fit.total))).alias("p"))
+    return fit.each(lambda m: m.tables(), TABLES).distinct().unionByName(one)
 
 
 def katz_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
@@ -345,27 +526,12 @@ def katz_scores(docs: DataFrame, held_out: F.Column) -> DataFrame:
     score is the log10 probability of the text's words and its end, base_score that of the add-one
     unigrams alone. Null text: only the end. A null held_out counts as training; repeated rows count and
     score each time. Without training documents N and V are 0 and every token has probability 1. An empty
-    table: no rows. Each bucket's word and bigram counts are stored as a row of kind 'grams'; contexts and
-    their alphas are computed from those rows.
+    table: no rows.
     """
-    docs = docs.select(id_in(), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = int(min(1 << 16, max(6, size // BUCKET)))
-    hot = _hot_words(docs, rows)
-    tokens, n_docs, hot_counts = _totals(docs, hot)
-    blobs = docs.mapInPandas(_chunks(buckets, hot), "bucket int, kind string, blob binary")
-    parts = blobs.groupBy("bucket").applyInPandas(_count(buckets, hot, hot_counts), PARTS)
-    parts = stored(parts, "katz")
-    counts, vocabulary = np.zeros(CUT + 1, np.int64), int((hot_counts > 0).sum())
-    for r in parts.where("kind = 'stats'").select("blob").toLocalIterator():
-        c, v = unpack(bytes(r[0]))
-        counts, vocabulary = counts + c, vocabulary + v
-    discounts, total = good_turing(counts.tolist()), tokens + vocabulary + 1
-    contexts = parts.where("kind = 'grams'").mapInPandas(_contexts(buckets, hot), PARTS)
-    alphas = contexts.unionAll(parts.where("kind = 'misses'")).groupBy("key").applyInPandas(_back_off(discounts, total), PARTS)
-    mine = parts.where("kind in ('docs', 'sums')").unionAll(alphas)
-    start = float(np.log10(n_docs + RESERVE)) if n_docs else 0.0
-    return id_out(mine.groupBy("key").applyInPandas(_finish(discounts, total, tokens, start), SCORES))
+    fit = _Fitted(docs, held_out)
+    more = fit.each(lambda m: pd.DataFrame(m.sums(), columns=COLUMNS)[["kind", "key", "blob"]], "kind string, key long, blob binary")
+    mine = fit.parts.where("kind in ('docs', 'sums')").select("kind", "key", "blob").unionAll(more)
+    return id_out(mine.groupBy("key").applyInPandas(_finish(fit.d3, fit.total, fit.tokens), SCORES))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
