@@ -30,11 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Whether a query's shuffle files go as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: lineage ends there and no step runs twice."""
+    """The rows, written to the shared folder and read back: lineage ends there and no step runs twice.
+
+    Nothing needs the shuffle files behind a written table any more, so they go at once and not with
+    some later garbage collection; Spark runs a stage again should another query still refer to them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, was = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

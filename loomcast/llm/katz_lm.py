@@ -8,11 +8,11 @@ d(1) .. d(CUT) are Katz's discounts from the counts of counts of each order; alp
 to exactly 1. A context whose counts are all above CUT has nothing discounted: only there RESERVE is added
 to its total. The first word of a text has no context, the second a context of one word.
 
-Tables are dealt out by the middle word v, where all of P(. | u v) and P(. | v) lie together, so the
-recursion needs no other bucket but for counts of rare words, which are asked for by joins. A middle word
-with a large share of all tokens is spread by (u, v), and its bigrams are added up by an aggregation. A
-chunk of documents sends each bucket the trigrams it has there with the documents that hold them; what
-returns for a document are sums of logarithms.
+Tables are dealt out by the middle word v, where all of P(. | u v) and P(. | v) lie together. A chunk of
+documents sends each bucket the trigrams it has there with the documents that hold them; what returns for
+a document are sums of logarithms. Counts of rare words, and bigrams of a middle word whose share of all
+tokens is so large that it is spread by (u, v), are partial in a bucket: it sends them to merges, dealt by
+ranges of the last word's hash, which answer with the sums. With these the recursion ends in the bucket.
 """
 
 from __future__ import annotations
@@ -33,16 +33,16 @@ from ._superkmers import mixed, pack, unpack
 RESERVE, CUT = 0.1, 5
 #: Bytes of text in a chunk and meant for a bucket; documents in a chunk at most.
 CHUNK, BUCKET, DOCS = 8 << 20, 12 << 20, 60_000
-#: The commonest words are written as codes of 16 bits, others by their hash: a table of fixed size that loses nothing.
-CODES = 65_535
-#: A middle word with this share of all training tokens is spread; there are 1 / FREQUENT of them at most.
-FREQUENT = 0.003
+#: The commonest words are written as codes, others by their hash: a table of fixed size that loses nothing.
+CODES = (1 << 18) - 1
+#: A middle word is spread when its share of the training tokens is that of a bucket, but not below FREQUENT.
+FREQUENT = 1e-4
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: No word contains a space. NONE is the code of what precedes a text.
 END, NONE = np.uint64(xxhash.xxh3_64_intdigest(b" end")), CODES
-#: kind docs, sums (key: chunk), late (key: bucket), word, pair (key: bucket that asks; w, or v and w with n of its own), stats.
-PARTS = "kind string, key long, v long, w long, n long, blob binary"
-COLUMNS = ["kind", "key", "v", "w", "n", "blob"]
+#: kind and key: docs, sums (chunk), late, answer (bucket), ask (merge), stats (none); place: which bucket asks, which merge answers.
+PARTS = "kind string, key long, place long, blob binary"
+COLUMNS = ["kind", "key", "place", "blob"]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -105,7 +105,7 @@ def _planes(ids: np.ndarray) -> bytes:
 
 
 def _plain(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _edges(*columns: np.ndarray) -> np.ndarray:
@@ -239,15 +239,23 @@ def _alpha(used: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.maximum(1 - used, 0) / np.maximum(1 - below, 1e-300)
 
 
-def _sums(number: int, docs: np.ndarray, n: int, real: list[np.ndarray], whole: list[np.ndarray]) -> tuple:
+def _sums(number: int, docs: np.ndarray, real: list[np.ndarray], whole: list[np.ndarray]) -> tuple:
     """A chunk's sums by document, for the documents that have any."""
     here = np.unique(docs)
     at = np.searchsorted(here, docs)
     add = lambda x: np.bincount(at, x, len(here))
-    return ("sums", number, 0, 0, 0, pack((here.astype(np.uint16), np.stack([_whole(add(x)) for x in real]), np.stack([add(x).astype(np.int32) for x in whole]))))
+    return ("sums", number, 0, pack((here.astype(np.uint16), np.stack([_whole(add(x)) for x in real]), np.stack([add(x).astype(np.int32) for x in whole]))))
 
 
-def _count(lexicon) -> Callable:
+def _ranges(h: np.ndarray, merges: int) -> np.ndarray:
+    """Where the ranges of ascending hashes begin and end; merges is a power of two."""
+    if merges == 1:
+        return np.array([0, len(h)])
+    step = np.uint64(2**64 // merges)
+    return np.concatenate([[0], np.searchsorted(h, step * np.arange(1, merges, dtype=np.uint64)), [len(h)]])
+
+
+def _count(lexicon, merges: int) -> Callable:
     """A bucket: counts trigrams, adds up what tokens of seen trigrams give their documents, keeps the rest for later."""
 
     def run(key, blobs: pd.DataFrame) -> pd.DataFrame:
@@ -256,9 +264,9 @@ def _count(lexicon) -> Callable:
         for kind, blob in zip(blobs["kind"], blobs["blob"]):
             g = unpack(blob)
             if kind == "docs":
-                out.append(("docs", g[0], 0, 0, 0, blob))
+                out.append(("docs", g[0], 0, blob))
             else:
-                got.append((*g[:3], unpack_sorted(g[3]), *map(_plain, g[4:10]), g[10].astype(np.int64), _plain(g[11])))
+                got.append((*g[:3], unpack_sorted(g[3]), *map(_plain, g[4:10]), g[10].astype(np.int32), _plain(g[11])))
         if not got:
             return pd.DataFrame(out, columns=COLUMNS)
         rare = np.unique(np.concatenate([g[3] for g in got]))
@@ -266,9 +274,9 @@ def _count(lexicon) -> Callable:
         for _, docs, bits, own, v, per_v, u, per_ctx, w, per_gram, doc, times in got:
             at = np.searchsorted(rare, own)
             known = lambda x: np.where(x <= CODES, x, CODES + 1 + np.append(at, 0)[np.maximum(x - CODES - 1, 0)])  # noqa: E731, B023
-            vs.append(np.repeat(np.repeat(known(v), per_v), per_ctx))
-            us.append(np.repeat(known(u), per_ctx))
-            ws.append(known(w))
+            vs.append(np.repeat(np.repeat(known(v), per_v), per_ctx).astype(np.int32))
+            us.append(np.repeat(known(u), per_ctx).astype(np.int32))
+            ws.append(known(w).astype(np.int32))
             train = np.unpackbits(np.frombuffer(bits, np.uint8), count=docs)
             trained.append(np.add.reduceat(train[doc] * times, np.cumsum(per_gram) - per_gram))
         top = np.int64(CODES + 1 + len(rare))
@@ -286,37 +294,76 @@ def _count(lexicon) -> Callable:
         pair, of = np.unique(gv[gv != NONE] * top + gw[gv != NONE], return_inverse=True)
         c2 = np.bincount(of, c[gv != NONE], len(pair)).astype(np.int64)
         pv, pw = pair // top, pair % top
-        spread = np.append(lex.hot, np.zeros(int(top) - len(lex.hot), bool))[pv]
+        spread = np.append(lex.hot, np.zeros(len(rare), bool))[pv]
         two = np.bincount(np.minimum(c2[~spread], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        out.append(("stats", 0, 0, 0, 0, pack((tri.tolist(), two.tolist()))))
-        name = lambda x: lex.names(x, rare).astype(np.int64)
-        asks = [("word", bucket, 0, int(x), 0, None) for x in rare.astype(np.int64)[np.unique(gw[gw > CODES]) - CODES - 1]]
-        asks += [("pair", bucket, a, b, n, None) for a, b, n in zip(name(pv[spread]).tolist(), name(pw[spread]).tolist(), c2[spread].tolist())]
+        out.append(("stats", 0, 0, pack((tri.tolist(), two.tolist()))))
+        # what other buckets hold a part of goes to merges, by ranges of the last word's hash
+        asked = np.unique(gw[gw > CODES])
+        n1 = np.bincount(np.searchsorted(asked, gw[gw > CODES]), c[gw > CODES], len(asked)).astype(np.int64)
+        h1, h2, v2, n2 = rare[asked - CODES - 1], lex.names(pw[spread], rare), pv[spread], c2[spread]
+        o = np.lexsort((v2, h2))
+        h2, v2, n2 = h2[o], v2[o], n2[o]
+        e1, e2 = _ranges(h1, merges), _ranges(h2, merges)
+        for k in range(merges):
+            x, y = slice(e1[k], e1[k + 1]), slice(e2[k], e2[k + 1])
+            out.append(("ask", k, bucket, pack((pack_sorted(h1[x]), _planes(n1[x]), pack_sorted(h2[y]), _planes(v2[y]), _planes(n2[y])))))
         seen = three & (c > 0)
         value = np.where(seen, _logs(c) - np.log10(np.maximum(contexts.total[gc], 1e-300)), 0.0)
-        base = np.append(_logs(lex.counts + 1), np.zeros(int(top) - len(lex.counts)))[gw]
+        base = np.append(_logs(lex.counts + 1), np.zeros(int(top) - len(lex.counts), np.float32))[gw]
         sure = (gw < len(lex.hashes)).astype(float)
         open_ = np.flatnonzero(~seen)
         place = np.full(len(gram), -1)
         place[open_] = np.arange(len(open_))
         late, lo = [], 0
-        for number, n, _, _, _, _, _, _, w, per_gram, doc, times in got:
+        for number, _, _, _, _, _, _, _, w, per_gram, doc, times in got:
             g = np.repeat(at[lo : lo + len(w)], per_gram)
             lo += len(w)
             t = times.astype(float)
             low = [np.where(seen[g] & (c[g] == r), t, 0) for r in range(1, CUT + 1)]
-            out.append(_sums(number, doc, n, [value[g] * t, base[g] * t], [sure[g] * t, *low]))
+            out.append(_sums(number, doc, [value[g] * t, base[g] * t], [sure[g] * t, *low]))
             wait, scarce = place[g] >= 0, gw[g] > CODES
             if wait.any() or scarce.any():
-                late.append((number, n, doc[wait].astype(np.uint16), _planes(times[wait]), _planes(place[g[wait]]), doc[scarce].astype(np.uint16), _planes(times[scarce]), _planes(gw[g[scarce]] - CODES - 1)))
+                late.append((number, doc[wait].astype(np.uint16), _planes(times[wait]), _planes(place[g[wait]]), doc[scarce].astype(np.uint16), _planes(times[scarce]), _planes(gw[g[scarce]] - CODES - 1)))
         # the bucket's tables, as they are stored: contexts, and of each its words with counts
         keep = np.flatnonzero(c > 0)
         used = np.unique(gc[keep])
-        blob = pack((pack_sorted(rare), _planes(cv[used]), _planes(cu[used]), _planes(np.bincount(np.searchsorted(used, gc[keep]), minlength=len(used))), _planes(gw[keep]), _planes(c[keep]), _planes(cv[gc[open_]]), _planes(cu[gc[open_]]), _planes(gw[open_]), late))
-        out.append(("late", bucket, 0, 0, 0, blob))
+        blob = pack((pack_sorted(rare), _planes(cv[used]), _planes(cu[used]), _planes(np.bincount(np.searchsorted(used, gc[keep]), minlength=len(used))), _planes(gw[keep]), _planes(c[keep]), _planes(cv[gc[open_]]), _planes(cu[gc[open_]]), _planes(gw[open_]), late, _planes(asked - CODES - 1), pack_sorted(h2), _planes(v2)))
+        out.append(("late", bucket, 0, blob))
         del got, trained, at, gram
         release()
-        return pd.concat([pd.DataFrame(out, columns=COLUMNS), pd.DataFrame(asks, columns=COLUMNS)], ignore_index=True)
+        return pd.DataFrame(out, columns=COLUMNS)
+
+    return run
+
+
+def _merge(lexicon) -> Callable:
+    """A range of last words: adds up what buckets hold of words and of spread bigrams, and answers each."""
+
+    def run(key, asks: pd.DataFrame) -> pd.DataFrame:
+        lex, got = lexicon.value, [unpack(b) for b in asks["blob"]]
+        h1, n1, h2, v2, n2 = ([unpack_sorted(g[i]) if i in (0, 2) else _plain(g[i]) for g in got] for i in range(5))
+        words_, at1 = np.unique(np.concatenate(h1), return_inverse=True)
+        c1 = np.bincount(at1, np.concatenate(n1), len(words_)).astype(np.int64)
+        w, v = np.concatenate(h2), np.concatenate(v2)
+        o = np.lexsort((v, w))
+        heads = _edges(w[o], v[o])
+        at2 = np.empty(len(w), np.int64)
+        at2[o] = np.repeat(np.arange(len(heads)), _lengths(heads, len(w)))
+        c2 = np.bincount(at2, np.concatenate(n2), len(heads)).astype(np.int64)
+        w, v = w[o][heads], v[o][heads].astype(np.int64)
+        code = lex.codes(w)
+        count = np.where(code >= 0, lex.counts[code], np.append(c1, 0)[np.searchsorted(words_, w)])
+        mids, of = np.unique(v, return_inverse=True)
+        total = lambda x: np.bincount(of, x, len(mids)).astype(np.int64)
+        table = [total(c2 == r) for r in range(1, CUT + 1)] + [total(np.where(c2 > CUT, c2, 0)), total(np.where(c2 > 0, count + 1, 0))]
+        two = np.bincount(np.minimum(c2, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+        out = [("spread", int(key[0]), 0, pack((mids.tolist(), np.stack(table, 1).tolist(), two.tolist())))]
+        lo1 = lo2 = 0
+        for place, x, y in zip(asks["place"].tolist(), h1, h2):
+            out.append(("answer", place, int(key[0]), pack((_planes(c1[at1[lo1 : lo1 + len(x)]]), _planes(c2[at2[lo2 : lo2 + len(y)]])))))
+            lo1, lo2 = lo1 + len(x), lo2 + len(y)
+        release()
+        return pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
@@ -336,16 +383,16 @@ def good_turing(counts: list[int]) -> np.ndarray:
 class _Model:
     """A bucket's part of the model, from its stored tables and the answers to what it asked."""
 
-    def __init__(self, lex: Lexicon, blob: bytes, answers: pd.DataFrame, d2: np.ndarray, d3: np.ndarray, total: int, spread: dict):
+    def __init__(self, lex: Lexicon, blob: bytes, answers: list[bytes], d2: np.ndarray, d3: np.ndarray, total: int, spread: dict):
         t = unpack(blob)
         self.lex, self.rare, self.total, self.late = lex, unpack_sorted(t[0]), total, t[9]
-        self.cv, self.cu, per, self.w, self.c = map(_plain, t[1:6])
-        self.open = tuple(map(_plain, t[6:9]))
+        self.cv, self.cu, per, self.w, self.c = (_plain(x).astype(np.int64) for x in t[1:6])
+        self.open = tuple(_plain(x).astype(np.int64) for x in t[6:9])
         top = self.top = np.int64(CODES + 1 + len(self.rare))
-        v, w, n = (answers[x].to_numpy(np.int64) for x in ("v", "w", "n"))
-        single = v == 0
-        self.count = np.concatenate([lex.counts, np.zeros(int(top) - len(lex.counts), np.int64)])
-        self.count[lex.ids(w[single].view(np.uint64), self.rare)] = n[single]
+        got = [unpack(b) for b in answers]
+        n1, n2 = (np.concatenate([_plain(g[i]) for g in got]) for i in range(2))
+        self.count = np.concatenate([lex.counts, np.zeros(len(self.rare), np.int64)])
+        self.count[_plain(t[10]) + CODES + 1] = n1
         self.p1 = (self.count + 1) / total
         self.ctx = np.repeat(np.arange(len(per)), per)
         # order 2
@@ -355,16 +402,14 @@ class _Model:
         self.pair, at = np.unique(pairs, return_inverse=True)
         c2 = np.bincount(at[: has.sum()], self.c[has], len(self.pair)).astype(np.int64)
         self.pv, self.pw = self.pair // top, self.pair % top
-        if (~single).any():
-            asked = lex.ids(v[~single].view(np.uint64), self.rare) * top + lex.ids(w[~single].view(np.uint64), self.rare)
-            c2[np.searchsorted(self.pair, asked)] = n[~single]
+        if len(n2):
+            c2[np.searchsorted(self.pair, _plain(t[12]) * top + lex.ids(unpack_sorted(t[11]), self.rare))] = n2
         self.c2 = c2
         self.middles, of = np.unique(self.pv, return_inverse=True)
         two = _Contexts(of, c2, len(self.middles))
         used, below = np.bincount(of, np.where(c2 > 0, two.mass(c2, d2), 0), len(self.middles)), np.bincount(of, np.where(c2 > 0, self.p1[self.pw], 0), len(self.middles))
-        names = lex.names(self.middles, self.rare)
-        for i in np.flatnonzero(np.append(lex.hot, np.zeros(int(top) - len(lex.hot), bool))[self.middles]):
-            two.total[i], used[i], below[i] = spread.get(int(names[i].astype(np.int64)), (0.0, 0.0, 0.0))
+        for i in np.flatnonzero(np.append(lex.hot, np.zeros(len(self.rare), bool))[self.middles]):
+            two.total[i], used[i], below[i] = spread[int(self.middles[i])]
         self.alpha2 = np.where(two.total > 0, _alpha(used / np.maximum(two.total, 1e-300), below), 1.0)
         self.known = two.total > 0
         self.p2 = np.where(c2 > 0, two.mass(c2, d2) / np.maximum(two.total[of], 1e-300), self.alpha2[of] * self.p1[self.pw])
@@ -395,11 +440,11 @@ class _Model:
     def sums(self) -> list[tuple]:
         value, rows = self.values(), []
         scarce = self.count[CODES + 1 :]
-        for number, n, doc, times, at, doc1, times1, rare in self.late:
+        for number, doc, times, at, doc1, times1, rare in self.late:
             d, t, t1, r = np.concatenate([doc, doc1]).astype(np.int64), _plain(times), _plain(times1), _plain(rare)
             none, none1, zero = np.zeros(len(t)), np.zeros(len(t1)), np.zeros(len(d))
             real = [np.concatenate([value[_plain(at)] * t, none1]), np.concatenate([none, _logs(scarce[r] + 1) * t1])]
-            rows.append(_sums(number, d, n, real, [np.concatenate([none, (scarce[r] > 0) * t1]), *[zero] * CUT]))
+            rows.append(_sums(number, d, real, [np.concatenate([none, (scarce[r] > 0) * t1]), *[zero] * CUT]))
         return rows
 
     def tables(self) -> pd.DataFrame:
@@ -462,51 +507,49 @@ class _Fitted:
         spark = docs.sparkSession
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.buckets = int(max(6, size // BUCKET))
+        merges = 1 << max(0, (self.buckets // 4).bit_length() - 1)
         self.unigrams = unigrams(docs)
         self.tokens, known = self.unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.total = self.tokens + known + 1
         top = self.unigrams.orderBy(F.desc("n"), "w").limit(CODES).toPandas()
         h, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-        self.lexicon = spark.sparkContext.broadcast(Lexicon(h, n, h[(n >= FREQUENT * self.tokens) & (h != END)]))
+        often = max(FREQUENT, 1 / self.buckets) * self.tokens
+        self.lexicon = spark.sparkContext.broadcast(Lexicon(h, n, h[(n >= often) & (h != END)]))
         blobs = docs.mapInPandas(_chunks(self.buckets, self.lexicon), "bucket int, kind string, blob binary")
-        self.parts = stored(blobs.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(_count(self.lexicon), PARTS), "katz")
-        asked = self.parts.where("kind = 'pair'").select("key", "v", "w", "n")
-        self.pairs = stored(asked.groupBy("v", "w").agg(F.sum("n").alias("n")), "pairs")
+        self.parts = stored(blobs.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(_count(self.lexicon, merges), PARTS), "katz")
+        asks = self.parts.where("kind = 'ask'").select(F.col("key").alias("merge"), "place", "blob")
+        self.merged = stored(asks.repartition(merges, "merge").groupBy("merge").applyInPandas(_merge(self.lexicon), PARTS), "katz-merged")
         two = np.zeros(CUT + 1, np.int64)
-        tri = two.copy()
+        tri, table = two.copy(), {}
         for r in self.parts.where("kind = 'stats'").select("blob").toLocalIterator():
             a, b = unpack(bytes(r[0]))
             tri, two = tri + a, two + b
-        for r in self.pairs.where(f"n between 1 and {CUT + 1}").groupBy("n").count().collect():
-            two[r["n"] - 1] += r["count"]
+        for r in self.merged.where("kind = 'spread'").select("blob").toLocalIterator():
+            mids, rows, n2 = unpack(bytes(r[0]))
+            two += n2
+            for v, x in zip(mids, rows):
+                table[v] = table.get(v, 0) + np.array(x)
         self.d3, self.d2 = good_turing(tri.tolist()), good_turing(two.tolist())
-        self.spread = self._spread()
-        words_asked = self.parts.where("kind = 'word'").select("key", F.lit(0).cast("long").alias("v"), "w").join(self.unigrams, "w").select("key", "v", "w", "n")
-        pairs_asked = asked.drop("n").join(self.pairs, ["v", "w"]).select("key", "v", "w", "n")
-        self.answers = words_asked.unionAll(pairs_asked)
-
-    def _spread(self) -> dict:
-        """Of each middle word that is spread: its total, the discounted mass, and P(w) of what is seen."""
-        p1 = (F.col("n1") + 1) / F.lit(float(self.total))
-        mass = F.col("n").cast("double")
-        for r, d in enumerate(self.d2.tolist(), 1):
-            mass = F.when(F.col("n") == r, F.lit(r * d)).otherwise(mass)
-        seen = self.pairs.where("n > 0").join(self.unigrams.withColumnRenamed("n", "n1"), "w")
-        rows = seen.groupBy("v").agg(F.sum("n").alias("c"), F.max((F.col("n") <= CUT).cast("int")).alias("low"), F.sum(mass).alias("used"), F.sum(p1).alias("below"))
-        return {r["v"]: (r["c"] + (0.0 if r["low"] else RESERVE), r["used"], r["below"]) for r in rows.collect()}
+        #: of each spread middle word its total, discounted mass, and P(w) of what is seen after it
+        self.spread = {}
+        for v, x in table.items():
+            low, rest, below = np.arange(1, CUT + 1) * x[:CUT], float(x[CUT]), float(x[CUT + 1])
+            c = low.sum() + rest
+            self.spread[v] = (c + (RESERVE if c and not low.sum() else 0.0), float(low @ self.d2) + rest, below / self.total)
 
     def each(self, run: Callable, schema: str) -> DataFrame:
         """run on every bucket's part of the model."""
         lexicon, d2, d3, total, spread = self.lexicon, self.d2, self.d3, self.total, self.spread
+        names = [c.split()[0] for c in schema.split(", ")]
 
-        def task(key, late: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-            out = [run(_Model(lexicon.value, b, answers, d2, d3, total, spread)) for b in late["blob"]]
+        def task(key, rows: pd.DataFrame) -> pd.DataFrame:
+            answers = rows[rows["kind"] == "answer"].sort_values("place")["blob"].tolist()
+            out = [run(_Model(lexicon.value, b, answers, d2, d3, total, spread)) for b in rows["blob"][rows["kind"] == "late"]]
             release()
-            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
-        late = self.parts.where("kind = 'late'").select(F.col("key").alias("bucket"), "blob").repartition(self.buckets, "bucket")
-        answers = self.answers.select(F.col("key").alias("asker"), "v", "w", "n").repartition(self.buckets, "asker")
-        return late.groupBy("bucket").cogroup(answers.groupBy("asker")).applyInPandas(task, schema)
+        rows = self.parts.where("kind = 'late'").unionAll(self.merged.where("kind = 'answer'")).withColumnRenamed("key", "bucket")
+        return rows.repartition(self.buckets, "bucket").groupBy("bucket").applyInPandas(task, schema)
 
 
 def katz_tables(docs: DataFrame, held_out: F.Column) -> DataFrame:
