@@ -4,7 +4,8 @@ Units are bytes or words. Every window of k units has a minimiser: its g-gram wi
 leftmost of equals. Consecutive windows with one minimiser travel together as one packed string to the
 bucket of that minimiser's hash; equal windows have equal minimisers at equal offsets, so a bucket sees
 every occurrence of its windows. Repeats of a whole string within a chunk of documents are settled
-where they lie and only the first travels. Minimisers that a sample of documents shows to be very
+where they lie and only the first travels. Which strings and windows are equal is for the caller to say:
+by an order of suffixes, or by hashes and a comparison. Minimisers that a sample of documents shows to be very
 frequent are split: each of their windows travels alone, keyed by its own hash. The sample decides only
 where strings travel, never which windows are equal.
 """
@@ -148,7 +149,7 @@ class Piece:
 
 
 def frequent(docs: DataFrame, spec: Windows, rows: int) -> np.ndarray:
-    """Hashes of minimisers that FREQUENT of at most about SAMPLE sampled documents have."""
+    """Hashes of minimisers that FREQUENT of at most about SAMPLE sampled documents have; their number is at most that of a document's minimisers divided by FREQUENT."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,7 +161,7 @@ def frequent(docs: DataFrame, spec: Windows, rows: int) -> np.ndarray:
     share = min(1.0, SAMPLE / max(rows, 1))
     seen = docs.select("text").sample(False, share, 17).mapInPandas(look, "h long")
     least = max(20, int(FREQUENT * min(rows, SAMPLE)))
-    got = seen.groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(1 << 15).collect()
+    got = seen.groupBy("h").count().where(F.col("count") >= least).collect()
     return np.sort(np.array([r[0] for r in got], np.int64).astype(np.uint64))
 
 
@@ -179,7 +180,11 @@ def _first_by(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
 
 
-def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
+#: classes(cut, size, hash, offset): a number per string, the same for equal strings; cut(i) gives the bytes of strings, joined.
+Classes = Callable[[Callable[[np.ndarray], bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def scatter(spec: Windows, hot: np.ndarray, buckets: int, classes: Classes | None = None) -> Callable:
     """The map side: rows of (_id, _t, text) to (bucket, blob)."""
 
     def flush(ids: list[int], marks: list[int], pieces: list[tuple[Piece, int]]) -> Iterator[pd.DataFrame]:
@@ -191,14 +196,16 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
             return
         bufs = [p.buf for p, _ in pieces]
         # whole repeats within the chunk: the first stands for the others if the bytes agree
-        order, heads = _first_by((digest, ids_[doc], rel))
+        cut = lambda i: b"".join([bufs[p][x:y] for p, x, y in zip(piece[i].tolist(), lo[i].tolist(), hi[i].tolist())])
+        equal = digest if classes is None else classes(cut, hi - lo, h, offset)
+        order, heads = _first_by((equal, ids_[doc], rel))
         group = np.zeros(len(order), np.int64)
         group[heads] = 1
         head = order[heads[np.cumsum(group) - 1]]
         i, j = order, head
         later = (ids_[doc[i]] > ids_[doc[j]]) if spec.other_docs else (ids_[doc[i]] > ids_[doc[j]]) | ((ids_[doc[i]] == ids_[doc[j]]) & (rel[i] > rel[j]))
-        same = np.zeros(len(i), bool)
-        for x in np.flatnonzero(later):
+        same = later if classes is not None else np.zeros(len(i), bool)
+        for x in np.flatnonzero(later) if classes is None else ():
             a, b = i[x], j[x]
             same[x] = bufs[piece[a]][lo[a] : hi[a]] == bufs[piece[b]][lo[b] : hi[b]]
         done, travel = np.sort(i[same]), np.sort(i[~same])
@@ -212,7 +219,7 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int) -> Callable:
             if not len(t) and not len(d):
                 continue
             used, inv = np.unique(doc[np.concatenate([t, d])], return_inverse=True)
-            data = b"".join([bufs[p][x:y] for p, x, y in zip(piece[t].tolist(), lo[t].tolist(), hi[t].tolist())])
+            data = cut(t)
             out_b.append(b)
             out.append(pack((ids_[used], marks_[used].astype(np.int32), inv[: len(t)].astype(np.int32), (h[t] // np.uint64(buckets)).astype(np.uint32), rel[t].astype(np.int32), length[t].astype(np.int16), offset[t].astype(np.int16), (hi - lo)[t].astype(np.int32) if spec.words else None, data, inv[len(t) :].astype(np.int32), rel[d].astype(np.int32), length[d].astype(np.int16))))
             if len(out) == 64:
@@ -268,7 +275,7 @@ class Strings:
     ids: np.ndarray
 
 
-def _settle(spec: Windows, s: Strings, resolve: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _settle(spec: Windows, s: Strings, resolve: Callable, classes: Classes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows to remove: (string, first window, number of windows)."""
     none = (np.zeros(0, np.int64),) * 3
     order, heads = _first_by((s.hash,))
@@ -276,9 +283,12 @@ def _settle(spec: Windows, s: Strings, resolve: Callable) -> tuple[np.ndarray, n
     keep = order[np.repeat(n, n) > 1]
     if not len(keep):
         return none
-    texts = [s.text[a:b] for a, b in zip(s.lo[keep].tolist(), (s.lo[keep] + s.size[keep]).tolist())]
-    known: dict[tuple, int] = {}
-    name = np.fromiter((known.setdefault((h, t), len(known)) for h, t in zip(s.hash[keep].tolist(), texts)), np.int64, len(keep))
+    cut = lambda i: [s.text[a:b] for a, b in zip(s.lo[keep[i]].tolist(), (s.lo[keep[i]] + s.size[keep[i]]).tolist())]
+    if classes is not None:
+        name = classes(lambda i: b"".join(cut(i)), s.size[keep], s.hash[keep], s.offset[keep])
+    else:
+        known: dict[tuple, int] = {}
+        name = np.fromiter((known.setdefault((h, t), len(known)) for h, t in zip(s.hash[keep].tolist(), cut(slice(None)))), np.int64, len(keep))
     # equal whole strings: the first by document and place stands for them
     o, heads = _first_by((name, s.ids[s.doc[keep]], s.rel[keep]))
     rep = keep[o[heads]]
@@ -312,7 +322,7 @@ def runs_of(item_string: np.ndarray, item_window: np.ndarray, gone: np.ndarray)
     return s[new], w[new], np.diff(np.append(new, len(s)))
 
 
-def bucket_of(spec: Windows, resolve: Callable, doc_buckets: int) -> Callable:
+def bucket_of(spec: Windows, resolve: Callable, doc_buckets: int, classes: Classes | None = None) -> Callable:
     """The reduce side: a bucket's blobs to (doc_bucket, blob of spans in units)."""
 
     def run(key, blobs: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +336,7 @@ def bucket_of(spec: Windows, resolve: Callable, doc_buckets: int) -> Callable:
         done = np.concatenate([g[9] + b for g, b in zip(got, base)]).astype(np.int64)
         done_rel, done_len = cat(10), cat(11)
         del got
-        at, first, count = _settle(spec, s, resolve) if len(doc) else (np.zeros(0, np.int64),) * 3
+        at, first, count = _settle(spec, s, resolve, classes) if len(doc) else (np.zeros(0, np.int64),) * 3
         d = np.concatenate([done, doc[at]])
         begin = np.concatenate([done_rel, s.rel[at] + first])
         end = np.concatenate([done_rel + done_len, s.rel[at] + first + count + spec.k - 1])
@@ -367,16 +377,17 @@ def keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), (F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))).alias("_t")]
 
 
-def find_spans(docs: DataFrame, spec: Windows, resolve: Callable) -> DataFrame:
+def find_spans(docs: DataFrame, spec: Windows, resolve: Callable, classes: Classes | None = None) -> DataFrame:
     """The units to remove of each document that loses any, as a stored table."""
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     mean_windows = (spec.k - spec.g + 2) / 2
     swell = (spec.k + mean_windows - 1) / mean_windows
-    buckets = int(min(1 << 20, max(16, size * swell // BUCKET)))
+    buckets = int(max(16, size * swell // BUCKET))
     doc_buckets = max(8, buckets // 8)
     hot = frequent(docs, spec, rows)
-    packed = docs.select(*keys(), "text").mapInPandas(scatter(spec, hot, buckets), "bucket int, blob binary")
-    found = packed.groupBy("bucket").applyInPandas(bucket_of(spec, resolve, doc_buckets), "doc_bucket int, blob binary")
+    packed = docs.select(*keys(), "text").mapInPandas(scatter(spec, hot, buckets, classes), "bucket int, blob binary")
+    # a task for each bucket, so that tasks stay as large as buckets however many there are
+    found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(bucket_of(spec, resolve, doc_buckets, classes), "doc_bucket int, blob binary")
     return stored(found.groupBy("doc_bucket").applyInPandas(merged, SPANS), "spans")
 
 
