@@ -32,7 +32,7 @@ from ._superkmers import mixed, pack, unpack
 
 RESERVE, CUT = 0.1, 5
 #: Bytes of text in a chunk and meant for a bucket; documents in a chunk at most.
-CHUNK, BUCKET, DOCS = 8 << 20, 12 << 20, 60_000
+CHUNK, BUCKET, DOCS = 6 << 20, 9 << 20, 60_000
 #: The commonest words are written as codes, others by their hash: a table of fixed size that loses nothing.
 CODES = (1 << 18) - 1
 #: A middle word is spread when its share of the training tokens is that of a bucket, but not below FREQUENT.
@@ -162,6 +162,7 @@ class _Chunk:
         doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
         spread = hot[v] | (v == 0)
         m = np.int64(len(h))
+        del start
         for some, deal in ((np.flatnonzero(~spread), None), (np.flatnonzero(spread), "mixed")):
             x, y, z, d = u[some], v[some], w[some], doc[some]
             b = to[y] if deal is None else np.where(y == 0, to[z], (mixed(h[y] * _G + h[x]) % np.uint64(buckets)).astype(np.int64))
@@ -170,6 +171,7 @@ class _Chunk:
             else:
                 o = np.lexsort((z, x, y, b))
             x, y, z, d, b = x[o], y[o], z[o], d[o], b[o]
+            del o
             heads = _edges(x, y, z, d)  # a document that holds a gram several times sends it once
             times, x, y, z, d, b = _lengths(heads, len(d)), x[heads], y[heads], z[heads], d[heads], b[heads]
             cut = np.searchsorted(b, np.arange(buckets + 1))
@@ -488,7 +490,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
             for t in b["text"]:
                 found.update(words(t))
                 ends += 1
-            if len(found) > 1 << 19:
+            if len(found) > 1 << 18:
                 yield rows()
                 found.clear()
         yield rows()

@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import functools
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -105,6 +107,27 @@ def test_hash_collisions_do_not_join_different_suffixes(monkeypatch):
     assert not len(suffix_dedup.resolve(suffix_dedup.BYTES, s, np.array([0, 1]))[0])
 
 
+def test_every_removed_byte_is_decided_by_neighbours_in_the_suffix_order(monkeypatch):
+    """The same steps as on executors, here in one process: chunks, buckets, spans."""
+    import pandas as pd
+
+    from loomcast.llm import _superkmers
+
+    def spans():
+        rows, spec = [(i, 0, t) for i, t in enumerate(dict.fromkeys(t for _, t in pairs())) if t], suffix_dedup.BYTES
+        sent = []
+        for lo in (0, 6):  # two chunks, so that both chunks and buckets find repeats
+            batch = pd.DataFrame([(i, m, t.decode()) for i, m, t in rows[lo : lo + 6 if lo == 0 else None]], columns=["_id", "_t", "text"])
+            sent.append(pd.concat(_superkmers.scatter(spec, np.zeros(0, np.uint64), 3, suffix_dedup.whole_classes)(iter([batch]))))
+        found = [_superkmers.bucket_of(spec, suffix_dedup.resolve, 1, suffix_dedup.whole_classes)((b,), g) for b, g in pd.concat(sent).groupby("bucket")]
+        blobs = pd.concat(found)
+        return sum(int((np.frombuffer(b, np.int32) - np.frombuffer(a, np.int32)).sum()) for a, b in zip(*(_superkmers.merged(0, blobs)[c] for c in ("span_from", "span_to")))) if len(blobs) else 0
+
+    assert spans() > 1000
+    monkeypatch.setattr(suffix_dedup.Suffixes, "extension", lambda self, a, b: np.zeros(len(a), np.int64))
+    assert spans() == 0
+
+
 def test_merge_sort_orders_suffixes():
     rng = random.Random(2)
     text = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(400)), np.uint8)
@@ -240,43 +263,96 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.find_leaks(empty, it).count() == 0 and decontaminate.find_leaks(df, it.limit(0)).count() == 0
 
 
-def test_katz(docs, empty):
+def plain_katz(rows, out):
+    """Scores and probability functions from dictionaries of whole n-grams, by the formulas alone."""
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), "\n"] for _, t in rows]
+    grams = [Counter(), Counter(), Counter()]
+    for (i, _), t in zip(rows, tokens):
+        for n in range(3):
+            grams[n].update([] if out(i) else zip(*[t[k:] for k in range(n + 1)]))
+    total = sum(grams[0].values()) + len(grams[0]) + 1
+    one = lambda w: (grams[0][(w,)] + 1) / total
+
+    def discounts(counts):
+        n, d = Counter(counts.values()), {}
+        top = 6 * n[6] / n[1] if n[1] else 1
+        for r in range(1, 6):
+            x = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and top < 1 else 0
+            d[r] = x if 0 < x < 1 else (r - 0.5) / r
+        return d
+
+    after = defaultdict(dict)
+    for g in grams[1:]:
+        for x, c in g.items():
+            after[x[:-1]][x[-1]] = c
+    d = {n: discounts(grams[n]) for n in (1, 2)}
+
+    @functools.cache
+    def p(*context):
+        lower = p(*context[1:]) if context else None
+        if not context:
+            return one
+        seen = after.get(context)
+        if not seen:
+            return lower
+        size = sum(seen.values()) + (0 if min(seen.values()) <= 5 else 0.1)
+        mine = {w: c * d[len(context)].get(c, 1) / size for w, c in seen.items()}
+        alpha = (1 - sum(mine.values())) / (1 - sum(map(lower, seen)))
+        return lambda w: mine[w] if w in mine else alpha * lower(w)
+
+    scores = []
+    for (i, _), t in zip(rows, tokens):
+        score = sum(math.log10(p(*t[max(0, k - 2) : k])(w)) for k, w in enumerate(t))
+        scores.append((i, out(i), len(t), sum(grams[0][(w,)] > 0 for w in t), sum(grams[0].values()), sum(math.log10(one(w)) for w in t), score))
+    return scores, p, grams, after
+
+
+def katz_corpora():
+    rng = random.Random(11)
+    some = [f"w{i}" for i in range(60)]
+    zipf = [(i, " ".join(rng.choices(some, [1 / (k + 1) for k in range(60)], k=rng.randrange(60)))) for i in range(60)]
+    often = [(300 + i, "a b c a b c a b d") for i in range(8)]  # contexts whose counts are all above CUT
+    return [[(r[0], r[1]) for r in corpus()], [*zipf, (200, "unk " + zipf[3][1] + " zzz w1 w2"), (202, "w1 " * 90), *often, (402, "a b e b c")]]
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_katz(spark, which, monkeypatch):
+    rows, out = katz_corpora()[which], lambda i: i is not None and i % 5 == 2
+    want = plain_katz(rows, out)[0]
+    df, held = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 2
+    close = lambda rows: Counter((*r[:5], round(r[5], 4), round(r[6], 4)) for r in rows)
+    assert close(katz_lm.katz_scores(df, held).collect()) == close(want)
+
+
+def test_katz_tables_are_exactly_normalised(spark):
+    rows, out = katz_corpora()[1], lambda i: i % 5 == 2
+    _, p, grams, after = plain_katz(rows, out)
+    got = katz_lm.katz_tables(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 2).collect()
+    name = {int(katz_lm.END.astype(np.int64)): "\n"} | {int(np.uint64(katz_lm._name(w.encode())).astype(np.int64)): w for (w,) in grams[0] if w != "\n"}
+    table = {(r.order, *(name[x] for x in (r.u, r.v, r.w) if x is not None), r.w is None): r for r in got}
+    assert {k[:1] + k[1:-1] for k in table if not k[-1]} == {(n + 1, *g) for n in range(3) for g in grams[n]}
+    assert all(table[(n + 1, *g, False)].n == c for n in range(3) for g, c in grams[n].items())
+    assert {k[1:-1] for k in table if k[-1]} == set(after)
+    unknown, words_ = 1 / (sum(grams[0].values()) + len(grams[0]) + 1), [w for (w,) in grams[0]]
+
+    def q(context, w):
+        if r := table.get((len(context) + 1, *context, w, False)):
+            return r.p
+        if not context:
+            return unknown
+        a = table.get((len(context) + 1, *context, True))
+        return (a.p if a else 1) * q(context[1:], w)
+
+    for context in [*after, ("w0", "none"), ("none",), ()]:
+        assert math.isclose(sum(q(context, w) for w in words_) + q(context, "?"), 1, rel_tol=1e-9), context
+        assert math.isclose(q(context, "?"), p(*context)("?"), rel_tol=1e-9)
+
+
+def test_katz_edges(docs, empty):
     held = (F.col("doc_id") % 5) == 2
-    rows = corpus()
-    out = lambda i: i is not None and i % 5 == 2
-    tokens = [[*katz_lm.words(r[1]), 0] for r in rows]
-    one, two = Counter(), Counter()
-    for r, t in zip(rows, tokens):
-        if not out(r[0]):
-            one.update(t)
-            two.update(zip([1, *t[:-1]], t))
-    total, by = sum(one.values()) + len(one) + 1, Counter(two.values())
-    d = katz_lm.good_turing([by[r] for r in range(1, 7)])
-    ctx = defaultdict(lambda: np.zeros(3))
-    for (v, w), c in two.items():
-        ctx[v] += (c, c * (d[c - 1] if c <= 5 else 1), one[w] + 1)
-
-    def p(v, w):
-        if c := two.get((v, w)):
-            return c * (d[c - 1] if c <= 5 else 1) / (ctx[v][0] + katz_lm.RESERVE)
-        low = (one[w] + 1) / total
-        if v not in ctx:
-            return low
-        n, used, mass = ctx[v]
-        return low * (1 - used / (n + katz_lm.RESERVE)) / (1 - mass / total)
-
-    for v in list(ctx)[:20]:
-        assert math.isclose(sum(p(v, w) for w in one) + p(v, b"?"), 1, rel_tol=1e-9)
-    want = Counter()
-    for r, t in zip(rows, tokens):
-        score = sum(math.log10(p(v, w)) for v, w in zip([1, *t[:-1]], t))
-        base = sum(math.log10((one[w] + 1) / total) for w in t)
-        want[(r[0], out(r[0]), len(t), sum(one[w] > 0 for w in t), round(score, 4), round(base, 4))] += 1
-    got = katz_lm.katz_scores(docs, held).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.score, 4), round(r.base_score, 4)) for r in got) == want
-    assert {r.train_tokens for r in got} == {sum(one.values())}
     assert katz_lm.katz_scores(empty, held).count() == 0
-    assert katz_lm.katz_scores(docs, F.lit(True)).count() == len(rows)
+    none = katz_lm.katz_scores(docs, F.lit(True)).collect()
+    assert len(none) == len(corpus()) and {(r.train_tokens, r.score) for r in none} == {(0, 0.0)}
 
 
 def test_topk(spark):
