@@ -2,9 +2,9 @@
 
 A vector component is an integer impact. The index packs vectors into blocks; within a block the
 postings of a dimension are cut into segments by quantised impact (the magnitude's power of two), the
-largest first. A search adds segments from the highest impact down for a batch of queries, bounds what
-the segments not yet read can add, and stops for a pair only when that bound proves it cannot reach the
-query's k-th score. Pairs that remain possible are scored again exactly in 64-bit integers. Vectors with
+largest first. A search reads postings segment by segment, by impact times query weight, into one
+accumulator a pair, bounds what postings not yet read can add, and stops for a pair only when that bound
+proves it cannot reach the query's k-th score. Pairs that remain possible are scored again exactly in 64-bit integers. Vectors with
 a component too large for such bounds stay out of the segments: all their pairs are scored exactly.
 """
 
@@ -79,20 +79,17 @@ def build_index(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "impacts").mapInPandas(pack, INDEX)
 
 
-def _segments(row) -> tuple[np.ndarray, np.ndarray]:
-    """The block's vector ids, and its impacts laid out by vector."""
+def _postings(row) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """The block's vector ids, its impacts by vector, and its segments (band, dimension, positions, impacts)."""
     ids, at = np.frombuffer(row.vec_ids, np.int64), np.frombuffer(row.positions, np.uint16)
     # 16-bit positions, and impacts of 32 bits or, in a block with larger ones, of 64
     offsets, v = np.frombuffer(row.offsets, np.int32), np.frombuffer(row.impacts, np.int32 if len(row.impacts) == 2 * len(row.positions) else np.int64)
-    m = np.zeros((len(ids), max(row.dims, 1)), np.int64)
-    m[at, np.repeat(np.arange(len(offsets) - 1) % m.shape[1], np.diff(offsets))] = v
-    return ids, m
-
-
-def _by_band(m: np.ndarray) -> list[np.ndarray]:
-    """Impacts below LIMIT by power of two, the highest first."""
-    bands = _bands(m)
-    return [np.where(bands == b, m, 0).astype(np.float64) for b in range(int(bands.max(initial=0)), 0, -1)]
+    dims = max(row.dims, 1)
+    top = (len(offsets) - 1) // dims
+    m = np.zeros((len(ids), dims), np.int64)
+    m[at, np.repeat(np.arange(len(offsets) - 1) % dims, np.diff(offsets))] = v
+    segments = [(top - i // dims, i % dims, at[offsets[i] : offsets[i + 1]], v[offsets[i] : offsets[i + 1]]) for i in np.flatnonzero(np.diff(offsets))]
+    return ids, m, segments
 
 
 def _wide(m: np.ndarray) -> np.ndarray:
@@ -129,51 +126,84 @@ class _Top:
         self.score[q[keep], rank[keep]], self.ids[q[keep], rank[keep]] = score[keep], ids[keep]
 
 
-def _search_block(ids: np.ndarray, exact: np.ndarray, qid: np.ndarray, qs: np.ndarray, top: _Top) -> None:
+def _search_block(ids: np.ndarray, exact: np.ndarray, segments: list[tuple], qid: np.ndarray, qs: np.ndarray, top: _Top) -> int:
+    """Adds the block's best to top; how many pairs were scored exactly."""
     dims = max(exact.shape[1], qs.shape[1])
     wide = lambda m: np.pad(m, ((0, 0), (0, dims - m.shape[1]))) if m.shape[1] < dims else m
     exact, qs = wide(exact), wide(qs)
-    big_q, big = _wide(qs), _wide(exact)
+    big_q, big, scored = _wide(qs), _wide(exact), 0
     for some, rows in ((np.flatnonzero(big_q), np.arange(len(ids))), (np.flatnonzero(~big_q), np.flatnonzero(big))):
         step = max(1, (1 << 18) // max(len(rows), 1))
         for lo in range(0, len(some) if len(rows) else 0, step):
             x, y = np.repeat(some[lo : lo + step], len(rows)), np.tile(rows, len(some[lo : lo + step]))
             other = qid[x] != ids[y]
+            scored += int(other.sum())
             if other.any():
                 top.add(x[other], ids[y[other]], _dots(qs[x[other]], exact[y[other]]))
-    _search_segments(ids[~big], exact[~big], qid, qs, np.flatnonzero(~big_q), top)
-
-
-def _search_segments(ids: np.ndarray, exact: np.ndarray, qid: np.ndarray, qs: np.ndarray, narrow: np.ndarray, top: _Top) -> None:
-    """Queries at the places `narrow` and a block's vectors, all impacts below LIMIT."""
-    n, bands = len(ids), _by_band(exact)
+    if big.any():
+        small = np.cumsum(~big) - 1
+        segments = [(b, d, small[at[~big[at]]], v[~big[at]]) for b, d, at, v in segments]
+    narrow = np.flatnonzero(~big_q)
+    for lo in range(0, len(narrow) if (~big).any() else 0, BATCH):
+        scored += _search_segments(ids[~big], exact[~big], segments, qid, qs, narrow[lo : lo + BATCH], top)
+    return scored
+
+
+def _search_segments(ids: np.ndarray, exact: np.ndarray, segments: list[tuple], qid: np.ndarray, qs: np.ndarray, s: np.ndarray, top: _Top) -> int:
+    """Queries at the places s and a block's vectors, all impacts below LIMIT: score at a time.
+
+    Segments are read by what they can still add to some query, impact times weight, the largest first.
+    A pair's accumulator grows by the postings read; what the dimensions not yet read for it may add is
+    below the next segment's power of two times the weight. When that has halved, pairs that provably
+    cannot reach their query's k-th score are out, and queries with few pairs left are done.
+    """
+    n, dims = exact.shape
+    q, own, size = qs[s].T.astype(np.float64), qid[s], np.abs(qs[s].T).astype(np.float64)
+    limits = np.zeros(dims)  # every impact that is unread in a dimension is at most this
+    for band, d, at, _ in segments:
+        if len(at):
+            limits[d] = max(limits[d], 2.0**band - 1)
+    order = sorted((x for x in segments if len(x[2])), key=lambda x: (-size[x[1]].max(initial=0) * 2.0 ** x[0], x[1]))
     # a float sum of so many terms is off by at most this share of the sum of their magnitudes
-    share = (exact.shape[1] + len(bands) + 8) * 2.0**-51
-    for lo in range(0, len(narrow) if n else 0, BATCH):
-        s = narrow[lo : lo + BATCH]
-        q, own = qs[s].astype(np.float64), qid[s]
-        size = np.abs(q)
-        score, seen = np.zeros((len(q), n)), np.zeros((len(q), n))
-        possible = own[:, None] != ids[None, :]
-        left = size.sum(1)[:, None]
-        for depth, band in enumerate(bands):
-            score += q @ band.T
-            seen += size @ (band != 0).T
-            # every unread impact is below this power of two
-            below = 2.0 ** (len(bands) - depth - 1) - 1
-            rest = (left - seen) * below
-            floor = top.floor(s).astype(np.float64)
-            if n > top.k:  # the k-th best of what each pair has for certain is reached by k vectors
-                sure = np.where(possible, score - rest, -np.inf)
-                floor = np.maximum(floor, np.partition(sure, n - top.k, axis=1)[:, n - top.k])
-            slack = 0.5 + share * left * 2.0 ** len(bands) + 2.0**-51 * np.abs(np.where(np.isfinite(floor), floor, 0.0))[:, None]
-            possible &= score + rest >= floor[:, None] - slack
-            if possible.sum() <= 4 * top.k * len(q):
-                break
-        a, b = np.nonzero(possible)
+    share = (dims + 8) * 2.0**-50
+    error = share * (size.T @ limits)
+    score, unread = np.zeros((n, len(s))), np.ones((n, dims))
+    possible, live = ids[:, None] != own[None, :], np.arange(len(s))
+    last, scored = float((limits @ size).sum()), 0
+
+    def finish(columns: np.ndarray) -> int:
+        b, a = np.nonzero(possible[:, columns])
         for i in range(0, len(a), 1 << 18):
-            x, y = s[a[i : i + (1 << 18)]], b[i : i + (1 << 18)]
+            x, y = s[columns[a[i : i + (1 << 18)]]], b[i : i + (1 << 18)]
             top.add(x, ids[y], _dots(qs[x], exact[y]))
+        return len(a)
+
+    for i, (band, d, at, v) in enumerate(order):
+        if len(live) == len(s):
+            score[at] += v[:, None] * q[d][None, :]
+        else:
+            score[np.ix_(at, live)] += v[:, None] * q[d, live][None, :]
+        unread[at, d] = 0
+        limits[d] = 2.0 ** (band - 1) - 1
+        left = float((limits @ size[:, live]).sum())
+        if left > last / 2 and i < len(order) - 1:
+            continue
+        last = left
+        rest = unread @ (limits[:, None] * size[:, live])
+        have = score[:, live]
+        floor = top.floor(s[live]).astype(np.float64)
+        if n > top.k:  # the k-th best of what each pair has for certain is reached by k vectors
+            sure = np.where(possible[:, live], have - rest, -np.inf)
+            floor = np.maximum(floor, np.partition(sure, n - top.k, axis=0)[n - top.k])
+        slack = 0.5 + error[live] + 2.0**-51 * np.abs(np.where(np.isfinite(floor), floor, 0.0))
+        possible[:, live] &= have + rest >= floor - slack
+        few = possible[:, live].sum(0) <= 4 * top.k
+        if few.any():
+            scored += finish(live[few])
+            live = live[~few]
+        if not len(live):
+            break
+    return scored + (finish(live) if len(live) else 0)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -181,29 +211,30 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Queries go out in waves of at most WAVE rows, a size fixed beforehand; each index block meets each
     wave once and sends k rows a query and task. A shorter vector counts as zero in the dimensions it
-    lacks. Fewer than k candidates: all of them. A query repeated under one id is searched once;
-    candidates repeated under one id are one candidate each. No queries or no index: no rows.
+    lacks. Fewer than k candidates: all of them. A query repeated under one id is searched once, other
+    vectors under that id share its ranking; candidates repeated under one id are one candidate each. No queries or no index: no rows.
     """
     spark = index.sparkSession
     queries = stored(queries.select("vec_id", "impacts").dropDuplicates(["vec_id", "impacts"]).repartitionByRange("vec_id"), "queries")
-    found = None
 
-    def run(wave) -> DataFrame:
-        def task(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wave_of(rows: list) -> DataFrame:
+        """A wave's best of each task, stored; its queries leave the executors when it is done."""
+        wave = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _matrix([r[1] for r in rows])))
+
+        def task(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qid, qs = wave.value
             top = _Top(qs, k)
-            for batch in rows:
+            for batch in blocks:
                 for row in batch.itertuples():
-                    _search_block(*_segments(row), qid, qs, top)
+                    _search_block(*_postings(row), qid, qs, top)
             q, r = np.nonzero(top.ids != np.iinfo(np.int64).max)
             yield pd.DataFrame({"query_id": qid[q], "vec_id": top.ids[q, r], "score": top.score[q, r]})
 
-        return index.mapInPandas(task, "query_id long, vec_id long, score long")
-
-    def wave_of(rows: list) -> DataFrame:
-        return run(spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _matrix([r[1] for r in rows]))))
+        out = stored(index.mapInPandas(task, "query_id long, vec_id long, score long"), "found")
+        wave.destroy()
+        return out
 
-    rows: list = []
+    found, rows = None, []
     for r in queries.toLocalIterator():
         rows.append(r)
         if len(rows) == WAVE:
