@@ -12,33 +12,40 @@ from pyspark.sql import functions as F
 from ..functions.arrays import sqdist
 
 
-def segment_cost(seg: np.ndarray, trend_weight: float) -> float:
-    """Squared error around the mean plus weighted squared mean slope."""
-    slope = (seg[-1] - seg[0]) / max(len(seg) - 1, 1)
-    return float(((seg - seg.mean(0)) ** 2).sum() + trend_weight * (slope**2).sum())
+def segment_costs(x: np.ndarray, length: int, trend_weight: float) -> np.ndarray:
+    """For each piece of a length, by its start: squared error around its mean plus weighted squared mean slope."""
+    pieces = np.lib.stride_tricks.sliding_window_view(x, length, axis=0)
+    error = ((pieces - pieces.mean(2, keepdims=True)) ** 2).sum((1, 2))
+    slope = (pieces[:, :, -1] - pieces[:, :, 0]) / max(length - 1, 1)
+    return error + trend_weight * (slope**2).sum(1)
 
 
-def segment(x: np.ndarray, shortest: int, longest: int, penalty: float, trend_weight: float = 0.0) -> list[tuple[int, int]]:
-    """Pieces [a, b) of least total cost, each shortest..longest long, a penalty each; one piece where none fits."""
+def segment(x: np.ndarray, shortest: int, longest: int, penalty: float, trend_weight: float = 0.2) -> list[tuple[int, int]]:
+    """Pieces [a, b) of least total cost, each shortest..longest long, a penalty each; of equals the shortest last piece.
+
+    Where no such pieces end at a place, one piece of at most longest from the run's start does, however
+    short. A run below shortest, or one that nothing fits, stays whole.
+    """
     n = len(x)
     if n < shortest:
         return [(0, n)] if n else []
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = 0.0
-    for end in range(shortest, n + 1):
-        for start in range(max(0, end - longest), end - shortest + 1):
-            if np.isfinite(best[start]) and (c := best[start] + segment_cost(x[start:end], trend_weight) + penalty) < best[end]:
-                best[end], back[end] = c, start
-    if not np.isfinite(best[n]):
+    longest = max(shortest, min(longest, n))
+    costs = {k: segment_costs(x, k, trend_weight) for k in range(1, longest + 1)}
+    total, last = [0.0], [0]
+    for end in range(1, n + 1):
+        fits = [(total[end - k] + costs[k][end - k] + penalty, k) for k in range(shortest, min(longest, end) + 1) if last[end - k] is not None]
+        cost, k = min(fits) if fits else (costs[end][0] + penalty, end) if end <= longest else (np.inf, None)
+        total.append(float(cost))
+        last.append(k)
+    if last[n] is None:
         return [(0, n)]
-    out, end = [], n
-    while end:
-        out.append((int(back[end]), end))
-        end = int(back[end])
-    return out[::-1]
+    ends = [n]
+    while ends[-1]:
+        ends.append(ends[-1] - last[ends[-1]])
+    return list(zip(ends[:0:-1], ends[-2::-1]))
 
 
-def segment_runs(slots: DataFrame, channels: list[str], shortest: int, longest: int, penalty: float) -> DataFrame:
+def segment_runs(slots: DataFrame, channels: list[str], shortest: int, longest: int, penalty: float, trend_weight: float = 0.2) -> DataFrame:
     """(workload, seg_start, seg_end): the pieces of each workload's active runs. A run is one workload's adjoining
     slots, so a group is bounded by the time axis."""
 
@@ -46,37 +53,24 @@ def segment_runs(slots: DataFrame, channels: list[str], shortest: int, longest:
         pdf = pdf.sort_values("t")
         t = pdf["t"].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(t) != 1) + 1), len(t)]
-        rows = [(pdf["workload"].iloc[0], t[a + x], t[a + y - 1]) for a, b in zip(cuts, cuts[1:]) for x, y in segment(pdf[channels].to_numpy()[a:b], shortest, longest, penalty)]
+        rows = [(pdf["workload"].iloc[0], t[a + x], t[a + y - 1]) for a, b in zip(cuts, cuts[1:]) for x, y in segment(pdf[channels].to_numpy()[a:b], shortest, longest, penalty, trend_weight)]
         return pd.DataFrame(rows, columns=["workload", "seg_start", "seg_end"])
 
     return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, seg_start long, seg_end long")
 
 
 def dtw(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None, window: int | None = None, normalize: bool = True) -> float:
-    """Warped distance of two multivariate series: squared weighted steps in a band, divided by the path's length, rooted.
+    """dtw_batch of one pair."""
+    return float(dtw_batch([np.asarray(a, float)], [np.asarray(b, float)], window, weights, normalize)[0])
 
-    Of equally cheap predecessors the one above is taken before the one to the left and the diagonal.
-    """
-    a, b = np.atleast_2d(np.asarray(a, float).T).T, np.atleast_2d(np.asarray(b, float).T).T
-    w = np.ones(a.shape[1]) if weights is None else np.asarray(weights, float)
-    cost = (((a[:, None, :] - b[None, :, :]) * w) ** 2).sum(2)
-    n, m = cost.shape
-    band = max(n, m) if window is None else max(window, abs(n - m))
-    total, length = np.full((n + 1, m + 1), np.inf), np.zeros((n + 1, m + 1), int)
-    total[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(max(1, i - band), min(m, i + band) + 1):
-            options = ((total[i - 1, j], length[i - 1, j]), (total[i, j - 1], length[i, j - 1]), (total[i - 1, j - 1], length[i - 1, j - 1]))
-            least = min(range(3), key=lambda k: options[k][0])
-            total[i, j], length[i, j] = options[least][0] + cost[i - 1, j - 1], options[least][1] + 1
-    d = total[n, m] / length[n, m] if normalize and length[n, m] else total[n, m]
-    return float(np.sqrt(d))
-
-
-def dtw_batch(a: list, b: list, window: int | None = None) -> np.ndarray:
-    """dtw of many pairs of series, of one channel or several, at once.
-
-    They are padded at the end, which no cell of a shorter pair looks at; each pair has its own band.
+
+def dtw_batch(a: list, b: list, window: int | None = None, weights: np.ndarray | None = None, normalize: bool = True) -> np.ndarray:
+    """Warped distances of many pairs of series, of one channel or several, at once: the cheapest alignment's sum of
+    squared weighted differences, divided by the number of aligned points, rooted.
+
+    Points further apart than a pair's band, window or the difference of its lengths, are not aligned. Of equal
+    alignments the one that repeats a point of b is taken, then one that repeats a point of a. Two rows of
+    cells are held, all pairs side by side; cells outside every band are not computed.
     """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
 
@@ -84,27 +78,39 @@ def dtw_batch(a: list, b: list, window: int | None = None) -> np.ndarray:
         wide = [np.asarray(x, float).reshape(len(x), -1) for x in xs]
         return np.stack([np.pad(x, ((0, size - len(x)), (0, 0))) for x in wide], 1)
 
-    x, y, every = pad(a, n.max()), pad(b, m.max()), np.arange(len(a))
+    x, y = pad(a, n.max()), pad(b, m.max())
+    if weights is not None:
+        x, y = x * np.asarray(weights, float), y * np.asarray(weights, float)
     band = np.maximum(n, m) if window is None else np.maximum(window, np.abs(n - m))
-    total, length = np.full((len(x) + 1, len(y) + 1, len(a)), np.inf), np.zeros((len(x) + 1, len(y) + 1, len(a)), int)
-    total[0, 0] = 0.0
+    reach, alike = int(band.max()), bool((band == band[0]).all())
+    out, steps = np.full(len(a), np.inf), np.ones(len(a), int)
+    above, above_steps = np.full((len(y) + 1, len(a)), np.inf), np.zeros((len(y) + 1, len(a)), int)
+    above[0] = 0.0
     for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            before = np.stack([total[i - 1, j], total[i, j - 1], total[i - 1, j - 1]])
-            least = before.argmin(0)
-            path = np.stack([length[i - 1, j], length[i, j - 1], length[i - 1, j - 1]])
-            total[i, j] = np.where(abs(i - j) <= band, before[least, every] + ((x[i - 1] - y[j - 1]) ** 2).sum(1), np.inf)
-            length[i, j] = path[least, every] + 1
-    return np.sqrt(total[n, m, every] / length[n, m, every])
-
-
-def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512) -> DataFrame:
+        row, row_steps = np.full_like(above, np.inf), np.zeros_like(above_steps)
+        lo, hi = max(1, i - reach), min(len(y), i + reach)
+        near = ((x[i - 1] - y[lo - 1 : hi]) ** 2).sum(2) if lo <= hi else ()
+        for j in range(lo, hi + 1):
+            cost, count = above[j], above_steps[j]
+            for other, its in ((row[j - 1], row_steps[j - 1]), (above[j - 1], above_steps[j - 1])):
+                better = other < cost
+                cost, count = np.where(better, other, cost), np.where(better, its, count)
+            row[j], row_steps[j] = cost + near[j - lo], count + 1
+            if not alike:
+                row[j, np.abs(i - j) > band] = np.inf
+        ends = np.flatnonzero(n == i)
+        out[ends], steps[ends] = row[m[ends], ends], row_steps[m[ends], ends]
+        above, above_steps = row, row_steps
+    return np.sqrt(out / steps if normalize else out)
+
+
+def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512, weights: list[float] | None = None) -> DataFrame:
     """(i, j, distance) for i < j of (id, series array<double>). Meant for candidate sets of a stated, small size (hundreds)."""
 
     @F.pandas_udf("double")
     def distance(x: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in x:
-            parts = [dtw_batch(a[i : i + at_once].tolist(), b[i : i + at_once].tolist(), window) for i in range(0, len(a), at_once)]
+            parts = [dtw_batch(a[i : i + at_once].tolist(), b[i : i + at_once].tolist(), window, weights) for i in range(0, len(a), at_once)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     ids = items.agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -133,17 +139,20 @@ def k_medoids(d: np.ndarray, k: int, seed: int = 7, rounds: int = 50) -> tuple[n
     return medoids, d[:, medoids].argmin(1)
 
 
-def coverage_radius(d: np.ndarray) -> float:
-    """The upper quartile of nearest-neighbour distances, at least 1e-3; 1 for a single item."""
+def coverage_radius(d: np.ndarray, most: int = 120, seed: int = 7) -> float:
+    """The upper quartile of nearest-neighbour distances among at most `most` items drawn by seed, at least 1e-3; 1 for a single item."""
     if len(d) < 2:
         return 1.0
+    if len(d) > most:
+        drawn = np.random.default_rng(seed).choice(len(d), most, replace=False)
+        d = d[np.ix_(drawn, drawn)]
     near = np.where(np.eye(len(d), dtype=bool), np.inf, d).min(1)
     return max(float(np.quantile(near, 0.75)), 1e-3)
 
 
 def shape_set(d: np.ndarray, threshold: float = 0.9, most: int = 8, seed: int = 7) -> dict:
     """Medoids, more of them until the share of items within the radius reaches the threshold."""
-    radius, n = coverage_radius(d), len(d)
+    radius, n = coverage_radius(d, seed=seed), len(d)
     for k in range(1, min(most, n) + 1):
         medoids, own = k_medoids(d, k, seed)
         near = d[np.arange(n), medoids[own]]
@@ -172,7 +181,7 @@ def farthest_points(d: np.ndarray, k: int) -> list[int]:
 def window_prototypes(windows: list[np.ndarray], k: int, points: int, window: int = 5) -> np.ndarray:
     """k x points x channels: windows resampled to equal length, spread out by warped distance. For a bounded candidate set."""
     x = [resample(w, points) for w in windows if len(w)]
-    d = np.array([[dtw(a, b, window=window) for b in x] for a in x])
+    d = np.stack([dtw_batch([a] * len(x), x, window) for a in x])
     picked = farthest_points(d, k)
     return np.stack([x[picked[i % len(picked)]] for i in range(k)])
 
@@ -191,14 +200,54 @@ def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return points.join(F.broadcast(model), how="cross").select("id", "x", near.alias("n")).select("id", "x", F.col("n.state").alias("state"), F.col("n.d2").alias("d2"))
 
 
-def k_means(points: DataFrame, seeds: DataFrame, rounds: int, store: Callable | None = None) -> DataFrame:
-    """Lloyd's rounds over (id, x array<double>) from seeds (state, c): each is one aggregation. An empty cluster keeps its centroid."""
+def seed_centroids(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """(state, c): k points, each drawn with odds in proportion to its squared distance from those before it.
+
+    A point's draw is an exponential wait by a hash of its id, divided by its distance: the least wait
+    wins, so that a seed is one aggregation and a rerun draws the same. Fewer distinct points: all of them.
+    """
+    spark, chosen = points.sparkSession, []
+    for i in range(k):
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
+        if chosen:
+            model = F.array(*[F.array(*map(F.lit, c)) for c in chosen])
+            d2 = F.array_min(F.transform(model, lambda c: sqdist(F.col("x"), c)))
+        else:
+            d2 = F.lit(1.0)
+        r = points.withColumn("_d2", d2).where("_d2 > 0").agg(F.min_by("x", F.struct(-F.ln(u) / F.col("_d2"), F.col("id"))).alias("x")).first()
+        if r["x"] is None:
+            break
+        chosen.append([float(v) for v in r["x"]])
+    return spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "state long, c array<double>")
+
+
+def ordered_centroids(c: DataFrame) -> DataFrame:
+    """The centroids (K rows) renumbered by their coordinates, the first coordinate first."""
+    every = c.agg(F.array_sort(F.collect_list("c")).alias("m"))
+    return every.select(F.posexplode("m").alias("state", "c")).select(F.col("state").cast("long").alias("state"), "c")
+
+
+def k_means(points: DataFrame, seeds: DataFrame, rounds: int, store: Callable | None = None, least_shift: float = 1e-6) -> DataFrame:
+    """Lloyd's rounds over (id, x array<double>) from seeds (state, c), K rows: each is one aggregation.
+
+    An empty cluster gets the point farthest from its centroid, several of them different points. Rounds
+    end early when no coordinate moves by least_shift or more.
+    """
     c = seeds
     for _ in range(rounds):
-        parts = assign(points, c).select("state", F.posexplode("x")).groupBy("state", "pos").agg(F.avg("col").alias("v"))
+        near = assign(points, c)
+        parts = near.select("state", F.posexplode("x")).groupBy("state", "pos").agg(F.avg("col").alias("v"))
         new = parts.groupBy("state").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("n"))
-        c = c.join(new, "state", "left").select("state", F.coalesce("n", "c").alias("c"))
+        rows = c.join(new, "state", "left").select("state", "c", "n").collect()  # K rows, the model
+        empty = sorted(r["state"] for r in rows if r["n"] is None)
+        far = near.groupBy("x").agg(F.max("d2").alias("d2"), F.min("id").alias("id")).orderBy(F.desc("d2"), "id").limit(len(empty)).collect() if empty else []
+        other = dict(zip(empty, (r["x"] for r in far)))
+        made = [(r["state"], list(r["n"] or other.get(r["state"], r["c"]))) for r in rows]
+        shift = max((abs(p - q) for r, (_, n) in zip(rows, made) for p, q in zip(r["c"], n)), default=0.0)
+        c = points.sparkSession.createDataFrame(made, c.schema)
         c = store(c) if store else c
+        if shift < least_shift:
+            break
     return c
 
 
@@ -217,41 +266,65 @@ def resample(x: np.ndarray, points: int) -> np.ndarray:
     return x[lo] * (1 - f) + x[lo + 1] * f
 
 
+def by_rows(slots: DataFrame, rows: int = 50_000) -> DataFrame:
+    """The slots grouped by ranges of a hash of the workload: a group is about so many rows, or one workload where that has more."""
+    groups = max(slots.sparkSession.sparkContext.defaultParallelism, slots.count() // rows + 1)
+    return slots.groupBy(F.pmod(F.xxhash64("workload"), F.lit(groups)).alias("_group"))
+
+
+def _starts(pdf: pd.DataFrame) -> np.ndarray:
+    """For each row of a frame sorted by workload, the first row of its workload."""
+    w = pdf["workload"].to_numpy()
+    new = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, int)
+    return np.repeat(new, np.diff(np.append(new, len(w))))
+
+
 def window_memberships(slots: DataFrame, channels: list[str], prototypes: np.ndarray, length: int, tau: float = 0.25, sigma: float = 1.0) -> DataFrame:
     """(workload, t, mu): the last length slots, those valid resampled to the prototypes' points, softmax(-mse / (2 sigma^2) / tau).
 
     prototypes is K x points x channels, a bounded model. A window without valid slots counts as zeros.
+    Windows with the same number of valid slots are resampled together.
     """
+    k, points = prototypes.shape[:2]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x, ok, out = pdf[channels].to_numpy(float), pdf["input_valid"].to_numpy(bool), []
-        for i in range(len(pdf)):
-            s = slice(max(0, i - length + 1), i + 1)
-            v = x[s][ok[s]]
-            y = resample(v, prototypes.shape[1]) if len(v) else np.zeros(prototypes.shape[1:])
-            z = -((prototypes - y) ** 2).mean((1, 2)) / (2 * sigma * sigma) / tau
-            e = np.exp(z - z.max())
-            out.append(e / e.sum())
-        return pd.DataFrame({"workload": pdf["workload"], "t": pdf["t"], "mu": out})
-
-    return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")
-
-
-def warped_memberships(slots: DataFrame, channels: list[str], prototypes: list[np.ndarray], sigma: list[float], window: int | None = 5, at_once: int = 512) -> DataFrame:
+        pdf = pdf.sort_values(["workload", "t"], kind="stable")
+        x, ok, first = pdf[channels].to_numpy(float), pdf["input_valid"].to_numpy(bool), _starts(pdf)
+        valid, before = np.flatnonzero(ok), np.append(0, np.cumsum(ok))
+        lo, hi = before[np.maximum(first, np.arange(len(x)) - length + 1)], before[1:]
+        y = np.zeros((len(x), points, len(channels)))
+        for n in np.unique(hi - lo):
+            mine = np.flatnonzero(hi - lo == n)
+            if n:
+                at = np.linspace(0, n - 1, points)
+                low = np.minimum(at.astype(int), max(n - 2, 0))
+                high, f = np.minimum(low + 1, n - 1), (at - low)[None, :, None]
+                v = x[valid[lo[mine][:, None] + np.arange(n)]]
+                y[mine] = v[:, low] * (1 - f) + v[:, high] * f
+        z = np.stack([-((y - prototypes[c]) ** 2).mean((1, 2)) for c in range(k)], 1) / (2 * sigma * sigma) / tau
+        e = np.exp(z - z.max(1, keepdims=True))
+        return pd.DataFrame({"workload": pdf["workload"], "t": pdf["t"], "mu": list(e / e.sum(1, keepdims=True))})
+
+    return by_rows(slots).applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")
+
+
+def warped_memberships(slots: DataFrame, channels: list[str], prototypes: list[np.ndarray], sigma: list[float], window: int | None = 5, at_once: int = 8192) -> DataFrame:
     """(workload, t, mu) of valid slots: a Gaussian of the warped distance between each prototype and as many of the
-    workload's last valid slots as it has points, divided by the sum; without mass uniform. A group is one workload's time axis."""
+    workload's last valid slots as it has points, divided by the sum; without mass uniform. Windows of many workloads
+    are warped at once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["input_valid"].astype(bool)].sort_values("t")
-        x, mu = pdf[channels].to_numpy(float), np.zeros((len(pdf), len(prototypes)))
+        pdf = pdf[pdf["input_valid"].astype(bool)].sort_values(["workload", "t"], kind="stable")
+        x, mu, first = pdf[channels].to_numpy(float), np.zeros((len(pdf), len(prototypes))), _starts(pdf)
         for c, p in enumerate(prototypes):
+            lo = np.maximum(first, np.arange(len(x)) - len(p) + 1)
+            order = np.argsort(lo - np.arange(len(x)), kind="stable")  # windows of one length together
             for at in range(0, len(x), at_once):
-                ends = range(at, min(at + at_once, len(x)))
-                d = dtw_batch([x[max(0, i - len(p) + 1) : i + 1] for i in ends], [p] * len(ends), window)
-                mu[at : at + len(ends), c] = np.exp(-(d**2) / (2 * sigma[c] ** 2))
+                some = order[at : at + at_once]
+                d = dtw_batch([x[lo[i] : i + 1] for i in some], [p] * len(some), window)
+                mu[some, c] = np.exp(-(d**2) / (2 * sigma[c] ** 2))
         mass = mu.sum(1, keepdims=True)
         mu = np.where(mass > 1e-12, mu / np.maximum(mass, 1e-12), 1 / len(prototypes))
         return pd.DataFrame({"workload": pdf["workload"], "t": pdf["t"], "mu": list(mu)})
 
-    return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")
+    return by_rows(slots).applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, t long, mu array<double>")
