@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bipolar, einstein, sigmoid
+from ..functions.arrays import EPS, bipolar, dot, einstein, sigmoid, softmax
 from .components import components
 
 
@@ -75,6 +75,75 @@ def reachable(adj: DataFrame, hops: int) -> DataFrame:
     return found
 
 
+def numbered(keys: DataFrame, key: str) -> DataFrame:
+    """(key, number): distinct keys numbered from 0 in their order, within ranges and from range to range; no task numbers all."""
+    ranged = keys.select(key).dropna().distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    skip = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_skip")
+    return ranged.join(F.broadcast(skip), "_range").select(key, place.cast("long").alias("number"))
+
+
+#: Words of 64 bits in a row of a neighbour set.
+WORDS = 4
+
+
+def _sets(edges: DataFrame) -> DataFrame:
+    """(s, block, w0..): the sets of t by s as bits, a row for each block of 64 * WORDS numbers that has any."""
+    size = 64 * WORDS
+    place, bit = F.pmod("t", F.lit(size)), F.expr("shiftleft(1L, cast(pmod(t, 64) as int))")
+    words = [F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    return edges.groupBy("s", F.floor(F.col("t") / size).alias("block")).agg(*words)
+
+
+def within_two(adj: DataFrame, store: Callable) -> DataFrame:
+    """(src, direct, reached): how many others lie one step away, and one or two steps away; for a symmetric adjacency.
+
+    Neighbour sets are bits. A source ORs those of its neighbours block by block, first where they lie: what
+    shuffles is words of sets, not pairs, and no pair of sources is ever a row.
+    """
+    edges = adj.select("src", "dst").distinct()
+    names = store(numbered(edges, "src"))
+    e = edges.join(names, "src").withColumnRenamed("number", "s").join(names.select(F.col("src").alias("dst"), F.col("number").alias("t")), "dst").select("s", "t")
+    e = store(e)
+    own = store(_sets(e.unionAll(names.select(F.col("number").alias("s"), F.col("number").alias("t")))))
+    far = e.join(own.withColumnRenamed("s", "t"), "t").drop("t")
+    reach = far.groupBy("s", "block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
+    count = lambda df, name: df.groupBy("s").agg((F.sum(sum((F.bit_count(f"w{i}") for i in range(1, WORDS)), F.bit_count("w0"))) - 1).alias(name))
+    # a source is its neighbours' neighbour, so the union holds itself and, as each set holds its owner, its neighbours
+    both = count(own, "direct").join(count(reach, "reached"), "s")
+    return both.join(names.withColumnRenamed("number", "s"), "s").select("src", "direct", "reached")
+
+
+def identifiability(dep: DataFrame) -> DataFrame:
+    """(node, size, shared): workloads on each node, and whether three or more make it a true hyperedge."""
+    return dep.select("workload", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("size")).withColumn("hyperedge", F.col("size") >= 3)
+
+
+def live_adjacency(dep: DataFrame, links: DataFrame, values: list[str]) -> DataFrame:
+    """(src, dst, weight): workload pairs by the number of live node edges between their nodes.
+
+    A node edge lives if all its values are finite and not all are 0; every node has an edge to itself.
+    """
+    finite = [F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) & (F.abs(v) < float("inf")) for v in values]
+    alive = finite[0]
+    for f in finite[1:]:
+        alive = alive & f
+    edges = links.where(alive & (sum((F.abs(v) for v in values[1:]), F.abs(values[0])) > 0)).where("src <> dst").select("src", "dst")
+    nodes = dep.select("node").distinct()
+    edges = edges.distinct().unionAll(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    a = dep.select(F.col("workload").alias("w_src"), F.col("node").alias("src"))
+    b = dep.select(F.col("workload").alias("w_dst"), F.col("node").alias("dst"))
+    pairs = edges.join(a, "src").join(b, "dst").where("w_src <> w_dst")
+    return pairs.groupBy(F.col("w_src").alias("src"), F.col("w_dst").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def largest_component(found: DataFrame) -> DataFrame:
+    """(workloads, components, largest, largest_ratio) of (workload, component)."""
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("workloads"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), (F.max("n") / F.sum("n")).alias("largest_ratio"))
+
+
 def masked(adj: DataFrame, active: DataFrame) -> DataFrame:
     """Edges with both ends active."""
     on = active.select("workload").distinct()
@@ -120,3 +189,24 @@ def propagate(values: DataFrame, shares: DataFrame, w_self: float, w_message: fl
         come = shares.join(values.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("value")).alias("in"))
         values = values.join(come, "node", "left").select("node", F.tanh(F.col("value") * w_self + F.coalesce("in", F.lit(0.0)) * w_message).alias("value"))
     return values
+
+
+def propagate_matrix(values: DataFrame, shares: DataFrame, w_self: list[list[float]], w_message: list[list[float]], rounds: int = 1) -> DataFrame:
+    """(node, x array) after rounds of tanh(x W_self + sum of shares * x W_message): propagate for vectors. The matrices are a model of K x K."""
+    model = lambda w: F.array(*[F.array(*map(F.lit, map(float, column))) for column in zip(*w)])
+    times = lambda x, w: F.transform(model(w), lambda column: dot(x, column))
+    for _ in range(rounds):
+        sent = values.select(F.col("node").alias("src"), F.posexplode(times(F.col("x"), w_message)).alias("at", "m"))
+        come = shares.join(sent, "src").groupBy(F.col("dst").alias("node"), "at").agg(F.sum(F.col("share") * F.col("m")).alias("m"))
+        come = come.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("m"))
+        mixed = F.when(F.col("m").isNull(), times(F.col("x"), w_self)).otherwise(F.zip_with(times(F.col("x"), w_self), "m", lambda a, b: a + b))
+        values = values.join(come, "node", "left").select("node", F.transform(mixed, F.tanh).alias("x"))
+    return values
+
+
+def residual(mu: Column, context: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """softmax(log mu + tanh([mu, context] W + b)); W and b of zeros change nothing."""
+    x = F.concat(mu, context)
+    columns = F.array(*[F.struct(F.array(*map(F.lit, map(float, w))).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(zip(*weights), bias)])
+    moved = F.transform(columns, lambda c: F.tanh(dot(x, c["w"]) + c["b"]))
+    return softmax(F.zip_with(F.transform(mu, lambda v: F.ln(F.greatest(v, F.lit(EPS)))), moved, lambda a, b: a + b))
