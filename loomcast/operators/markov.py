@@ -18,12 +18,12 @@ def order_counts(events: DataFrame, order: list[str], k: int, now: int, decay: f
 
 
 def current_contexts(events: DataFrame, order: list[str], k: int, now: int, state: str = "state") -> DataFrame:
-    """(workload, ctx): each workload's last k states before now."""
+    """(workload, ctx): each workload's last k states before now, as an array."""
     if not k:
-        return events.where(F.col("t") < now).select("workload").distinct().withColumn("ctx", F.lit(""))
+        return events.where(F.col("t") < now).select("workload").distinct().withColumn("ctx", F.array().cast(f"array<{dict(events.dtypes)[state]}>"))
     last = events.where(F.col("t") < now).withColumn("_r", F.row_number().over(Window.partitionBy("workload").orderBy(*[F.desc(c) for c in order]))).where(F.col("_r") <= k)
     rows = last.groupBy("workload").agg(F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(state).alias("s")))).alias("a"))
-    return rows.where(F.size("a") == k).select("workload", F.array_join(F.transform("a", lambda x: x["s"]), ">").alias("ctx"))
+    return rows.where(F.size("a") == k).select("workload", F.transform("a", lambda x: x["s"]).alias("ctx"))
 
 
 def backoff(events: DataFrame, order: list[str], states: DataFrame, now: int, max_order: int = 2, mode: str = "flat", decay: float = 0.02, max_age: int | None = None, smoothing: float = 1.0, threshold: float = 2.0, temperature: float = 1.0, state: str = "state") -> DataFrame:
@@ -78,6 +78,36 @@ def direct_backoff(events: DataFrame, order: list[str], horizon: int, now: int,
     return full.select("cur", "h", "state", ((F.col("c") + smoothing) / (F.sum("c").over(by) + smoothing * F.count(F.lit(1)).over(by))).alias("p"), F.sum("c").over(by).alias("support"))
 
 
+def direct_orders(events: DataFrame, order: list[str], horizon: int, now: int, max_order: int, decay: float, smoothing: float, states: DataFrame, threshold: float = 2.0, temperature: float = 1.0) -> DataFrame:
+    """(workload, h, state, p) for h = 1..horizon from one fixed history, all orders mixed.
+
+    An event's context of k states counts towards h if the event lies h positions or more after the history's
+    beginning; its weight decays by its distance from the end plus h. So one count per (context, position,
+    state), summed from the last position back, serves every horizon. Orders are smoothed additively and
+    gated as in backoff.
+    """
+    past = events.where(F.col("t") < now)
+    w = Window.partitionBy("workload").orderBy(*order)
+    placed = past.withColumn("pos", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("workload")))
+    base = placed.select("workload").distinct().withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).join(F.broadcast(states.select("state")), how="cross")
+    by = Window.partitionBy("workload", "h")
+    out, k_states = base, F.count(F.lit(1)).over(by)
+    for k in range(max_order + 1):
+        seen = contexts(placed, order, k)
+        weighed = seen.groupBy("ctx", "pos", "state").agg(F.sum(F.exp(-decay * (F.col("n") - F.col("pos")))).alias("v"))
+        tail = Window.partitionBy("ctx", "state").orderBy(F.desc("pos"))
+        sums = weighed.select("ctx", "state", "pos", F.sum("v").over(tail).alias("c"))
+        # a horizon takes the sum at the first position that is h - 1 or more
+        first = sums.withColumn("h", F.explode(F.sequence(F.lit(1), F.least(F.col("pos") + 1, F.lit(horizon))))).groupBy("ctx", "state", "h").agg(F.max("c").alias("c"))
+        mine = current_contexts(events, order, k, now).join(first, "ctx").select("workload", "h", "state", (F.col("c") * F.exp(-decay * F.col("h"))).alias(f"c{k}"))
+        out = out.join(mine, ["workload", "h", "state"], "left").withColumn(f"c{k}", F.coalesce(f"c{k}", F.lit(0.0))).withColumn(f"n{k}", F.sum(f"c{k}").over(by))
+        out = out.withColumn(f"p{k}", F.when(F.col(f"n{k}") > 0, (F.col(f"c{k}") + smoothing) / (F.col(f"n{k}") + k_states * smoothing)).otherwise(1.0 / k_states)).withColumn(f"g{k}", F.when(F.col(f"n{k}") > 0, sigmoid((F.col(f"n{k}") - threshold) / temperature)).otherwise(0.0))
+    left, p = F.lit(1.0), F.lit(0.0)
+    for k in range(max_order, 0, -1):
+        p, left = p + left * F.col(f"g{k}") * F.col(f"p{k}"), left * (1 - F.col(f"g{k}"))
+    return out.select("workload", "h", "state", (p + left * F.col("p0")).alias("p"))
+
+
 def dynamic(mu: DataFrame, matrix: DataFrame) -> DataFrame:
     """(workload, state, p): memberships (workload, state, mu) one step through a transition matrix."""
     step = mu.join(matrix.withColumnRenamed("from_state", "state"), "state")
@@ -85,9 +115,9 @@ def dynamic(mu: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def blended(a: DataFrame, b: DataFrame, beta: float = 0.5) -> DataFrame:
-    """(workload, state, p): (1 - beta) a + beta b, normalised."""
-    both = a.select("workload", "state", F.col("p").alias("pa")).join(b.select("workload", "state", F.col("p").alias("pb")), ["workload", "state"])
-    v = F.col("pa") * (1 - beta) + F.col("pb") * beta
+    """(workload, state, p): (1 - beta) a + beta b, normalised; a state that one side lacks has 0 there."""
+    both = a.select("workload", "state", F.col("p").alias("pa")).join(b.select("workload", "state", F.col("p").alias("pb")), ["workload", "state"], "full")
+    v = F.coalesce("pa", F.lit(0.0)) * (1 - beta) + F.coalesce("pb", F.lit(0.0)) * beta
     return both.select("workload", "state", (v / F.sum(v).over(Window.partitionBy("workload"))).alias("p"))
 
 

@@ -30,6 +30,13 @@ def thin(items: list, n: int) -> list:
     return items if n >= len(items) else [items[i] for i in np.unique(np.linspace(0, len(items) - 1, n).round().astype(int))]
 
 
+def epoch_choice(items: list, n: int, seed: int, epoch: int) -> list:
+    """At most n of the items for an epoch, in an order of that epoch: drawn by a seed that names the epoch."""
+    rng = np.random.default_rng(stable_seed(seed, f"epoch:{epoch}"))
+    chosen = items if n >= len(items) else [items[i] for i in sorted(rng.choice(len(items), n, replace=False))]
+    return [chosen[i] for i in rng.permutation(len(chosen))]
+
+
 def first_seen(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The n keys that come first by order."""
     return df.groupBy(key).agg(F.min(order).alias("_first")).orderBy("_first", key).limit(n).select(key)

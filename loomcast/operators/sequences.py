@@ -20,16 +20,38 @@ def next_pairs(slots: DataFrame, value: str) -> DataFrame:
 
 
 def contexts(events: DataFrame, order: list[str], k: int, state: str = "state") -> DataFrame:
-    """The events with ctx, the k states before each in its workload, oldest first; gaps are compressed."""
+    """The events with ctx, an array of the k states before each in its workload, oldest first; gaps are compressed.
+
+    An event with fewer than k before it has no context and goes; a null state is a state like others.
+    """
     if not k:
-        return events.withColumn("ctx", F.lit(""))
+        return events.withColumn("ctx", F.array().cast(f"array<{dict(events.dtypes)[state]}>"))
     w = Window.partitionBy("workload").orderBy(*order)
     lags = [F.lag(state, i).over(w) for i in range(k, 0, -1)]
-    return events.withColumn("_far", lags[0]).withColumn("ctx", F.concat_ws(">", *lags)).where("_far is not null").drop("_far")
+    return events.withColumn("_n", F.row_number().over(w)).withColumn("ctx", F.array(*lags)).where(F.col("_n") > k).drop("_n")
+
+
+def run_contexts(slots: DataFrame, k: int, state: str = "state", active: str = "input_valid") -> DataFrame:
+    """(workload, t, event, ctx, state): contexts within runs of adjoining active slots, which gaps break.
+
+    event counts all active slots by workload and time from 0, so that a query's age is a number of events.
+    It is counted within ranges of (workload, t) and from range to range: no task counts all.
+    """
+    on = slots.where(F.col(active)).select("workload", "t", F.col(state).alias("state"))
+    w = Window.partitionBy("workload").orderBy("t")
+    runs = on.withColumn("_run", F.col("t") - F.row_number().over(w))
+    inside = Window.partitionBy("workload", "_run").orderBy("t")
+    lags = [F.lag("state", i).over(inside) for i in range(k, 0, -1)]
+    ctx = F.array(*lags) if k else F.array().cast(f"array<{dict(on.dtypes)['state']}>")
+    rows = runs.withColumn("ctx", ctx).withColumn("_n", F.row_number().over(inside)).repartitionByRange("workload", "t").withColumn("_range", F.spark_partition_id())
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    skip = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("workload", "t")) - 1 + F.col("_skip")
+    return rows.join(F.broadcast(skip), "_range").withColumn("event", number.cast("long")).where(F.col("_n") > k).select("workload", "t", "event", "ctx", "state")
 
 
 def transition_counts(events: DataFrame, order: list[str], state: str = "state") -> DataFrame:
-    return contexts(events, order, 1, state).groupBy(F.col("ctx").alias("from_state"), F.col(state).alias("to_state")).agg(F.count(F.lit(1)).alias("n"))
+    return contexts(events, order, 1, state).groupBy(F.get("ctx", F.lit(0)).alias("from_state"), F.col(state).alias("to_state")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def transition_matrix(counts: DataFrame, states: DataFrame, smoothing: float = 1.0) -> DataFrame:
@@ -75,6 +97,13 @@ def cadence(times: DataFrame) -> DataFrame:
     return steps.groupBy("workload").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").cast("long").alias("step"))
 
 
+def future_times(times: DataFrame, horizon: int) -> DataFrame:
+    """(workload, h, t): the horizon's times after each workload's last, by its cadence; a single time steps by 1."""
+    last = times.groupBy("workload").agg(F.max("t").alias("last")).join(cadence(times), "workload", "left")
+    h = last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return h.select("workload", "h", (F.col("last") + F.col("h") * F.coalesce("step", F.lit(1))).alias("t"))
+
+
 def degradation(metrics: DataFrame, keys: list[str], value: str, higher_better: bool) -> DataFrame:
     """Each h against the first h of its keys: positive is worse."""
     ref = F.first(value).over(Window.partitionBy(*keys).orderBy("h"))

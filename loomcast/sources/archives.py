@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import os
 import shutil
 import tarfile
@@ -43,15 +42,17 @@ def unpacked_member(archive: str, folder: str, suffix: str = ".csv") -> str:
     raise FileNotFoundError(f"no *{suffix} in {archive}")
 
 
-def first_line(path: str) -> str:
-    opener = gzip.open if path.endswith(".gz") else open
-    with opener(path, "rt", encoding="utf-8", errors="replace") as f:
-        return f.readline().rstrip("\r\n")
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, or of the first file of a folder by name, wherever Spark can read it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    first = lines.where("b = 0").select("f").agg(F.min("f")).first()[0]
+    row = spark.read.text(first).first() if first else None
+    return row[0].rstrip("\r") if row else ""
 
 
 def read_trace(spark: SparkSession, path: str, columns: list[str], marks: tuple[str, ...], delimiter: str = ",") -> DataFrame:
     """A CSV as text columns. Its first line is a header, and names the columns, if all marks are among its cells; else columns name them by place."""
-    head = [c.strip() for c in first_line(path).split(delimiter)]
+    head = [c.strip() for c in first_line(spark, path).split(delimiter)]
     named = set(marks) <= set(head)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (head if named else columns)])
     return spark.read.schema(schema).option("sep", delimiter).option("header", named).option("mode", "PERMISSIVE").csv(path)
@@ -145,13 +146,22 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
 
 
+def ten_digits(x: Column) -> Column:
+    """A double in at most ten significant digits as %.10g writes it, in the JVM; null and NaN are null."""
+    sci = F.format_string("%.9e", x)  # ten significant digits, rounded
+    mantissa, power = F.split_part(sci, F.lit("e"), F.lit(1)), F.split_part(sci, F.lit("e"), F.lit(2)).cast("int")
+    trimmed = lambda s: F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
+    plain = F.coalesce(*[F.when(power == p, F.format_string(f"%.{9 - p}f", sci.cast("double"))) for p in range(-4, 10)])
+    sign = F.when(power < 0, "-").otherwise("+")
+    wide = F.concat(trimmed(mantissa), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    wide = F.when(F.abs(power) > 99, F.concat(trimmed(mantissa), F.lit("e"), sign, F.abs(power).cast("string"))).otherwise(wide)
+    text = F.when(x == 0, F.lit("0")).when((power >= -4) & (power < 10), trimmed(plain)).otherwise(wide)
+    return F.when(x.isNotNull() & ~F.isnan(x), text)
+
+
 def write_numbers(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV sorted by order, with doubles in at most ten significant digits."""
-    @F.pandas_udf("string")
-    def text(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x != x else f"{x:.10g}")
-
-    df.orderBy(*order).select(*[text(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").option("header", True).csv(path)
+    df.orderBy(*order).select(*[ten_digits(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def union_all(tables: dict[str, DataFrame]) -> DataFrame:

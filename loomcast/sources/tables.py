@@ -59,6 +59,39 @@ def write_json(x, path: str) -> None:
     os.replace(part, path)
 
 
+def copy_whole(spark: SparkSession, source: str, to: str) -> None:
+    """A byte copy of a file that is there whole or not at all: written beside its place and renamed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf, a, b = spark._jsc.hadoopConfiguration(), path(source), path(to)
+    part = path(f"{to}.{uuid.uuid4().hex}")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), part, False, conf)
+    fs = b.getFileSystem(conf)
+    if fs.exists(b):
+        fs.delete(b, False)
+    if not fs.rename(part, b):
+        raise OSError(f"cannot rename to {to}")
+
+
+def link_table(rows: DataFrame, values: list[str], order: str) -> DataFrame:
+    """(src, dst, values, live): of repeated links the last by order; live where all values are finite and not all are 0."""
+    last = last_wins(rows.select("src", "dst", *values, order).dropna(subset=["src", "dst"]), ["src", "dst"], order)
+    live = sum((F.abs(v) for v in values[1:]), F.abs(values[0])) > 0
+    for v in values:
+        x = F.col(v).cast("double")
+        live = live & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return last.withColumn("live", F.coalesce(live, F.lit(False)))
+
+
+def deployment_nodes(rows: DataFrame, workloads: DataFrame, order: str) -> DataFrame:
+    """(workload, node) of the workloads asked for, each its first row by order. A workload without one is an error."""
+    found = first_wins(rows.select("workload", "node", order).dropna(subset=["workload", "node"]), ["workload"], order)
+    asked = workloads.select("workload").distinct()
+    lost = [r[0] for r in asked.join(found, "workload", "left_anti").orderBy("workload").limit(5).collect()]
+    if lost:
+        raise ValueError(f"workloads without a deployment: {lost}")
+    return asked.join(found, "workload")
+
+
 def manifest(df: DataFrame, keys: list[str]) -> DataFrame:
     """(rows, digest): an order-free fingerprint of a table's content."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)

@@ -53,7 +53,7 @@ class SourceSpec:
         return list(dict.fromkeys(wanted))
 
 
-def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+def read_source(spark: SparkSession, spec: SourceSpec | SideSpec) -> DataFrame:
     """The required columns only. CSV is read as text, so that dirty values fail no read; blank and short rows have null keys and go."""
     if spec.fmt == "csv":
         reader = spark.read.option("sep", spec.delimiter).option("mode", "PERMISSIVE").option("header", spec.header)
@@ -63,7 +63,7 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     return spark.read.format(spec.fmt).load(spec.path).select(*spec.required())
 
 
-def preflight(spark: SparkSession, spec: SourceSpec) -> dict:
+def preflight(spark: SparkSession, spec: SourceSpec | SideSpec) -> dict:
     """Whether the source exists, can be read and has the columns it declares."""
     report = {"path": spec.path, "readable": False, "columns": [], "missing": spec.required(), "ok": False}
     try:
@@ -78,15 +78,36 @@ def preflight(spark: SparkSession, spec: SourceSpec) -> dict:
     return report | {"readable": True, "columns": names, "missing": missing, "ok": not missing}
 
 
-def resolve(spark: SparkSession, specs: list[SourceSpec]) -> SourceSpec:
-    """The first source, in order of priority, that passes preflight."""
+def resolve(spark: SparkSession, specs: list[SourceSpec], needed: bool = True) -> SourceSpec | None:
+    """The first source, in order of priority, that passes preflight. None passes: an error, or None where it is not needed."""
     reports = [preflight(spark, s) for s in specs]
     for spec, report in zip(specs, reports):
         if report["ok"]:
             return spec
+    if not needed:
+        return None
     raise ValueError(f"no usable source: {reports}")
 
 
+@dataclass(frozen=True)
+class SideSpec:
+    """A deployment or link source: the columns it must have, and how to read it. preflight and resolve take it as well."""
+
+    path: str
+    wanted: tuple[str, ...]
+    fmt: str = "parquet"
+    header: bool = True
+    delimiter: str = ","
+    columns: tuple[str, ...] = ()
+
+    @property
+    def key(self) -> str:
+        return self.wanted[0]
+
+    def required(self) -> list[str]:
+        return list(self.wanted)
+
+
 def bucket(t: Column, size: int) -> Column:
     """Tumbling bucket of a time; floors below zero too."""
     return F.floor(t / size).cast("long")
