@@ -183,7 +183,7 @@ def transition_matrix(spark, d):
 
 @query("SELECT c || '>' || b || '>' || a AS ctx, state, count(*) AS n FROM x WHERE c IS NOT NULL GROUP BY 1, 2", f"{S}, {_CTX}")
 def context_counts(spark, d):
-    return sequences.contexts(u.states(spark, d), ORDER, 3).groupBy("ctx", "state").agg(F.count(F.lit(1)).alias("n"))
+    return sequences.contexts(u.states(spark, d), ORDER, 3).groupBy(F.array_join("ctx", ">").alias("ctx"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT workload, state, round(sum(exp(-0.02 * (now - t))), 6) AS weight FROM s, (SELECT max(t) AS now FROM s) WHERE t < now AND t >= now - 15 GROUP BY 1, 2", S)
@@ -279,7 +279,7 @@ def blend_forecast(spark, d):
     now = s.agg(F.max("t")).first()[0] or 0
     back = markov.backoff(s, ORDER, s.select("state").distinct(), now, 2, "flat", 0.02, 20)
     matrix = sequences.transition_matrix(sequences.transition_counts(s.where(F.col("t") < now), ORDER), s.select("state").distinct())
-    mu = markov.current_contexts(s, ORDER, 1, now).select("workload", F.col("ctx").alias("state"), F.lit(1.0).alias("mu"))
+    mu = markov.current_contexts(s, ORDER, 1, now).select("workload", F.get("ctx", F.lit(0)).alias("state"), F.lit(1.0).alias("mu"))
     return markov.blended(markov.dynamic(mu, matrix), back)
 
 
@@ -412,16 +412,15 @@ def degree_stats(spark, d):
 
 @query("SELECT src, count(*) AS indirect FROM (SELECT DISTINCT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) r WHERE NOT EXISTS (SELECT 1 FROM adj c WHERE c.src = r.src AND c.dst = r.dst) GROUP BY 1", DEP)
 def two_hop_counts(spark, d):
-    return graph.two_hop(graph.adjacency(u.deployment(spark, d))).groupBy("src").agg(F.count(F.lit(1)).alias("indirect"))
+    reach = graph.within_two(graph.adjacency(u.deployment(spark, d)), _store)
+    return reach.where("reached > direct").select("src", (F.col("reached") - F.col("direct")).alias("indirect"))
 
 
 def _store(df: DataFrame) -> DataFrame:
     """An iteration's rows, checkpointed to the cluster's shared folder."""
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomcast-"))
+        sc.setCheckpointDir(u.shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -532,9 +531,9 @@ def summary_stats(spark, d):
     return metrics.summary(_by_h(spark, d), ["k"], "v")
 
 
-@query("SELECT * FROM (VALUES ('membership_mae', 'lower'), ('f1_macro', 'higher'), ('gain_mae', 'lower'), ('bias', NULL), ('ece', 'lower')) v(name, direction)")
+@query("SELECT * FROM (VALUES ('membership_mae', 'lower'), ('f1_macro', 'higher'), ('Gain_MAE', 'lower'), ('bias', NULL), ('peak_memory_mb', 'lower'), ('elapsed_seconds', 'lower'), ('cosine_similarity', 'higher'), ('mean_entropy', NULL), ('coverage', NULL), ('R2', 'higher'), ('error_recall', 'lower'), ('ece', 'lower')) v(name, direction)")
 def metric_direction(spark, d):
-    names = spark.createDataFrame([(x,) for x in ("membership_mae", "f1_macro", "gain_mae", "bias", "ece")], "name string")
+    names = spark.createDataFrame([(x,) for x in ("membership_mae", "f1_macro", "Gain_MAE", "bias", "peak_memory_mb", "elapsed_seconds", "cosine_similarity", "mean_entropy", "coverage", "R2", "error_recall", "ece")], "name string")
     return names.withColumn("direction", metrics.direction(F.col("name")))
 
 
@@ -548,7 +547,7 @@ def union_missing_cols(spark, d):
 
 @query("SELECT src, count(*) AS reached FROM (SELECT src, dst FROM adj UNION SELECT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1", DEP)
 def reachable_2(spark, d):
-    return graph.reachable(graph.adjacency(u.deployment(spark, d)), 2).groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
+    return graph.within_two(graph.adjacency(u.deployment(spark, d)), _store).select("src", "reached")
 
 
 @query("SELECT DISTINCT workload, md5(workload::VARCHAR) AS digest FROM u ORDER BY digest, workload LIMIT 25", U)
@@ -572,7 +571,7 @@ def gd_transition(spark, d):
     code = {s: i for i, s in enumerate(sorted(r[0] for r in u.states(spark, d).select("state").distinct().collect()))}
     k = len(code)
     m = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
-    rows = sequences.contexts(u.states(spark, d), ORDER, 1).select(m[F.col("ctx")].alias("i"), m[F.col("state")].alias("y"))
+    rows = sequences.contexts(u.states(spark, d), ORDER, 1).select(m[F.get("ctx", F.lit(0))].alias("i"), m[F.col("state")].alias("y"))
     rows = rows.select(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (j == F.col("i")).cast("double")).alias("x"), "y")
     _, losses = forecast.train_kernel(rows, k, k, epochs=5)
     return spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "epoch int, loss double")
@@ -596,7 +595,7 @@ def learned_forecast(spark, d):
     s = u.states(spark, d)
     code = {r[0]: i for i, r in enumerate(s.select("state").distinct().orderBy("state").collect())}
     one_hot = {name: F.array(*[(F.col(c) == x).cast("double") for x in code]) for name, c in (("mu", "ctx"), ("target", "state"))}
-    pairs = sequences.contexts(s, ORDER, 1)
+    pairs = sequences.contexts(s, ORDER, 1).withColumn("ctx", F.get("ctx", F.lit(0)))
     last = pairs.groupBy("workload", "t").agg(F.max_by(F.struct("ctx", "state"), F.struct(*ORDER)).alias("r")).select("workload", "t", "r.*")
     rows = last.select("workload", "t", F.lit(1).alias("h"), *(c.alias(n) for n, c in one_hot.items()), F.lit(None).cast("array<double>").alias("back"))
     packed = learn.pack_slots(rows, ingest.majority_node(u.usage(spark, d)))

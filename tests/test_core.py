@@ -114,7 +114,7 @@ def test_decayed_range_equals_a_scan(spark):
 def test_runs_and_contexts(spark):
     s = spark.createDataFrame([(1, t, t not in (2, 5), "abcdefg"[t]) for t in range(7)], "workload int, t long, input_valid boolean, state string")
     assert sorted((r.run_start, r.run_end) for r in sequences.active_runs(s).collect()) == [(0, 1), (3, 4), (6, 6)]
-    assert [r.ctx for r in sequences.contexts(s.where("input_valid"), ["t"], 2).orderBy("t").collect()] == ["a>b", "b>d", "d>e"]
+    assert [r.ctx for r in sequences.contexts(s.where("input_valid"), ["t"], 2).orderBy("t").collect()] == [["a", "b"], ["b", "d"], ["d", "e"]]
 
 
 def test_graphs(spark):
