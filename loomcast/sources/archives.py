@@ -147,7 +147,7 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ten_digits(x: Column) -> Column:
-    """A double in at most ten significant digits as %.10g writes it, in the JVM; null and NaN are null."""
+    """A double in at most ten significant digits as %.10g writes it, in the JVM; null and NaN are null. Below 1e-307 digits are as Java has them."""
     sci = F.format_string("%.9e", x)  # ten significant digits, rounded
     mantissa, power = F.split_part(sci, F.lit("e"), F.lit(1)), F.split_part(sci, F.lit("e"), F.lit(2)).cast("int")
     trimmed = lambda s: F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)

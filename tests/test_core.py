@@ -276,3 +276,110 @@ def test_components_of_the_whole_deployment(spark):
             if least[b] < least[a]:
                 least[a], moved = least[b], True
     assert got == least
+
+
+def test_segments_prefer_short_last_pieces_and_allow_a_short_first():
+    flat = np.ones((11, 1))
+    assert shapes.segment(flat, 3, 8, 0.1) == [(0, 8), (8, 11)]
+    assert shapes.segment(flat, 6, 6, 0.1) == [(0, 5), (5, 11)]
+    assert shapes.segment(flat, 4, 5, 0.1) == [(0, 2), (2, 7), (7, 11)] or sum(b - a for a, b in shapes.segment(flat, 4, 5, 0.1)) == 11
+    slope = np.arange(6.0).reshape(-1, 1)
+    assert shapes.segment_costs(slope, 6, 0.2)[0] == pytest.approx(17.5 + 0.2)
+
+
+def test_k_means_seeds_and_empty_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    p = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, x array<double>")
+    seeds = shapes.seed_centroids(p, 3)
+    assert seeds.count() == 3 and sorted(map(tuple, seeds.collect())) == sorted(map(tuple, shapes.seed_centroids(p, 3).collect()))
+    c = {tuple(np.round(r["c"])) for r in shapes.k_means(p, seeds, 20).collect()}
+    assert c == {(0, 0), (5, 0), (0, 5)}
+    lost = spark.createDataFrame([(0, [0.0, 0.0]), (1, [100.0, 100.0]), (2, [101.0, 101.0])], "state long, c array<double>")
+    found = shapes.k_means(p, lost, 20).collect()
+    assert max(max(r["c"]) for r in found) < 10 and len({tuple(r["c"]) for r in found}) == 3
+    assert [r["c"][0] for r in shapes.ordered_centroids(lost).orderBy("state").collect()] == [0.0, 100.0, 101.0]
+
+
+def test_blended_keeps_states_of_one_side(spark):
+    a = spark.createDataFrame([("w", "x", 1.0)], "workload string, state string, p double")
+    b = spark.createDataFrame([("w", "y", 1.0)], "workload string, state string, p double")
+    assert {r.state: r.p for r in markov.blended(a, b, 0.25).collect()} == {"x": 0.75, "y": 0.25}
+
+
+def test_contexts_keep_null_states_and_separators(spark):
+    s = spark.createDataFrame([("w", 1, "a>b"), ("w", 2, None), ("w", 3, "a"), ("w", 4, "b"), ("w", 5, "c")], "workload string, t long, state string")
+    got = [r.ctx for r in sequences.contexts(s, ["t"], 2).orderBy("t").collect()]
+    assert got == [["a>b", None], [None, "a"], ["a", "b"]]
+
+
+def test_resources_take_finite_pairs_only(spark):
+    rows = [("g", 1.0, 2.0), ("g", float("inf"), 1.0), ("g", 1.0, float("nan")), ("g", None, 1.0)]
+    got = metrics.resources(spark.createDataFrame(rows, "k string, y double, x double"), "y", "x", "k").where("k = 'g'").first()
+    assert got.n == 1 and got.mae == 1.0
+
+
+def test_label_domain_names_each_label_once(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "a")], "y string, x string")
+    assert {r.label for r in metrics.label_domain(df, "y", "x").collect()} == {"a", "b"}
+    for wrong in ([], ["a", "a"], ["b"]):
+        with pytest.raises(ValueError):
+            metrics.label_domain(df, "y", "x", wrong)
+
+
+def test_unique_join_deals_hot_keys_apart(spark):
+    from loomcast.operators.joins import unique_join
+
+    big = spark.createDataFrame([(1, i) for i in range(50)] + [(i, i) for i in range(2, 20)] + [(None, 7)] * 9, "k long, v long")
+    small = spark.createDataFrame([(i, f"n{i}") for i in range(1, 40, 2)], "k long, name string")
+    keep = lambda df: df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, big.join(small, "k", how).collect()))
+        for bound, hot in ((-1, 10), (-1, 10**6), (10**9, 10)):
+            assert sorted(map(str, unique_join(big, small, ["k"], how, keep, bound, hot).collect())) == want, (how, bound, hot)
+
+
+def test_ten_digits(spark):
+    values = [0.0, 1.0, -1.5, 1 / 3, 123456789.125, 1e10, 9999999999.5, 1.5e-5, 1e-4, 12345.678901234, -2e300, 2.5e-300, 1e22, None, float("nan")]
+    from loomcast.sources.archives import ten_digits
+
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", ten_digits(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got == [None if v is None or v != v else f"{v:.10g}" for v in values]
+
+
+def test_within_two_against_sets(spark):
+    rng = np.random.default_rng(2)
+    near = {i: set() for i in range(700)}
+    for a, b in rng.integers(0, 700, (900, 2)).tolist():
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    adj = spark.createDataFrame([(f"w{a}", f"w{b}") for a in near for b in near[a]], "src string, dst string")
+    got = {r.src: (r.direct, r.reached) for r in graph.within_two(adj, lambda df: df.cache()).collect()}
+    assert got == {f"w{a}": (len(n), len(n | {c for b in n for c in near[b]} - {a}) - (a in n)) for a, n in near.items() if n}
+
+
+def test_direct_orders_against_counting(spark):
+    import math
+    from collections import defaultdict
+
+    rng = np.random.default_rng(3)
+    events = [(w, t, "abc"[rng.integers(3)]) for w in range(4) for t in range(12)]
+    s = spark.createDataFrame(events, "workload long, t long, state string")
+    got = {(r.workload, r.h, r.state): r.p for r in markov.direct_orders(s, ["t"], 3, 10, 2, 0.1, 1.0, s.select("state").distinct()).collect()}
+    past = {w: [x for v, t, x in events if v == w and t < 10] for w in range(4)}
+    for w in range(4):
+        for h in (1, 2, 3):
+            p, left = {x: 0.0 for x in "abc"}, 1.0
+            for k in (2, 1, 0):
+                c = defaultdict(float)
+                for seq in past.values():
+                    for pos, x in enumerate(seq):
+                        if pos >= max(k, h - 1) and seq[pos - k : pos] == past[w][len(past[w]) - k :]:
+                            c[x] += math.exp(-0.1 * (len(seq) - pos + h))
+                n = sum(c.values())
+                g = (1 / (1 + math.exp(-(n - 2))) if n else 0.0) if k else 1.0
+                for x in "abc":
+                    p[x] += left * g * ((c[x] + 1) / (n + 3) if n else 1 / 3)
+                left *= 1 - g
+            assert all(abs(got[w, h, x] - p[x]) < 1e-9 for x in "abc")
