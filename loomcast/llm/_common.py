@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,28 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+#: A hash is hot when this share of documents has it, or so many documents where that is fewer; such documents seen in the
+#: sample that finds it; hot hashes at most, a bound on what each task holds of them.
+HOT_SHARE, HOT_DOCS, SEEN, HOT_MOST = 0.004, 10_000, 32, 1 << 20
+
+
+def hot_hashes(docs: DataFrame, rows: int, look, seed: int) -> np.ndarray:
+    """Sorted hashes that many documents have, by a count over a sample whose rate follows from the bound and not from a fixed size.
+
+    look makes rows (h) of texts, one for each of a document's hashes. It is a plan of where rows travel, and
+    decides nothing. Were there more than HOT_MOST, only those above twice, four times.. the bound are taken.
+    """
+    bound = max(1.0, min(HOT_SHARE * rows, HOT_DOCS))
+    rate = min(1.0, SEEN / bound)
+    least = max(20, int(bound * rate))
+    while True:
+        n = docs.select("text").sample(False, rate, seed).mapInPandas(look, "h long").groupBy("h").count()
+        got = n.where(F.col("count") >= least).select("h").limit(HOT_MOST + 1).collect()
+        if len(got) <= HOT_MOST:
+            return np.sort(np.array([r[0] for r in got], np.int64).astype(np.uint64))
+        least *= 2
+
+
 def id_in() -> "F.Column":
     """doc_id with NULL_ID for null: pandas would turn a column with nulls into floating point."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")

@@ -23,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, join_checked, stored
+from ._common import NULL_ID, hot_hashes, join_checked, stored
 
 #: Bytes of text hashed at a time, bytes of text in a chunk, and bytes of packed strings meant for a bucket.
 PIECE, CHUNK, BUCKET = 1 << 20, 16 << 20, 6 << 20
-#: Documents in the sample that finds frequent minimisers, and the share of them that makes one frequent.
-SAMPLE, FREQUENT = 8_000, 0.004
+#: A text of more bytes is cut into stretches that overlap by a window less one unit.
+LONG = 8 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A key holds a gram's hash above and its place below.
 _AT = np.uint64((1 << 32) - 1)
@@ -65,6 +65,31 @@ class Windows:
         return b" ".join(words), np.concatenate([[0], ends[:-1] + 1]) if len(words) else ends, ends
 
 
+def stretches(spec: Windows, text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+    """(unit, stretch): consecutive stretches of about size bytes, each with the units that windows begun in it reach into."""
+    if not spec.words:
+        for at in range(0, max(len(text) - spec.k + 1, 1), size):
+            yield at, text[at : at + size + spec.k - 1]
+        return
+    at = unit = 0
+    while at < len(text):
+        end = _word_end(text, at + size)
+        own, reach = text[at:end], end
+        for _ in range(spec.k - 1):  # k - 1 words more
+            while reach < len(text) and text[reach : reach + 1].isspace():
+                reach += 1
+            reach = _word_end(text, reach)
+        yield unit, text[at:reach]
+        at, unit = end, unit + len(own.split())
+
+
+def _word_end(text: bytes, at: int) -> int:
+    """The first white space at or after a place."""
+    while at < len(text) and not text[at : at + 1].isspace():
+        at += 1
+    return min(at, len(text))
+
+
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * _A)
 
 
@@ -149,7 +174,7 @@ class Piece:
 
 
 def frequent(docs: DataFrame, spec: Windows, rows: int) -> np.ndarray:
-    """Hashes of minimisers that FREQUENT of at most about SAMPLE sampled documents have; their number is at most that of a document's minimisers divided by FREQUENT."""
+    """Hashes of minimisers that many documents have."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,11 +183,7 @@ def frequent(docs: DataFrame, spec: Windows, rows: int) -> np.ndarray:
                 each = np.unique(np.stack([p.doc.astype(np.uint64), p.hash]), axis=1)[1] if len(p.hash) else p.hash
                 yield pd.DataFrame({"h": each.astype(np.int64)})
 
-    share = min(1.0, SAMPLE / max(rows, 1))
-    seen = docs.select("text").sample(False, share, 17).mapInPandas(look, "h long")
-    least = max(20, int(FREQUENT * min(rows, SAMPLE)))
-    got = seen.groupBy("h").count().where(F.col("count") >= least).collect()
-    return np.sort(np.array([r[0] for r in got], np.int64).astype(np.uint64))
+    return hot_hashes(docs, rows, look, 17)
 
 
 def pack(x) -> bytes:
@@ -244,6 +265,22 @@ def scatter(spec: Windows, hot: np.ndarray, buckets: int, classes: Classes | Non
         for b in batches:
             for i, m, t in zip(b["_id"].tolist(), b["_t"].tolist(), b["text"]):
                 raw = (t or "").encode("utf-8", "replace")
+                if len(raw) > LONG:
+                    piece()
+                    for unit, part in stretches(spec, raw, LONG // 4):
+                        if size >= CHUNK // (1 if spec.words else 2):
+                            yield from flush(ids, marks, pieces)
+                            ids, marks, pieces, size = [], [], [], 0
+                        ids.append(i)
+                        marks.append(m)
+                        p = Piece(spec, [part])
+                        p.split(spec, hot)
+                        p.seal(spec)
+                        p.rel += unit
+                        pieces.append((p, len(ids) - 1))
+                        size += len(part)
+                    base = len(ids)
+                    continue
                 if held and held + len(raw) > PIECE:
                     piece()
                     if size >= CHUNK // (1 if spec.words else 2):

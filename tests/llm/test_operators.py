@@ -97,6 +97,29 @@ def test_frequent_minimisers_are_split_without_loss(spark, monkeypatch):
     assert split[0] == 0 and all(60 <= split[i] <= 62 for i in range(1, 120))  # a neighbouring word may agree by chance
 
 
+def test_long_texts_are_cut_into_overlapping_stretches(monkeypatch):
+    import pandas as pd
+
+    from loomcast.llm import _superkmers
+
+    rng = random.Random(9)
+    passage = prose(rng, 120)
+    rows = [(1, "  " + prose(rng, 700) + " " + passage + "\n" + prose(rng, 300) + " "), (2, prose(rng, 90) + " " + passage + " " + prose(rng, 900)), (3, passage), (4, "x" * 5000 + " " + prose(rng, 60)), (5, "")]
+    batch = pd.DataFrame([(i, 0, t) for i, t in rows], columns=["_id", "_t", "text"])
+
+    def spans(spec, *how):
+        sent = pd.concat(_superkmers.scatter(spec, np.zeros(0, np.uint64), 2, *how[1:])(iter([batch])))
+        found = pd.concat([_superkmers.bucket_of(spec, how[0], 1, *how[1:])((b,), g) for b, g in sent.groupby("bucket")])
+        got = _superkmers.merged(0, found)
+        return {i: (np.frombuffer(a, np.int32).tolist(), np.frombuffer(b, np.int32).tolist()) for i, a, b in zip(got["_id"], got["span_from"], got["span_to"])}
+
+    for spec, *how in ((suffix_dedup.BYTES, suffix_dedup.resolve, suffix_dedup.whole_classes), (kmer_dedup.WORDS, kmer_dedup.resolve)):
+        monkeypatch.setattr(_superkmers, "LONG", 1 << 30)
+        whole = spans(spec, *how)
+        monkeypatch.setattr(_superkmers, "LONG", 1200)
+        assert spans(spec, *how) == whole and {2, 3} <= set(whole)
+
+
 def test_hash_collisions_do_not_join_different_suffixes(monkeypatch):
     """With every prefix hash equal, verification on the bytes still tells windows apart."""
     from loomcast.llm._superkmers import Strings
