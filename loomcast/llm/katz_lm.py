@@ -108,6 +108,15 @@ def _plain(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
+def _counts(n: np.ndarray) -> bytes:
+    """Counts of the corpus, which 32 bits may not hold, as byte planes."""
+    return np.ascontiguousarray(n.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _counted(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _edges(*columns: np.ndarray) -> np.ndarray:
     """Where any of the columns changes, 0 first."""
     if not len(columns[0]):
@@ -261,6 +270,7 @@ def _count(lexicon, merges: int) -> Callable:
     """A bucket: counts trigrams, adds up what tokens of seen trigrams give their documents, keeps the rest for later."""
 
     def run(key, blobs: pd.DataFrame) -> pd.DataFrame:
+        release()  # what the bucket before left
         lex, bucket = lexicon.value, int(key[0])
         out, got = [], []
         for kind, blob in zip(blobs["kind"], blobs["blob"]):
@@ -276,26 +286,32 @@ def _count(lexicon, merges: int) -> Callable:
         for _, docs, bits, own, v, per_v, u, per_ctx, w, per_gram, doc, times in got:
             at = np.searchsorted(rare, own)
             known = lambda x: np.where(x <= CODES, x, CODES + 1 + np.append(at, 0)[np.maximum(x - CODES - 1, 0)])  # noqa: E731, B023
-            vs.append(np.repeat(np.repeat(known(v), per_v), per_ctx).astype(np.int32))
-            us.append(np.repeat(known(u), per_ctx).astype(np.int32))
+            vs.append(np.repeat(np.repeat(known(v).astype(np.int32), per_v), per_ctx))
+            us.append(np.repeat(known(u).astype(np.int32), per_ctx))
             ws.append(known(w).astype(np.int32))
             train = np.unpackbits(np.frombuffer(bits, np.uint8), count=docs)
             trained.append(np.add.reduceat(train[doc] * times, np.cumsum(per_gram) - per_gram))
+        got = [(g[0], len(g[8]), g[9], g[10].astype(np.uint16), g[11]) for g in got]
         top = np.int64(CODES + 1 + len(rare))
         ctx, of = np.unique(np.concatenate(vs) * top + np.concatenate(us), return_inverse=True)
+        del us, vs
         gram, at = np.unique(of * top + np.concatenate(ws), return_inverse=True)
-        del us, vs, ws, of
-        c = np.bincount(at, np.concatenate(trained), len(gram)).astype(np.int64)
-        gc, gw = gram // top, gram % top
-        cv, cu = ctx // top, ctx % top
+        del ws, of
+        at, grams = at.astype(np.int32), len(gram)
+        c = np.bincount(at, np.concatenate(trained), grams).astype(np.int64)
+        gc, gw = (gram // top).astype(np.int32), (gram % top).astype(np.int32)
+        cv, cu = (ctx // top).astype(np.int32), (ctx % top).astype(np.int32)
+        del trained, gram, ctx
         three = (cu != NONE)[gc]
-        contexts = _Contexts(gc, np.where(three, c, 0), len(ctx))
+        totals = _Contexts(gc, np.where(three, c, 0), len(cv)).total
         tri = np.bincount(np.minimum(c[three], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         # bigrams: whole for a middle word that lies here alone, else to be added up
         gv = cv[gc]
-        pair, of = np.unique(gv[gv != NONE] * top + gw[gv != NONE], return_inverse=True)
-        c2 = np.bincount(of, c[gv != NONE], len(pair)).astype(np.int64)
-        pv, pw = pair // top, pair % top
+        has = np.flatnonzero(gv != NONE)
+        pair, of = np.unique(gv[has] * top + gw[has], return_inverse=True)
+        c2 = np.bincount(of, c[has], len(pair)).astype(np.int64)
+        pv, pw = (pair // top).astype(np.int32), (pair % top).astype(np.int32)
+        del gv, has, pair, of
         spread = np.append(lex.hot, np.zeros(len(rare), bool))[pv]
         two = np.bincount(np.minimum(c2[~spread], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         out.append(("stats", 0, 0, pack((tri.tolist(), two.tolist()))))
@@ -308,31 +324,29 @@ def _count(lexicon, merges: int) -> Callable:
         e1, e2 = _ranges(h1, merges), _ranges(h2, merges)
         for k in range(merges):
             x, y = slice(e1[k], e1[k + 1]), slice(e2[k], e2[k + 1])
-            out.append(("ask", k, bucket, pack((pack_sorted(h1[x]), _planes(n1[x]), pack_sorted(h2[y]), _planes(v2[y]), _planes(n2[y])))))
+            out.append(("ask", k, bucket, pack((pack_sorted(h1[x]), _counts(n1[x]), pack_sorted(h2[y]), _planes(v2[y]), _counts(n2[y])))))
         seen = three & (c > 0)
-        value = np.where(seen, _logs(c) - np.log10(np.maximum(contexts.total[gc], 1e-300)), 0.0)
-        base = np.append(_logs(lex.counts + 1), np.zeros(int(top) - len(lex.counts), np.float32))[gw]
-        sure = (gw < len(lex.hashes)).astype(float)
+        del c2, pv, pw, spread
+        base = np.append(_logs(lex.counts + 1), np.zeros(len(rare)))
         open_ = np.flatnonzero(~seen)
-        place = np.full(len(gram), -1)
+        place = np.full(grams, -1, np.int32)
         place[open_] = np.arange(len(open_))
         late, lo = [], 0
-        for number, _, _, _, _, _, _, _, w, per_gram, doc, times in got:
-            g = np.repeat(at[lo : lo + len(w)], per_gram)
-            lo += len(w)
-            t = times.astype(float)
-            low = [np.where(seen[g] & (c[g] == r), t, 0) for r in range(1, CUT + 1)]
-            out.append(_sums(number, doc, [value[g] * t, base[g] * t], [sure[g] * t, *low]))
+        for number, n, per_gram, doc, times in got:
+            g = np.repeat(at[lo : lo + n], per_gram)
+            lo += n
+            t, cg, ok = times.astype(float), c[g], seen[g]
+            value = np.where(ok, _logs(cg) - np.log10(np.maximum(totals[gc[g]], 1e-300)), 0.0)
+            low = [np.where(ok & (cg == r), t, 0) for r in range(1, CUT + 1)]
+            out.append(_sums(number, doc, [value * t, base[gw[g]] * t], [(gw[g] < len(lex.hashes)) * t, *low]))
             wait, scarce = place[g] >= 0, gw[g] > CODES
             if wait.any() or scarce.any():
                 late.append((number, doc[wait].astype(np.uint16), _planes(times[wait]), _planes(place[g[wait]]), doc[scarce].astype(np.uint16), _planes(times[scarce]), _planes(gw[g[scarce]] - CODES - 1)))
         # the bucket's tables, as they are stored: contexts, and of each its words with counts
         keep = np.flatnonzero(c > 0)
         used = np.unique(gc[keep])
-        blob = pack((pack_sorted(rare), _planes(cv[used]), _planes(cu[used]), _planes(np.bincount(np.searchsorted(used, gc[keep]), minlength=len(used))), _planes(gw[keep]), _planes(c[keep]), _planes(cv[gc[open_]]), _planes(cu[gc[open_]]), _planes(gw[open_]), late, _planes(asked - CODES - 1), pack_sorted(h2), _planes(v2)))
+        blob = pack((pack_sorted(rare), _planes(cv[used]), _planes(cu[used]), _planes(np.bincount(np.searchsorted(used, gc[keep]), minlength=len(used))), _planes(gw[keep]), _counts(c[keep]), _planes(cv[gc[open_]]), _planes(cu[gc[open_]]), _planes(gw[open_]), late, _planes(asked - CODES - 1), pack_sorted(h2), _planes(v2)))
         out.append(("late", bucket, 0, blob))
-        del got, trained, at, gram
-        release()
         return pd.DataFrame(out, columns=COLUMNS)
 
     return run
@@ -343,7 +357,7 @@ def _merge(lexicon) -> Callable:
 
     def run(key, asks: pd.DataFrame) -> pd.DataFrame:
         lex, got = lexicon.value, [unpack(b) for b in asks["blob"]]
-        h1, n1, h2, v2, n2 = ([unpack_sorted(g[i]) if i in (0, 2) else _plain(g[i]) for g in got] for i in range(5))
+        h1, n1, h2, v2, n2 = ([read(g[i]) for g in got] for i, read in enumerate((unpack_sorted, _counted, unpack_sorted, _plain, _counted)))
         words_, at1 = np.unique(np.concatenate(h1), return_inverse=True)
         c1 = np.bincount(at1, np.concatenate(n1), len(words_)).astype(np.int64)
         w, v = np.concatenate(h2), np.concatenate(v2)
@@ -362,7 +376,7 @@ def _merge(lexicon) -> Callable:
         out = [("spread", int(key[0]), 0, pack((mids.tolist(), np.stack(table, 1).tolist(), two.tolist())))]
         lo1 = lo2 = 0
         for place, x, y in zip(asks["place"].tolist(), h1, h2):
-            out.append(("answer", place, int(key[0]), pack((_planes(c1[at1[lo1 : lo1 + len(x)]]), _planes(c2[at2[lo2 : lo2 + len(y)]])))))
+            out.append(("answer", place, int(key[0]), pack((_counts(c1[at1[lo1 : lo1 + len(x)]]), _counts(c2[at2[lo2 : lo2 + len(y)]])))))
             lo1, lo2 = lo1 + len(x), lo2 + len(y)
         release()
         return pd.DataFrame(out, columns=COLUMNS)
@@ -388,11 +402,12 @@ class _Model:
     def __init__(self, lex: Lexicon, blob: bytes, answers: list[bytes], d2: np.ndarray, d3: np.ndarray, total: int, spread: dict):
         t = unpack(blob)
         self.lex, self.rare, self.total, self.late = lex, unpack_sorted(t[0]), total, t[9]
-        self.cv, self.cu, per, self.w, self.c = (_plain(x).astype(np.int64) for x in t[1:6])
+        self.cv, self.cu, per, self.w = (_plain(x).astype(np.int64) for x in t[1:5])
+        self.c = _counted(t[5])
         self.open = tuple(_plain(x).astype(np.int64) for x in t[6:9])
         top = self.top = np.int64(CODES + 1 + len(self.rare))
         got = [unpack(b) for b in answers]
-        n1, n2 = (np.concatenate([_plain(g[i]) for g in got]) for i in range(2))
+        n1, n2 = (np.concatenate([_counted(g[i]) for g in got]) for i in range(2))
         self.count = np.concatenate([lex.counts, np.zeros(len(self.rare), np.int64)])
         self.count[_plain(t[10]) + CODES + 1] = n1
         self.p1 = (self.count + 1) / total
