@@ -22,14 +22,18 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
     return rows.withWatermark("ts", late).groupBy("workload", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select("workload", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> DataFrame:
+def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int, idle: int = 86_400_000) -> DataFrame:
     """(ctx, t, counts): per context the decayed counts of states as of each batch's last time.
 
     Input is (ctx, t long, state int). A context keeps its recent events only: what is older than max_age
-    leaves the state. Events that arrive out of order within max_age are sorted in.
+    leaves the state. Events that arrive out of order within max_age are sorted in. A context without any
+    event for idle milliseconds of the clock leaves the state whole; should it come again, it begins anew.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         t, s = (list(x) for x in state.get) if state.exists else ([], [])
         for b in batches:
             t, s = t + b["t"].tolist(), s + b["state"].tolist()
@@ -38,7 +42,8 @@ def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> D
         keep = t >= t[-1] - max_age
         t, s = t[keep], s[keep]
         state.update((t.tolist(), s.tolist()))
+        state.setTimeoutDuration(idle)
         counts = np.bincount(s, np.exp(-decay * (t[-1] - t)), states)
         yield pd.DataFrame({"ctx": [key[0]], "t": [int(t[-1])], "counts": [counts.tolist()]})
 
-    return rows.groupBy("ctx").applyInPandasWithState(step, "ctx string, t long, counts array<double>", "t array<long>, s array<int>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("ctx").applyInPandasWithState(step, "ctx string, t long, counts array<double>", "t array<long>, s array<int>", "update", GroupStateTimeout.ProcessingTimeTimeout)
