@@ -75,19 +75,23 @@ def _real(planes: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """What every task knows of words: hashes and training counts of the commonest, and which middle words are spread."""
+    """What every task knows of words: hashes and training counts of the commonest, and which middle words are spread.
+
+    hashes come by falling count, so that common words have small codes: their high bytes compress.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, hot: np.ndarray):
-        order = np.argsort(hashes)
-        fill = CODES + 1 - len(order)
-        self.hashes, self.counts, self.hot = hashes[order], np.pad(counts[order], (0, fill)), np.pad(np.isin(hashes[order], hot), (0, fill))
+        fill = CODES + 1 - len(hashes)
+        self.hashes, self.counts, self.hot = hashes, np.pad(counts, (0, fill)), np.pad(np.isin(hashes, hot), (0, fill))
+        self._code = np.argsort(hashes)
+        self._sorted = hashes[self._code]
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Codes of hashes, -1 for those that are not among the commonest."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        at = np.minimum(np.searchsorted(self._sorted, h), len(self.hashes) - 1)
+        return np.where(self._sorted[at] == h, self._code[at], -1)
 
     def ids(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """Codes of hashes, beyond them places among the rare."""
@@ -151,14 +155,14 @@ class _Chunk:
         n = np.array([len(x) + 1 for x in self.ids], np.int64)
         yield number % buckets, "docs", pack((number, ids, held, n))
         bits = np.packbits(~held).tobytes()
-        # local words: 0 for none, 1 for the end; renumbered by bucket so that sorting by word sorts by bucket
+        # local words: 0 for none, 1 for the end; renumbered by bucket, then code, so that sorting by word sorts by both
         h = np.concatenate([np.array([0, END], np.uint64), np.fromiter((_name(x) for x in self.known), np.uint64, len(self.known))])
         to = (mixed(h * _G) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((h[1:], to[1:])) + 1
+        code = lexicon.codes(h)
+        order = np.lexsort((h[1:], np.where(code < 0, CODES, code)[1:], to[1:])) + 1
         rank = np.zeros(len(h), np.int32)
         rank[order] = np.arange(1, len(h), dtype=np.int32)
-        h, to = np.concatenate([h[:1], h[order]]), np.concatenate([to[:1], to[order]])
-        code = lexicon.codes(h)
+        h, to, code = (np.concatenate([x[:1], x[order]]) for x in (h, to, code))
         code[0] = NONE
         hot = lexicon.hot[code] & (code >= 0)
         end = np.ones(1, np.int32)
