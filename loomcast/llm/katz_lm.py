@@ -520,6 +520,23 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return stored(counted.groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
 
 
+def commonest(unigrams: DataFrame, most: int) -> pd.DataFrame:
+    """At most `most` of the commonest words (w, n), by falling count; the driver receives about so many rows however large the table is.
+
+    Counts are grouped by their nine leading bits, which makes 15 000 groups at most; groups are taken from the
+    top, and of the first that is too large a share by hash. Which words get in decides how they are written,
+    never what is counted.
+    """
+    group = F.expr("shiftleft(shiftright(n, greatest(0, length(bin(n)) - 9)), greatest(0, length(bin(n)) - 9))")
+    hist = unigrams.groupBy(group.alias("n")).agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)
+    upto = hist["words"].cumsum()
+    if (upto > most).any():
+        n, words_, above = (int(x[upto > most].iloc[0]) for x in (hist["n"], hist["words"], upto - hist["words"]))
+        mine = F.pmod(F.xxhash64("w"), F.lit(1 << 30)) < (most - above) * (1 << 30) // words_
+        unigrams = unigrams.where((group > n) | ((group == n) & mine))
+    return unigrams.select("w", "n").toPandas().sort_values(["n", "w"], ascending=[False, True]).head(most)
+
+
 class _Fitted:
     """Stored counts of a corpus and what follows from them for all buckets."""
 
@@ -532,7 +549,7 @@ class _Fitted:
         self.unigrams = unigrams(docs)
         self.tokens, known = self.unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         self.total = self.tokens + known + 1
-        top = self.unigrams.orderBy(F.desc("n"), "w").limit(CODES).toPandas()
+        top = commonest(self.unigrams, CODES)
         h, n = top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
         often = max(FREQUENT, 1 / self.buckets) * self.tokens
         self.lexicon = spark.sparkContext.broadcast(Lexicon(h, n, h[(n >= often) & (h != END)]))

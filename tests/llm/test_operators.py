@@ -371,6 +371,27 @@ def test_katz_tables_are_exactly_normalised(spark):
         assert math.isclose(q(context, "?"), p(*context)("?"), rel_tol=1e-9)
 
 
+def test_commonest_words_are_taken_from_the_top_and_no_more(spark):
+    counts = {i: 1 + 900 // (i + 1) for i in range(2000)}  # more than half of the words tie at 1
+    df = spark.createDataFrame(list(counts.items()), "w long, n long")
+    for most in (0, 1, 7, 500, 1400, 2000, 5000):
+        got = katz_lm.commonest(df, most)
+        assert len(got) <= most and got["n"].is_monotonic_decreasing and not got["w"].duplicated().any()
+        least = sorted(counts.values(), reverse=True)[min(most, 2000) - 1] if most else 10**9
+        assert {w for w, n in counts.items() if n > least} <= set(got["w"])
+        assert most < 2000 or len(got) == 2000
+    assert katz_lm.commonest(df.limit(0), 5).empty
+
+
+def test_katz_with_fewer_codes_than_words(spark, monkeypatch):
+    rows, held = katz_corpora()[1], F.col("doc_id") % 5 == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    close = lambda rows: Counter((*r[:5], round(r[5], 4), round(r[6], 4)) for r in rows)
+    want, all_of = close(katz_lm.katz_scores(df, held).collect()), katz_lm.commonest
+    monkeypatch.setattr(katz_lm, "commonest", lambda u, most: all_of(u, 9))
+    assert close(katz_lm.katz_scores(df, held).collect()) == want
+
+
 def test_katz_edges(docs, empty):
     held = (F.col("doc_id") % 5) == 2
     assert katz_lm.katz_scores(empty, held).count() == 0
