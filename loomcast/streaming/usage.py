@@ -25,11 +25,16 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
 def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> DataFrame:
     """(ctx, t, counts): per context the decayed counts of states as of each batch's last time.
 
-    Input is (ctx, t long, state int). A context keeps its recent events only: what is older than max_age
-    leaves the state. Events that arrive out of order within max_age are sorted in.
+    Input is (ctx, t long, in seconds, state int). A context keeps its recent events only: what is older than
+    max_age leaves the state. Events that arrive out of order are sorted in while they are at most max_age
+    behind the stream's last time; older ones are dropped. A context whose last event is older than that
+    leaves the state whole, by the stream's own time and not by a clock; should it come again, it begins anew.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         t, s = (list(x) for x in state.get) if state.exists else ([], [])
         for b in batches:
             t, s = t + b["t"].tolist(), s + b["state"].tolist()
@@ -38,7 +43,9 @@ def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> D
         keep = t >= t[-1] - max_age
         t, s = t[keep], s[keep]
         state.update((t.tolist(), s.tolist()))
+        state.setTimeoutTimestamp(max((int(t[-1]) + max_age) * 1000, state.getCurrentWatermarkMs()) + 1)
         counts = np.bincount(s, np.exp(-decay * (t[-1] - t)), states)
         yield pd.DataFrame({"ctx": [key[0]], "t": [int(t[-1])], "counts": [counts.tolist()]})
 
-    return rows.groupBy("ctx").applyInPandasWithState(step, "ctx string, t long, counts array<double>", "t array<long>, s array<int>", "update", GroupStateTimeout.NoTimeout)
+    timed = rows.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", f"{max_age + 1} seconds")  # what is no later than the watermark is dropped
+    return timed.groupBy("ctx").applyInPandasWithState(step, "ctx string, t long, counts array<double>", "t array<long>, s array<int>", "update", GroupStateTimeout.EventTimeTimeout)

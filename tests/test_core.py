@@ -222,6 +222,22 @@ def test_decayed_state_equals_a_scan(spark, tmp_path):
         assert np.allclose(got.counts, want)
 
 
+def test_idle_contexts_leave_the_stream(spark, tmp_path):
+    schema, held = "ctx string, t long, state int", []
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = streams.decayed_state(source, 2, 0.05, 15).writeStream.format("memory").queryName("idle").outputMode("update").start()
+    for rows in ([("x", 1, 0), ("y", 2, 1)], [("x", 17, 0)], [("x", 100, 1)], [("y", 101, 0), ("y", 70, 1), ("x", 90, 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    assert held == [2, 2, 1, 2]  # y goes once the stream is at 100, and begins anew at 101
+    got = {(r.ctx, r.t): r.counts for r in spark.table("idle").collect()}
+    assert np.allclose(got["y", 101], [1, 0])  # the event at 70 came too late
+    assert np.allclose(got["x", 100], [math.exp(-0.5), 1])  # the one at 90 did not
+
+
 def test_sampling():
     ids = [f"c{i}" for i in range(30)]
     a = sampling.seeded_choice(ids[::-1], 5, 7)
