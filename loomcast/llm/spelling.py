@@ -25,6 +25,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 SHORTEST, LEAST, SLIP = 5, 3, 97
 #: A key with more words than GROUP is cut into blocks of words, each two of which meet in a task; rows of a bucket.
 GROUP, BUCKET = 4096, 16_384
+#: Code points of a gram at most: a very long word has many grams, not long ones.
+LONGEST = 8
 
 
 def words(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, slip: int = SLIP) -> DataFrame:
@@ -74,7 +76,7 @@ def near(m: int, side: int, first: list[str], second: list[str] | None) -> Itera
     in common, at positions at most one apart. A pair that shares both halves belongs to the first.
     """
     h = m // 2
-    q = max(1, (m - h - 1) // 2)
+    q = min(LONGEST, max(1, (m - h - 1) // 2))
     rest = (lambda w: w[h:]) if side == 0 else (lambda w: w[: len(w) - h])
     index: dict[tuple[str, int], list[int]] = defaultdict(list)
     rows: list[str] = []

@@ -209,7 +209,8 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     gives an empty table. code is parts x two hex digits, error the sum of squared distances, label_error
     its sum over rows with an equal label (all null labels are one). A vector of another length than that of
     the smallest vec_id, or of a length that parts does not divide, has null code and error. Repeated rows
-    are rows like others and count as often as they occur. Other columns are not looked at.
+    are rows like others and count as often as they occur. A component of 2^61 and more or an error that no long
+    holds is an error when it is read, never a wrong number. Other columns are not looked at.
     """
     kept = stored(integers(vectors), "integers")
     state, books = learn(kept, parts, entries, rounds)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, bipolar, dot, einstein, sigmoid, softmax
 from .components import components
+from .ranges import numbered
 
 
 def incidence(pairs: DataFrame) -> DataFrame:
@@ -75,15 +76,6 @@ def reachable(adj: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def numbered(keys: DataFrame, key: str) -> DataFrame:
-    """(key, number): distinct keys numbered from 0 in their order, within ranges and from range to range; no task numbers all."""
-    ranged = keys.select(key).dropna().distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    skip = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_skip")
-    return ranged.join(F.broadcast(skip), "_range").select(key, place.cast("long").alias("number"))
-
-
 #: Words of 64 bits in a row of a neighbour set.
 WORDS = 4
 
@@ -103,7 +95,7 @@ def within_two(adj: DataFrame, store: Callable) -> DataFrame:
     shuffles is words of sets, not pairs, and no pair of sources is ever a row.
     """
     edges = adj.select("src", "dst").distinct()
-    names = store(numbered(edges, "src"))
+    names = store(numbered(edges.select("src").dropna().distinct(), ["src"], "number", store))
     e = edges.join(names, "src").withColumnRenamed("number", "s").join(names.select(F.col("src").alias("dst"), F.col("number").alias("t")), "dst").select("s", "t")
     e = store(e)
     own = store(_sets(e.unionAll(names.select(F.col("number").alias("s"), F.col("number").alias("t")))))

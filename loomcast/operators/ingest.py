@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ranged
+
 
 def bucket_means(obs: DataFrame, channels: list[str]) -> DataFrame:
     """(workload, t, n, channels): the mean of each channel in each bucket."""
@@ -94,18 +98,18 @@ def portable_summary(filled: DataFrame) -> DataFrame:
     return filled.groupBy("workload").agg(F.count(F.lit(1)).alias("time_steps"), F.count_if("target_observed").alias("observed_points"), F.count_if("input_valid").alias("input_valid_points"), F.count_if("imputed").alias("imputed_points"), F.avg(F.col("target_observed").cast("double")).alias("observed_coverage"))
 
 
-def as_of(left: DataFrame, snapshots: DataFrame, left_t: str, snap_t: str, values: list[str], keys: list[str]) -> DataFrame:
+def as_of(left: DataFrame, snapshots: DataFrame, left_t: str, snap_t: str, values: list[str], keys: list[str], store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Each left time with the latest snapshot at or before it, duplicates of a snapshot averaged.
 
-    Distinct times are merged in ranges, and each range goes on from the last snapshot of those before it;
-    then snapshots join on equality.
+    Distinct times are merged in ranges, which store writes first, and each range goes on from the last
+    snapshot of those before it; then snapshots join on equality.
     """
     times = left.select(F.col(left_t).alias("_t")).distinct().withColumn("_snap", F.lit(None).cast("long")).withColumn("_o", F.lit(1))
     snaps = snapshots.select(F.col(snap_t).alias("_t")).distinct().withColumn("_snap", F.col("_t").cast("long")).withColumn("_o", F.lit(0))
-    ranged = times.unionByName(snaps).repartitionByRange("_t", "_o").withColumn("_range", F.spark_partition_id())
+    merged = ranged(times.unionByName(snaps), ["_t", "_o"], store)
     before = F.max("_last").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
-    earlier = ranged.groupBy("_range").agg(F.max("_snap").alias("_last")).select("_range", before.alias("_earlier"))
+    earlier = merged.groupBy("_range").agg(F.max("_snap").alias("_last")).select("_range", before.alias("_earlier"))
     w = Window.partitionBy("_range").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    found = ranged.join(F.broadcast(earlier), "_range").withColumn("_snap", F.coalesce(F.last("_snap", ignorenulls=True).over(w), "_earlier")).where("_o = 1")
+    found = merged.join(F.broadcast(earlier), "_range").withColumn("_snap", F.coalesce(F.last("_snap", ignorenulls=True).over(w), "_earlier")).where("_o = 1")
     means = snapshots.groupBy(F.col(snap_t).alias("_snap"), *keys).agg(*(F.avg(v).alias(v) for v in values))
     return left.join(found.select(F.col("_t").alias(left_t), "_snap"), left_t).join(means, "_snap").withColumnRenamed("_snap", snap_t)

@@ -30,7 +30,7 @@ def unique_join(big: DataFrame, small: DataFrame, on: list[str], how: str, store
     small is broadcast when its measured size is within the bound. Otherwise both sides shuffle, but for
     the keys that big holds more than hot_rows times, by exact count: they are few (rows / hot_rows at
     most), and their rows of big stay where they are if small's rows for them are within the bound, else
-    they are salted. Null keys of big match nothing and never meet in one task.
+    they are salted by a hash of the row, which a task that runs again deals alike. Null keys of big match nothing and never meet in one task.
     """
     bound, hot_rows = BROADCAST_BYTES if bound is None else bound, HOT_ROWS if hot_rows is None else hot_rows
     if measured(small) <= bound:
@@ -49,7 +49,7 @@ def unique_join(big: DataFrame, small: DataFrame, on: list[str], how: str, store
     if measured(few) <= max(bound, 0):
         return _together([cold, warm.join(F.broadcast(few), on, how), *rest])
     salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = warm.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    dealt = warm.withColumn("_salt", F.pmod(F.xxhash64(*warm.columns), F.lit(SALTS)).cast("int"))
     return _together([cold, dealt.join(salted.hint("shuffle_merge"), [*on, "_salt"], how).drop("_salt"), *rest])
 
 

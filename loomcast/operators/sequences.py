@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def active_runs(slots: DataFrame, active: str = "input_valid") -> DataFrame:
     """(workload, run_start, run_end, n): maximal runs of adjoining active slots."""
@@ -31,11 +35,12 @@ def contexts(events: DataFrame, order: list[str], k: int, state: str = "state")
     return events.withColumn("_n", F.row_number().over(w)).withColumn("ctx", F.array(*lags)).where(F.col("_n") > k).drop("_n")
 
 
-def run_contexts(slots: DataFrame, k: int, state: str = "state", active: str = "input_valid") -> DataFrame:
+def run_contexts(slots: DataFrame, k: int, store: Callable[[DataFrame], DataFrame], state: str = "state", active: str = "input_valid") -> DataFrame:
     """(workload, t, event, ctx, state): contexts within runs of adjoining active slots, which gaps break.
 
     event counts all active slots by workload and time from 0, so that a query's age is a number of events.
-    It is counted within ranges of (workload, t) and from range to range: no task counts all.
+    It is counted within ranges of (workload, t), which store writes first, and from range to range: no task
+    counts all.
     """
     on = slots.where(F.col(active)).select("workload", "t", F.col(state).alias("state"))
     w = Window.partitionBy("workload").orderBy("t")
@@ -43,11 +48,8 @@ def run_contexts(slots: DataFrame, k: int, state: str = "state", active: str = "
     inside = Window.partitionBy("workload", "_run").orderBy("t")
     lags = [F.lag("state", i).over(inside) for i in range(k, 0, -1)]
     ctx = F.array(*lags) if k else F.array().cast(f"array<{dict(on.dtypes)['state']}>")
-    rows = runs.withColumn("ctx", ctx).withColumn("_n", F.row_number().over(inside)).repartitionByRange("workload", "t").withColumn("_range", F.spark_partition_id())
-    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    skip = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy("workload", "t")) - 1 + F.col("_skip")
-    return rows.join(F.broadcast(skip), "_range").withColumn("event", number.cast("long")).where(F.col("_n") > k).select("workload", "t", "event", "ctx", "state")
+    rows = runs.withColumn("ctx", ctx).withColumn("_n", F.row_number().over(inside))
+    return numbered(rows, ["workload", "t"], "event", store).where(F.col("_n") > k).select("workload", "t", "event", "ctx", "state")
 
 
 def transition_counts(events: DataFrame, order: list[str], state: str = "state") -> DataFrame:

@@ -119,20 +119,27 @@ def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512, w
 
 
 def k_medoids(d: np.ndarray, k: int, seed: int = 7, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(medoids, assignment) of a full distance matrix: farthest-first seeds, then alternate until nothing moves."""
+    """(medoids, assignment) of a full distance matrix: farthest-first seeds, none twice, then alternate until nothing moves."""
     n = len(d)
     if k >= n:
         return np.arange(n), np.arange(n)
     medoids = [int(np.random.default_rng(seed).integers(n))]
     while len(medoids) < k:
-        medoids.append(int(d[:, medoids].min(1).argmax()))
+        near = d[:, medoids].min(1)
+        near[medoids] = -1.0  # whatever is chosen is not chosen again, nor where all others repeat it
+        medoids.append(int(near.argmax()))
     medoids = np.array(medoids)
     for _ in range(rounds):
         own = d[:, medoids].argmin(1)
         new = medoids.copy()
         for c in range(k):
             mine = np.flatnonzero(own == c)
-            new[c] = mine[d[np.ix_(mine, mine)].sum(1).argmin()] if len(mine) else d[:, medoids].min(1).argmax()
+            if len(mine):
+                new[c] = mine[d[np.ix_(mine, mine)].sum(1).argmin()]
+            else:
+                far = d[:, medoids].min(1)
+                far[medoids] = far[new] = -1.0
+                new[c] = far.argmax()
         if (new == medoids).all():
             break
         medoids = new
@@ -151,15 +158,16 @@ def coverage_radius(d: np.ndarray, most: int = 120, seed: int = 7) -> float:
 
 
 def shape_set(d: np.ndarray, threshold: float = 0.9, most: int = 8, seed: int = 7) -> dict:
-    """Medoids, more of them until the share of items within the radius reaches the threshold."""
+    """Medoids, more of them until the share of items within the radius reaches the threshold; a medoid that no item chooses has the radius as its sigma."""
     radius, n = coverage_radius(d, seed=seed), len(d)
     for k in range(1, min(most, n) + 1):
-        medoids, own = k_medoids(d, k, seed)
+        medoids, own = k_medoids(d, k, seed + k)
         near = d[np.arange(n), medoids[own]]
         covered = float((near <= radius).mean())
         if covered >= threshold:
             break
-    sigma = [max(float(np.median(near[own == c])), float(near[own == c].std()), 1e-3) if (own == c).any() else 1e-3 for c in range(len(medoids))]
+    spread = lambda x: max(float(np.median(x)), float(x.std()), 1e-3) if len(x) else max(radius, 1e-3)
+    sigma = [spread(near[own == c]) for c in range(len(medoids))]
     return {"medoids": medoids, "assignment": own, "coverage": covered, "radius": radius, "sigma": sigma}
 
 

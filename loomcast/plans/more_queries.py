@@ -254,7 +254,7 @@ FROM (SELECT workload, t, CAST(cpu * 2 AS INT)::VARCHAR AS state, row_number() O
 def contexts_in_runs(spark, d):
     """Contexts of two states that gaps break, with a number of each event over all."""
     s = u.means(spark, d).select("workload", "t", (F.floor("cpu") * 2).cast("int").cast("string").alias("state"), F.lit(True).alias("input_valid"))
-    return sequences.run_contexts(s, 2).withColumn("ctx", F.array_join("ctx", ">"))
+    return sequences.run_contexts(s, 2, _store).withColumn("ctx", F.array_join("ctx", ">"))
 
 
 @query("""SELECT l.workload, CAST(h AS INT) AS h, last + h * coalesce(step, 1) AS t FROM (SELECT workload, max(t) AS last FROM m GROUP BY 1) l CROSS JOIN range(1, 5) r(h)
@@ -318,10 +318,12 @@ def epoch_origins(spark, d):
     return rows.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("origin").alias("different"), F.every((F.col("origin") >= 100) & (F.col("origin") < 110)).alias("inside"))
 
 
-@query("SELECT row_number() OVER (ORDER BY c) - 1 AS state, round(c[1], 6) AS first FROM (SELECT embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 6)")
+@query("SELECT row_number() OVER (ORDER BY c) - 1 AS state, round(c[1], 6) AS first FROM (SELECT list(y ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS y FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY label)")
 def centroid_order(spark, d):
-    c = u.read(spark, d, "embeddings").where("vec_id < 6").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("c"))
-    return shapes.ordered_centroids(c.select(F.col("vec_id").alias("state"), "c")).select("state", F.get("c", F.lit(0)).alias("first"))
+    """The means of all labels' vectors, in order of their components."""
+    parts = u.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    c = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("y")).groupBy(F.col("label").alias("state")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda p: p["y"]).alias("c"))
+    return shapes.ordered_centroids(c).select("state", F.get("c", F.lit(0)).alias("first"))
 
 
 _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -371,12 +373,13 @@ def window_memberships_sql(spark, d):
 # ---- graphs
 
 
-_NATION = "dp AS (SELECT c_custkey AS workload, c_nationkey AS node FROM customer WHERE c_custkey % 10 = 1), ln AS (SELECT src, dst, avg(bandwidth) AS bandwidth FROM links WHERE (src * 7 + dst) % 11 = 0 GROUP BY 1, 2)"
+_NATION = "dp AS (SELECT s_suppkey AS workload, s_nationkey AS node FROM supplier), ln AS (SELECT src, dst, avg(bandwidth) AS bandwidth FROM links GROUP BY 1, 2)"
 
 
 def _nation_graph(spark, d):
-    dep = u.read(spark, d, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("workload"), F.col("c_nationkey").alias("node"))
-    return dep, u.links(spark, d).where("(src * 7 + dst) % 11 = 0").groupBy("src", "dst").agg(F.avg("bandwidth").alias("bandwidth"))
+    """All suppliers by nation, and the links between nations over all time."""
+    dep = u.read(spark, d, "supplier").select(F.col("s_suppkey").alias("workload"), F.col("s_nationkey").alias("node"))
+    return dep, u.links(spark, d).groupBy("src", "dst").agg(F.avg("bandwidth").alias("bandwidth"))
 
 
 @query("SELECT a.workload AS src, b.workload AS dst, count(*)::DOUBLE AS weight FROM (SELECT src, dst FROM ln WHERE bandwidth <> 0 UNION ALL SELECT DISTINCT node, node FROM dp) e JOIN dp a ON a.node = e.src JOIN dp b ON b.node = e.dst WHERE a.workload <> b.workload GROUP BY 1, 2", f"{LINK}, {_NATION}")
@@ -557,3 +560,23 @@ def streamed_hopping_means(spark, d):
 def streamed_sessions(spark, d):
     out = _streamed(spark, _stream_rows(spark, d), lambda s: streams.sessions(s, "12 hours", "60 days"))
     return out.where("workload >= 0").select("workload", F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("last"), "n")
+
+
+@query("SELECT a.event_id, round(coalesce(sum(exp(-0.02 * (a.t - b.t))), 0), 6) AS weight FROM s a LEFT JOIN s b ON a.workload = b.workload AND a.state = b.state AND b.t < a.t AND b.t >= a.t - 10 GROUP BY 1", S)
+def streamed_decay(spark, d):
+    """decayed_range as a stream of two batches, each of them with events that lie before some of the other: a third's, then the rest."""
+    e = u.states(spark, d).select("event_id", F.concat_ws("|", "workload", "state").alias("key"), "t")
+    inp, out, mark = (_folder(spark, x) for x in ("stream", "streamed", "mark"))
+    third = F.pmod("event_id", F.lit(3)) == 0
+    for part in (e.where(third), e.where(~third)):
+        part.select("key", "t").coalesce(1).write.mode("append").parquet(inp)
+    name, want = streams.STATE_STORE
+    was = spark.conf.get(name)
+    spark.conf.set(name, want)
+    try:
+        told = streams.rolling_decay(spark.readStream.schema("key string, t long").option("maxFilesPerTrigger", 1).parquet(inp), 0.02, 10, 10_000, u.DAY)
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    finally:
+        spark.conf.set(name, was)
+    last = spark.read.schema(told.schema).parquet(out).groupBy("key", "t").agg(F.max_by("weight", "version").alias("weight"))
+    return e.join(last, ["key", "t"]).select("event_id", "weight")

@@ -140,7 +140,7 @@ def zscore_values(spark, d):
 @query("SELECT tt AS origin, l.* EXCLUDE (time_bucket), time_bucket FROM (SELECT DISTINCT (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS tt FROM orders) o, LATERAL (SELECT max(time_bucket) AS tb FROM links WHERE time_bucket <= tt) x JOIN (SELECT time_bucket, src, dst, round(bandwidth, 6) AS bandwidth FROM links) l ON l.time_bucket = tb", LINK)
 def link_asof(spark, d):
     o = u.read(spark, d, "orders").select(((F.year("o_orderdate") - 1970) * 12 + F.month("o_orderdate") - 1).cast("long").alias("origin")).distinct()
-    return ingest.as_of(o, u.links(spark, d), "origin", "time_bucket", ["bandwidth"], ["src", "dst"]).select("origin", "src", "dst", "bandwidth", "time_bucket")
+    return ingest.as_of(o, u.links(spark, d), "origin", "time_bucket", ["bandwidth"], ["src", "dst"], _store).select("origin", "src", "dst", "bandwidth", "time_bucket")
 
 
 # ---- sequences

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def tumbling_means(rows: DataFrame, channels: list[str], size: str = "60 seconds", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -49,3 +50,90 @@ def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> D
 
     timed = rows.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", f"{max_age + 1} seconds")  # what is no later than the watermark is dropped
     return timed.groupBy("ctx").applyInPandasWithState(step, "ctx string, t long, counts array<double>", "t array<long>, s array<int>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Keyed state with timers needs this store; set it before such a stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class RollingDecay(StatefulProcessor):
+    """A key's decayed sum as of each of its times, kept from batch to batch.
+
+    State is a map from time to number of events, the sum as of the last time, and a version. Going forward
+    a sum is aged, what came since is added and what got too old is taken off, by a cursor over the map's
+    times. An event behind the last time makes the sums from there on anew, and they are told again under
+    a higher version. A timer forgets what no event can reach any more.
+    """
+
+    def __init__(self, decay: float, max_age: int, late: int, unit: int):
+        self.decay, self.max_age, self.late, self.unit = decay, max_age, late, unit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "t long", "n long")
+        self.last = handle.getValueState("last", "t long, total double, version long")
+
+    def window(self, known: dict[int, int], now: int) -> float:
+        return float(sum(n * np.exp(-self.decay * (now - t)) for t, n in known.items() if now - self.max_age <= t < now))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        come: dict[int, int] = {}
+        for b in rows:
+            for t, n in b["t"].value_counts().items():
+                come[int(t)] = come.get(int(t), 0) + int(n)
+        if not come:
+            return
+        known = {int(k[0]): int(v[0]) for k, v in self.counts.iterator()}
+        at = self.last.get()
+        top, total, version = (int(at[0]), float(at[1]), int(at[2]) + 1) if at is not None else (None, 0.0, 0)
+        start = min(come)
+        for t, n in come.items():
+            known[t] = known.get(t, 0) + n
+        again = top is not None and start < top
+        told = sorted(t for t in known if t >= start) if again else sorted(come)
+        if again or top is None:
+            top, total = told[0], self.window(known, told[0])
+        times, out = sorted(known), []
+        seen = int(np.searchsorted(times, top))
+        gone = int(np.searchsorted(times, top - self.max_age))
+        for now in told:
+            total *= float(np.exp(-self.decay * (now - top)))
+            while seen < len(times) and times[seen] < now:
+                total += known[times[seen]] * float(np.exp(-self.decay * (now - times[seen])))
+                seen += 1
+            while gone < seen and times[gone] < now - self.max_age:
+                total -= known[times[gone]] * float(np.exp(-self.decay * (now - times[gone])))
+                gone += 1
+            top = now
+            out.append(max(total, 0.0) if gone < seen else 0.0)
+        kept = times[-1] - self.max_age - self.late
+        for t in times:
+            if t < kept:
+                self.counts.removeKey((t,))
+            elif t in come:
+                self.counts.updateValue((t,), (known[t],))
+        self.last.update((top, out[-1], version))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer((times[-1] + self.max_age + self.late + 1) * self.unit * 1000)
+        yield pd.DataFrame({"key": key[0], "t": told, "weight": out, "version": version})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.counts.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_decay(rows: DataFrame, decay: float, max_age: int, late: int, unit: int = 1) -> DataFrame:
+    """(key, t, weight, version): the decayed number of a key's events before each of its times, within max_age.
+
+    rows has key (string) and t (long, in steps of unit seconds). A time is told when its first event comes
+    and again, under a higher version, whenever a later batch brings an event that changes it: of each
+    (key, t) the highest version holds. Events more than late steps behind the stream's last time are
+    dropped. Null keys and times are dropped; repeated events count again.
+    """
+    timed = rows.dropna(subset=["key", "t"]).withColumn("_at", F.timestamp_seconds(F.col("t") * unit)).withWatermark("_at", f"{late * unit} seconds")
+    return timed.groupBy("key").transformWithStateInPandas(RollingDecay(decay, max_age, late, unit), "key string, t long, weight double, version long", "Append", "EventTime")

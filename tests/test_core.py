@@ -17,6 +17,12 @@ from loomcast.sources import tables, usage
 from loomcast.streaming import usage as streams
 
 
+def _put(df, folder):
+    path = f"file://{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def test_dtw():
     x = np.array([[0.0, 1.0], [1.0, 0.0], [2.0, 2.0]])
     assert shapes.dtw(x, x) == 0.0
@@ -80,9 +86,9 @@ def test_splits_and_origins(spark):
     assert [r.origin for r in ingest.origins(spark, 100, 200, 5, 60, 10).orderBy("origin").collect()] == [100, 110, 120, 130]
 
 
-def test_link_as_of(spark):
+def test_link_as_of(spark, tmp_path):
     left, snaps = spark.createDataFrame([(5,), (9,), (1,)], "o long"), spark.createDataFrame([(2, "a", 1.0), (6, "a", 2.0), (6, "a", 4.0)], "tb long, k string, v double")
-    assert sorted((r.o, r.tb, r.v) for r in ingest.as_of(left, snaps, "o", "tb", ["v"], ["k"]).collect()) == [(5, 2, 1.0), (9, 6, 3.0)]
+    assert sorted((r.o, r.tb, r.v) for r in ingest.as_of(left, snaps, "o", "tb", ["v"], ["k"], lambda df: _put(df, tmp_path)).collect()) == [(5, 2, 1.0), (9, 6, 3.0)]
 
 
 def test_direct_back_off_closed_form(spark):
