@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sqdist
@@ -46,17 +46,44 @@ def segment(x: np.ndarray, shortest: int, longest: int, penalty: float, trend_we
 
 
 def segment_runs(slots: DataFrame, channels: list[str], shortest: int, longest: int, penalty: float, trend_weight: float = 0.2) -> DataFrame:
-    """(workload, seg_start, seg_end): the pieces of each workload's active runs. A run is one workload's adjoining
-    slots, so a group is bounded by the time axis."""
+    """(workload, seg_start, seg_end): the pieces that `segment` gives of each workload's active runs, in the JVM.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t = pdf["t"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(t) != 1) + 1), len(t)]
-        rows = [(pdf["workload"].iloc[0], t[a + x], t[a + y - 1]) for a, b in zip(cuts, cuts[1:]) for x, y in segment(pdf[channels].to_numpy()[a:b], shortest, longest, penalty, trend_weight)]
-        return pd.DataFrame(rows, columns=["workload", "seg_start", "seg_end"])
-
-    return slots.groupBy("workload").applyInPandas(run, f"workload {dict(slots.dtypes)['workload']}, seg_start long, seg_end long")
+    A run is one row with an array a channel, as long as the time axis at most. The cheapest last piece at
+    every end is a fold over the run that looks back at pieces of shortest..longest slots alone; a second fold
+    walks back from the run's end. Costs count to 9 digits, so that the order of additions decides no tie.
+    """
+    w = Window.partitionBy("workload").orderBy("t")
+    rows = slots.select("workload", "t", *[F.col(c).cast("double").alias(c) for c in channels]).withColumn("_run", F.col("t") - F.row_number().over(w))
+    runs = rows.groupBy("workload", "_run").agg(F.min("t").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("t", *channels))).alias("x"))
+    of = lambda c: F.transform("x", lambda p: p[c])
+    runs = runs.withColumns({f"_{c}": of(c) for c in channels})
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+
+    def cost(end, k):
+        """Of the k slots before end."""
+        out = F.lit(0.0)
+        for c in channels:
+            v = F.slice(f"_{c}", end - k + 1, k)
+            error = F.aggregate(F.transform(F.array(v), lambda v: F.struct(v.alias("v"), (add(v) / k).alias("m"))), F.lit(0.0), lambda s, q: s + F.aggregate(q["v"], F.lit(0.0), lambda e, y: e + (y - q["m"]) * (y - q["m"])))
+            slope = (F.get(v, k - 1) - F.get(v, F.lit(0))) / F.greatest(k - 1, F.lit(1))
+            out = out + error + F.lit(float(trend_weight)) * slope * slope
+        return F.round(out, 9)
+
+    most = F.greatest(F.lit(shortest), F.least(F.lit(longest), F.col("n")))
+
+    def step(acc, end):
+        lengths = F.filter(F.sequence(F.lit(shortest), F.greatest(F.least(most, end), F.lit(shortest))), lambda k: (k <= end) & F.get(acc["last"], end - k).isNotNull())
+        fits = F.transform(lengths, lambda k: F.struct(F.round(F.get(acc["total"], end - k) + cost(end, k) + penalty, 9).alias("c"), k.alias("k")))
+        whole = F.when(end <= most, F.struct(F.round(cost(end, end) + penalty, 9).alias("c"), end.alias("k")))
+        best = F.coalesce(F.array_min(fits), whole)
+        return F.struct(F.concat(acc["total"], F.array(best["c"])).alias("total"), F.concat(acc["last"], F.array(best["k"])).alias("last"))
+
+    start = F.struct(F.array(F.lit(0.0)).alias("total"), F.array(F.lit(0)).alias("last"))
+    runs = runs.withColumn("last", F.when(F.col("n") >= shortest, F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step, lambda acc: acc["last"])))
+    back = F.aggregate("last", F.struct(F.col("n").alias("end"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts")), lambda acc, _: F.when(acc["end"] > 0, F.struct((acc["end"] - F.get("last", acc["end"])).alias("end"), F.concat(acc["cuts"], F.array(F.struct((acc["end"] - F.get("last", acc["end"])).alias("a"), acc["end"].alias("b")))).alias("cuts"))).otherwise(acc), lambda acc: acc["cuts"])
+    one = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    pieces = F.when(F.get("last", F.col("n")).isNull(), one).otherwise(back)
+    return runs.select("workload", "first", F.explode(pieces).alias("p")).select("workload", (F.col("first") + F.col("p.a")).cast("long").alias("seg_start"), (F.col("first") + F.col("p.b") - 1).cast("long").alias("seg_end"))
 
 
 def dtw(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None, window: int | None = None, normalize: bool = True) -> float:

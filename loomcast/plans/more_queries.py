@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -13,7 +13,7 @@ from ..sources import archives, tables
 from ..sources import usage as src
 from ..streaming import usage as streams
 from . import usage as u
-from .queries import _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, U, _by_h, _gates, _hard, _labels, _store, query
+from .queries import _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, WEIGHTS, U, _by_h, _gates, _hard, _labels, _store, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -513,6 +513,28 @@ def ratios_by_axis(spark, d):
     return metrics.grouped_ratios(e, ["err", "hit"], "valid", ["origin", "workload"])
 
 
+_TARGETS = """tg AS (SELECT workload, t AS origin, h, CAST(b AS VARCHAR) AS cls, err, (a = b)::INT::DOUBLE AS hit FROM (SELECT workload, t, h, least(floor(cpu_input * 2), 3)::INT AS a, least(floor(x * 2), 3)::INT AS b, abs(cpu_input - x) / (1 + x) AS err FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS h, unnest([lead(cpu, 1) OVER w, lead(cpu, 2) OVER w, lead(cpu, 3) OVER w, lead(cpu, 4) OVER w, lead(cpu, 5) OVER w]) AS x FROM f WINDOW w AS (PARTITION BY workload ORDER BY t)) WHERE input_valid AND x IS NOT NULL)),
+un AS MATERIALIZED (SELECT 'h' AS axis, h::VARCHAR AS key, origin AS unit, count(*) AS n, sum(err) AS err, sum(hit) AS hit FROM tg GROUP BY h, origin UNION ALL SELECT 'cls', cls, origin, count(*), sum(err), sum(hit) FROM tg GROUP BY cls, origin
+  UNION ALL SELECT 'workload', workload::VARCHAR, origin, count(*), sum(err), sum(hit) FROM tg GROUP BY workload, origin UNION ALL SELECT 'all', 'all', origin, count(*), sum(err), sum(hit) FROM tg GROUP BY origin UNION ALL SELECT 'origin', origin::VARCHAR, origin, count(*), sum(err), sum(hit) FROM tg GROUP BY origin),
+pt AS (SELECT axis, key, count(*) AS units, sum(n)::BIGINT AS n, sum(err) / sum(n) AS err, sum(hit) / sum(n) AS hit FROM un GROUP BY 1, 2),
+dr AS (SELECT axis, key, draw, sum(err * w) / nullif(sum(n * w), 0) AS err, sum(hit * w) / nullif(sum(n * w), 0) AS hit FROM un JOIN wt ON un.unit::VARCHAR = wt.unit GROUP BY 1, 2, 3),
+ci AS (SELECT axis, key, quantile_cont(err, 0.025) AS el, quantile_cont(err, 0.975) AS eh, quantile_cont(hit, 0.025) AS hl, quantile_cont(hit, 0.975) AS hh FROM dr GROUP BY 1, 2)"""
+
+
+@query("""SELECT pt.axis, pt.key, units, n, round(err, 6) AS err, round(coalesce(el, err), 6) AS err_low, round(coalesce(eh, err), 6) AS err_high, round(hit, 6) AS hit, round(coalesce(hl, hit), 6) AS hit_low, round(coalesce(hh, hit), 6) AS hit_high,
+CASE WHEN pt.axis = 'h' THEN round(err - first_value(err) OVER o, 6) END AS err_degradation, CASE WHEN pt.axis = 'h' THEN round(hit - first_value(hit) OVER o, 6) END AS hit_degradation
+FROM pt LEFT JOIN ci ON pt.axis = ci.axis AND pt.key = ci.key AND units > 1 WINDOW o AS (PARTITION BY pt.axis ORDER BY TRY_CAST(pt.key AS DOUBLE), pt.key)""", ", ".join((FILL, _TARGETS.replace("pt AS (", WEIGHTS + ",\npt AS (", 1))))
+def metric_bundle(spark, d):
+    """A forecast that repeats the last value, 1 to 5 slots ahead: relative errors and hits by horizon, class, workload, origin and over all, with intervals over origins."""
+    f = u.filled(spark, d)
+    w = Window.partitionBy("workload").orderBy("t")
+    ahead = F.array(*[F.struct(F.lit(h).alias("h"), F.lead("cpu", h).over(w).alias("x")) for h in range(1, 6)])
+    rows = f.withColumn("ahead", ahead).select("workload", F.col("t").alias("origin"), "input_valid", "cpu_input", F.explode("ahead").alias("a")).where(F.col("input_valid") & F.col("a.x").isNotNull())
+    of = lambda c: F.least(F.floor(F.col(c) * 2), F.lit(3)).cast("int")
+    rows = rows.select("workload", "origin", "a.h", of("a.x").alias("cls"), (F.abs(F.col("cpu_input") - F.col("a.x")) / (1 + F.col("a.x"))).alias("err"), (of("cpu_input") == of("a.x")).cast("double").alias("hit"), F.lit(1).cast("long").alias("valid"))
+    return metrics.bundle(rows, "origin", ["h", "cls", "workload"], "valid", ["err", "hit"], "h", 200)
+
+
 @query("SELECT k, h // 5 AS h5, count(v) FILTER (NOT isnan(v)) AS n, round(avg(v) FILTER (NOT isnan(v)), 6) AS mean FROM (SELECT k, h, CASE WHEN h % 4 = 0 THEN 'nan'::DOUBLE ELSE v / 7 END AS v FROM hm) GROUP BY 1, 2", "hm AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 86400) AS BIGINT) - (SELECT min(CAST(floor(epoch(ts) / 86400) AS BIGINT)) FROM events) AS h, avg(value) AS v FROM events GROUP BY 1, 2)")
 def means_without_nan(spark, d):
     m = _by_h(spark, d).withColumn("v", F.when(F.col("h") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("v") / 7))

@@ -349,7 +349,16 @@ def membership_scale(spark, d):
     return shapes.membership_scale(shapes.assign(p, p.where("id < 4").select(F.col("id").alias("state"), F.col("x").alias("c"))))
 
 
-@query()
+_PIECES = """i AS (SELECT workload, t - row_number() OVER (PARTITION BY workload ORDER BY t) AS run, t, cpu_input AS x, mem_input AS y FROM f WHERE input_valid),
+r AS MATERIALIZED (SELECT workload, run, min(t) AS first, count(*) AS n, list(x ORDER BY t) AS x, list(y ORDER BY t) AS y, greatest(3, least(8, count(*))) AS most FROM i GROUP BY 1, 2),
+k AS (SELECT workload, run, e, k, x[e - k + 1 : e] AS x, y[e - k + 1 : e] AS y FROM r, range(1, n + 1) a(e), range(1, most + 1) b(k) WHERE k <= e),
+c AS MATERIALIZED (SELECT workload, run, e, list(c ORDER BY k) AS cost FROM (SELECT *, round(list_sum(list_transform(x, lambda v: (v - mx) * (v - mx))) + 0.2 * pow((x[k] - x[1]) / greatest(k - 1, 1), 2) + list_sum(list_transform(y, lambda v: (v - my) * (v - my))) + 0.2 * pow((y[k] - y[1]) / greatest(k - 1, 1), 2), 9) AS c FROM (SELECT *, list_avg(x) AS mx, list_avg(y) AS my FROM k)) GROUP BY 1, 2, 3),
+s AS (SELECT workload, run, n, most, 0::BIGINT AS e, [0.0::DOUBLE] AS total, [0::BIGINT] AS last FROM r WHERE n >= 3
+  UNION ALL SELECT workload, run, n, most, e, list_append(total, best.c), list_append(last, best.k) FROM (SELECT s.workload, s.run, s.n, s.most, c.e, total, last, coalesce(list_sort(list_transform(list_filter(range(3, least(most, c.e) + 1), lambda j: last[c.e - j + 1] IS NOT NULL), lambda j: {'c': round(total[c.e - j + 1] + cost[j] + 0.05, 9), 'k': j}))[1], CASE WHEN c.e <= most THEN {'c': round(cost[c.e] + 0.05, 9), 'k': c.e} END) AS best FROM s JOIN c ON c.workload = s.workload AND c.run = s.run AND c.e = s.e + 1)),
+z AS (SELECT workload, run, last, n AS b FROM s WHERE e = n AND last[n + 1] IS NOT NULL UNION ALL SELECT workload, run, last, b - last[b + 1] FROM z WHERE b - last[b + 1] > 0)"""
+
+
+@query("SELECT z.workload, first + b - last[b + 1] AS seg_start, first + b - 1 AS seg_end FROM z JOIN r USING (workload, run) UNION ALL SELECT workload, first, first + n - 1 FROM r WHERE (workload, run) NOT IN (SELECT (workload, run) FROM z)", "RECURSIVE " + FILL + ", " + _PIECES)
 def segment_runs(spark, d):
     return shapes.segment_runs(u.filled(spark, d).where("input_valid").select("workload", "t", F.col("cpu_input").alias("cpu"), F.col("mem_input").alias("mem")), ["cpu", "mem"], 3, 8, 0.05)
 
@@ -569,10 +578,15 @@ def first_seen(spark, d):
     return sampling.first_seen(u.usage(spark, d), "workload", "event_id", 40)
 
 
-@query()
+_CDF = ", ".join(f"{c!r}::DOUBLE" for c in metrics.POISSON)
+#: Weights of units in 200 draws: how many steps of the Poisson distribution lie at or below 32 bits of a digest.
+WEIGHTS = f"wt AS MATERIALIZED (SELECT unit, j AS draw, len(list_filter([{_CDF}], lambda c: c <= ('0x' || substr(md5('7:' || unit || ':' || (j // 4)), CAST(j % 4 * 8 + 1 AS INT), 8))::BIGINT / 4294967296.0::DOUBLE)) AS w FROM (SELECT DISTINCT unit::VARCHAR AS unit FROM un), range(200) t(j))"
+
+
+@query("SELECT p.k, round(value, 6) AS value, round(coalesce(low, value), 6) AS low, round(coalesce(high, value), 6) AS high FROM (SELECT k, sum(num) / sum(den) AS value, count(*) AS units FROM un GROUP BY k) p LEFT JOIN (SELECT k, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM (SELECT k, draw, sum(num * w) / nullif(sum(den * w), 0) AS v FROM un JOIN wt ON un.unit::VARCHAR = wt.unit GROUP BY 1, 2) GROUP BY 1) q ON p.k = q.k AND units > 1", "un AS (SELECT event_type AS k, user_id AS unit, sum(value) AS num, count(*)::DOUBLE AS den FROM events WHERE value IS NOT NULL GROUP BY 1, 2), " + WEIGHTS)
 def bootstrap_ci(spark, d):
     e = u.read(spark, d, "events").select(F.col("event_type").alias("k"), F.col("user_id").alias("origin"), "value", F.lit(1.0).alias("one"))
-    return metrics.bootstrap(e, ["k"], "origin", "value", "one")
+    return metrics.bootstrap(e, ["k"], "origin", "value", "one", 200)
 
 
 @query()
