@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, bipolar, dot, einstein, sigmoid, softmax
 from .components import components
+from .joins import unique_join
 from .ranges import numbered
 
 
@@ -202,3 +204,104 @@ def residual(mu: Column, context: Column, weights: list[list[float]], bias: list
     columns = F.array(*[F.struct(F.array(*map(F.lit, map(float, w))).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(zip(*weights), bias)])
     moved = F.transform(columns, lambda c: F.tanh(dot(x, c["w"]) + c["b"]))
     return softmax(F.zip_with(F.transform(mu, lambda v: F.ln(F.greatest(v, F.lit(EPS)))), moved, lambda a, b: a + b))
+
+
+@dataclass(frozen=True)
+class GatedBlock:
+    """Parameters of a learned block over k states, r resources, f link features and g hidden numbers; matrices are lists of rows.
+
+    theta is (k + 1) x k, into (k + r) x g with bias, own and message a g x g matrix a round (own with a bias),
+    link f numbers with a bias, head g x k with bias.
+    """
+
+    theta: list
+    into: list
+    into_bias: list
+    own: list
+    own_bias: list
+    message: list
+    link: list
+    link_bias: float
+    head: list
+    head_bias: list
+    strength: float = 0.6
+
+
+def _affine(x: list[Column], rows: list, bias: list | None = None) -> list[Column]:
+    """x times a matrix, a column an entry, plus a bias: a sum of products that code generation keeps in the JVM."""
+    out = []
+    for j in range(len(rows[0])):
+        terms = [c * F.lit(float(rows[i][j])) for i, c in enumerate(x)]
+        out.append(sum(terms[1:], terms[0]) + F.lit(float(bias[j]) if bias else 0.0))
+    return out
+
+
+def gated_edges(edges: DataFrame, key: list[str], block: GatedBlock, features: str | None) -> DataFrame:
+    """(key, node, near, gate, share): what of each node's messages comes from each neighbour.
+
+    edges has key, node, near, weight and, unless features is None, an array of link features; a null array or
+    no features at all is a gate of 1. An edge weighs weight times the sigmoid of its features' score; shares
+    of a node's edges sum to 1, or are 0 where all weigh nothing. Edges of weight 0 are none.
+    """
+    on = edges.where("weight > 0")
+    score = F.lit(float(block.link_bias))
+    if features is not None:
+        for i, w in enumerate(block.link):
+            score = score + F.get(features, F.lit(i)) * F.lit(float(w))
+    gate = F.lit(1.0) if features is None else F.when(F.col(features).isNull(), 1.0).otherwise(sigmoid(score))
+    rows = on.select(*key, "node", "near", "weight", gate.alias("gate"))
+    total = rows.groupBy(*key, "node").agg(F.sum(F.col("weight") * F.col("gate")).alias("_total"))
+    share = F.col("weight") * F.col("gate") / F.greatest("_total", F.lit(EPS))
+    return rows.join(total, [*key, "node"]).select(*key, "node", "near", "gate", share.alias("share"))
+
+
+def gated_messages(nodes: DataFrame, edges: DataFrame, key: list[str], block: GatedBlock, store: Callable[[DataFrame], DataFrame], features: str | None = None) -> DataFrame:
+    """(key, node, mu, neighbours, gate_mean, shift, context): states after neighbours' evidence and rounds of messages.
+
+    nodes has key, node, mu (array of k memberships) and x (array of r resources); key names what separates
+    graphs, an origin for one. Evidence is tanh of what theta makes of the neighbours' mean membership and the
+    degree's share of the other nodes; it moves each membership by the bounded Einstein sum. Hidden numbers
+    start from memberships and resources and take in their neighbours' in each round. Nodes without
+    neighbours keep their memberships. shift is the sum of absolute changes, context the hidden numbers' length.
+
+    Each round is a join of the edges with the nodes' hidden numbers and a sum by node, added up in the tasks
+    before it shuffles. No graph is one row, and a hub's edges join by hot keys.
+    """
+    k, g, r = len(block.theta[0]), len(block.into[0]), len(block.into) - len(block.theta[0])
+    shares = store(gated_edges(edges, key, block, features))
+    table = nodes.select(*key, "node", *[F.get("mu", F.lit(i)).alias(f"m{i}") for i in range(k)], *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(r)])
+
+    def come(values: DataFrame, names: list[str], *more: Column) -> DataFrame:
+        """Sums by node of what neighbours' shares bring, under the same names with an n before."""
+        small = store(values.select(*key, F.col("node").alias("near"), *names))
+        rows = unique_join(shares, small, [*key, "near"], "inner", store)
+        return rows.groupBy(*key, "node").agg(*(F.sum(F.col("share") * F.col(c)).alias(f"n{c}") for c in names), *more)
+
+    state = [f"m{i}" for i in range(k)]
+    near = come(table, state, F.count(F.lit(1)).alias("neighbours"), F.avg("gate").alias("gate_mean"), F.sum("share").alias("_share"))
+    sizes = table.groupBy(*key).agg(F.count(F.lit(1)).alias("_nodes")) if key else table.agg(F.count(F.lit(1)).alias("_nodes"))
+    table = table.join(near, [*key, "node"], "left")
+    table = table.join(F.broadcast(sizes), key) if key else table.join(F.broadcast(sizes), how="cross")
+    has = F.when(F.coalesce("_share", F.lit(0.0)) > 0.5, 1.0).otherwise(0.0)
+    degree = F.coalesce("neighbours", F.lit(0)) / F.greatest(F.col("_nodes") - 1, F.lit(1))
+    evidence = _affine([*(F.coalesce(f"nm{i}", F.lit(0.0)) for i in range(k)), degree], block.theta)
+    moved = []
+    for i in range(k):
+        c, e = 2 * F.col(f"m{i}") - 1, F.lit(block.strength) * F.tanh(evidence[i]) * has
+        moved.append(F.greatest(0.5 * (1 + (c + e) / F.greatest(1 + c * e, F.lit(EPS))), F.lit(0.0)))
+    table = table.select(*key, "node", *state, *[f"x{i}" for i in range(r)], "neighbours", "gate_mean", has.alias("_has"), *[c.alias(f"v{i}") for i, c in enumerate(moved)])
+    mass = sum((F.col(f"v{i}") for i in range(1, k)), F.col("v0"))
+    table = table.withColumns({f"a{i}": F.when(mass > EPS, F.col(f"v{i}") / mass).otherwise(1.0 / k) for i in range(k)})
+    hidden = _affine([*(F.col(f"a{i}") for i in range(k)), *(F.col(f"x{i}") for i in range(r))], block.into, block.into_bias)
+    table = store(table.withColumns({f"h{i}": F.tanh(c) for i, c in enumerate(hidden)}))
+    for own, bias, message in zip(block.own, block.own_bias, block.message):
+        sent = come(table, [f"h{i}" for i in range(g)])
+        both = table.join(sent, [*key, "node"], "left")
+        mine, theirs = _affine([F.col(f"h{i}") for i in range(g)], own, bias), _affine([F.coalesce(f"nh{i}", F.lit(0.0)) for i in range(g)], message)
+        table = store(both.withColumns({f"_h{i}": F.tanh(mine[i] + theirs[i]) for i in range(g)}).drop(*[f"{p}h{i}" for i in range(g) for p in ("", "n")]).withColumnsRenamed({f"_h{i}": f"h{i}" for i in range(g)}))
+    left = _affine([F.col(f"h{i}") for i in range(g)], block.head, block.head_bias)
+    mu = softmax(F.array(*(F.ln(F.greatest(f"a{i}", F.lit(EPS))) + left[i] * F.col("_has") for i in range(k))))
+    square = sum((F.col(f"h{i}") * F.col(f"h{i}") for i in range(1, g)), F.col("h0") * F.col("h0"))
+    out = table.withColumn("mu", mu)
+    shift = sum((F.abs(F.get("mu", F.lit(i)) - F.col(f"m{i}")) for i in range(1, k)), F.abs(F.get("mu", F.lit(0)) - F.col("m0")))
+    return out.select(*key, "node", "mu", F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbours"), "gate_mean", shift.alias("shift"), F.sqrt(square).alias("context"))

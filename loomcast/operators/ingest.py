@@ -75,6 +75,27 @@ def cohort(filled: DataFrame, origin_table: DataFrame, history: int, horizons: l
     return slots.join(origin_table.select(F.col("origin").alias("t")), "t").select(F.col("t").alias("origin"), "workload", "coverage", (F.col("input_valid") & F.col("targets") & (F.col("coverage") >= min_coverage)).alias("eligible"))
 
 
+def common_origins(filled: DataFrame, first: int, last: int, stride: int, histories: list[int], horizons: list[int], min_coverage: float = 0.8) -> DataFrame:
+    """(origin, workload, valid, common): which of all pairs of history and horizon a workload's origin serves, and whether all.
+
+    Origins are every stride-th slot of [first, last]. A pair (L, H) is served if L slots lie behind the origin
+    and H before the data's end, the origin's input is valid, so is at least min_coverage of the L slots, and
+    the target H slots ahead was observed. valid holds 'L/H' of the pairs served, by L and then H; the origins
+    common to all pairs are those where every one is. One sweep over each workload's slots answers all pairs.
+    """
+    w = Window.partitionBy("workload").orderBy("t")
+    good, start = F.col("input_valid").cast("double"), F.min("t").over(Window.partitionBy("workload"))
+    flags = {}
+    for long in sorted(histories):
+        behind = F.sum(good).over(w.rowsBetween(-(long - 1), 0)) / long
+        for ahead in sorted(horizons):
+            seen = F.coalesce(F.lead("target_observed", ahead).over(w), F.lit(False))
+            flags[f"{long}/{ahead}"] = F.col("input_valid") & (F.col("t") - start >= long - 1) & (behind >= min_coverage) & seen
+    served = F.filter(F.array(*[F.when(ok, F.lit(name)) for name, ok in flags.items()]), lambda x: x.isNotNull())
+    slots = filled.withColumn("valid", served).where((F.col("t") >= first) & (F.col("t") <= last) & ((F.col("t") - first) % stride == 0))
+    return slots.select(F.col("t").alias("origin"), "workload", "valid", (F.size("valid") == len(flags)).alias("common"))
+
+
 def zscore_stats(values: DataFrame, channels: list[str], eps: float = 1e-8) -> DataFrame:
     """One row: population mean and deviation of each channel; a deviation below eps counts as 1."""
     cols = []

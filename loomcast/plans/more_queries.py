@@ -257,6 +257,18 @@ def contexts_in_runs(spark, d):
     return sequences.run_contexts(s, 2, _store).withColumn("ctx", F.array_join("ctx", ">"))
 
 
+_PAIRS = [(long, ahead) for long in (2, 4, 7) for ahead in (1, 3)]
+_SERVED = "ok AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT workload, t AS origin, '{a}/{b}' AS pair FROM (SELECT *, sum(input_valid::INT) OVER (PARTITION BY workload ORDER BY t ROWS BETWEEN {a - 1} PRECEDING AND CURRENT ROW) / {a}.0::DOUBLE AS share, lead(target_observed, {b}) OVER (PARTITION BY workload ORDER BY t) AS seen, min(t) OVER (PARTITION BY workload) AS start FROM f) WHERE input_valid AND t - start >= {a - 1} AND share >= 0.8 AND seen" for a, b in _PAIRS) + "), co AS (" + " INTERSECT ".join(f"SELECT workload, origin FROM ok WHERE pair = '{a}/{b}'" for a, b in _PAIRS) + ")"
+
+
+@query("SELECT f.t AS origin, f.workload, coalesce(string_agg(pair, ' ' ORDER BY pair), '') AS valid, count(co.origin) > 0 AS common FROM f LEFT JOIN ok ON ok.workload = f.workload AND ok.origin = f.t LEFT JOIN co ON co.workload = f.workload AND co.origin = f.t WHERE (f.t - (SELECT min(t) FROM f)) % 2 = 0 GROUP BY 1, 2", f"{FILL}, {_SERVED}")
+def common_origins(spark, d):
+    """Every second slot: the histories and horizons that each workload can serve there, and where all of them meet."""
+    f = u.filled(spark, d)
+    lo, hi = f.agg(F.min("t"), F.max("t")).first()
+    return ingest.common_origins(f, lo or 0, hi or 0, 2, [2, 4, 7], [1, 3]).withColumn("valid", F.array_join("valid", " "))
+
+
 @query("""SELECT l.workload, CAST(h AS INT) AS h, last + h * coalesce(step, 1) AS t FROM (SELECT workload, max(t) AS last FROM m GROUP BY 1) l CROSS JOIN range(1, 5) r(h)
 LEFT JOIN (SELECT workload, CAST(quantile_disc(x, 0.5) AS BIGINT) AS step FROM (SELECT workload, t - lag(t) OVER (PARTITION BY workload ORDER BY t) AS x FROM m) WHERE x IS NOT NULL GROUP BY 1) c USING (workload)""", M)
 def future_times(spark, d):
@@ -413,6 +425,44 @@ def largest_component(spark, d):
     return graph.largest_component(graph.component_sizes(star, dep, _store))
 
 
+#: Fixed parameters of a small gated block: two states, one resource, four link features, two hidden numbers, two rounds.
+BLOCK = graph.GatedBlock(theta=[[0.7, -0.4], [-0.3, 0.9], [0.5, 0.2]], into=[[0.6, -0.2], [-0.5, 0.8], [0.3, 0.4]], into_bias=[0.05, -0.1], own=[[[0.9, 0.1], [-0.2, 0.7]], [[0.4, -0.6], [0.5, 0.3]]], own_bias=[[0.02, 0.03], [-0.04, 0.01]], message=[[[0.5, -0.3], [0.2, 0.6]], [[-0.4, 0.7], [0.1, 0.5]]], link=[0.4, -0.3, -0.2, 0.5], link_bias=0.1, head=[[0.8, -0.5], [-0.7, 0.6]], head_bias=[0.03, -0.02])
+
+
+def _gated_sql(b) -> str:
+    """The same block as SQL: a common table expression a round."""
+    times = lambda names, rows, j, bias=None: " + ".join(f"{n} * {rows[i][j]!r}::DOUBLE" for i, n in enumerate(names)) + (f" + {bias[j]!r}::DOUBLE" if bias else "")
+    moved = ", ".join(f"greatest(0.5 * (1 + (2 * m{i} - 1 + e{i}) / greatest(1 + (2 * m{i} - 1) * e{i}, 1e-12)), 0) AS v{i}" for i in (0, 1))
+    evidence = ", ".join(f"{b.strength!r}::DOUBLE * tanh({times(['coalesce(nm0, 0)', 'coalesce(nm1, 0)', 'coalesce(neighbours, 0) / 24.0::DOUBLE'], b.theta, i)}) * has AS e{i}" for i in (0, 1))
+    score = " + ".join(f"{c} * {w!r}::DOUBLE" for c, w in zip(("bandwidth / 40000", "delay / 25", "loss * 20", "availability * 25"), b.link))
+    out = [
+        f"ge AS (SELECT time_bucket AS t, dst AS node, src AS near, 1 / (1 + exp(-({b.link_bias!r}::DOUBLE + {score}))) AS gate FROM links)",
+        "sh AS (SELECT *, gate / sum(gate) OVER (PARTITION BY t, node) AS share FROM ge)",
+        "nd AS (SELECT t, n_nationkey AS node, (1 + (n_nationkey * 7 + t) % 5) / 6.0::DOUBLE AS m0, 1 - (1 + (n_nationkey * 7 + t) % 5) / 6.0::DOUBLE AS m1, n_regionkey / 4.0::DOUBLE AS x0 FROM nation, (SELECT DISTINCT time_bucket AS t FROM links))",
+        "nm AS (SELECT sh.t, sh.node, sum(share * m0) AS nm0, sum(share * m1) AS nm1, count(*) AS neighbours, avg(gate) AS gate_mean FROM sh JOIN nd ON nd.t = sh.t AND nd.node = sh.near GROUP BY 1, 2)",
+        f"ad AS (SELECT t, node, m0, m1, x0, neighbours, gate_mean, has, v0 / (v0 + v1) AS a0, v1 / (v0 + v1) AS a1 FROM (SELECT *, {moved} FROM (SELECT *, {evidence} FROM (SELECT nd.*, nm0, nm1, neighbours, gate_mean, (nm0 IS NOT NULL)::INT AS has FROM nd LEFT JOIN nm USING (t, node)))))",
+        f"h0 AS (SELECT *, {', '.join(f'tanh({times(["a0", "a1", "x0"], b.into, j, b.into_bias)}) AS h{j}' for j in (0, 1))} FROM ad)",
+    ]
+    for i in range(len(b.own)):
+        hidden = ", ".join(f"tanh({times(['p.h0', 'p.h1'], b.own[i], j, b.own_bias[i])} + {times(['coalesce(q.h0, 0)', 'coalesce(q.h1, 0)'], b.message[i], j)}) AS h{j}" for j in (0, 1))
+        out.append(f"h{i + 1} AS (SELECT p.t, p.node, m0, m1, neighbours, gate_mean, has, a0, a1, {hidden} FROM h{i} p LEFT JOIN (SELECT sh.t, sh.node, sum(share * h0) AS h0, sum(share * h1) AS h1 FROM sh JOIN h{i} x ON x.t = sh.t AND x.node = sh.near GROUP BY 1, 2) q ON q.t = p.t AND q.node = p.node)")
+    logits = ", ".join(f"exp(ln(greatest(a{j}, 1e-12)) + ({times(['h0', 'h1'], b.head, j, b.head_bias)}) * has) AS w{j}" for j in (0, 1))
+    out.append(f"fi AS (SELECT *, w0 / (w0 + w1) AS y0, w1 / (w0 + w1) AS y1 FROM (SELECT *, {logits} FROM h{len(b.own)}))")
+    return ", ".join(out)
+
+
+@query("SELECT t, node, round(y0, 6) AS mu0, coalesce(neighbours, 0) AS neighbours, round(gate_mean, 6) AS gate_mean, round(abs(y0 - m0) + abs(y1 - m1), 6) AS shift, round(sqrt(h0 * h0 + h1 * h1), 6) AS context FROM fi", f"{LINK}, {_gated_sql(BLOCK)}")
+def gated_messages(spark, d):
+    """Nations in each month, joined by the links of that month; fixed parameters."""
+    links = u.links(spark, d)
+    scaled = F.array(F.col("bandwidth") / 40000, F.col("delay") / 25, F.col("loss") * 20, F.col("availability") * 25)
+    edges = links.select(F.col("time_bucket").alias("t"), F.col("dst").alias("node"), F.col("src").alias("near"), F.lit(1.0).alias("weight"), scaled.alias("features"))
+    m = (1 + (F.col("n_nationkey") * 7 + F.col("t")) % 5) / F.lit(6.0)
+    nodes = u.read(spark, d, "nation").join(F.broadcast(links.select(F.col("time_bucket").alias("t")).distinct()), how="cross")
+    nodes = nodes.select("t", F.col("n_nationkey").alias("node"), F.array(m, 1 - m).alias("mu"), F.array(F.col("n_regionkey") / F.lit(4.0)).alias("x"))
+    return graph.gated_messages(nodes, edges, ["t"], BLOCK, _store, "features").select("t", "node", F.get("mu", F.lit(0)).alias("mu0"), "neighbours", "gate_mean", "shift", "context")
+
+
 _W = ((0.8, -0.1), (0.2, 0.5)), ((0.3, 0.1), (-0.2, 0.4))
 
 
