@@ -74,3 +74,12 @@ def slot_membership(x: Column, centroids: Column, scale: float, temperature: flo
     """softmax(-|x - c|^2 / max(2 scale^2 T, 1e-8)) over an array of centroids."""
     width = max(2 * scale * scale * temperature, 1e-8)
     return softmax(F.transform(centroids, lambda c: -sqdist(x, c) / width))
+
+
+def affine(x: list[Column], rows: list, bias: list | None = None) -> list[Column]:
+    """x times a matrix of literal rows, a column an entry, plus a bias: sums of products that code generation keeps in the JVM."""
+    out = []
+    for j in range(len(rows[0])):
+        terms = [c * F.lit(float(rows[i][j])) for i, c in enumerate(x)]
+        out.append(sum(terms[1:], terms[0]) + F.lit(float(bias[j]) if bias else 0.0))
+    return out

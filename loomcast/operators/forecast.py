@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import EPS, affine, phase, simplex, softmax
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -135,3 +138,47 @@ def persistence_gain(df: DataFrame, truth: str, model: str, base: str, keys: lis
     """(keys, model_mae, persistence_mae, gain)."""
     a, b = F.avg(F.abs(F.col(truth) - F.col(model))), F.avg(F.abs(F.col(truth) - F.col(base)))
     return df.groupBy(*keys).agg(a.alias("model_mae"), b.alias("persistence_mae"), (b - a).alias("gain"))
+
+
+@dataclass(frozen=True)
+class DirectHead:
+    """Parameters of direct forecasts over k states: a transition network of (k + 2) x g and g x k*k with biases, a prior
+    of k x k, and a correction from k memberships and 4 features of the horizon through c hidden numbers to k."""
+
+    into: list
+    into_bias: list
+    out: list
+    out_bias: list
+    prior: list
+    of_state: list
+    of_horizon: list
+    correct_bias: list
+    correct: list
+    longest: int
+    period: float
+    blend: float = 0.5
+
+
+def direct_forecast(rows: DataFrame, keys: list[str], head: DirectHead) -> DataFrame:
+    """(keys, h, dynamic, p): every horizon from one origin, none through another, all in one pass over the rows.
+
+    rows has keys, h, t (the time forecast), mu (the origin's memberships after its neighbours' say) and back
+    (what back-off gives for h; null counts as mu). dynamic is mu through a transition matrix that depends on
+    mu and on the time's phase; it is blended with back and corrected by mu and the horizon. Matrices are
+    literals in the plan, so a forecast is a projection and nothing shuffles.
+    """
+    k = len(head.prior)
+    mu, eps = [F.get("mu", F.lit(i)) for i in range(k)], F.lit(EPS)
+    sine, cosine = phase(F.col("t"), head.period)
+    hidden = affine([*mu, sine, cosine], head.into, head.into_bias)
+    rows = rows.withColumns({f"_z{i}": F.tanh(c) for i, c in enumerate(hidden)})
+    learned = affine([F.col(f"_z{i}") for i in range(len(hidden))], head.out, head.out_bias)
+    rows = rows.withColumns({f"_r{i}": softmax(F.array(*(learned[i * k + j] + math.log(max(head.prior[i][j], EPS)) for j in range(k)))) for i in range(k)})
+    moved = simplex(F.array(*(sum((mu[i] * F.get(f"_r{i}", F.lit(j)) for i in range(1, k)), mu[0] * F.get("_r0", F.lit(j))) for j in range(k))))
+    rows = rows.withColumn("dynamic", moved).withColumn("back", F.coalesce("back", "mu"))
+    rows = rows.withColumn("_base", simplex(F.zip_with("dynamic", "back", lambda a, b: a * (1 - head.blend) + b * head.blend)))
+    share = F.col("h") / F.lit(float(head.longest))
+    features = [share, F.log1p(F.col("h").cast("double")) / math.log1p(head.longest), F.sin(2 * math.pi * share), F.cos(2 * math.pi * share)]
+    moves = affine([F.tanh(a + b) for a, b in zip(affine(mu, head.of_state, head.correct_bias), affine(features, head.of_horizon))], head.correct)
+    final = softmax(F.array(*(F.ln(F.greatest(F.get("_base", F.lit(j)), eps)) + moves[j] for j in range(k))))
+    return rows.withColumn("p", final).select(*keys, "h", "dynamic", "p")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import EPS, bipolar, dot, einstein, sigmoid, softmax
+from ..functions.arrays import EPS, affine, bipolar, dot, einstein, sigmoid, softmax
 from .components import components
 from .joins import unique_join
 from .ranges import numbered
@@ -227,15 +227,6 @@ class GatedBlock:
     strength: float = 0.6
 
 
-def _affine(x: list[Column], rows: list, bias: list | None = None) -> list[Column]:
-    """x times a matrix, a column an entry, plus a bias: a sum of products that code generation keeps in the JVM."""
-    out = []
-    for j in range(len(rows[0])):
-        terms = [c * F.lit(float(rows[i][j])) for i, c in enumerate(x)]
-        out.append(sum(terms[1:], terms[0]) + F.lit(float(bias[j]) if bias else 0.0))
-    return out
-
-
 def gated_edges(edges: DataFrame, key: list[str], block: GatedBlock, features: str | None) -> DataFrame:
     """(key, node, near, gate, share): what of each node's messages comes from each neighbour.
 
@@ -284,7 +275,7 @@ def gated_messages(nodes: DataFrame, edges: DataFrame, key: list[str], block: Ga
     table = table.join(F.broadcast(sizes), key) if key else table.join(F.broadcast(sizes), how="cross")
     has = F.when(F.coalesce("_share", F.lit(0.0)) > 0.5, 1.0).otherwise(0.0)
     degree = F.coalesce("neighbours", F.lit(0)) / F.greatest(F.col("_nodes") - 1, F.lit(1))
-    evidence = _affine([*(F.coalesce(f"nm{i}", F.lit(0.0)) for i in range(k)), degree], block.theta)
+    evidence = affine([*(F.coalesce(f"nm{i}", F.lit(0.0)) for i in range(k)), degree], block.theta)
     moved = []
     for i in range(k):
         c, e = 2 * F.col(f"m{i}") - 1, F.lit(block.strength) * F.tanh(evidence[i]) * has
@@ -292,14 +283,14 @@ def gated_messages(nodes: DataFrame, edges: DataFrame, key: list[str], block: Ga
     table = table.select(*key, "node", *state, *[f"x{i}" for i in range(r)], "neighbours", "gate_mean", has.alias("_has"), *[c.alias(f"v{i}") for i, c in enumerate(moved)])
     mass = sum((F.col(f"v{i}") for i in range(1, k)), F.col("v0"))
     table = table.withColumns({f"a{i}": F.when(mass > EPS, F.col(f"v{i}") / mass).otherwise(1.0 / k) for i in range(k)})
-    hidden = _affine([*(F.col(f"a{i}") for i in range(k)), *(F.col(f"x{i}") for i in range(r))], block.into, block.into_bias)
+    hidden = affine([*(F.col(f"a{i}") for i in range(k)), *(F.col(f"x{i}") for i in range(r))], block.into, block.into_bias)
     table = store(table.withColumns({f"h{i}": F.tanh(c) for i, c in enumerate(hidden)}))
     for own, bias, message in zip(block.own, block.own_bias, block.message):
         sent = come(table, [f"h{i}" for i in range(g)])
         both = table.join(sent, [*key, "node"], "left")
-        mine, theirs = _affine([F.col(f"h{i}") for i in range(g)], own, bias), _affine([F.coalesce(f"nh{i}", F.lit(0.0)) for i in range(g)], message)
+        mine, theirs = affine([F.col(f"h{i}") for i in range(g)], own, bias), affine([F.coalesce(f"nh{i}", F.lit(0.0)) for i in range(g)], message)
         table = store(both.withColumns({f"_h{i}": F.tanh(mine[i] + theirs[i]) for i in range(g)}).drop(*[f"{p}h{i}" for i in range(g) for p in ("", "n")]).withColumnsRenamed({f"_h{i}": f"h{i}" for i in range(g)}))
-    left = _affine([F.col(f"h{i}") for i in range(g)], block.head, block.head_bias)
+    left = affine([F.col(f"h{i}") for i in range(g)], block.head, block.head_bias)
     mu = softmax(F.array(*(F.ln(F.greatest(f"a{i}", F.lit(EPS))) + left[i] * F.col("_has") for i in range(k))))
     square = sum((F.col(f"h{i}") * F.col(f"h{i}") for i in range(1, g)), F.col("h0") * F.col("h0"))
     out = table.withColumn("mu", mu)

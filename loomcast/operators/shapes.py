@@ -213,6 +213,29 @@ def farthest_points(d: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
+def spread_out(points: DataFrame, k: int) -> list[tuple]:
+    """(id, x) of k points of (id, x array<double>) that lie far apart, over all points however many.
+
+    The first is the one nearest to all others by the sum of squared distances, which two sums over the table
+    give; each further one is the farthest from those before. Of equals the least id counts; points that
+    repeat a chosen one are taken only when no others are left. A round is one pass, the driver holds k points.
+    """
+    sums = points.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("s")).orderBy("pos").collect()
+    n = points.count()
+    if not n:
+        return []
+    middle = F.array(*[F.lit(r.s / n) for r in sums])
+    first = points.agg(F.min_by(F.struct("id", "x"), F.struct(F.round(sqdist(F.col("x"), middle), 12), F.col("id"))).alias("p")).first()["p"]
+    chosen = [(first["id"], list(first["x"]))]
+    while len(chosen) < min(k, n):
+        known = F.array(*[F.array(*map(F.lit, x)) for _, x in chosen])
+        near = F.array_min(F.transform(known, lambda c: F.round(sqdist(F.col("x"), c) / F.size("x"), 12)))
+        rest = points.where(~F.col("id").isin([i for i, _ in chosen]))
+        far = rest.agg(F.min_by(F.struct("id", "x"), F.struct(-near, F.col("id"))).alias("p")).first()["p"]
+        chosen.append((far["id"], list(far["x"])))
+    return chosen
+
+
 def window_prototypes(windows: list[np.ndarray], k: int, points: int, window: int = 5) -> np.ndarray:
     """k x points x channels: windows resampled to equal length, spread out by warped distance. For a bounded candidate set."""
     x = [resample(w, points) for w in windows if len(w)]

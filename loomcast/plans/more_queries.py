@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import graph, ingest, markov, metrics, sampling, sequences, shapes
+from ..operators import forecast, graph, ingest, markov, metrics, sampling, sequences, shapes
+from ..operators.context_store import ContextStore
 from ..sources import archives, tables
 from ..sources import usage as src
 from ..streaming import usage as streams
@@ -275,7 +276,7 @@ def future_times(spark, d):
     return sequences.future_times(u.means(spark, d).select("workload", "t"), 4)
 
 
-def _direct_sql() -> str:
+def _direct_sql(digits: str = ", 6)") -> str:
     ctx = {0: "''", 1: "a", 2: "b || '>' || a"}
     parts = ["p0 AS (SELECT *, row_number() OVER o - 1 AS pos, count(*) OVER (PARTITION BY workload) AS n, lag(state, 1) OVER o AS a, lag(state, 2) OVER o AS b FROM s WHERE t < (SELECT max(t) FROM s) WINDOW o AS (PARTITION BY workload ORDER BY sec, event_id))", "cur AS (SELECT workload, '' AS c0, max(state) FILTER (pos = n - 1) AS c1, max(state) FILTER (pos = n - 2) || '>' || max(state) FILTER (pos = n - 1) AS c2 FROM p0 GROUP BY 1)", "base AS (SELECT cur.*, h, state FROM cur CROSS JOIN range(1, 4) r(h) CROSS JOIN (SELECT DISTINCT state FROM s))"]
     sel, joins = "SELECT base.workload, base.h, base.state", " FROM base"
@@ -285,7 +286,7 @@ def _direct_sql() -> str:
         joins += f" LEFT JOIN o{k} ON o{k}.ctx = base.c{k} AND o{k}.h = base.h AND o{k}.state = base.state"
     parts.append(f"j AS ({sel}, count(*) OVER w AS ks{joins} WINDOW w AS (PARTITION BY base.workload, base.h))")
     ps = ", ".join(f"CASE WHEN n{k} > 0 THEN (c{k} + 1) / (n{k} + ks) ELSE 1.0::DOUBLE / ks END AS p{k}, CASE WHEN n{k} > 0 THEN 1 / (1 + exp(-greatest(least(n{k} - 2, 60), -60))) ELSE 0 END AS g{k}" for k in range(3))
-    return f"WITH {S}, " + ", ".join(parts) + f" SELECT workload, CAST(h AS INT) AS h, state, round(g2 * p2 + (1 - g2) * g1 * p1 + (1 - g2) * (1 - g1) * p0, 6) AS p FROM (SELECT *, {ps} FROM j)"
+    return f"WITH {S}, " + ", ".join(parts) + f" SELECT workload, CAST(h AS INT) AS h, state, {'round(' if digits else ''}g2 * p2 + (1 - g2) * g1 * p1 + (1 - g2) * (1 - g1) * p0{digits} AS p FROM (SELECT *, {ps} FROM j)"
 
 
 @query(_direct_sql())
@@ -294,6 +295,65 @@ def direct_all_orders(spark, d):
     return markov.direct_orders(s, ORDER, 3, s.agg(F.max("t")).first()[0] or 0, 2, 0.02, 1.0, s.select("state").distinct())
 
 
+def _rule(rows: int, columns: int, a: int, b: int) -> list:
+    return [[((i * a + j * b) % 11 - 5) / 10 for j in range(columns)] for i in range(rows)]
+
+
+#: Fixed parameters of direct forecasts over five states, by a rule.
+HEAD = forecast.DirectHead(into=_rule(7, 3, 7, 3), into_bias=_rule(1, 3, 0, 4)[0], out=_rule(3, 25, 5, 2), out_bias=_rule(1, 25, 0, 7)[0], prior=[[0.4 if i == j else 0.15 for j in range(5)] for i in range(5)], of_state=_rule(5, 3, 3, 8), of_horizon=_rule(4, 3, 9, 2), correct_bias=_rule(1, 3, 0, 6)[0], correct=_rule(3, 5, 4, 7), longest=8, period=7.0, blend=0.4)
+
+
+def _head_sql(b) -> str:
+    k = range(len(b.prior))
+    times = lambda names, rows, j, bias=None: "(" + " + ".join(f"{n} * {rows[i][j]!r}::DOUBLE" for i, n in enumerate(names)) + (f" + {bias[j]!r}::DOUBLE" if bias else "") + ")"
+    mu = [f"m{i}" for i in k]
+    z = ", ".join(f"tanh({times([*mu, 'sin(t * 2 * pi() / 7)', 'cos(t * 2 * pi() / 7)'], b.into, j, b.into_bias)}) AS z{j}" for j in range(3))
+    e = ", ".join(f"exp({times(['z0', 'z1', 'z2'], b.out, i * 5 + j, b.out_bias)} + ln({b.prior[i][j]!r}::DOUBLE)) AS e{i}{j}" for i in k for j in k)
+    d = ", ".join(" + ".join(f"m{i} * e{i}{j} / ({' + '.join(f'e{i}{q}' for q in k)})" for i in k) + f" AS d{j}" for j in k)
+    features = ["h / 8.0::DOUBLE", "ln(1 + h) / ln(9)", "sin(2 * pi() * h / 8.0::DOUBLE)", "cos(2 * pi() * h / 8.0::DOUBLE)"]
+    c = ", ".join(f"tanh({times(mu, b.of_state, j, b.correct_bias)} + {times(features, b.of_horizon, j)}) AS c{j}" for j in range(3))
+    w = ", ".join(f"exp(ln(greatest(d{j} * {1 - b.blend!r}::DOUBLE + b[{j + 1}] * {b.blend!r}::DOUBLE, 1e-12)) + {times(['c0', 'c1', 'c2'], b.correct, j)}) AS w{j}" for j in k)
+    shares = ", ".join(f"max(n) FILTER (i = {i + 1}) / sum(n)::DOUBLE AS m{i}" for i in k)
+    return f"""st AS (SELECT state, row_number() OVER (ORDER BY state) AS i FROM (SELECT DISTINCT state FROM s)),
+sm AS (SELECT workload, {shares} FROM (SELECT workload, i, count(x.state) + 1 AS n FROM (SELECT DISTINCT workload FROM s WHERE t < (SELECT max(t) FROM s)) CROSS JOIN st LEFT JOIN (SELECT workload AS u, state FROM s WHERE t < (SELECT max(t) FROM s)) x ON x.u = workload AND x.state = st.state GROUP BY 1, 2) GROUP BY 1),
+bk AS (SELECT workload, h, list(p ORDER BY state) AS b FROM ({_direct_sql("")}) GROUP BY 1, 2),
+z AS (SELECT *, {z} FROM (SELECT sm.*, h, b, (SELECT max(t) FROM s) - 1 + h AS t FROM sm JOIN bk USING (workload))),
+w AS (SELECT *, {w} FROM (SELECT *, {d}, {c} FROM (SELECT *, {e} FROM z)))"""
+
+
+@query("SELECT workload, h, state, round(([w0, w1, w2, w3, w4])[i] / (w0 + w1 + w2 + w3 + w4), 6) AS p, round(([d0, d1, d2, d3, d4])[i], 6) AS dynamic FROM w, st", f"{S}, {_head_sql(HEAD)}")
+def direct_forecast(spark, d):
+    """Each user's mix of states before the last day, forecast 1 to 3 days ahead, every day on its own; fixed parameters."""
+    s = u.states(spark, d)
+    now = s.agg(F.max("t")).first()[0] or 0
+    kinds = [r[0] for r in s.select("state").distinct().orderBy("state").collect()]
+    past = s.where(F.col("t") < now).groupBy("workload").agg(*(F.count_if(F.col("state") == x).alias(f"n{i}") for i, x in enumerate(kinds)))
+    total = sum((F.col(f"n{i}") for i in range(1, len(kinds))), F.col("n0")) + len(kinds)
+    mu = past.select("workload", F.array(*((F.col(f"n{i}") + 1) / total for i in range(len(kinds)))).alias("mu"))
+    back = markov.direct_orders(s, ORDER, 3, now, 2, 0.02, 1.0, s.select("state").distinct())
+    back = back.groupBy("workload", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "p"))), lambda x: x["p"]).alias("back"))
+    rows = mu.join(back, "workload").withColumn("t", F.lit(now - 1) + F.col("h"))
+    out = forecast.direct_forecast(rows, ["workload"], HEAD)
+    return out.select("workload", "h", F.explode(F.arrays_zip(F.array(*map(F.lit, kinds)).alias("state"), "p", "dynamic")).alias("x")).select("workload", "h", "x.*")
+
+
+@query("SELECT k AS \"order\", ctx, state, round(sum(exp(-0.02 * (now - t))), 6) AS c FROM (SELECT *, (SELECT max(t) + 1 FROM s) AS now FROM (SELECT 0 AS k, '' AS ctx, t, state FROM o UNION ALL SELECT 1, a, t, state FROM o WHERE a IS NOT NULL UNION ALL SELECT 2, b || '>' || a, t, state FROM o WHERE b IS NOT NULL)) WHERE now - t <= 20 GROUP BY 1, 2, 3", f"{S}, o AS (SELECT *, lag(state, 1) OVER q AS a, lag(state, 2) OVER q AS b FROM s WINDOW q AS (PARTITION BY workload ORDER BY sec, event_id))")
+def context_store(spark, d):
+    """Sixteen appends, an expiry, an export and an import give the counts that one batch gives."""
+    s = u.states(spark, d).select("workload", "t", "sec", "event_id", "state")
+    lo, hi = s.agg(F.min("t"), F.max("t")).first()
+    store = ContextStore(spark, _folder(spark, "contexts"), 2, ("sec", "event_id"))
+    days = max(1, -(-((hi or 0) - (lo or 0) + 1) // 16))
+    for i in range(16):
+        store.append(s.where((F.col("t") >= (lo or 0) + i * days) & (F.col("t") < (lo or 0) + (i + 1) * days)))
+    store.expire((hi or 0) + 1 - 20)
+    moved = _folder(spark, "moved")
+    store.export(moved)
+    other = ContextStore(spark, _folder(spark, "contexts"), 2, ("sec", "event_id"))
+    other.load(moved)
+    return other.counts((hi or 0) + 1, 0.02, 20).withColumn("ctx", F.array_join("ctx", ">"))
+
+
 @query("SELECT w.workload, m.b AS state, round(m.p, 6) AS p FROM (SELECT workload, arg_max(state, (sec, event_id)) AS a FROM s GROUP BY 1) w JOIN (SELECT a, state AS b, count(*) / sum(count(*)) OVER (PARTITION BY a)::DOUBLE AS p FROM x WHERE a IS NOT NULL GROUP BY 1, 2) m ON m.a = w.a", f"{S}, {_CTX}")
 def static_kernel(spark, d):
     """One step of every workload's last state through the transitions of all, without smoothing."""
@@ -338,6 +398,17 @@ def centroid_order(spark, d):
     return shapes.ordered_centroids(c).select("state", F.get("c", F.lit(0)).alias("first"))
 
 
+_PICK = "c{0} AS MATERIALIZED (SELECT * FROM (SELECT p.id, p.x, p.y FROM pt p CROSS JOIN ({1}) c WHERE p.id NOT IN (SELECT id FROM ({1})) GROUP BY 1, 2, 3 ORDER BY min(round((((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)) / 2), 12)) DESC, p.id LIMIT 1))"
+_PICKS = ", ".join(["pt AS MATERIALIZED (SELECT workload * 100000 + t AS id, cpu_input AS x, mem_input AS y FROM f WHERE input_valid)", "c0 AS MATERIALIZED (SELECT id, x, y FROM pt, (SELECT avg(x) AS a, avg(y) AS b FROM pt) ORDER BY round((x - a) * (x - a) + (y - b) * (y - b), 12), id LIMIT 1)", *(_PICK.format(i, " UNION ALL ".join(f"SELECT * FROM c{j}" for j in range(i))) for i in range(1, 5))])
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS state, id, round(x, 6) AS cpu, round(y, 6) AS mem FROM c{i}" for i in range(5)), f"{FILL}, {_PICKS}")
+def slot_prototypes(spark, d):
+    """Five slots of all that lie far apart: the points of flat prototypes."""
+    f = u.filled(spark, d).where("input_valid").select((F.col("workload") * 100_000 + F.col("t")).alias("id"), F.array("cpu_input", "mem_input").alias("x"))
+    return spark.createDataFrame([(i, int(p), float(x[0]), float(x[1])) for i, (p, x) in enumerate(shapes.spread_out(f, 5))], "state int, id long, cpu double, mem double")
+
+
 _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
 
 

@@ -363,7 +363,14 @@ def segment_runs(spark, d):
     return shapes.segment_runs(u.filled(spark, d).where("input_valid").select("workload", "t", F.col("cpu_input").alias("cpu"), F.col("mem_input").alias("mem")), ["cpu", "mem"], 3, 8, 0.05)
 
 
-@query()
+_BEST = "CASE WHEN row[e[1].n + 1].c <= acc[e[1].n].c AND row[e[1].n + 1].c <= row[e[1].n].c THEN row[e[1].n + 1] WHEN acc[e[1].n].c <= row[e[1].n].c THEN acc[e[1].n] ELSE row[e[1].n] END"
+#: Rows of the table of alignments one after the other: cell by cell the cheapest of up, left and diagonal, with its number of points.
+_WARP = f"""it AS MATERIALIZED (SELECT workload AS id, list(cpu_input ORDER BY t) AS xs FROM f WHERE input_valid GROUP BY 1 ORDER BY md5(workload::VARCHAR), workload LIMIT {CANDIDATES}),
+al AS (SELECT a.id AS i, b.id AS j, a.xs AS x, b.xs AS y, greatest(5, abs(len(a.xs) - len(b.xs))) AS band, 0::BIGINT AS r, list_prepend({{'c': 0.0::DOUBLE, 'n': 0::BIGINT}}, list_transform(b.xs, lambda v: {{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}})) AS row FROM it a JOIN it b ON a.id < b.id
+  UNION ALL SELECT i, j, x, y, band, r + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [{{'c': CASE WHEN abs(r + 1 - q) <= band THEN (x[r + 1] - y[q]) * (x[r + 1] - y[q]) ELSE 'infinity'::DOUBLE END, 'n': q}}]), lambda acc, e: list_append(acc, {{'c': ({_BEST}).c + e[1].c, 'n': ({_BEST}).n + 1}}), [{{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}}]) FROM al WHERE r < len(x))"""
+
+
+@query("SELECT i, j, round(sqrt(row[len(row)].c / row[len(row)].n), 6) AS distance FROM al WHERE r = len(x)", f"RECURSIVE {FILL}, {_WARP}")
 def dtw_pairs(spark, d):
     items = u.filled(spark, d).where("input_valid").groupBy(F.col("workload").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "cpu_input"))), lambda x: x["cpu_input"]).alias("series"))
     return shapes.pairwise_dtw(sampling.digest_sample(items, "id", CANDIDATES))
@@ -544,7 +551,7 @@ def resource_metrics(spark, d):
     return metrics.resources(u.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("x")), "y", "x", "l_returnflag")
 
 
-@query("SELECT k, count(*) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v) - 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS ci_low, round(avg(v) + 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS ci_high FROM hm GROUP BY 1", _H)
+@query("SELECT k, count(*) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(quantile_cont(v, 0.95), 6) AS q95, round(quantile_cont(v, 0.99), 6) AS q99, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v) - 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS ci_low, round(avg(v) + 1.96 * coalesce(stddev_samp(v), 0) / sqrt(count(*)), 6) AS ci_high FROM hm GROUP BY 1", _H)
 def summary_stats(spark, d):
     return metrics.summary(_by_h(spark, d), ["k"], "v")
 
