@@ -460,13 +460,15 @@ def roll_out(packed: DataFrame, p: dict[str, np.ndarray], b: Blocks, prior: np.n
     return packed.mapInPandas(run, f"origin long, workload {kind}, h int, state int, p double")
 
 
-def roll_out_whole(mu: DataFrame, home: DataFrame, origins: DataFrame, history: int, p: dict[str, np.ndarray], b: Blocks, prior: np.ndarray, horizon: int, store: Callable, order: int = 3, decay: float = 0.02, max_age: float | None = None, hard: bool = False) -> DataFrame:
+def roll_out_whole(mu: DataFrame, home: DataFrame, origins: DataFrame, history: int, p: dict[str, np.ndarray], b: Blocks, prior: np.ndarray, horizon: int, store: Callable, order: int = 3, decay: float = 0.02, max_age: float | None = None, hard: bool = False, folder: str | None = None) -> DataFrame:
     """roll_out over all workloads of each origin, however many: from (workload, t, mu, state) and home (workload, node).
 
     Workloads of one node are neighbours. A node's total, less a workload's own part, is what its neighbours say, so
     no pairs are made; totals and context counts are summed in Spark over all workloads. Per origin, only sums by
     context and slot reach the driver: their number is bounded by states, order, history and horizon.
-    store keeps a step's rows (one row per workload) and ends their lineage.
+    store keeps a step's rows (one row per workload) and ends their lineage. With a folder, a shared one, a step's
+    rows go there instead and a log names the origins that have made it, written last: a call that is stopped and
+    made again, with the same origins and parameters, goes on after the last step that all origins made.
     """
     from .contexts import DecayedContexts
 
@@ -519,20 +521,38 @@ def roll_out_whole(mu: DataFrame, home: DataFrame, origins: DataFrame, history:
 
         return run
 
+    made = steps_made(spark, folder, size) if folder else 0
     for h in range(1, horizon + 1):
         x = now.withColumn("h", F.col("mu"))
-        for _ in range(b.rounds if b.spatial else 0):
+        for _ in range(b.rounds if b.spatial and h > made else 0):
             total = x.where("node is not null").groupBy("origin", "node").agg(F.count(F.lit(1)).alias("d"), sums_of("h").alias("total"))
             x = x.join(total, ["origin", "node"], "left").withColumn("d", F.coalesce("d", F.lit(1))).withColumn("total", F.coalesce("total", "h"))
             x = x.mapInPandas(round_of, f"{columns}, h array<double>")
-        models = spark.sparkContext.broadcast(backs)
-        now = store(x.mapInPandas(ended(h, models), columns))
+        if h > made:
+            models = spark.sparkContext.broadcast(backs)
+            done = x.mapInPandas(ended(h, models), columns)
+            if folder:
+                done.write.mode("overwrite").parquet(f"{folder}/step={h}")
+                spark.createDataFrame([(o, h) for o in sorted(size)], "origin long, step int").coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        now = spark.read.schema(columns).parquet(f"{folder}/step={h}") if folder else store(done)
         answers.append(now.select("origin", "workload", F.lit(h).alias("h"), F.posexplode("mu").alias("state", "p")))
         if h < horizon:
             enter(now.select("origin", (F.col("origin") + h).alias("t"), tail("ctx", order, F.size("ctx") - 1).alias("before"), F.col("mu").alias("target")))
     return reduce(DataFrame.unionAll, answers)
 
 
+def steps_made(spark, folder: str, origins) -> int:
+    """The last step that the folder's log names for each of the origins; 0 without a log."""
+    try:
+        rows = spark.read.schema("origin long, step int").parquet(f"{folder}/log").groupBy("origin").agg(F.max("step").alias("step")).collect()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+    by = dict(map(tuple, rows))
+    return min((by.get(o, 0) for o in origins), default=0)
+
+
 def roll_out_to(path: str, packed: DataFrame, *args, **options) -> DataFrame:
     """roll_out written under path by origin; origins that an earlier, stopped call finished are not run again.
 

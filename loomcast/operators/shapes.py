@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sqdist
@@ -145,6 +145,139 @@ def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512, w
     return left.join(items.select(F.col("id").alias("j"), F.col("series").alias("b")), "j").select("i", "j", distance("a", "b").alias("distance"))
 
 
+def warped_bounds(x: list, y: list, window: int) -> np.ndarray:
+    """For each of x and each of y a number that their warped distance does not undercut, from envelopes.
+
+    Every point is aligned with some point of the other series at most a band away, so it costs at least its
+    distance from the least and greatest of these; an alignment has at most as many points as both series
+    less one. The better of both directions counts.
+    """
+
+    def padded(items: list) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(i) for i in items])
+        return np.stack([np.pad(np.asarray(i, float), (0, n.max() - len(i)), constant_values=np.nan) for i in items]), n
+
+    def one(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)))
+        for gap in np.unique(np.abs(n[:, None] - m[None, :])):
+            band, rows = max(window, int(gap)), np.abs(n[:, None] - m[None, :]) == gap
+            wide = np.pad(b, ((0, 0), (band, band + max(0, a.shape[1] - b.shape[1]))), constant_values=np.nan)
+            near = np.lib.stride_tricks.sliding_window_view(wide, 2 * band + 1, axis=1)[:, : a.shape[1]]
+            low, high = np.fmin.reduce(near, axis=2), np.fmax.reduce(near, axis=2)
+            for i in np.flatnonzero(rows.any(1)):
+                at = np.flatnonzero(rows[i])
+                off = np.fmax(np.fmax(a[i] - high[at], low[at] - a[i]), 0.0)
+                out[i, at] = np.nansum(off * off, axis=1)
+        return out
+
+    (a, n), (b, m) = padded(x), padded(y)
+    cost = np.maximum(one(a, n, b, m), one(b, m, a, n).T)
+    return np.sqrt(cost / (n[:, None] + m[None, :] - 1))
+
+
+def nearest_warped(items: DataFrame, store: Callable[[DataFrame], DataFrame], window: int = 5, block: int = 256, first: int = 4) -> DataFrame:
+    """(id, nearest, distance): of each of (id, series array<double>) the other one at the least warped distance.
+
+    Exact over all items, of equal distances (to 6 digits) the least id. Items lie in blocks. In its own block an item is
+    aligned with the few whose bound is least, which gives a distance that its nearest cannot exceed. Then every
+    two blocks meet in a task of their own: only pairs whose bound does not exceed that distance are aligned,
+    the least first. Null or empty series are no items, a single item has no nearest.
+    """
+    kind = dict(items.dtypes)["id"]
+    rows = items.where(F.size("series") > 0)
+    blocks = max(1, -(-rows.count() // block))
+    rows = store(rows.select("id", "series", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")))
+
+    def align(pairs: list, series: dict) -> list:
+        """Distances of pairs (id, id), each from the lesser to the greater, to 6 digits."""
+        ordered = [(min(p), max(p)) for p in pairs]
+        return [round(float(v), 6) for v in dtw_batch([series[p] for p, _ in ordered], [series[q] for _, q in ordered], window)] if pairs else []
+
+    def guess(g: pd.DataFrame) -> pd.DataFrame:
+        ids, xs = g["id"].tolist(), [np.asarray(v, float) for v in g["series"]]
+        if len(ids) < 2:
+            return pd.DataFrame({"id": ids, "most": [np.inf] * len(ids)})
+        low, series = warped_bounds(xs, xs, window), dict(zip(ids, xs))
+        np.fill_diagonal(low, np.inf)
+        near = np.argsort(low, axis=1, kind="stable")[:, : min(first, len(ids) - 1)]
+        d = align([(ids[i], ids[j]) for i, js in enumerate(near) for j in js], series)
+        return pd.DataFrame({"id": ids, "most": np.array(d).reshape(len(ids), -1).min(1)})
+
+    most = store(rows.groupBy("b").applyInPandas(guess, f"id {kind}, most double"))
+    asked = rows.join(most, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.select("id", "series", "most", F.col("b").alias("mine"), F.col("o").alias("other"))
+    there = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "series", F.lit(None).cast("double").alias("most"), F.col("o").alias("mine"), F.col("b").alias("other"))
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        q, r = g[g["most"].notna()], g[g["most"].isna()]
+        out = []
+        if len(q) and len(r):
+            mine, other = q["id"].tolist(), np.array(r["id"].tolist())
+            xs, ys = ([np.asarray(v, float) for v in t["series"]] for t in (q, r))
+            series, low = dict(zip([*mine, *other.tolist()], [*xs, *ys])), np.floor(warped_bounds(xs, ys, window) * 1e6) / 1e6
+            best = q["most"].to_numpy(float).copy()
+            order, at = np.argsort(low, axis=1, kind="stable"), np.zeros(len(mine), int)
+            found = [(np.inf, None)] * len(mine)
+            while True:  # a few pairs of every item that still has some, and then what they prove
+                asks = []
+                for i in range(len(mine)):
+                    take = order[i, at[i] : at[i] + first]
+                    at[i] += len(take)
+                    asks += [(i, int(other[j])) for j in take if low[i, j] <= best[i] and other[j] != mine[i]]
+                    if len(take) and low[i, take[-1]] > best[i]:
+                        at[i] = len(other)
+                for (i, j), d in zip(asks, align([(mine[i], j) for i, j in asks], series)):
+                    found[i], best[i] = min(found[i], (d, j), key=lambda f: (f[0], f[1] is None, f[1] or 0)), min(best[i], d)
+                if (at >= len(other)).all():
+                    break
+            out = [(mine[i], j, d) for i, (d, j) in enumerate(found) if j is not None]
+        return pd.DataFrame(out, columns=["id", "nearest", "distance"])
+
+    met = asked.unionByName(there).groupBy("mine", "other").applyInPandas(meet, f"id {kind}, nearest {kind}, distance double")
+    return met.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("id", "m.nearest", "m.distance")
+
+
+def spread_windows(windows: DataFrame, k: int, points: int, store: Callable[[DataFrame], DataFrame], window: int = 5) -> list[tuple]:
+    """(id, series) of k windows of (id, series array<double>) that lie far apart by warped distance, over all windows.
+
+    Windows are resampled to equal length. The first is drawn by the digest of its id, each further one is the
+    farthest from those before, of equals (to 9 digits) the least id; windows that repeat a chosen one are taken only
+    when no others are left. A round aligns every window with the last choice alone and stores how near it now is.
+    """
+    kind = dict(windows.dtypes)["id"]
+    x = store(windows.where(F.size("series") > 0).select("id", resampled(F.col("series"), points).alias("series"), F.lit(float("inf")).alias("near")))
+    first = x.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").select("id", "series").first()
+    chosen = [(first["id"], list(first["series"]))] if first else []
+    while first and len(chosen) < k:
+        last = np.array(chosen[-1][1], float)
+
+        def nearer(batches: Iterator[pd.DataFrame], last=last) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d = np.round(dtw_batch([np.asarray(v, float) for v in b["series"]], [last] * len(b), window), 9)
+                    yield b.assign(near=np.minimum(b["near"], d))
+
+        x = store(x.mapInPandas(nearer, f"id {kind}, series array<double>, near double"))
+        far = x.where(~F.col("id").isin([i for i, _ in chosen])).agg(F.min_by(F.struct("id", "series"), F.struct(-F.col("near"), F.col("id"))).alias("p")).first()["p"]
+        if far is None:
+            break
+        chosen.append((far["id"], list(far["series"])))
+    return chosen
+
+
+def resampled(series: Column, points: int) -> Column:
+    """The series at evenly spaced places from its first to its last point, linearly between them."""
+    n = F.size(series) - 1
+
+    def at(i):
+        place = i * n / F.lit(float(max(points - 1, 1)))
+        low = F.floor(place).cast("int")
+        share = place - low
+        return F.get(series, low) * (1 - share) + F.get(series, F.least(low + 1, n)) * share
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
+
+
 def k_medoids(d: np.ndarray, k: int, seed: int = 7, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(medoids, assignment) of a full distance matrix: farthest-first seeds, none twice, then alternate until nothing moves."""
     n = len(d)

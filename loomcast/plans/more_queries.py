@@ -14,7 +14,7 @@ from ..sources import archives, tables
 from ..sources import usage as src
 from ..streaming import usage as streams
 from . import usage as u
-from .queries import _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, WEIGHTS, U, _by_h, _gates, _hard, _labels, _store, query
+from .queries import _BEST, _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, WEIGHTS, U, _by_h, _gates, _hard, _labels, _store, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -409,6 +409,23 @@ def slot_prototypes(spark, d):
     return spark.createDataFrame([(i, int(p), float(x[0]), float(x[1])) for i, (p, x) in enumerate(shapes.spread_out(f, 5))], "state int, id long, cpu double, mem double")
 
 
+_SPREAD_ROUND = """al{0} AS (SELECT p.id, p.x, c.x AS y, 0::BIGINT AS r, list_prepend({{'c': 0.0::DOUBLE, 'n': 0::BIGINT}}, list_transform(c.x, lambda v: {{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}})) AS row FROM pw p, w{0} c
+  UNION ALL SELECT id, x, y, r + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [{{'c': (x[r + 1] - y[q]) * (x[r + 1] - y[q]), 'n': q}}]), lambda acc, e: list_append(acc, {{'c': (""" + _BEST + """).c + e[1].c, 'n': (""" + _BEST + """).n + 1}}), [{{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}}]) FROM al{0} WHERE r < len(x)),
+n{0} AS MATERIALIZED (SELECT id, x, least({2}round(sqrt(row[len(row)].c / row[len(row)].n), 9)) AS near FROM al{0}{3} WHERE r = len(x)),
+w{1} AS MATERIALIZED (SELECT id, x FROM n{0} WHERE id NOT IN ({4}) ORDER BY near DESC, id LIMIT 1)"""
+_SPREAD = ", ".join(["ws AS (SELECT workload * 100000 + t AS id, list(CASE WHEN input_valid THEN cpu_input END) OVER o AS xs FROM f WINDOW o AS (PARTITION BY workload ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))", "wv AS (SELECT id, list_filter(xs, lambda v: v IS NOT NULL) AS v FROM ws)", "pw AS MATERIALIZED (SELECT id, list_transform(range(4), lambda i: v[CAST(floor(i * (len(v) - 1) / 3.0::DOUBLE) AS INT) + 1] * (1 - (i * (len(v) - 1) / 3.0::DOUBLE - floor(i * (len(v) - 1) / 3.0::DOUBLE))) + v[least(CAST(floor(i * (len(v) - 1) / 3.0::DOUBLE) AS INT) + 2, len(v))] * (i * (len(v) - 1) / 3.0::DOUBLE - floor(i * (len(v) - 1) / 3.0::DOUBLE))) AS x FROM wv WHERE len(v) > 0)",
+    "w0 AS MATERIALIZED (SELECT id, x FROM pw ORDER BY md5(id::VARCHAR), id LIMIT 1)", *(_SPREAD_ROUND.format(i, i + 1, f"n{i - 1}.near, " if i else "", f" JOIN n{i - 1} USING (id, x)" if i else "", " UNION ALL ".join(f"SELECT id FROM w{j}" for j in range(i + 1))) for i in range(3))])
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS state, id, round(x[1], 6) AS first, round(x[4], 6) AS last FROM w{i}" for i in range(4)), f"RECURSIVE {FILL}, {_SPREAD}")
+def spread_windows(spark, d):
+    """Four windows of five slots, of all that there are, that lie far apart by warped distance."""
+    w = Window.partitionBy("workload").orderBy("t").rowsBetween(-4, 0)
+    f = u.filled(spark, d).withColumn("xs", F.collect_list(F.when(F.col("input_valid"), F.struct("t", "cpu_input"))).over(w))
+    windows = f.select((F.col("workload") * 100_000 + F.col("t")).alias("id"), F.transform(F.array_sort("xs"), lambda x: x["cpu_input"]).alias("series"))
+    return spark.createDataFrame([(i, int(n), float(x[0]), float(x[-1])) for i, (n, x) in enumerate(shapes.spread_windows(windows, 4, 4, _store))], "state int, id long, first double, last double")
+
+
 _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
 
 

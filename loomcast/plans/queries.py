@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -376,6 +378,13 @@ def dtw_pairs(spark, d):
     return shapes.pairwise_dtw(sampling.digest_sample(items, "id", CANDIDATES))
 
 
+@query("SELECT id, arg_min(other, struct_pack(d, other)) AS nearest, min(d) AS distance FROM (SELECT unnest([i, j]) AS id, unnest([j, i]) AS other, round(sqrt(row[len(row)].c / row[len(row)].n), 6) AS d FROM al WHERE r = len(x)) GROUP BY id", f"RECURSIVE {FILL}, {_WARP}".replace(f" ORDER BY md5(workload::VARCHAR), workload LIMIT {CANDIDATES}", ""))
+def nearest_warped(spark, d):
+    """Of every workload the one whose usage is nearest by warped distance, over all workloads."""
+    items = u.filled(spark, d).where("input_valid").groupBy(F.col("workload").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "cpu_input"))), lambda x: x["cpu_input"]).alias("series"))
+    return shapes.nearest_warped(items, _store)
+
+
 @query()
 def shape_set(spark, d):
     pairs = dtw_pairs(spark, d).toPandas()  # candidates are a bounded set
@@ -634,9 +643,7 @@ def learned_forecast(spark, d):
     return spark.createDataFrame(list(enumerate(trained.losses)), "epoch int, loss double")
 
 
-@query()
-def roll_out(spark, d):
-    """Recursive forecasts of all users from the last day, with untrained blocks and the counted transition matrix."""
+def _roll_out(spark, d, horizon, folder=None):
     s = u.states(spark, d)
     names = [r[0] for r in s.select("state").distinct().orderBy("state").collect()]
     k = max(len(names), 1)
@@ -648,7 +655,23 @@ def roll_out(spark, d):
     end, home = s.agg(F.max("t")).first()[0] or 0, ingest.majority_node(u.usage(spark, d))
     origin = spark.range(end, end + 1).withColumnRenamed("id", "origin")
     blocks = learn.Blocks(k, period=7.0)
-    return learn.roll_out_whole(mu, home, origin, 30, blocks.start(), blocks, prior / prior.sum(1, keepdims=True), 5, _store)
+    return learn.roll_out_whole(mu, home, origin, 30, blocks.start(), blocks, prior / prior.sum(1, keepdims=True), horizon, _store, folder=folder)
+
+
+@query()
+def roll_out(spark, d):
+    """Recursive forecasts of all users from the last day, with untrained blocks and the counted transition matrix."""
+    return _roll_out(spark, d, 5)
+
+
+@query("SELECT CAST(h AS INT) AS h, (SELECT count(DISTINCT user_id) FROM events) * (SELECT count(DISTINCT event_type) FROM events) AS n, 0::BIGINT AS different FROM range(1, 4) r(h)")
+def resumed_roll_out(spark, d):
+    """A roll-out that stops after its first step and goes on in a second call, row by row against one that never stops."""
+    folder = f"{u.shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    _roll_out(spark, d, 1, folder)
+    again = _roll_out(spark, d, 3, folder).withColumnRenamed("p", "q")
+    both = _roll_out(spark, d, 3).join(again, ["origin", "workload", "h", "state"], "full")
+    return both.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.abs(F.col("p") - F.col("q")) > 1e-9, F.lit(True))).alias("different"))
 
 
 def run(spark: SparkSession, name: str, d: str) -> DataFrame:
