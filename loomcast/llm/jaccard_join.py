@@ -34,6 +34,8 @@ WHOLE, PART = 0.8, 0.45
 MISS = 1e-6
 #: Bytes of a sketch; agreement that links, and that lets a leader answer for a set.
 BINS, LINK, NEAR = 64, 0.4, 0.75
+#: Sets of a path in one task; a path of more is dealt over several.
+PATH = 2000
 #: Sets compared exactly in one task; larger groups are cut into blocks of so many.
 BLOCK = 1000
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -154,49 +156,95 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both.sum(1) / np.maximum(some.sum(1), 1)
 
 
-def _forest(ids: np.ndarray, sk: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate links of one bucket, only those that connect what was not yet connected: fewer than its sets.
+#: Of a path, or of a part of one: sets for which no leader answers, their sketches, and for each the first it is connected to.
+Kept = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    Leaders, the least id first, meet all sets that are left. A set very near a leader is left to it: what
-    is similar to that set is near enough to the leader to be connected through it.
+
+def _forest(ids: np.ndarray, sk: np.ndarray, before: Kept | None = None) -> tuple[list[tuple[bytes, bytes]], Kept]:
+    """Candidate links of sets of one path, only those that connect what was not yet connected: fewer than its sets.
+
+    Leaders meet all sets that are left: those kept from before first, then the least id. A set very near a
+    leader is left to it: what is similar to that set is near enough to the leader to be connected through it.
+    What is kept stands for all sets so far when the path goes on.
     """
     ids, first = np.unique(ids, return_index=True)
-    sk = sk[first]
-    left, group, out = np.arange(len(ids)), np.arange(len(ids)), []
-    while len(left) > 1:
-        a, rest = left[0], left[1:]
+    sk, n, group = sk[first], 0, np.arange(len(ids))
+    if before is not None:
+        fresh, n = ~np.isin(ids, before[0]), len(before[0])
+        ids, sk = np.concatenate([before[0], ids[fresh]]), np.concatenate([before[1], sk[fresh]])
+        group = np.concatenate([before[2], np.arange(n, len(ids))])
+    left, kept, out = np.arange(n, len(ids)), list(range(n)), []
+
+    def meet(a: int, rest: np.ndarray) -> np.ndarray:
         like = _agree(sk[a], sk[rest])
         met = np.unique(group[rest[like >= LINK]])
         met = met[met != group[a]]
         if len(met):
             least = min(group[a], met[0])
-            out += [(ids[least], ids[x]) for x in (*met.tolist(), group[a]) if x != least]
+            out.extend((ids[least], ids[x]) for x in (*met.tolist(), group[a]) if x != least)
             group[np.isin(group, met) | (group == group[a])] = least
-        left = rest[like < NEAR]
-    return out
+        return rest[like < NEAR]
+
+    for a in range(n):
+        left = meet(a, left) if len(left) else left
+    while len(left):
+        a, left = left[0], left[1:]
+        kept.append(int(a))
+        left = meet(a, left) if len(left) else left
+    _, first, of = np.unique(group[kept], return_index=True, return_inverse=True)
+    return out, (ids[kept], sk[kept], first[of])
+
+
+LINKS = "a binary, b binary, path long, sketch binary"
 
 
 def _links(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches sorted by path to candidate links."""
-    rest = None
-    for b in rows:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        p = b["path"].to_numpy()
-        cut = int(np.searchsorted(p, p[-1])) if len(p) else 0
-        rest = b.iloc[cut:]
-        yield _bucket_links(b.iloc[:cut])
-    if rest is not None:
-        yield _bucket_links(rest)
+    """Batches (path, part, parts, d1, sketch) sorted by path and part to candidate links (a, b).
+
+    A batch is worked off as it comes; of a path that goes on only what is kept is carried over. What is
+    kept of a path's part is told as rows (a, path, sketch), for the parts of a path to meet.
+    """
+    last, kept, more = None, None, False
 
+    def told(path: int) -> pd.DataFrame:
+        return pd.DataFrame({"a": kept[0].astype(object), "b": None, "path": path, "sketch": [x.tobytes() for x in kept[1]]})
 
-def _bucket_links(b: pd.DataFrame) -> pd.DataFrame:
-    p, d = b["path"].to_numpy(), np.array(b["d1"].tolist(), NAME)
-    heads = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
-    out: list = []
-    for x, y in zip(heads, np.append(heads[1:], len(p))):
-        if y - x > 1 and (d[x:y] != d[x]).any():
-            out += _forest(d[x:y], np.frombuffer(b"".join(b["sketch"].iloc[x:y]), np.uint8).reshape(-1, BINS))
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+    for b in rows:
+        if not len(b):
+            continue
+        p, q, cut = (b[c].to_numpy() for c in ("path", "part", "parts"))
+        d, sk = np.array(b["d1"].tolist(), NAME), np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(-1, BINS)
+        heads = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        out: list = []
+        for x, y in zip(heads, np.append(heads[1:], len(p))):
+            same = last == (p[x], q[x])
+            if not same and more:
+                yield told(last[0])
+            more = cut[x] > 1
+            if same or more or y == len(p) or y - x > 1 and (d[x:y] != d[x]).any():
+                got, kept = _forest(d[x:y], sk[x:y], kept if same else None)
+                out += got
+            last = (p[x], q[x])
+        links = pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        yield links.assign(path=None, sketch=None)
+    if more:
+        yield told(last[0])
+
+
+def _candidates(entries: DataFrame, at_most: int | None = None) -> DataFrame:
+    """(a, b): candidate links of all paths. A path of more sets than at_most is dealt over tasks by a hash of the set;
+    its parts' sets for which no leader answers meet afterwards, in one task as a stream."""
+    at_most = PATH if at_most is None else at_most
+    on = entries.where("path is not null").select("path", "d1", "sketch")
+    heavy = stored(on.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > at_most).select("path", F.ceil(F.col("c") / at_most).cast("int").alias("parts")), "heavy")
+    parts = join_checked(on, heavy, ["path"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int"))
+    told = stored(parts.repartition("path", "part").sortWithinPartitions("path", "part").mapInPandas(_links, LINKS), "links")
+    links = told.where("path is null").select("a", "b")
+    if heavy.limit(1).count():
+        rest = told.where("path is not null").select("path", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("a").alias("d1"), "sketch")
+        links = links.unionAll(rest.repartition("path").sortWithinPartitions("path").mapInPandas(_links, LINKS).select("a", "b"))
+    return links.distinct()
 
 
 def _similar(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -290,8 +338,7 @@ def _classified(docs: DataFrame, miss: float) -> DataFrame:
     entries = stored(docs.select(*keys(), "text").mapInPandas(_entries(hot, runs_needed(miss)), ENTRIES), "entries")
     members = entries.where("path is null").select("_id", "_t", "d1", "n")
     reps = stored(members.where("n > 0").groupBy("d1").agg(F.min(F.struct("_id", "_t")).alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    by_path = entries.where("path is not null").select("path", "d1", "sketch").repartition("path").sortWithinPartitions("path")
-    links = stored(by_path.mapInPandas(_links, "a binary, b binary").distinct(), "links")
+    links = stored(_candidates(entries), "links")
     groups = components(links, keep("groups"))
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     tasks = max(8, rows // 2000)

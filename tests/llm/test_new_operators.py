@@ -205,3 +205,68 @@ def test_toxicity_without_examples(spark):
         got = toxicity.classify(df, model).collect()
         assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.classify(df.limit(0), model).count() == 0
+
+
+def test_paths_of_many_sets_are_dealt_over_tasks(spark, monkeypatch):
+    """Near copies on one path: no task holds more of it than the bound, what stands for them meets, and links stay as they were."""
+    import pandas as pd
+
+    from loomcast.llm import jaccard_join as jj
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(120)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"u{rng.randrange(5000)}" for _ in range(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_classes(df).collect()}
+    sizes, links = spark.sparkContext.accumulator(0), jj._links
+
+    def watched(batches):
+        for b in batches:
+            for _, g in b.groupby(["path", "part"]):
+                if g["parts"].iloc[0] > 1 and len(g) > 40:
+                    sizes.add(1)
+            yield from links(iter([b]))
+
+    monkeypatch.setattr(jj, "PATH", 20)
+    monkeypatch.setattr(jj, "_links", watched)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_classes(df).collect()} == whole
+    assert sizes.value == 0 and whole[0] == (0, 299) and whole[1000] == (1000, 0)
+
+
+def test_a_path_goes_on_from_batch_to_batch():
+    """However a path is cut into batches, the same sets are connected."""
+    import pandas as pd
+
+    from loomcast.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(2)
+    heads = rng.integers(1, 255, (5, jj.BINS)).astype(np.uint8)
+    sk = heads[rng.integers(0, 5, 200)].copy()
+    for x in sk:
+        x[rng.integers(0, jj.BINS, rng.integers(0, 30))] = 7
+    d = [bytes([i, 3] * 8) + b"\1" for i in range(200)]
+    table = pd.DataFrame({"path": [1] * 150 + [2] * 50, "part": 0, "parts": 1, "d1": d, "sketch": [x.tobytes() for x in sk]})
+
+    def classes(cuts):
+        label = {x: x for x in d}
+
+        def find(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for b in jj._links(table.iloc[a:z] for a, z in zip([0, *cuts], [*cuts, 200])):
+            for a, z in b[b["path"].isna()][["a", "b"]].itertuples(index=False):
+                label[max(find(a), find(z))] = min(find(a), find(z))
+        return [find(x) for x in d]
+
+    want = classes([])
+    assert 2 <= len(set(want)) < 60
+    for cuts in ([1], [75, 149, 150, 151], list(range(10, 200, 10))):
+        got = classes(cuts)
+        assert len(set(got)) <= 1.2 * len(set(want)) + 1
