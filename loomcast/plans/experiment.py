@@ -219,6 +219,9 @@ def evaluate(spark: SparkSession, e: Experiment, run_dir: str) -> DataFrame:
         one = both.groupBy("origin", "workload", "h").agg((-F.sum(F.col("truth") * F.ln(F.greatest("pred", F.lit(metrics.EPS))))).alias("ce"), F.sum(F.pow(F.col("pred") - F.col("truth"), 2)).alias("brier"), F.sum(F.pow(F.col("same") - F.col("truth"), 2)).alias("brier_same"), (F.max_by("state", F.struct("pred", -F.col("state"))) == F.max_by("state", F.struct("truth", -F.col("state")))).cast("double").alias("hit"))
         by_h = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.avg("ce").alias("soft_ce"), F.avg("brier").alias("brier"), F.avg("brier_same").alias("brier_persistence"), F.avg("hit").alias("accuracy")).withColumn("L", F.lit(history))
         out = by_h if out is None else out.unionByName(by_h)
+        metrics.evaluate_by(both, ["origin", "workload"], "h").write.mode("overwrite").parquet(f"{run_dir}/families_by_h/L={history}")
+        scores = one.select("origin", "workload", "h", "ce", "brier", "hit", F.lit(1).cast("long").alias("valid"))
+        metrics.bundle(scores, "origin", ["h", "workload"], "valid", ["ce", "brier", "hit"], "h", seed=e.seed).write.mode("overwrite").parquet(f"{run_dir}/bundle/L={history}")
     out.write.mode("overwrite").parquet(f"{run_dir}/metrics_by_h")
     return spark.read.parquet(f"{run_dir}/metrics_by_h")
 

@@ -376,18 +376,27 @@ def blend_two_sides(spark, d):
 # ---- choices, prototypes and memberships
 
 
-@query("SELECT unnest([100, 109, 118, 127, 136, 146, 155, 164, 173, 182])::BIGINT AS origin")
+_ORIGINS = "og AS (SELECT unnest(range(lo, hi - 2)) AS origin FROM (SELECT min(t) AS lo, max(t) AS hi FROM m))"
+
+
+def _origins(spark, d) -> list[int]:
+    """Every slot of the table that has three more after it."""
+    lo, hi = u.means(spark, d).agg(F.min("t"), F.max("t")).first()
+    return [r["origin"] for r in ingest.origins(spark, lo or 0, (hi or 0) + 1, 1, 3, 1).orderBy("origin").collect()]
+
+
+@query("SELECT DISTINCT o[CAST(round(i * (n - 1) / 9.0::DOUBLE) AS INT) + 1] AS origin FROM (SELECT list(origin ORDER BY origin) AS o, count(*) AS n FROM og), range(10) r(i)", f"{M}, {_ORIGINS}")
 def thinned_origins(spark, d):
-    o = [r["origin"] for r in ingest.origins(spark, 100, 200, 5, 17, 1).orderBy("origin").collect()]
-    return spark.createDataFrame([(x,) for x in sampling.thin(o, 10)], "origin long")
+    return spark.createDataFrame([(x,) for x in sampling.thin(_origins(spark, d), 10)], "origin long")
 
 
-@query("SELECT epoch, CAST(4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS different, true AS inside FROM range(3) r(epoch)")
+@query("SELECT epoch, least(4, n) AS n, least(4, n) AS different, true AS inside FROM range(3) r(epoch), (SELECT count(*) AS n FROM og)", f"{M}, {_ORIGINS}")
 def epoch_origins(spark, d):
-    """Of each epoch's draw: how many, how many of them different, all among the candidates."""
-    drawn = [(e, x) for e in range(3) for x in sampling.epoch_choice(list(range(100, 110)), 4, 7, e)]
+    """Of each epoch's draw from the table's origins: how many, how many of them different, all among the candidates."""
+    every = _origins(spark, d)
+    drawn = [(e, x) for e in range(3) for x in sampling.epoch_choice(every, 4, 7, e)]
     rows = spark.createDataFrame(drawn, "epoch long, origin long")
-    return rows.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("origin").alias("different"), F.every((F.col("origin") >= 100) & (F.col("origin") < 110)).alias("inside"))
+    return rows.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("origin").alias("different"), F.every((F.col("origin") >= every[0]) & (F.col("origin") <= every[-1])).alias("inside"))
 
 
 @query("SELECT row_number() OVER (ORDER BY c) - 1 AS state, round(c[1], 6) AS first FROM (SELECT list(y ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS y FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY label)")
@@ -632,13 +641,16 @@ def probability_scores(spark, d):
     return metrics.probability_scores(u.memberships(spark, d).select("workload", "state", F.col("truth").alias("label"), F.col("mu").alias("p")), ["workload"])
 
 
-@query("""SELECT a.h, n_samples, round(acc, 6) AS accuracy, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(brier, 6) AS brier, round(kl, 6) AS kl, round(js, 6) AS js, round(ce, 6) AS soft_ce, round(mc, 6) AS mean_confidence, round(ece, 6) AS ece, round(mce, 6) AS mce, round(f1, 6) AS f1_macro, round(ba, 6) AS balanced_accuracy
-FROM (SELECT h, count(*) AS n_samples, avg((x = y)::INT) AS acc, avg(mae) AS mae, sqrt(avg(mse)) AS rmse, avg(brier) AS brier, avg(kl) AS kl, avg(js) AS js, avg(ce) AS ce, avg(conf) AS mc FROM o GROUP BY 1) a
+@query("""SELECT a.h, n_samples, round(acc, 6) AS accuracy, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(brier, 6) AS brier, round(l1, 6) AS l1, round(l2, 6) AS l2, round(tv, 6) AS tv, round(hel, 6) AS hellinger, round(cos, 6) AS cosine, round(kl, 6) AS kl, round(js, 6) AS js, round(ce, 6) AS soft_ce, round(mc, 6) AS mean_confidence, round(ece, 6) AS ece, round(mce, 6) AS mce, round(f1, 6) AS f1_macro, round(ba, 6) AS balanced_accuracy, round((hit * n - sq) / sqrt((n * n - qq) * (n * n - ss)), 6) AS mcc, round((hit / n - sq / (n * n)) / (1 - sq / (n * n)), 6) AS kappa, round(r_mae, 6) AS resource_mae, round(r_rmse, 6) AS resource_rmse, round(r_bias, 6) AS resource_bias
+FROM (SELECT h, count(*) AS n_samples, avg((x = y)::INT) AS acc, avg(mae) AS mae, sqrt(avg(mse)) AS rmse, avg(brier) AS brier, avg(l1) AS l1, avg(l2) AS l2, avg(l1) / 2 AS tv, avg(hel) AS hel, avg(cos) AS cos, avg(kl) AS kl, avg(js) AS js, avg(ce) AS ce, avg(conf) AS mc FROM o GROUP BY 1) a
 JOIN (SELECT h, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM (SELECT h, greatest(ceil(conf * 15) - 1, 0) AS b, count(*) AS n, abs(avg(conf) - avg((x = y)::INT)) AS gap FROM o GROUP BY 1, 2) GROUP BY 1) b ON a.h = b.h
-JOIN (SELECT h, avg(2 * tp / (s + q)) AS f1, avg(tp / s) FILTER (s > 0) AS ba FROM (SELECT o.h, l.label, count(*) FILTER (x = l.label AND y = l.label)::DOUBLE AS tp, count(*) FILTER (y = l.label) AS s, count(*) FILTER (x = l.label) AS q FROM o JOIN (SELECT h, y AS label FROM o UNION SELECT h, x FROM o) l ON l.h = o.h GROUP BY 1, 2) GROUP BY 1) c ON c.h = a.h""", _V + """, o AS (SELECT h, workload, arg_min(state, (-t, state)) AS y, arg_min(state, (-p, state)) AS x, max(p) AS conf, avg(abs(p - t)) AS mae, avg((p - t) * (p - t)) AS mse, sum((p - t) * (p - t)) AS brier, sum(tc * ln(tc / pc)) AS kl, sum(tc * ln(2 * tc / (tc + pc))) / 2 + sum(pc * ln(2 * pc / (tc + pc))) / 2 AS js, -sum(t * ln(pc)) AS ce FROM (SELECT *, greatest(t, 1e-12) AS tc, least(greatest(p, 1e-12), 1) AS pc FROM vv) GROUP BY 1, 2)""")
+JOIN (SELECT h, avg(2 * tp / (s + q)) AS f1, avg(tp / s) FILTER (s > 0) AS ba, sum(tp) AS hit, sum(s)::DOUBLE AS n, sum(s * q)::DOUBLE AS sq, sum(s * s)::DOUBLE AS ss, sum(q * q)::DOUBLE AS qq FROM (SELECT o.h, l.label, count(*) FILTER (x = l.label AND y = l.label)::DOUBLE AS tp, count(*) FILTER (y = l.label) AS s, count(*) FILTER (x = l.label) AS q FROM o JOIN (SELECT h, y AS label FROM o UNION SELECT h, x FROM o) l ON l.h = o.h GROUP BY 1, 2) GROUP BY 1) c ON c.h = a.h
+JOIN (SELECT h, avg(abs(e)) AS r_mae, sqrt(avg(e * e)) AS r_rmse, avg(e) AS r_bias FROM (SELECT h, workload, sum((p - t) * (state * state + 1)) AS e FROM vv GROUP BY 1, 2) GROUP BY 1) d ON d.h = a.h""", _V + """, o AS (SELECT h, workload, arg_min(state, (-t, state)) AS y, arg_min(state, (-p, state)) AS x, max(p) AS conf, avg(abs(p - t)) AS mae, avg((p - t) * (p - t)) AS mse, sum((p - t) * (p - t)) AS brier, sum(abs(p - t)) AS l1, sqrt(sum((p - t) * (p - t))) AS l2, sqrt(sum(pow(sqrt(tc) - sqrt(pc), 2)) / 2) AS hel, sum(t * p) / (sqrt(sum(t * t)) * sqrt(sum(p * p))) AS cos, sum(tc * ln(tc / pc)) AS kl, sum(tc * ln(2 * tc / (tc + pc))) / 2 + sum(pc * ln(2 * pc / (tc + pc))) / 2 AS js, -sum(t * ln(pc)) AS ce FROM (SELECT *, greatest(t, 1e-12) AS tc, least(greatest(p, 1e-12), 1) AS pc FROM vv) GROUP BY 1, 2)""")
 def evaluation_by_h(spark, d):
-    """All families at once, a row a horizon."""
-    return metrics.evaluate_by(_vectors(spark, d), ["workload"], "h")
+    """All families at once, a row a horizon; a state stands for a resource value of its square and 1."""
+    v = _vectors(spark, d)
+    values = metrics.decoded(v, ["h", "workload"], F.col("state") * F.col("state") + 1)
+    return metrics.evaluate_by(v, ["workload"], "h", resources_of=values).drop(*(f"resource_{c}" for c in ("median_ae", "max_ae", "mape", "smape", "wape", "pearson", "r2")))
 
 
 _RATIO = "r AS (SELECT user_id AS workload, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS origin, (value IS NOT NULL)::INT::BIGINT AS valid, coalesce(value, 0) AS err, coalesce((value > 60)::INT, 0)::DOUBLE AS hit FROM events)"
@@ -679,9 +691,11 @@ def means_without_nan(spark, d):
     return metrics.summary(m.withColumn("h5", F.floor(F.col("h") / 5)), ["k", "h5"], "v").select("k", "h5", "n", "mean")
 
 
-@query("SELECT 'a.b' AS name, 1.0::DOUBLE AS value UNION ALL SELECT 'a.c.d', 2.5 UNION ALL SELECT 'e', 0.0")
+@query("SELECT event_type || '.' || n AS name, round(CASE n WHEN 'value.mean' THEN m ELSE c END, 6) AS value FROM (SELECT event_type, avg(value) AS m, count(*)::DOUBLE AS c FROM events GROUP BY 1), (VALUES ('value.mean'), ('n')) v(n)")
 def flat_names(spark, d):
-    flat = metrics.flatten({"a": {"b": 1.0, "c": {"d": 2.5, "list": [1, 2]}}, "e": 0.0})
+    """Nested results by event type, their lists left out, as dotted names."""
+    rows = u.read(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    flat = metrics.flatten({r["event_type"]: {"value": {"mean": r["m"], "list": [1, 2]}, "n": float(r["n"])} for r in rows})
     return spark.createDataFrame(list(flat.items()), "name string, value double")
 
 

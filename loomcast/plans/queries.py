@@ -565,9 +565,16 @@ def summary_stats(spark, d):
     return metrics.summary(_by_h(spark, d), ["k"], "v")
 
 
-@query("SELECT * FROM (VALUES ('membership_mae', 'lower'), ('f1_macro', 'higher'), ('Gain_MAE', 'lower'), ('bias', NULL), ('peak_memory_mb', 'lower'), ('elapsed_seconds', 'lower'), ('cosine_similarity', 'higher'), ('mean_entropy', NULL), ('coverage', NULL), ('R2', 'higher'), ('error_recall', 'lower'), ('ece', 'lower')) v(name, direction)")
+#: Fixed names of metrics, with what is better of each.
+_BETTER = (("membership_mae", "lower"), ("f1_macro", "higher"), ("Gain_MAE", "lower"), ("bias", None), ("peak_memory_mb", "lower"), ("elapsed_seconds", "lower"), ("cosine_similarity", "higher"), ("mean_entropy", None), ("coverage", None), ("R2", "higher"), ("error_recall", "lower"), ("ece", "lower"))
+_NAMES = ", ".join(f"('{n}', {repr(b) if b else 'NULL'})" for n, b in _BETTER)
+
+
+@query(f"SELECT l_returnflag || '.' || name AS name, direction FROM (SELECT DISTINCT l_returnflag FROM lineitem), (VALUES {_NAMES}) v(name, direction)")
 def metric_direction(spark, d):
-    names = spark.createDataFrame([(x,) for x in ("membership_mae", "f1_macro", "Gain_MAE", "bias", "peak_memory_mb", "elapsed_seconds", "cosine_similarity", "mean_entropy", "coverage", "R2", "error_recall", "ece")], "name string")
+    """Metrics of every group of lines, by their names."""
+    kinds = u.read(spark, d, "lineitem").select("l_returnflag").distinct()
+    names = kinds.select(F.explode(F.transform(F.array(*(F.lit(n) for n, _ in _BETTER)), lambda n: F.concat("l_returnflag", F.lit("."), n))).alias("name"))
     return names.withColumn("direction", metrics.direction(F.col("name")))
 
 

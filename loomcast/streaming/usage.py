@@ -56,6 +56,10 @@ def decayed_state(rows: DataFrame, states: int, decay: float, max_age: int) -> D
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Seconds added to times before Spark sees them: its watermark begins at 0, and what lies at or before it is late. Nanoseconds from 1970 still hold the sum.
+AHEAD = 4 * 10**9
+
+
 class RollingDecay(StatefulProcessor):
     """A key's decayed sum as of each of its times, kept from batch to batch.
 
@@ -115,7 +119,7 @@ class RollingDecay(StatefulProcessor):
         self.last.update((top, out[-1], version))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer((times[-1] + self.max_age + self.late + 1) * self.unit * 1000)
+        self.handle.registerTimer(((times[-1] + self.max_age + self.late + 1) * self.unit + AHEAD) * 1000)
         yield pd.DataFrame({"key": key[0], "t": told, "weight": out, "version": version})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -135,5 +139,5 @@ def rolling_decay(rows: DataFrame, decay: float, max_age: int, late: int, unit:
     (key, t) the highest version holds. Events more than late steps behind the stream's last time are
     dropped. Null keys and times are dropped; repeated events count again.
     """
-    timed = rows.dropna(subset=["key", "t"]).withColumn("_at", F.timestamp_seconds(F.col("t") * unit)).withWatermark("_at", f"{late * unit} seconds")
+    timed = rows.dropna(subset=["key", "t"]).withColumn("_at", F.timestamp_seconds(F.col("t") * unit + AHEAD)).withWatermark("_at", f"{late * unit} seconds")
     return timed.groupBy("key").transformWithStateInPandas(RollingDecay(decay, max_age, late, unit), "key string, t long, weight double, version long", "Append", "EventTime")
