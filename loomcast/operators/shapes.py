@@ -96,39 +96,44 @@ def dtw_batch(a: list, b: list, window: int | None = None, weights: np.ndarray |
     squared weighted differences, divided by the number of aligned points, rooted.
 
     Points further apart than a pair's band, window or the difference of its lengths, are not aligned. Of equal
-    alignments the one that repeats a point of b is taken, then one that repeats a point of a. Two rows of
-    cells are held, all pairs side by side; cells outside every band are not computed.
+    alignments the one that repeats a point of b is taken, then one that repeats a point of a. Three diagonals
+    of cells are held, all pairs side by side; cells outside every band are not computed.
     """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
 
     def pad(xs: list, size: int) -> np.ndarray:
         wide = [np.asarray(x, float).reshape(len(x), -1) for x in xs]
-        return np.stack([np.pad(x, ((0, size - len(x)), (0, 0))) for x in wide], 1)
+        out = np.zeros((size, len(xs), wide[0].shape[1]))
+        for i, x in enumerate(wide):
+            out[: len(x), i] = x
+        return out
 
     x, y = pad(a, n.max()), pad(b, m.max())
     if weights is not None:
         x, y = x * np.asarray(weights, float), y * np.asarray(weights, float)
     band = np.maximum(n, m) if window is None else np.maximum(window, np.abs(n - m))
     reach, alike = int(band.max()), bool((band == band[0]).all())
-    out, steps = np.full(len(a), np.inf), np.ones(len(a), int)
-    above, above_steps = np.full((len(y) + 1, len(a)), np.inf), np.zeros((len(y) + 1, len(a)), int)
-    above[0] = 0.0
-    for i in range(1, len(x) + 1):
-        row, row_steps = np.full_like(above, np.inf), np.zeros_like(above_steps)
-        lo, hi = max(1, i - reach), min(len(y), i + reach)
-        near = ((x[i - 1] - y[lo - 1 : hi]) ** 2).sum(2) if lo <= hi else ()
-        for j in range(lo, hi + 1):
-            cost, count = above[j], above_steps[j]
-            for other, its in ((row[j - 1], row_steps[j - 1]), (above[j - 1], above_steps[j - 1])):
-                better = other < cost
-                cost, count = np.where(better, other, cost), np.where(better, its, count)
-            row[j], row_steps[j] = cost + near[j - lo], count + 1
+    rows, columns = len(x), len(y)
+    out, points = np.full(len(a), np.inf), np.ones(len(a), int)
+    cost, count = np.full((3, rows + 1, len(a)), np.inf), np.zeros((3, rows + 1, len(a)), np.int32)
+    cost[0, 0] = 0.0
+    for d in range(2, rows + columns + 1):  # cells (i, d - i); up and left lie on the diagonal before, the third on the one before that
+        now, last, third = d % 3, (d - 1) % 3, (d - 2) % 3
+        cost[now] = np.inf
+        lo, hi = max(1, d - columns, -((reach - d) // 2)), min(rows, d - 1, (d + reach) // 2)
+        if lo <= hi:
+            near = ((x[lo - 1 : hi] - y[d - hi - 1 : d - lo][::-1]) ** 2).sum(2)
+            best, steps = cost[last, lo - 1 : hi], count[last, lo - 1 : hi]
+            for other, its in ((cost[last, lo : hi + 1], count[last, lo : hi + 1]), (cost[third, lo - 1 : hi], count[third, lo - 1 : hi])):
+                better = other < best
+                best, steps = np.where(better, other, best), np.where(better, its, steps)
+            best = best + near
             if not alike:
-                row[j, np.abs(i - j) > band] = np.inf
-        ends = np.flatnonzero(n == i)
-        out[ends], steps[ends] = row[m[ends], ends], row_steps[m[ends], ends]
-        above, above_steps = row, row_steps
-    return np.sqrt(out / steps if normalize else out)
+                best[np.abs(2 * np.arange(lo, hi + 1) - d)[:, None] > band] = np.inf
+            cost[now, lo : hi + 1], count[now, lo : hi + 1] = best, steps + 1
+        ends = np.flatnonzero(n + m == d)
+        out[ends], points[ends] = cost[now, n[ends], ends], count[now, n[ends], ends]
+    return np.sqrt(out / points if normalize else out)
 
 
 def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512, weights: list[float] | None = None) -> DataFrame:
@@ -145,6 +150,10 @@ def pairwise_dtw(items: DataFrame, window: int | None = 5, at_once: int = 512, w
     return left.join(items.select(F.col("id").alias("j"), F.col("series").alias("b")), "j").select("i", "j", distance("a", "b").alias("distance"))
 
 
+#: Pairs of series that are aligned at once.
+AT_ONCE = 2048
+
+
 def warped_bounds(x: list, y: list, window: int) -> np.ndarray:
     """For each of x and each of y a number that their warped distance does not undercut, from envelopes.
 
@@ -203,37 +212,37 @@ def nearest_warped(items: DataFrame, store: Callable[[DataFrame], DataFrame], wi
         d = align([(ids[i], ids[j]) for i, js in enumerate(near) for j in js], series)
         return pd.DataFrame({"id": ids, "most": np.array(d).reshape(len(ids), -1).min(1)})
 
-    most = store(rows.groupBy("b").applyInPandas(guess, f"id {kind}, most double"))
-    asked = rows.join(most, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.select("id", "series", "most", F.col("b").alias("mine"), F.col("o").alias("other"))
-    there = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "series", F.lit(None).cast("double").alias("most"), F.col("o").alias("mine"), F.col("b").alias("other"))
+    most = store(rows.repartition(min(blocks, 8192), "b").groupBy("b").applyInPandas(guess, f"id {kind}, most double"))
+    ends = rows.join(most, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    ends = ends.select("id", "series", "most", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
-        q, r = g[g["most"].notna()], g[g["most"].isna()]
-        out = []
-        if len(q) and len(r):
-            mine, other = q["id"].tolist(), np.array(r["id"].tolist())
-            xs, ys = ([np.asarray(v, float) for v in t["series"]] for t in (q, r))
-            series, low = dict(zip([*mine, *other.tolist()], [*xs, *ys])), np.floor(warped_bounds(xs, ys, window) * 1e6) / 1e6
-            best = q["most"].to_numpy(float).copy()
-            order, at = np.argsort(low, axis=1, kind="stable"), np.zeros(len(mine), int)
-            found = [(np.inf, None)] * len(mine)
-            while True:  # a few pairs of every item that still has some, and then what they prove
-                asks = []
-                for i in range(len(mine)):
-                    take = order[i, at[i] : at[i] + first]
-                    at[i] += len(take)
-                    asks += [(i, int(other[j])) for j in take if low[i, j] <= best[i] and other[j] != mine[i]]
-                    if len(take) and low[i, take[-1]] > best[i]:
-                        at[i] = len(other)
-                for (i, j), d in zip(asks, align([(mine[i], j) for i, j in asks], series)):
-                    found[i], best[i] = min(found[i], (d, j), key=lambda f: (f[0], f[1] is None, f[1] or 0)), min(best[i], d)
-                if (at >= len(other)).all():
-                    break
-            out = [(mine[i], j, d) for i, (d, j) in enumerate(found) if j is not None]
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        ids, xs = g["id"].to_numpy(), [np.asarray(v, float) for v in g["series"]]
+        best, found, series = g["most"].to_numpy(float).copy(), [(np.inf, None)] * len(ids), dict(zip(ids.tolist(), xs))
+        left, right = (np.flatnonzero(g["b"] == k) for k in (i, j))
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["id", "nearest", "distance"])
+        low = np.floor(warped_bounds([xs[k] for k in left], [xs[k] for k in right], window) * 1e6) / 1e6
+        p, q = np.divmod(np.argsort(low, axis=None, kind="stable"), len(right))
+        low, p, q = low[p, q], left[p], right[q]
+        if i == j:
+            once = p < q
+            low, p, q = low[once], p[once], q[once]
+        for at in range(0, len(p), AT_ONCE):  # the least bounds first; what they prove spares others
+            part = slice(at, at + AT_ONCE)
+            may = low[part] <= np.maximum(best[p[part]], best[q[part]])
+            pairs = list(zip(p[part][may].tolist(), q[part][may].tolist()))
+            for (a, b), d in zip(pairs, align([(ids[a], ids[b]) for a, b in pairs], series)):
+                for own, other in ((a, b), (b, a)):
+                    if (d, ids[other]) < (found[own][0], ids[other] if found[own][1] is None else found[own][1]):
+                        found[own] = (d, ids[other])
+                    best[own] = min(best[own], d)
+        out = [(ids[k], other, d) for k, (d, other) in enumerate(found) if other is not None]
         return pd.DataFrame(out, columns=["id", "nearest", "distance"])
 
-    met = asked.unionByName(there).groupBy("mine", "other").applyInPandas(meet, f"id {kind}, nearest {kind}, distance double")
+    tasks = min(blocks * blocks, 8192)  # a named number: little data, much work, so small shuffles must not be merged
+    met = ends.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(meet, f"id {kind}, nearest {kind}, distance double")
     return met.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("id", "m.nearest", "m.distance")
 
 
