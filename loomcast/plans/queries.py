@@ -404,7 +404,13 @@ def window_membership(spark, d):
     return shapes.window_memberships(f, ["cpu", "mem"], protos, 5).select("workload", "t", F.posexplode("mu").alias("state", "mu"))
 
 
-@query()
+_WARPED = f"""wv AS (SELECT workload, t, list(cpu_input) OVER four AS x4, list(cpu_input) OVER three AS x3 FROM f WHERE input_valid WINDOW four AS (PARTITION BY workload ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), three AS (PARTITION BY workload ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+al AS (SELECT workload, t, c, CASE WHEN len(y) = 4 THEN x4 ELSE x3 END AS x, y, 0::BIGINT AS r, list_prepend({{'c': 0.0::DOUBLE, 'n': 0::BIGINT}}, list_transform(y, lambda v: {{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}})) AS row FROM wv, (VALUES (0, [0.2, 0.2, 0.2, 0.2]::DOUBLE[]), (1, [0.2, 0.5, 1.0]::DOUBLE[]), (2, [1.0, 1.0, 1.0, 1.0]::DOUBLE[])) p(c, y)
+  UNION ALL SELECT workload, t, c, x, y, r + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda q: [{{'c': (x[r + 1] - y[q]) * (x[r + 1] - y[q]), 'n': q}}]), lambda acc, e: list_append(acc, {{'c': ({_BEST}).c + e[1].c, 'n': ({_BEST}).n + 1}}), [{{'c': 'infinity'::DOUBLE, 'n': 0::BIGINT}}]) FROM al WHERE r < len(x)),
+wm AS (SELECT workload, t, c, exp(-row[len(row)].c / row[len(row)].n / (2 * 0.3::DOUBLE * 0.3::DOUBLE)) AS m FROM al WHERE r = len(x))"""
+
+
+@query("SELECT workload, t, CAST(c AS INT) AS state, round(CASE WHEN sum(m) OVER w > 1e-12 THEN m / sum(m) OVER w ELSE 1 / 3.0::DOUBLE END, 6) AS mu FROM wm WINDOW w AS (PARTITION BY workload, t)", f"RECURSIVE {FILL}, {_WARPED}")
 def warped_membership(spark, d):
     protos = [np.array([[0.2]] * 4), np.array([[0.2], [0.5], [1.0]]), np.array([[1.0]] * 4)]
     f = u.filled(spark, d).select("workload", "t", F.col("cpu_input").alias("cpu"), "input_valid")
