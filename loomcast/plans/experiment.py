@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import graph, ingest, learn, markov, metrics, sampling, shapes
 from ..sources import usage as src
+from ..sources.archives import write_numbers
 from ..sources.tables import json_safe, write_json
 from . import control
 from .control import Experiment
@@ -226,8 +227,19 @@ def evaluate(spark: SparkSession, e: Experiment, run_dir: str) -> DataFrame:
     return spark.read.parquet(f"{run_dir}/metrics_by_h")
 
 
+def consolidate(spark: SparkSession, run_dir: str) -> DataFrame:
+    """All histories' scores in one table, and what a plot by horizon needs of them, with intervals, as CSV."""
+    every = spark.read.parquet(f"{run_dir}/families_by_h")
+    every.write.mode("overwrite").parquet(f"{run_dir}/metrics_all_tasks")
+    ends = spark.read.parquet(f"{run_dir}/bundle").where("axis = 'h'").select("L", F.col("key").cast("int").alias("h"), F.col("hit_low").alias("accuracy_low"), F.col("hit_high").alias("accuracy_high"), F.col("brier_degradation").alias("brier_degradation"))
+    plot = every.join(ends, ["L", "h"], "left").select("L", "h", "n_samples", "accuracy", "accuracy_low", "accuracy_high", "mae", "js", "mcc", "brier", "brier_degradation")
+    write_numbers(plot, f"{run_dir}/plot_data", ["L", "h"])
+    return plot
+
+
 def aggregate(spark: SparkSession, run_dir: str) -> DataFrame:
     """Metrics over all horizons by history, and each horizon's loss against the first."""
+    consolidate(spark, run_dir)
     m = spark.read.parquet(f"{run_dir}/metrics_by_h")
     w = Window.partitionBy("L").orderBy("h")
     m.withColumn("degradation", F.col("brier") - F.first("brier").over(w)).write.mode("overwrite").parquet(f"{run_dir}/horizon_degradation")

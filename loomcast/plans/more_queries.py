@@ -641,6 +641,21 @@ def probability_scores(spark, d):
     return metrics.probability_scores(u.memberships(spark, d).select("workload", "state", F.col("truth").alias("label"), F.col("mu").alias("p")), ["workload"])
 
 
+@query("""SELECT round(avg(f) + 0.25 * avg(d) + 0.3 * avg(o), 6) AS loss, round(avg(f), 6) AS final_loss, round(avg(d), 6) AS dynamic_loss, round(avg(o), 6) AS order_loss FROM (SELECT workload,
+-sum(t / s * ln(greatest(p, 1e-8))) AS f, -sum(t / s * ln(greatest(y, 1e-8))) AS d, -sum(t * (0.3 * ln(greatest(0.6 * y + 0.4 * r, 1e-8)) + 0.7 * ln(greatest(0.6 * y + 0.4 / k, 1e-8)))) AS o
+FROM (SELECT workload, t, p, (p + 1.0::DOUBLE / k) / 2 AS y, sum(t) OVER w AS s, k, coalesce(lead(p, 1) OVER v, first_value(p) OVER v) AS r
+FROM (SELECT workload, state, CASE WHEN state = truth THEN 0.8 ELSE 0.1 END AS t, mu AS p, count(*) OVER (PARTITION BY workload) AS k, row_number() OVER (PARTITION BY workload ORDER BY state) AS rank FROM mu) WINDOW w AS (PARTITION BY workload), v AS (PARTITION BY workload ORDER BY rank)) GROUP BY workload)""", MU)
+def order_loss(spark, d):
+    """Memberships as final answers, half-way to uniform as the dynamic part, two orders: the next state's membership, and uniform."""
+    rows = u.memberships(spark, d).groupBy("workload").agg(F.array_sort(F.collect_list(F.struct("state", "truth", "mu"))).alias("x"))
+    mu, k = F.transform("x", lambda r: r["mu"]), F.size("x")
+    target = F.transform("x", lambda r: F.when(r["state"] == r["truth"], 0.8).otherwise(0.1))
+    turned = F.concat(F.slice(mu, 2, F.size("x") - 1), F.slice(mu, 1, 1))
+    orders = F.array(turned, F.transform(mu, lambda p: 1.0 / F.size("x")))
+    rows = rows.select(target.alias("target"), mu.alias("final"), F.transform(mu, lambda p: (p + 1.0 / k) / 2).alias("dynamic"), orders.alias("orders"), F.array(F.lit(0.3), F.lit(0.7)).alias("weights"))
+    return metrics.order_loss(rows, 0.25, 0.3, 0.4)
+
+
 @query("""SELECT a.h, n_samples, round(acc, 6) AS accuracy, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(brier, 6) AS brier, round(l1, 6) AS l1, round(l2, 6) AS l2, round(tv, 6) AS tv, round(hel, 6) AS hellinger, round(cos, 6) AS cosine, round(kl, 6) AS kl, round(js, 6) AS js, round(ce, 6) AS soft_ce, round(mc, 6) AS mean_confidence, round(ece, 6) AS ece, round(mce, 6) AS mce, round(f1, 6) AS f1_macro, round(ba, 6) AS balanced_accuracy, round((hit * n - sq) / sqrt((n * n - qq) * (n * n - ss)), 6) AS mcc, round((hit / n - sq / (n * n)) / (1 - sq / (n * n)), 6) AS kappa, round(r_mae, 6) AS resource_mae, round(r_rmse, 6) AS resource_rmse, round(r_bias, 6) AS resource_bias
 FROM (SELECT h, count(*) AS n_samples, avg((x = y)::INT) AS acc, avg(mae) AS mae, sqrt(avg(mse)) AS rmse, avg(brier) AS brier, avg(l1) AS l1, avg(l2) AS l2, avg(l1) / 2 AS tv, avg(hel) AS hel, avg(cos) AS cos, avg(kl) AS kl, avg(js) AS js, avg(ce) AS ce, avg(conf) AS mc FROM o GROUP BY 1) a
 JOIN (SELECT h, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM (SELECT h, greatest(ceil(conf * 15) - 1, 0) AS b, count(*) AS n, abs(avg(conf) - avg((x = y)::INT)) AS gap FROM o GROUP BY 1, 2) GROUP BY 1) b ON a.h = b.h

@@ -643,7 +643,7 @@ def efficiency(spark, d):
 
 @query()
 def learned_forecast(spark, d):
-    """Losses of three epochs over all next states; workloads whose node of most rows is the same are neighbours."""
+    """Losses of three epochs over the last next state of every user and day; workloads whose node of most rows is the same are neighbours."""
     s = u.states(spark, d)
     code = {r[0]: i for i, r in enumerate(s.select("state").distinct().orderBy("state").collect())}
     one_hot = {name: F.array(*[(F.col(c) == x).cast("double") for x in code]) for name, c in (("mu", "ctx"), ("target", "state"))}

@@ -108,6 +108,9 @@ def test_origin_rows_equal_a_scan(spark):
 def test_whole_run_and_again(spark, tmp_path, capsys):
     assert cli.smoke(str(tmp_path), spark) == 0
     run_dir = tmp_path / "runs" / "smoke"
+    plot = spark.read.option("header", True).csv(str(run_dir / "plot_data")).toPandas().astype(float)
+    every = spark.read.parquet(str(run_dir / "metrics_all_tasks")).toPandas()
+    assert len(plot) == len(every) > 0 and {"mcc", "kappa", "hellinger", "ece"} <= set(every.columns) and ((plot["accuracy_low"] <= plot["accuracy"] + 1e-9) & (plot["accuracy"] <= plot["accuracy_high"] + 1e-9)).all()
     m = spark.read.parquet(str(run_dir / "metrics_by_h")).toPandas()
     assert sorted(m["h"]) == [1, 3] and (m["n"] > 0).all() and np.isfinite(m[["soft_ce", "brier", "accuracy"]]).all().all()
     config, before = str(tmp_path / "experiment.json"), os.stat(run_dir / "model.json").st_mtime_ns
