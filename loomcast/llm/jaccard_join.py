@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomcast.operators.components import components
 
-from ._common import NULL_ID, hot_hashes, join_checked, stored, unpacked, whole
+from ._common import NULL_ID, hot_hashes, join_checked, release, stored, unpacked, whole
 from ._superkmers import keys, mixed
 
 #: Words in a shingle; similarity as a fraction; expected tokens sampled by a set in a run, and per split; splits at most.
@@ -141,8 +141,11 @@ def _entries(hot: np.ndarray, runs: int):
                 n = [len(e[2]) for e in ents]
                 if n:
                     yield pd.DataFrame({"_id": None, "_t": None, "d1": [e[0] for e, k in zip(ents, n) for _ in range(k)], "n": None, "path": np.concatenate([e[2] for e in ents]), "sketch": [e[1] for e, k in zip(ents, n) for _ in range(k)]})
-                if len(known) > 1 << 18:
+                if len(known) > 1 << 17:
                     known.clear()
+            docs = ents = out = None
+            known.clear()
+            release()
 
     return run
 
@@ -229,6 +232,8 @@ def _links(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links.assign(path=None, sketch=None)
     if more:
         yield told(last[0])
+    b = d = sk = out = links = kept = None
+    release()
 
 
 def _candidates(entries: DataFrame, at_most: int | None = None) -> DataFrame:
@@ -314,6 +319,8 @@ def _verify(key, rows: pd.DataFrame) -> pd.DataFrame:
             label, order = _classes(full), np.concatenate([l, r])
             links = np.concatenate([adj @ copies[r], adj.T @ copies[l]])
             out += zip(ids[order].tolist(), ids[order][label].tolist(), links.tolist(), [False] * len(ids))
+        part = sets = known = adj = full = None
+    release()
     return pd.DataFrame(out, columns=["d1", "leader", "links", "final"])
 
 
