@@ -1,8 +1,8 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a document's windows shorter.
 
-One dictionary is trained on ordinary text, one on toxic text. A window is a word, said three times so that
-zstandard codes it rather than stores it. Its gain is its length under the ordinary dictionary less its length
-under the toxic one. How large a gain ordinary text shows by chance is measured for windows of each length:
+One dictionary is trained on ordinary text, two on toxic text, the second on what the first leaves. A window is
+a word, said three times so that zstandard codes it rather than stores it. Its gain is its length under the
+ordinary dictionary less its least length under a toxic one. How large a gain ordinary text shows by chance is measured for windows of each length:
 these are the thresholds. A document is judged by the largest gain above its threshold and by how many
 windows are above, through a logistic curve fitted to labelled documents.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: At this level zstandard looks for matches of three bytes. A longer word is several windows of at most PIECE bytes.
 LEVEL, TIMES, PIECE = 19, 3, 64
-#: Bytes of the dictionaries; windows of a length class that ordinary text may have above its threshold; rounds of training.
-ORDINARY, TOXIC, CHANCE, ROUNDS = 65_536, 2048, 0.0003, 3
+#: Bytes of the dictionaries, toxic ones, windows of a length class that ordinary text may have above its threshold, rounds of training.
+ORDINARY, TOXIC, TURNS, CHANCE, ROUNDS = 65_536, 8192, 2, 0.0003, 3
 #: Windows are classed by length in steps of STEP bytes. Gains that a task remembers.
 STEP, CLASSES, MEMO = 3, 71, 1 << 18
 NONE = -9
@@ -56,7 +56,7 @@ class Coder:
 class Toxicity:
     prior: float = 0.5
     ordinary: bytes = b""
-    toxic: bytes = b""
+    toxic: list[bytes] = field(default_factory=list)
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))
     weights: np.ndarray | None = None
 
@@ -78,16 +78,19 @@ class Gauge:
 
     def __init__(self, model: Toxicity):
         self.thresholds, self.memo = model.thresholds, {}
-        self.coders = [Coder(model.ordinary), Coder(model.toxic)] if model.toxic else None
+        self.ordinary, self.toxic = (Coder(model.ordinary), [Coder(t) for t in model.toxic]) if model.toxic else (None, [])
+
+    def gains(self, words: list[bytes]) -> np.ndarray:
+        return self.ordinary.lengths(words) - np.min([t.lengths(words) for t in self.toxic], axis=0)
 
     def features(self, text: str | None) -> list[float]:
         """The largest gain over its threshold, how many are over it by 1, by 2 and by more, and how many windows there are."""
         found, memo = windows(text), self.memo
-        new = [w for w in found if w not in memo] if self.coders else []
+        new = [w for w in found if w not in memo] if self.toxic else []
         fresh = {}
         for i in range(0, len(new), MEMO):
             part = new[i : i + MEMO]
-            gain = self.coders[0].lengths(part) - self.coders[1].lengths(part) - self.thresholds[classes(part)]
+            gain = self.gains(part) - self.thresholds[classes(part)]
             fresh.update((w, int(g)) for w, g in zip(part, gain.tolist()) if g > 0) if len(new) > MEMO else fresh.update(zip(part, gain.astype(int).tolist()))
         over = sorted((g for w in found if (g := fresh.get(w, memo.get(w, NONE))) > 0), reverse=True)
         if len(memo) + len(new) > MEMO:
@@ -124,11 +127,12 @@ def calibrated(words: list[bytes], n: np.ndarray, gain: np.ndarray, chance: floa
 
 
 def compare(toxic: pd.DataFrame, plain: pd.DataFrame, documents: int, chance: float = CHANCE) -> Toxicity:
-    """Both dictionaries and the thresholds from tables (w, n) of windows with the number of documents that hold them.
+    """The dictionaries and the thresholds from tables (w, n) of windows with the number of documents that hold them.
 
-    Toxic text is mostly ordinary. So the toxic dictionary is first trained on those windows of toxic documents
+    Toxic text is mostly ordinary. So a toxic dictionary is first trained on those windows of toxic documents
     that recur in several and that the ordinary dictionary codes worse than is usual for their length, and then
-    twice on the windows that it codes better than any but a few ordinary ones.
+    twice on the windows that it codes better than any but a few ordinary ones. The next one begins with those
+    of the first windows that none before has caught.
     """
     kt, nt = toxic["w"].tolist(), toxic["n"].to_numpy(float)
     ko, no = plain["w"].tolist(), plain["n"].to_numpy(float)
@@ -139,14 +143,23 @@ def compare(toxic: pd.DataFrame, plain: pd.DataFrame, documents: int, chance: fl
     lt, lo = coder.lengths(kt), coder.lengths(ko)
     at, of = classes(ko), classes(kt)
     usual = np.bincount(at, lo * no, CLASSES) / np.maximum(np.bincount(at, no, CLASSES), 1e-9)
-    chosen = (lt > usual[of]) & (np.bincount(at, no, CLASSES)[of] > 0) & (nt >= max(2, 0.01 * documents))
-    for turn in range(ROUNDS):
-        data = dictionary([kt[i] for i in np.flatnonzero(chosen)], nt[chosen] ** 2, TOXIC, 20_000, 2 + turn)
+    pool = (lt > usual[of]) & (np.bincount(at, no, CLASSES)[of] > 0) & (nt >= max(2, 0.01 * documents))
+    best_t, best_o = np.full(len(kt), 1 << 20), np.full(len(ko), 1 << 20)
+    for turn in range(TURNS):
+        chosen, data = pool, b""
+        for again in range(ROUNDS):
+            new = dictionary([kt[i] for i in np.flatnonzero(chosen)], nt[chosen] ** 2, TOXIC, 20_000, 2 + turn * ROUNDS + again)
+            if not new:
+                break
+            data, coder = new, Coder(new)
+            own_t, own_o = coder.lengths(kt), coder.lengths(ko)
+            chosen = (lt - own_t > calibrated(ko, no, lo - own_o, chance)[of]) & (nt >= 2)
         if not data:
             break
-        model.toxic, coder = data, Coder(data)
-        model.thresholds = calibrated(ko, no, lo - coder.lengths(ko), chance)
-        chosen = (lt - coder.lengths(kt) > model.thresholds[of]) & (nt >= 2)
+        model.toxic.append(data)
+        best_t, best_o = np.minimum(best_t, own_t), np.minimum(best_o, own_o)
+        model.thresholds = calibrated(ko, no, lo - best_o, chance)
+        pool = pool & (lt - best_t <= model.thresholds[of])
     return model
 
 
