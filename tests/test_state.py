@@ -255,3 +255,9 @@ def test_common_origins(spark):
     for (t, w), (valid, common) in got.items():
         want = [f"{n}/{h}" for n in (3, 5) for h in (1, 2) if by[w, t][0] and t - 10 >= n - 1 and sum(by[w, s][0] for s in range(t - n + 1, t + 1)) / n >= 0.6 and by.get((w, t + h), (0, False))[1]]
         assert valid == want and common == (len(want) == 4)
+
+
+def test_a_gap_of_just_the_length_ends_a_session(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 59), ("a", 119), ("a", 178), ("b", 5), ("b", 65)], "workload string, t long").select("workload", F.timestamp_seconds("t").alias("ts"))
+    got = streams.sessions(rows, "60 seconds").select("workload", F.unix_micros("start"), F.unix_micros("end"), "n").collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 119_000_000, 2), ("a", 119_000_000, 238_000_000, 2), ("b", 5_000_000, 65_000_000, 1), ("b", 65_000_000, 125_000_000, 1)]
