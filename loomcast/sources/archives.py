@@ -146,17 +146,17 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
 
 
+@F.pandas_udf("string")
+def _percent_g(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v != v else "%.10g" % (v + 0.0)).astype(object)
+
+
 def ten_digits(x: Column) -> Column:
-    """A double in at most ten significant digits as %.10g writes it, in the JVM; null and NaN are null. Below 1e-307 digits are as Java has them."""
-    sci = F.format_string("%.9e", x)  # ten significant digits, rounded
-    mantissa, power = F.split_part(sci, F.lit("e"), F.lit(1)), F.split_part(sci, F.lit("e"), F.lit(2)).cast("int")
-    trimmed = lambda s: F.when(F.instr(s, ".") > 0, F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)
-    plain = F.coalesce(*[F.when(power == p, F.format_string(f"%.{9 - p}f", sci.cast("double"))) for p in range(-4, 10)])
-    sign = F.when(power < 0, "-").otherwise("+")
-    wide = F.concat(trimmed(mantissa), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    wide = F.when(F.abs(power) > 99, F.concat(trimmed(mantissa), F.lit("e"), sign, F.abs(power).cast("string"))).otherwise(wide)
-    text = F.when(x == 0, F.lit("0")).when((power >= -4) & (power < 10), trimmed(plain)).otherwise(wide)
-    return F.when(x.isNotNull() & ~F.isnan(x), text)
+    """A double in at most ten significant digits as %.10g writes it; null and NaN are null, either zero is 0.
+
+    C rounds the number that the bits hold; the JVM rounds its shortest decimal, half up, and differs where that ends in a 5.
+    """
+    return _percent_g(x.cast("double"))
 
 
 def write_numbers(df: DataFrame, path: str, order: list[str]) -> None:

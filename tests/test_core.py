@@ -405,3 +405,12 @@ def test_direct_orders_against_counting(spark):
                     p[x] += left * g * ((c[x] + 1) / (n + 3) if n else 1 / 3)
                 left *= 1 - g
             assert all(abs(got[w, h, x] - p[x]) < 1e-9 for x in "abc")
+
+
+def test_ten_digits_where_a_decimal_ends_in_five(spark):
+    """The bits decide, not the shortest decimal: 0.085304761905 lies below its decimal, 0.285714285715 above or below as C has it."""
+    from loomcast.sources.archives import ten_digits
+
+    values = [0.085304761905, 0.285714285715, 0.123456789050, 1.2345678905, 12345678905.0, 98765432115.0, -0.085304761905]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", ten_digits(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert got == ["%.10g" % v for v in values]
