@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ def coverage(adj: DataFrame, workloads: DataFrame) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("workloads"), (F.sum("degree") / 2).cast("long").alias("edges"), F.avg((F.col("degree") == 0).cast("double")).alias("isolated"), F.avg("degree").alias("mean_degree"), F.expr("percentile(degree, 0.5)").alias("p50"), F.expr("percentile(degree, 0.95)").alias("p95"))
 
 
+def stars(dep: DataFrame) -> DataFrame:
+    """(src, dst): each workload of a node with the least of them. The components are those of the adjacency, a row an incidence instead of one a pair."""
+    least = dep.groupBy("node").agg(F.min("workload").alias("dst"))
+    return dep.join(least, "node").where("workload <> dst").select(F.col("workload").alias("src"), "dst").distinct()
+
+
 def component_sizes(adj: DataFrame, workloads: DataFrame, store: Callable) -> DataFrame:
     """(workload, component): a workload without neighbours is its own component."""
     found = components(adj, store, "src", "dst")
@@ -78,34 +86,48 @@ def reachable(adj: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-#: Words of 64 bits in a row of a neighbour set.
-WORDS = 4
-
+#: Numbers in a range of targets (places in it fit a short), and in a range of sources.
+STRIPE, SOURCES = 1 << 15, 1 << 13
 
-def _sets(edges: DataFrame) -> DataFrame:
-    """(s, block, w0..): the sets of t by s as bits, a row for each block of 64 * WORDS numbers that has any."""
-    size = 64 * WORDS
-    place, bit = F.pmod("t", F.lit(size)), F.expr("shiftleft(1L, cast(pmod(t, 64) as int))")
-    words = [F.bit_or(F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return edges.groupBy("s", F.floor(F.col("t") / size).alias("block")).agg(*words)
 
-
-def within_two(adj: DataFrame, store: Callable) -> DataFrame:
+def within_two(adj: DataFrame, store: Callable, stripe: int = STRIPE, sources: int = SOURCES) -> DataFrame:
     """(src, direct, reached): how many others lie one step away, and one or two steps away; for a symmetric adjacency.
 
-    Neighbour sets are bits. A source ORs those of its neighbours block by block, first where they lie: what
-    shuffles is words of sets, not pairs, and no pair of sources is ever a row.
+    Sources and targets are numbered and cut into ranges. A cell, a range of sources and one of targets, gets its
+    sources' neighbours and, once for each of these, the list of what lies a step from it in the range of targets.
+    A source marks what its neighbours' lists hold; counts of its cells add up. What two steps reach is never a
+    row and never shuffles: lists do, once for each range of sources that has their owner as a neighbour.
     """
-    edges = adj.select("src", "dst").distinct()
-    names = store(numbered(edges.select("src").dropna().distinct(), ["src"], "number", store))
-    e = edges.join(names, "src").withColumnRenamed("number", "s").join(names.select(F.col("src").alias("dst"), F.col("number").alias("t")), "dst").select("s", "t")
-    e = store(e)
-    own = store(_sets(e.unionAll(names.select(F.col("number").alias("s"), F.col("number").alias("t")))))
-    far = e.join(own.withColumnRenamed("s", "t"), "t").drop("t")
-    reach = far.groupBy("s", "block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
-    count = lambda df, name: df.groupBy("s").agg((F.sum(sum((F.bit_count(f"w{i}") for i in range(1, WORDS)), F.bit_count("w0"))) - 1).alias(name))
-    # a source is its neighbours' neighbour, so the union holds itself and, as each set holds its owner, its neighbours
-    both = count(own, "direct").join(count(reach, "reached"), "s")
+    names = store(numbered(adj.select("src").dropna().distinct(), ["src"], "number", store))
+    e = adj.join(names, "src").withColumnRenamed("number", "s").join(names.select(F.col("src").alias("dst"), F.col("number").alias("t")), "dst").select("s", "t")
+    e = e.unionAll(names.select(F.col("number").alias("s"), F.col("number").alias("t")))
+    # each list holds its owner, so that what two steps reach holds what one step does
+    part = lambda c, wide: F.floor(F.col(c) / wide).cast("int")
+    own = store(e.groupBy("s", part("t", stripe).alias("f")).agg(F.collect_set(F.pmod("t", F.lit(stripe)).cast("short")).alias("near")))
+    one = own.select(part("s", sources).alias("i"), "f", F.explode("near").alias("near"))
+    asked = one.select("i", (F.col("f") * F.lit(stripe).cast("long") + F.col("near")).alias("k")).distinct()
+    lists = asked.join(own.select(F.col("s").alias("k"), F.col("f").alias("j"), "near"), "k").select("i", "j", "k", F.lit(-1).alias("f"), "near")
+    cells = lists.select("i", "j").distinct()
+    mine = own.withColumn("i", part("s", sources)).join(cells, "i").select("i", "j", F.col("s").alias("k"), "f", "near")
+
+    def reach(g: pd.DataFrame) -> pd.DataFrame:
+        theirs = g[g["f"] < 0].sort_values("k")
+        owners, far = theirs["k"].to_numpy(), theirs["near"].tolist()
+        out = []
+        for s, x in g[g["f"] >= 0].groupby("k"):
+            seen = np.zeros(stripe, bool)
+            for f, near in zip(x["f"].tolist(), x["near"]):
+                t = np.asarray(near, np.int64) + f * stripe
+                at = np.searchsorted(owners, t)
+                for k in at[owners[np.minimum(at, len(owners) - 1)] == t].tolist():
+                    seen[far[k]] = True
+            out.append((s, np.count_nonzero(seen)))
+        return pd.DataFrame(out, columns=["s", "n"])
+
+    tasks = max(1, min(8192, -(-names.count() // sources)))  # a named number: little data, much work, so small shuffles must not be merged
+    met = mine.unionAll(lists).repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(reach, "s long, n long")
+    direct = own.groupBy("s").agg((F.sum(F.size("near")) - 1).alias("direct"))
+    both = direct.join(met.groupBy("s").agg((F.sum("n") - 1).alias("reached")), "s")
     return both.join(names.withColumnRenamed("number", "s"), "s").select("src", "direct", "reached")
 
 

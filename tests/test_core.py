@@ -414,3 +414,31 @@ def test_ten_digits_where_a_decimal_ends_in_five(spark):
     values = [0.085304761905, 0.285714285715, 0.123456789050, 1.2345678905, 12345678905.0, 98765432115.0, -0.085304761905]
     got = [r.s for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", ten_digits(F.col("v")).alias("s")).orderBy("i").collect()]
     assert got == ["%.10g" % v for v in values]
+
+
+def test_within_two_over_many_cells(spark):
+    """Ranges so small that every source's neighbours and what they reach lie in several; no set of what is reached is a row of the plan."""
+    rng = np.random.default_rng(5)
+    near = {i: set() for i in range(120)}
+    for a, b in rng.integers(0, 120, (260, 2)).tolist():
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    adj = spark.createDataFrame([(a, b) for a in near for b in near[a]] * 2, "src long, dst long")
+    sizes = []
+
+    def keep(df):
+        sizes.append(df.cache().count())
+        return df
+
+    got = {r.src: (r.direct, r.reached) for r in graph.within_two(adj, keep, 16, 10).collect()}
+    assert got == {a: (len(n), len(n | {c for b in n for c in near[b]} - {a})) for a, n in near.items() if n}
+    assert len(sizes) == 3  # names twice and the neighbour lists: edges are not stored beside them
+
+
+def test_stars_have_the_components_of_all_pairs(spark):
+    rng = random.Random(8)
+    dep = spark.createDataFrame([(rng.randrange(60), rng.randrange(45)) for _ in range(70)] + [(900 + i, 99) for i in range(30)], "workload long, node long").distinct()
+    of = lambda edges: sorted(map(tuple, graph.component_sizes(edges, dep, lambda df: df.cache()).collect()))
+    assert of(graph.stars(dep)) == of(graph.adjacency(dep))
+    assert graph.stars(dep).where("src >= 900").count() == 29
