@@ -467,7 +467,7 @@ _ROUNDS = ", ".join(["l0 AS (SELECT DISTINCT workload, workload AS label FROM de
 @query("SELECT workload, label AS component FROM l8", f"{DEP}, {_ROUNDS}")
 def component_labels(spark, d):
     dep = u.deployment(spark, d)
-    return graph.component_sizes(graph.adjacency(dep), dep, _store)
+    return graph.component_sizes(graph.stars(dep), dep, _store)
 
 
 @query("SELECT workload, t, round(greatest(least(((2 * mu - 1 + e) / (1 + (2 * mu - 1) * e) + 1) / 2, 1), 0), 6) AS value FROM (SELECT workload, t, least(cpu, 1) AS mu, 0.5 * greatest(least(mem, 1), -1) AS e FROM m)", M)
