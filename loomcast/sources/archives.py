@@ -146,17 +146,17 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
 
 
-@F.pandas_udf("string")
-def _percent_g(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v != v else "%.10g" % (v + 0.0)).astype(object)
-
-
 def ten_digits(x: Column) -> Column:
     """A double in at most ten significant digits as %.10g writes it; null and NaN are null, either zero is 0.
 
     C rounds the number that the bits hold; the JVM rounds its shortest decimal, half up, and differs where that ends in a 5.
     """
-    return _percent_g(x.cast("double"))
+
+    @F.pandas_udf(T.StringType())
+    def percent_g(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v != v else "%.10g" % (v + 0.0)).astype(object)
+
+    return percent_g(x.cast("double"))
 
 
 def write_numbers(df: DataFrame, path: str, order: list[str]) -> None:
