@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, affine, bipolar, dot, einstein, sigmoid, softmax
 from .components import components
-from .joins import unique_join
+from .joins import BROADCAST_BYTES, measured, unique_join
 from .ranges import numbered
 
 
@@ -136,7 +136,7 @@ def identifiability(dep: DataFrame) -> DataFrame:
     return dep.select("workload", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("size")).withColumn("hyperedge", F.col("size") >= 3)
 
 
-def live_adjacency(dep: DataFrame, links: DataFrame, values: list[str]) -> DataFrame:
+def live_adjacency(dep: DataFrame, links: DataFrame, values: list[str], store: Callable) -> DataFrame:
     """(src, dst, weight): workload pairs by the number of live node edges between their nodes.
 
     A node edge lives if all its values are finite and not all are 0; every node has an edge to itself.
@@ -146,12 +146,50 @@ def live_adjacency(dep: DataFrame, links: DataFrame, values: list[str]) -> DataF
     for f in finite[1:]:
         alive = alive & f
     edges = links.where(alive & (sum((F.abs(v) for v in values[1:]), F.abs(values[0])) > 0)).where("src <> dst").select("src", "dst")
-    nodes = dep.select("node").distinct()
+    nodes = dep.select("node").dropna().distinct()
     edges = edges.distinct().unionAll(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    a = dep.select(F.col("workload").alias("w_src"), F.col("node").alias("src"))
-    b = dep.select(F.col("workload").alias("w_dst"), F.col("node").alias("dst"))
-    pairs = edges.join(a, "src").join(b, "dst").where("w_src <> w_dst")
-    return pairs.groupBy(F.col("w_src").alias("src"), F.col("w_dst").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    kinds, kind_nodes = _kinds(dep, store)
+    return _between_kinds(kinds, kind_nodes, edges, [F.count(F.lit(1)).cast("double").alias("weight")], ["src", "dst"], store)
+
+
+def _kinds(dep: DataFrame, store: Callable) -> tuple[DataFrame, DataFrame]:
+    """(workload, kind) and (kind, node): workloads with the same rows of nodes are of one kind, named by the least of them.
+
+    Rows of nodes are told apart by their number and two sums of 64-bit hashes, whose order does not matter.
+    """
+    rows = dep.select("workload", "node").dropna()
+    hashed = lambda *salt: F.sum(F.xxhash64("node", *salt).cast("decimal(20,0)"))
+    marks = rows.groupBy("workload").agg(F.count(F.lit(1)).alias("n"), hashed().alias("x"), hashed(F.lit(1)).alias("y"))
+    least = marks.groupBy("n", "x", "y").agg(F.min("workload").alias("kind"))
+    kinds = store(marks.join(least, ["n", "x", "y"]).select("workload", "kind"))
+    of = kinds.where("workload = kind").select("kind")
+    return kinds, rows.withColumnRenamed("workload", "kind").join(of, "kind", "left_semi")
+
+
+#: Workloads of one kind that stand in a row on the way to pairs, so that a kind with very many is not one task's.
+TOGETHER = 1024
+#: Tasks that pairs of kinds are dealt over: a named number, as few short rows become very many.
+PAIR_TASKS = 128
+
+
+def _between_kinds(kinds: DataFrame, kind_nodes: DataFrame, edges: DataFrame, values: list[Column], ends: list[str], store: Callable) -> DataFrame:
+    """(ends, values): values aggregated over edges from the nodes of one kind to those of another, for all ordered pairs of their workloads.
+
+    Only pairs of kinds are aggregated. Pairs of workloads are made from them one after the other where they
+    lie: packs of workloads of either kind meet, and a pair is first a row when it is unpacked.
+    """
+    a = kind_nodes.select(F.col("kind").alias("k_src"), F.col("node").alias("src"))
+    b = kind_nodes.select(F.col("kind").alias("k_dst"), F.col("node").alias("dst"))
+    found = edges.join(a, "src").join(b, "dst").groupBy("k_src", "k_dst").agg(*values)
+    names = [c for c in found.columns if c not in ("k_src", "k_dst")]
+    sizes = kinds.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("packs"))
+    packs = kinds.join(sizes, "kind").groupBy("kind", F.pmod(F.xxhash64("workload"), "packs").alias("pack")).agg(F.collect_list("workload").alias("ws"))
+    packs = store(packs.select("kind", "ws"))
+    small = F.broadcast if measured(packs) <= BROADCAST_BYTES else lambda df: df
+    left = found.repartition(PAIR_TASKS).join(small(packs.select(F.col("kind").alias("k_src"), F.col("ws").alias("w_src"))), "k_src")
+    both = left.join(small(packs.select(F.col("kind").alias("k_dst"), F.col("ws").alias("w_dst"))), "k_dst").select("w_src", "w_dst", *names)
+    one = both.select(F.explode("w_src").alias(ends[0]), "w_dst", *names)
+    return one.select(ends[0], F.explode("w_dst").alias(ends[1]), *names).where(F.col(ends[0]) != F.col(ends[1]))
 
 
 def largest_component(found: DataFrame) -> DataFrame:
@@ -192,11 +230,9 @@ def link_gates(links: DataFrame) -> DataFrame:
     return g.withColumn("share", F.col("gate") / F.sum("gate").over(Window.partitionBy("dst")))
 
 
-def project_links(dep: DataFrame, links: DataFrame, values: list[str]) -> DataFrame:
+def project_links(dep: DataFrame, links: DataFrame, values: list[str], store: Callable) -> DataFrame:
     """Node links as workload pairs: the mean over the node pairs that connect them."""
-    a = dep.select(F.col("workload").alias("w_src"), F.col("node").alias("src"))
-    b = dep.select(F.col("workload").alias("w_dst"), F.col("node").alias("dst"))
-    return links.join(a, "src").join(b, "dst").where("w_src <> w_dst").groupBy("w_src", "w_dst").agg(*(F.avg(v).alias(v) for v in values))
+    return _between_kinds(*_kinds(dep, store), links, [F.avg(v).alias(v) for v in values], ["w_src", "w_dst"], store)
 
 
 def propagate(values: DataFrame, shares: DataFrame, w_self: float, w_message: float, rounds: int = 1) -> DataFrame:

@@ -494,13 +494,13 @@ def _nation_graph(spark, d):
 @query("SELECT a.workload AS src, b.workload AS dst, count(*)::DOUBLE AS weight FROM (SELECT src, dst FROM ln WHERE bandwidth <> 0 UNION ALL SELECT DISTINCT node, node FROM dp) e JOIN dp a ON a.node = e.src JOIN dp b ON b.node = e.dst WHERE a.workload <> b.workload GROUP BY 1, 2", f"{LINK}, {_NATION}")
 def live_adjacency(spark, d):
     dep, links = _nation_graph(spark, d)
-    return graph.live_adjacency(dep, links, ["bandwidth"])
+    return graph.live_adjacency(dep, links, ["bandwidth"], _store)
 
 
 @query("SELECT a.workload AS w_src, b.workload AS w_dst, round(avg(bandwidth), 6) AS bandwidth FROM ln e JOIN dp a ON a.node = e.src JOIN dp b ON b.node = e.dst WHERE a.workload <> b.workload GROUP BY 1, 2", f"{LINK}, {_NATION}")
 def projected_links(spark, d):
     dep, links = _nation_graph(spark, d)
-    return graph.project_links(dep, links, ["bandwidth"])
+    return graph.project_links(dep, links, ["bandwidth"], _store)
 
 
 @query("SELECT size, hyperedge, count(*) AS nodes FROM (SELECT node, count(*) AS size, count(*) >= 3 AS hyperedge FROM dep GROUP BY 1) GROUP BY 1, 2", DEP)

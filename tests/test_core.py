@@ -442,3 +442,25 @@ def test_stars_have_the_components_of_all_pairs(spark):
     of = lambda edges: sorted(map(tuple, graph.component_sizes(edges, dep, lambda df: df.cache()).collect()))
     assert of(graph.stars(dep)) == of(graph.adjacency(dep))
     assert graph.stars(dep).where("src >= 900").count() == 29
+
+
+def test_pairs_between_kinds_against_plain_loops(spark):
+    """Workloads of one node, of several, of the same several times, without any; kinds of more workloads than a pack holds."""
+    rng = random.Random(4)
+    dep = [(w, w % 3) for w in range(60)] + [(100 + w, n) for w in range(12) for n in rng.choices(range(5), k=3)] + [(200, None)]
+    links = [(a, b, float(a + 2 * b - 3)) for a in range(5) for b in range(5) if a != b and rng.random() < 0.7]
+    lists = lambda df: sorted(map(tuple, df.collect()))
+    d, l = spark.createDataFrame(dep, "workload long, node long"), spark.createDataFrame(links, "src long, dst long, v double")
+    live, mean = defaultdict(float), defaultdict(list)
+    edges = [(a, b) for a, b, v in links if v != 0] + [(n, n) for n in range(5)]
+    for (w, n), (x, m) in ((p, q) for p in dep for q in dep if p[0] != q[0]):
+        live[w, x] += edges.count((n, m))
+        mean[w, x] += [v for a, b, v in links if (a, b) == (n, m)]
+    was, graph.TOGETHER = graph.TOGETHER, 7
+    try:
+        got, want = lists(graph.live_adjacency(d, l, ["v"], lambda df: df.cache())), sorted((*k, v) for k, v in live.items() if v)
+        assert got == want
+        got = {(a, b): v for a, b, v in lists(graph.project_links(d, l, ["v"], lambda df: df.cache()))}
+        assert got.keys() == {k for k, v in mean.items() if v} and all(abs(got[k] - sum(mean[k]) / len(mean[k])) < 1e-9 for k in got)
+    finally:
+        graph.TOGETHER = was
