@@ -261,3 +261,39 @@ def test_a_gap_of_just_the_length_ends_a_session(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 59), ("a", 119), ("a", 178), ("b", 5), ("b", 65)], "workload string, t long").select("workload", F.timestamp_seconds("t").alias("ts"))
     got = streams.sessions(rows, "60 seconds").select("workload", F.unix_micros("start"), F.unix_micros("end"), "n").collect()
     assert sorted(map(tuple, got)) == [("a", 0, 119_000_000, 2), ("a", 119_000_000, 238_000_000, 2), ("b", 5_000_000, 65_000_000, 1), ("b", 65_000_000, 125_000_000, 1)]
+
+
+def test_a_batch_reads_and_writes_a_keys_state_once():
+    """Each call to the state store is a message to the JVM: one read and one write a key and batch, however many times it has."""
+    import pandas as pd
+
+    calls, value, timers = [], [None], set()
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return value[0]
+
+        def update(self, x):
+            calls.append("update")
+            value[0] = x
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, t):
+            timers.add(t)
+
+        def deleteTimer(self, t):
+            timers.remove(t)
+
+    work = streams.RollingDecay(0.1, 12, 20, 1)
+    work.init(Handle())
+    events, got = [[3, 9, 9, 15], [4, 16], [8, 60, 61]], {}
+    for batch in events:
+        for out in work.handleInputRows(("a",), iter([pd.DataFrame({"t": batch})]), None):
+            got.update(zip(out["t"], out["weight"]))
+    want = plain([("a", t) for b in events for t in b], 0.1, 12)
+    assert got.keys() == {t for _, t in want} and all(abs(got[t] - w) < 1e-9 for (_, t), w in want.items())
+    assert calls == ["get", "update"] * 3 and timers == {(61 + 12 + 20 + 1 + streams.AHEAD) * 1000}
