@@ -184,68 +184,164 @@ def warped_bounds(x: list, y: list, window: int) -> np.ndarray:
     return np.sqrt(cost / (n[:, None] + m[None, :] - 1))
 
 
+#: Series of two lists that meet at once; the share of pairs left below which the others leave the tables.
+TILE, KEEP = (64, 128), 0.3
+#: Series of a block at most; so many blocks at least, where there are series enough.
+MOST, SPREAD = 4096, 16
+
+
+def maybe_within(x: np.ndarray, y: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p, q) of the pairs of x (A, n) and y (B, m) whose warped distance may be at most `most` (A, B), to 6 digits; all others are above it.
+
+    An alignment's mean cost is at most a bound where its costs, each less the bound, sum to at most 0. The least
+    such sum over all alignments is found diagonal by diagonal as in dtw_batch, in single precision with room for
+    what that rounds. A pair leaves as soon as the points still to come cannot bring its sum back to 0.
+    """
+    n, m = x.shape[1], y.shape[1]
+    size = max(np.abs(x).max(), np.abs(y).max()) or 1.0
+    u, v = (x.T / size).astype(np.float32), (y.T / size).astype(np.float32)
+    bound = np.minimum((most.ravel() + 1e-6) / size, 2.0) ** 2  # no two points are further apart than 2
+    room = (1e-6 * (n + m) * (np.sqrt(bound) + bound * (n + m)) + 1e-12).astype(np.float32)
+    bound, reach, pairs = bound.astype(np.float32), max(window, abs(n - m)), None
+    sums = np.empty((3, n + 2, most.size), np.float32)
+    sums[:, :3] = np.inf
+    sums[0, 0] = 0.0
+    for d in range(2, n + m + 1):
+        now, last, third = sums[d % 3], sums[(d - 1) % 3], sums[(d - 2) % 3]
+        lo, hi = max(1, d - m, -((reach - d) // 2)), min(n, d - 1, (d + reach) // 2)
+        if lo > hi:  # only where no two neighbours are aligned: every other diagonal is empty
+            now[:] = np.inf
+            continue
+        cells, a, b = now[lo : hi + 1], u[lo - 1 : hi], v[d - hi - 1 : d - lo][::-1]
+        if pairs is None:
+            np.subtract(a[:, :, None], b[:, None, :], out=cells.reshape(len(a), *most.shape))
+        else:
+            np.subtract(a, b, out=cells)
+        cells *= cells
+        cells -= bound
+        best = np.minimum(last[lo - 1 : hi], last[lo : hi + 1])
+        cells += np.minimum(best, third[lo - 1 : hi], out=best)
+        now[lo - 1] = now[hi + 1] = np.inf
+        if d % 4 == 0 and d < n + m:
+            low = np.minimum(cells.min(0), last[lo - 1 : hi + 2].min(0))
+            alive = np.flatnonzero(low <= room + bound * (n + m - d + 1))
+            if len(alive) < KEEP * len(low):
+                u, v = (u[:, alive // most.shape[1]], v[:, alive % most.shape[1]]) if pairs is None else (u[:, alive], v[:, alive])
+                pairs, bound, room = alive if pairs is None else pairs[alive], bound[alive], room[alive]
+                left = np.empty((3, n + 2, len(alive)), np.float32)
+                for k in (d % 3, (d - 1) % 3):  # nothing else of the table is looked at again
+                    left[k, lo - 1 : hi + 2] = sums[k, lo - 1 : hi + 2].take(alive, axis=1)
+                sums = left
+                if not len(pairs):
+                    break
+    ends = np.flatnonzero(sums[(n + m) % 3, n] <= room) if pairs is None or len(pairs) else np.zeros(0, int)
+    return np.divmod(ends if pairs is None else pairs[ends], most.shape[1])
+
+
 def nearest_warped(items: DataFrame, store: Callable[[DataFrame], DataFrame], window: int = 5, block: int = 256, first: int = 4) -> DataFrame:
     """(id, nearest, distance): of each of (id, series array<double>) the other one at the least warped distance.
 
-    Exact over all items, of equal distances (to 6 digits) the least id. Items lie in blocks. In its own block an item is
-    aligned with the few whose bound is least, which gives a distance that its nearest cannot exceed. Then every
-    two blocks meet in a task of their own: only pairs whose bound does not exceed that distance are aligned,
-    the least first. Null or empty series are no items, a single item has no nearest.
+    Exact over all items, of equal distances (to 6 digits) the least id. Items lie in blocks by length, copies of a
+    series together unless they are very many. In its own block an item is aligned with the few of a part of it that are cheapest to align, then with all that may be nearer
+    than the nearest so far. Then every two blocks meet in a task of their own, with what both have found: pairs that
+    maybe_within rules out are not aligned. A block's size is block, for more than SPREAD blocks a SPREADth of the
+    items, and MOST at most. Null or empty series and those that hold nulls or no finite numbers are no items, a single
+    item has no nearest.
     """
     kind = dict(items.dtypes)["id"]
-    rows = items.where(F.size("series") > 0)
-    blocks = max(1, -(-rows.count() // block))
-    rows = store(rows.select("id", "series", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")))
-
-    def align(pairs: list, series: dict) -> list:
-        """Distances of pairs (id, id), each from the lesser to the greater, to 6 digits."""
-        ordered = [(min(p), max(p)) for p in pairs]
-        return [round(float(v), 6) for v in dtw_batch([series[p] for p, _ in ordered], [series[q] for _, q in ordered], window)] if pairs else []
-
-    def guess(g: pd.DataFrame) -> pd.DataFrame:
-        ids, xs = g["id"].tolist(), [np.asarray(v, float) for v in g["series"]]
-        if len(ids) < 2:
-            return pd.DataFrame({"id": ids, "most": [np.inf] * len(ids)})
-        low, series = warped_bounds(xs, xs, window), dict(zip(ids, xs))
-        np.fill_diagonal(low, np.inf)
-        near = np.argsort(low, axis=1, kind="stable")[:, : min(first, len(ids) - 1)]
-        d = align([(ids[i], ids[j]) for i, js in enumerate(near) for j in js], series)
-        return pd.DataFrame({"id": ids, "most": np.array(d).reshape(len(ids), -1).min(1)})
-
-    most = store(rows.repartition(min(blocks, 8192), "b").groupBy("b").applyInPandas(guess, f"id {kind}, most double"))
-    ends = rows.join(most, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ends = ends.select("id", "series", "most", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        ids, xs = g["id"].to_numpy(), [np.asarray(v, float) for v in g["series"]]
-        best, found, series = g["most"].to_numpy(float).copy(), [(np.inf, None)] * len(ids), dict(zip(ids.tolist(), xs))
-        left, right = (np.flatnonzero(g["b"] == k) for k in (i, j))
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["id", "nearest", "distance"])
-        low = np.floor(warped_bounds([xs[k] for k in left], [xs[k] for k in right], window) * 1e6) / 1e6
-        p, q = np.divmod(np.argsort(low, axis=None, kind="stable"), len(right))
-        low, p, q = low[p, q], left[p], right[q]
-        if i == j:
-            once = p < q
-            low, p, q = low[once], p[once], q[once]
-        for at in range(0, len(p), AT_ONCE):  # the least bounds first; what they prove spares others
-            part = slice(at, at + AT_ONCE)
-            may = low[part] <= np.maximum(best[p[part]], best[q[part]])
-            pairs = list(zip(p[part][may].tolist(), q[part][may].tolist()))
-            for (a, b), d in zip(pairs, align([(ids[a], ids[b]) for a, b in pairs], series)):
+    finite = F.forall("series", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = items.where((F.size("series") > 0) & finite).select("id", "series", F.size("series").alias("n"))
+    lengths = sorted((r["n"], r["count"]) for r in rows.groupBy("n").count().collect())
+    total = sum(c for _, c in lengths)
+    blocks = max(1, -(-total // MOST), min(-(-total // block), SPREAD))
+    before = {n: at for (n, _), at in zip(lengths, np.cumsum([0, *(c for _, c in lengths)]).tolist())}
+    starts = F.create_map(*[F.lit(x) for n, c in lengths for x in (n, before[n] / total)]) if lengths else F.lit(None)
+    shares = F.create_map(*[F.lit(x) for n, c in lengths for x in (n, c / total)]) if lengths else F.lit(None)
+    if not lengths:
+        return rows.select("id", F.col("id").alias("nearest"), F.lit(0.0).alias("distance"))
+    rows = rows.withColumn("h", F.xxhash64(F.transform("series", lambda v: F.round(v, 6))))
+    common = rows.groupBy("h").count().where(F.col("count") > MOST // 8).select("h", F.lit(True).alias("common"))
+    rows = rows.join(F.broadcast(common), "h", "left").withColumn("h", F.when(F.col("common"), F.xxhash64("id")).otherwise(F.col("h")))
+    place = starts[F.col("n")] + shares[F.col("n")] * F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
+    rows = store(rows.select("id", "series", F.least(F.floor(place * blocks), F.lit(blocks - 1)).cast("int").alias("b")))
+
+    def align(pairs: list, ids: list, xs: list) -> np.ndarray:
+        """Distances of pairs of places, each from the lesser id to the greater, to 6 digits."""
+        out = []
+        for at in range(0, len(pairs), AT_ONCE):
+            ordered = [(p, q) if ids[p] < ids[q] else (q, p) for p, q in pairs[at : at + AT_ONCE]]
+            out.append(dtw_batch([xs[p] for p, _ in ordered], [xs[q] for _, q in ordered], window))
+        return np.array([round(float(v), 6) for d in out for v in d])
+
+    def search(ids: list, xs: list, most: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+        """(id, nearest, distance) between left and right, or within left where they are the same; most is what each item has already, and is kept up."""
+        found: list[tuple] = [(np.inf, None)] * len(ids)
+        n, alike = np.array([len(x) for x in xs]), left is right
+
+        def take(pairs: list) -> None:
+            for (a, b), d in zip(pairs, align(pairs, ids, xs).tolist()):
                 for own, other in ((a, b), (b, a)):
-                    if (d, ids[other]) < (found[own][0], ids[other] if found[own][1] is None else found[own][1]):
+                    if found[own][1] is None or (d, ids[other]) < found[own]:
                         found[own] = (d, ids[other])
-                    best[own] = min(best[own], d)
-        out = [(ids[k], other, d) for k, (d, other) in enumerate(found) if other is not None]
+                    most[own] = min(most[own], d)
+
+        groups = lambda at: [at[n[at] == k] for k in np.unique(n[at])]
+        table = {int(k): np.stack([xs[i] for i in np.flatnonzero(n == k)]) for k in np.unique(n)}
+        place = np.zeros(len(xs), int)
+        for k in table:
+            place[n == k] = np.arange(len(table[k]))
+        of = lambda at: table[int(n[at[0]])][place[at]]
+        if alike:  # without a distance nothing can be ruled out
+            few = left[:: max(1, len(left) // TILE[1])][: TILE[1]]
+            for g in groups(left):
+                for at in range(0, len(g), TILE[0]):
+                    a = g[at : at + TILE[0]]
+                    near = np.concatenate([cheapest(of(a), of(c), window) for c in groups(few)], axis=1)
+                    order = np.concatenate(groups(few))
+                    near[a[:, None] == order[None, :]] = np.inf
+                    picks = np.argsort(near, axis=1, kind="stable")[:, :first]
+                    take([(int(i), int(order[k])) for r, i in enumerate(a) for k in picks[r] if order[k] != i])
+        for g in groups(left):
+            for at in range(0, len(g), TILE[0]):
+                a, pairs = g[at : at + TILE[0]], []
+                for h in groups(right):
+                    h = h[h > a[0]] if alike else h
+                    for start in range(0, len(h), TILE[1]):
+                        c = h[start : start + TILE[1]]
+                        if len(a) * len(c) < 64:
+                            p, q = np.divmod(np.arange(len(a) * len(c)), len(c))
+                        else:
+                            p, q = maybe_within(of(a), of(c), np.maximum(most[a][:, None], most[c][None, :]), window)
+                        p, q = a[p], c[q]
+                        pairs += list(zip(*(x[p < q].tolist() for x in (p, q)))) if alike else list(zip(p.tolist(), q.tolist()))
+                take(pairs)
+        return [(ids[k], other, d) for k, (d, other) in enumerate(found) if other is not None]
+
+    def alone(g: pd.DataFrame) -> pd.DataFrame:
+        at = np.arange(len(g))
+        out = search(g["id"].tolist(), [np.asarray(v, float) for v in g["series"]], np.full(len(g), np.inf), at, at)
         return pd.DataFrame(out, columns=["id", "nearest", "distance"])
 
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.flatnonzero(g["b"] == int(g[k].iloc[0])) for k in ("i", "j"))
+        out = search(g["id"].tolist(), [np.asarray(v, float) for v in g["series"]], g["most"].to_numpy(float).copy(), left, right) if len(left) and len(right) else []
+        return pd.DataFrame(out, columns=["id", "nearest", "distance"])
+
+    schema = f"id {kind}, nearest {kind}, distance double"
+    own = store(rows.repartition(min(blocks, 8192), "b").groupBy("b").applyInPandas(alone, schema))
+    ends = rows.join(own.select("id", F.col("distance").alias("most")), "id", "left").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("b <> o")
+    ends = ends.select("id", "series", F.coalesce("most", F.lit(float("inf"))).alias("most"), "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     tasks = min(blocks * blocks, 8192)  # a named number: little data, much work, so small shuffles must not be merged
-    met = ends.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(meet, f"id {kind}, nearest {kind}, distance double")
+    met = own.unionByName(ends.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(meet, schema))
     return met.groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("id", "m.nearest", "m.distance")
 
 
+def cheapest(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
+    """(A, B): the warped distance of each of x (A, n) and each of y (B, m), about."""
+    p, q = np.divmod(np.arange(len(x) * len(y)), len(y))
+    return dtw_batch(list(x[p]), list(y[q]), window).reshape(len(x), len(y))
+
+
 def spread_windows(windows: DataFrame, k: int, points: int, store: Callable[[DataFrame], DataFrame], window: int = 5) -> list[tuple]:
     """(id, series) of k windows of (id, series array<double>) that lie far apart by warped distance, over all windows.
 

@@ -219,6 +219,30 @@ def test_nearest_by_warped_distance(spark, store):
     assert shapes.nearest_warped(df.limit(0), store).count() == 0 and shapes.nearest_warped(df.where("id = 102"), store).count() == 0
 
 
+@pytest.mark.parametrize("n,m,window,scale", [(30, 30, 5, 1.0), (30, 27, 5, 1e6), (9, 7, 3, 1e-3), (12, 4, 2, 1.0), (5, 5, 0, 1.0), (1, 6, 2, 1.0), (1, 1, 3, 1.0)])
+def test_pairs_that_cannot_be_near_are_not_aligned(n, m, window, scale):
+    rng = np.random.default_rng(5)
+    x, y = rng.exponential(0.5, (40, n)) * scale, rng.exponential(0.5, (70, m)) * scale
+    x[0], y[0] = 0.0, 0.0
+    d = shapes.cheapest(x, y, window)
+    assert d[3, 4] == shapes.dtw(x[3], y[4], window=window)
+    for most in (np.full(d.shape, 0.0), np.minimum(d.min(1)[:, None], d.min(0)[None, :]), np.full(d.shape, np.median(d)), np.full(d.shape, np.inf)):
+        kept = np.zeros(d.shape, bool)
+        kept[shapes.maybe_within(x, y, most, window)] = True
+        assert kept[d <= most].all() and kept.sum() <= (d <= most * 1.1 + 1e-5).sum()
+
+
+def test_nearest_over_lengths_and_odd_series(spark, store):
+    rng = np.random.default_rng(6)
+    series = {f"s{i}": np.round(rng.exponential(0.5, int(rng.choice([1, 6, 7, 7, 7, 20]))), 2).tolist() for i in range(90)}
+    odd = {"null": [1.0, None], "nan": [1.0, float("nan")], "inf": [float("inf")] * 7, "none": None}
+    df = spark.createDataFrame([*series.items(), *odd.items()], "id string, series array<double>")
+    got = {r.id: (r.nearest, r.distance) for r in shapes.nearest_warped(df, store, 2, 8, 1).collect()}
+    d = {(i, j): round(shapes.dtw(series[i], series[j], window=2), 6) for i in series for j in series if i < j}
+    want = {i: min((d[min(i, j), max(i, j)], j) for j in series if j != i) for i in series}
+    assert {i: (v, j) for i, (j, v) in got.items()} == want
+
+
 def test_points_and_windows_far_apart(spark, store):
     points = {0: [0.0, 0.0], 1: [0.1, 0.0], 2: [5.0, 5.0], 3: [5.0, 5.0], 4: [9.0, 0.0], 5: [4.0, 2.0]}
     df = spark.createDataFrame(list(points.items()), "id long, x array<double>")
