@@ -2,8 +2,8 @@
 
 Two words one edit apart share the first or the last half of the shorter one: that half, a positional gram,
 is the key under which words travel. Under a key the rest of each word is cut into q-grams with their
-positions; a word's posting lists, limited to positions one apart at most and to lengths that the key
-admits, are merged through a heap; who occurs in them as often as one edit leaves grams in common is
+positions; a word's posting lists, limited to the positions that its length and the postings' leave and to
+words of the key's length, are merged through a heap; who occurs in them as often as one edit leaves grams in common is
 verified. Only counts and each word's best neighbour leave a task, never pairs.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,32 +72,44 @@ def near(m: int, side: int, first: list[str], second: list[str] | None) -> Itera
     """Pairs of words one edit apart under a key, each once: within first, or between first and second.
 
     The key's half is cut off. With r the longer rest, one edit leaves at least r - 2q + 1 grams of length q
-    in common, at positions at most one apart. A pair that shares both halves belongs to the first.
+    in common: in a word of the same length at their places, in one a letter shorter at their places or one before.
+    So only words of length m have postings. A pair that shares both halves belongs to the first.
     """
     h = m // 2
     q = min(LONGEST, max(1, (m - h - 1) // 2))
     rest = (lambda w: w[h:]) if side == 0 else (lambda w: w[: len(w) - h])
-    index: dict[tuple[str, int], list[int]] = defaultdict(list)
-    rows: list[str] = []
 
-    def put(w: str) -> None:
+    def put(w: str, rows: list[str], index: dict[tuple[str, int], list[int]]) -> None:
         r = rest(w)
         for p in range(len(r) - q + 1):
             index[r[p : p + q], p].append(len(rows))
         rows.append(w)
 
-    if second is not None:
-        for w in first:
-            put(w)
-    for w in sorted(first, key=len) if second is None else second:
+    def found(w: str, rows: list[str], index: dict[tuple[str, int], list[int]]) -> Iterator[str]:
         r = rest(w)
-        lists = [found for p in range(len(r) - q + 1) for d in (-1, 0, 1) if (found := index.get((r[p : p + q], p + d)))]
-        for at, run in groupby(heapq.merge(*lists)):
+        least = len(r) - 2 * q + 1
+        lists = [at for p in range(len(r) - q + 1) for d in range(m - len(w), 1) if (at := index.get((r[p : p + q], p + d)))]
+        merged = list(heapq.merge(*lists))
+        for at in dict.fromkeys(i for i, j in zip(merged, merged[least - 1 :]) if i == j):
             x = rows[at]
-            if max(len(x), len(w)) - h - 2 * q + 1 <= sum(1 for _ in run) and min(len(x), len(w)) == m and not (side and x[:h] == w[:h]) and one_edit(x, w):
-                yield x, w
+            if not (side and x[:h] == w[:h]) and one_edit(x, w):
+                yield x
+
+    short, long = ([w for w in first if len(w) == m], [w for w in first if len(w) > m])
+    rows, index = [], defaultdict(list)
+    for w in short:
         if second is None:
-            put(w)
+            yield from ((x, w) for x in found(w, rows, index))
+        put(w, rows, index)
+    for w in long if second is None else second:
+        yield from ((x, w) for x in found(w, rows, index))
+    if second is not None and long:
+        rows, index = [], defaultdict(list)
+        for w in second:
+            if len(w) == m:
+                put(w, rows, index)
+        for w in long:
+            yield from ((w, x) for x in found(w, rows, index))
 
 
 def linked(table: DataFrame, shortest: int = SHORTEST, group: int = GROUP, bucket: int = BUCKET) -> DataFrame:

@@ -144,6 +144,30 @@ def test_spelling_variants(spark, monkeypatch, group, bucket):
     assert sorted(map(repr, got)) == want and any(r[3] for r in got) and len({r[5] for r in got}) < len(got)
 
 
+@pytest.mark.parametrize("side", [0, 1])
+def test_only_postings_that_an_edit_leaves_are_merged(monkeypatch, side):
+    rng, seen, merge = random.Random(8), [], spelling.heapq.merge
+    monkeypatch.setattr(spelling.heapq, "merge", lambda *lists: seen.append(sum(map(len, lists))) or merge(*lists))
+    for m in (5, 8, 11):
+        h = m // 2
+        half = "abcde"[:h]
+        own = lambda n: sorted({(half + r if side == 0 else r + half) for r in ("".join(rng.choices("abc", k=n - h)) for _ in range(40))})
+        short, long = own(m), own(m + 1)
+        want = {frozenset((x, w)) for x in short for w in short + long if edits(x, w) == 1 and not (side and x[:h] == w[:h])}
+        mixed = short + long
+        rng.shuffle(mixed)
+        for first, second in ((mixed, None), (mixed[::2], mixed[1::2])):
+            got = [frozenset(p) for p in spelling.near(m, side, first, second)]
+            inside = {p for p in want if second is None or len(p & set(first)) == 1}
+            assert len(got) == len(set(got)) and set(got) == inside and got
+        seen.clear()
+        assert not list(spelling.near(m, side, long, None)) and not sum(seen)  # longer words meet under the next key
+        list(spelling.near(m, side, short, None))
+        q = max(1, (m - h - 1) // 2)
+        rests = [w[h:] if side == 0 else w[: m - h] for w in short]
+        assert sum(seen) == sum(x[p : p + q] == y[p : p + q] for i, x in enumerate(rests) for y in rests[:i] for p in range(m - h - q + 1))
+
+
 def test_spelling_variants_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "one two")], "doc_id long, text string")
     assert spelling.spelling_variants(df).count() == 0 and spelling.spelling_variants(df.limit(0)).count() == 0
