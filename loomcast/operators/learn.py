@@ -135,26 +135,31 @@ def horizon_features(h: np.ndarray, top: int) -> np.ndarray:
 class Nodes:
     """Workloads on one node are one another's neighbours, all equally near. A node's total stands for its pairs.
 
-    at: each workload's node, any value; None for a workload without node, which has no neighbours.
+    at: each workload's node, any value; None for a workload without node, which has no neighbours. n: how many
+    workloads of that node, all alike, a row stands for.
     """
 
-    def __init__(self, at: list):
+    def __init__(self, at: list, n: list | None = None):
+        self.n = np.ones(len(at)) if n is None else np.asarray(n, float)
         names = {x: i for i, x in enumerate(dict.fromkeys(x for x in at if x is not None))}
         self.at = np.array([names.get(x, len(names)) for x in at], int)
-        size = np.bincount(self.at, minlength=len(names) + 1)
+        size = np.bincount(self.at, self.n, len(names) + 1).astype(int)
         size[-1] = 1
         self.degree = (size - 1)[self.at].reshape(-1, 1)
 
     def __len__(self) -> int:
-        return len(self.at)
+        return int(self.n.sum())
 
-    def _mean(self, x: np.ndarray) -> np.ndarray:
-        total = np.stack([np.bincount(self.at, x[:, j], self.at.max(initial=0) + 1) for j in range(x.shape[1])], 1)
-        return np.where(self.degree > 0, (total[self.at] - x) / np.maximum(self.degree, 1), 0.0)
+    def _less_own(self, total: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.where(self.degree > 0, (total - x) / np.maximum(self.degree, 1), 0.0)
+
+    def _totals(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.at, x[:, j], self.at.max(initial=0) + 1) for j in range(x.shape[1])], 1)[self.at]
 
     def mean(self, h: Var) -> Var:
-        # a node's workloads have one degree, so the map is its own transpose
-        return Var(self._mean(h.x), (h, self._mean))
+        # a node's workloads have one degree, so the map is its own transpose, but for the number that a row stands for
+        n = self.n.reshape(-1, 1)
+        return Var(self._less_own(self._totals(h.x * n), h.x), (h, lambda g: self._less_own(self._totals(g) * n, g)))
 
 
 def _near(adjacency, h: Var) -> Var:
@@ -239,14 +244,23 @@ def pack(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return one.groupBy("origin").agg(F.sort_array(F.collect_list("r")).alias("cohort"))
 
 
-def pack_slots(rows: DataFrame, home: DataFrame) -> DataFrame:
+#: Rows of a slot up to which each workload has a row of its own.
+ALIKE = 4096
+
+
+def pack_slots(rows: DataFrame, home: DataFrame, alike: int | None = ALIKE) -> DataFrame:
     """(origin, cohort): one row per slot t, from (workload, t, mu, target, back, h) and home (workload, node).
 
     Messages stay inside a slot, so a slot with all its workloads is whole: no edge is lost. Neighbours are those
-    of one node, kept by name and not as pairs. A row's size is the number of workloads in its slot.
+    of one node, kept by name and not as pairs. In a slot of more than `alike` workloads those that are alike in all,
+    node too, are one row with their number n: they send, get and answer the same, so losses and gradients stay what
+    they are and a row's size is the number of kinds. Forecasts by workload need alike=None.
     """
     one = rows.join(home.select("workload", "node"), "workload", "left")
-    return one.groupBy(F.col("t").alias("origin")).agg(F.sort_array(F.collect_list(F.struct("workload", "t", "h", "mu", "target", "back", "node"))).alias("cohort"))
+    large = one.groupBy("t").agg(F.count(F.lit(1)).alias("_size")).where(F.lit(False) if alike is None else F.col("_size") > alike)
+    one = one.join(F.broadcast(large), "t", "left").withColumn("_own", F.when(F.col("_size").isNull(), F.col("workload")))
+    one = one.groupBy("t", "h", "mu", "target", "back", "node", "_own").agg(F.min("workload").alias("workload"), F.count(F.lit(1)).alias("n"))
+    return one.groupBy(F.col("t").alias("origin")).agg(F.sort_array(F.collect_list(F.struct("workload", "t", "h", "mu", "target", "back", "node", "n"))).alias("cohort"))
 
 
 def _dense(cohort, k: int):
@@ -256,7 +270,7 @@ def _dense(cohort, k: int):
         slots.setdefault((r["t"], r["h"]), []).append(r)
     for (t, h), rs in slots.items():
         at = {r["workload"]: i for i, r in enumerate(rs)}
-        adj = Nodes([r["node"] for r in rs]) if "node" in rs[0] else np.zeros((len(rs), len(rs)))
+        adj = Nodes([r["node"] for r in rs], [r["n"] for r in rs]) if "node" in rs[0] else np.zeros((len(rs), len(rs)))
         for i, r in enumerate(rs) if "node" not in rs[0] else ():
             for e in r["near"] if r["near"] is not None else ():
                 j = at.get(e["dst"])
@@ -264,7 +278,7 @@ def _dense(cohort, k: int):
                     adj[i, j] = e["weight"]
         even = np.full(k, 1 / k)
         get = lambda name: np.stack([even if r[name] is None else np.asarray(r[name], float) for r in rs])
-        scored = np.array([float(r["target"] is not None) for r in rs])
+        scored = np.array([float(r["target"] is not None) for r in rs]) * (adj.n if isinstance(adj, Nodes) else 1)
         yield [r["workload"] for r in rs], adj, np.full(len(rs), float(t)), np.full(len(rs), float(h)), get("mu"), get("target"), get("back"), scored
 
 
@@ -382,6 +396,8 @@ def forecast(packed: DataFrame, p: dict[str, np.ndarray], b: Blocks, prior: np.n
             rows = []
             for origin, cohort in zip(batch["origin"], batch["cohort"]):
                 for names, adj, t, h, mu, _, back, _ in _dense(cohort, b.k):
+                    if len(adj) > len(names):
+                        raise ValueError("rows that stand for several workloads have no forecast by workload: pack_slots(alike=None)")
                     out = step(vs, b, mu, adj, t, back, prior, h if b.horizon > 1 else None)[0].x
                     rows += [(origin, w, int(h[i]), s, float(out[i, s])) for i, w in enumerate(names) for s in range(b.k)]
             yield pd.DataFrame(rows, columns=["origin", "workload", "h", "state", "p"])

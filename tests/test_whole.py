@@ -79,6 +79,24 @@ def test_nodes_are_their_pairs(spark):
     assert np.allclose(got[0][0], got[1][0]) and all(np.allclose(got[0][1][n], got[1][1][n]) for n in values)
 
 
+def test_alike_workloads_of_a_large_slot_are_one_row(spark):
+    r, k = np.random.default_rng(9), 3
+    f = np.eye(k).tolist()
+    rows = [(w, t, 1, f[int(r.integers(k))], f[int(r.integers(k))] if w % 7 else None, None if w % 2 else [0.2, 0.3, 0.5]) for t in (4, 5) for w in range(300 if t == 4 else 20)]
+    df = spark.createDataFrame(rows, "workload long, t long, h int, mu array<double>, target array<double>, back array<double>")
+    home = spark.createDataFrame([(w, "ab"[w % 2] if w % 5 else None) for w in range(290)], "workload long, node string")
+    b = learn.Blocks(k, period=7.0)
+    p = {n: v + r.normal(0, 0.4, v.shape) for n, v in b.start().items()}
+    prior, whole, few = np.full((k, k), 1 / k), learn.pack_slots(df, home, None), learn.pack_slots(df, home, 100)
+    size = {x["origin"]: len(x["cohort"]) for x in few.collect()}
+    assert size[4] <= 2 * 3 * k * (k + 1) and size[5] == 20 and sum(c["n"] for x in few.collect() for c in x["cohort"]) == 320
+    (la, na, ga), (lb, nb, gb) = (learn.loss_and_gradients(x, p, b, prior) for x in (whole, few))
+    assert na == nb and la == pytest.approx(lb) and all(np.allclose(ga[n], gb[n]) and np.abs(ga[n]).max() > 0 for n in ("theta", "res_w", "mlp_in"))
+    assert learn.forecast(whole, p, b, prior).count() == 320 * k
+    with pytest.raises(Exception, match="alike=None"):
+        learn.forecast(few, p, b, prior).collect()
+
+
 def test_recursive_forecasts_share_counts_over_all_workloads(spark):
     """Workload 5000 was never in state 1 before its end; only the others tell that 1 is followed by 2."""
     seqs = {w * 250: [0, 1, 2] * 6 for w in range(20)} | {5000: [0, 0, 1]}
