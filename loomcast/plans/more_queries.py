@@ -14,7 +14,7 @@ from ..sources import archives, tables
 from ..sources import usage as src
 from ..streaming import usage as streams
 from . import usage as u
-from .queries import _BEST, _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, WEIGHTS, U, _by_h, _gates, _hard, _labels, _store, query
+from .queries import _BEST, _CTX, _GATE, DEP, FILL, LINK, M, MU, ORDER, S, WEIGHTS, U, _by_h, _gates, _hard, _labels, _store, query, rounded_as_sql
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -697,7 +697,7 @@ def metric_bundle(spark, d):
     rows = f.withColumn("ahead", ahead).select("workload", F.col("t").alias("origin"), "input_valid", "cpu_input", F.explode("ahead").alias("a")).where(F.col("input_valid") & F.col("a.x").isNotNull())
     of = lambda c: F.least(F.floor(F.col(c) * 2), F.lit(3)).cast("int")
     rows = rows.select("workload", "origin", "a.h", of("a.x").alias("cls"), (F.abs(F.col("cpu_input") - F.col("a.x")) / (1 + F.col("a.x"))).alias("err"), (of("cpu_input") == of("a.x")).cast("double").alias("hit"), F.lit(1).cast("long").alias("valid"))
-    return metrics.bundle(rows, "origin", ["h", "cls", "workload"], "valid", ["err", "hit"], "h", 200)
+    return rounded_as_sql(metrics.bundle(rows, "origin", ["h", "cls", "workload"], "valid", ["err", "hit"], "h", 200))
 
 
 @query("SELECT k, h // 5 AS h5, count(v) FILTER (NOT isnan(v)) AS n, round(avg(v) FILTER (NOT isnan(v)), 6) AS mean FROM (SELECT k, h, CASE WHEN h % 4 = 0 THEN 'nan'::DOUBLE ELSE v / 7 END AS v FROM hm) GROUP BY 1, 2", "hm AS (SELECT event_type AS k, CAST(floor(epoch(ts) / 86400) AS BIGINT) - (SELECT min(CAST(floor(epoch(ts) / 86400) AS BIGINT)) FROM events) AS h, avg(value) AS v FROM events GROUP BY 1, 2)")

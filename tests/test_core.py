@@ -478,3 +478,15 @@ def test_interval_ends_have_the_bits_of_sql(spark):
     want = {(k, end): v for k, *both in ends for end, v in zip(("v_low", "v_high"), both)}
     got = metrics.intervals(df, ["k"], "unit", "n", ["v"], 40, 7).collect()
     assert {(r.k, end): r[end] for r in got for end in ("v_low", "v_high")} == want
+
+
+def test_rounding_of_sql(spark):
+    """Numbers that end in a 5 after 6 digits round as DuckDB's round does, where Spark's goes the other way."""
+    import duckdb
+    from loomcast.plans.queries import rounded, rounded_as_sql
+
+    values = [0.5126875, 0.6615624999999999, 0.5375624999999999, -0.5126875, 0.0078125, 1 / 3, 0.0, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = [r.v for r in rounded(rounded_as_sql(df)).orderBy("i").collect()]
+    assert got == [v if v is None else duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert got != [r.v for r in rounded(df).orderBy("i").collect()]
