@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,162 @@ def within_two(adj: DataFrame, store: Callable, stripe: int = STRIPE, sources: i
     return both.join(names.withColumnRenamed("number", "s"), "s").select("src", "direct", "reached")
 
 
+#: Workloads in a block (a place in it fits 16 bits), incidences in a pack of nodes, pairs made at a time, and marks set at a time.
+BLOCK, PACK, PAIRS, MARKS = 1 << 15, 1 << 20, 1 << 22, 1 << 16
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte, compressed."""
+    planes = np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(keys).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. and so on, in one array."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+@dataclass
+class _Rows:
+    """A block's lists by owner: the place of each member in known, the members that any of them has."""
+
+    owner: np.ndarray
+    place: np.ndarray
+    known: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> _Rows:
+        member, owner = keys >> np.uint64(16), (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        new = np.append(True, member[1:] != member[:-1])  # keys ascend
+        order = np.argsort(owner, kind="stable")
+        return cls(owner[order].astype(np.uint32), (np.cumsum(new, dtype=np.int32) - 1)[order], member[new])
+
+    def common(self, keys: np.ndarray, marks: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many of another block's owners share a member with each of these, and the other way round.
+
+        keys are the other block's pairs by member. Some whole owners' marks, one for each way to share a
+        member, are sorted at a time, and those that repeat count once.
+        """
+        others, member = (keys & np.uint64(0xFFFF)).astype(np.uint32), keys >> np.uint64(16)
+        first = np.flatnonzero(np.append(True, member[1:] != member[:-1]))
+        theirs, size = member[first], np.diff(np.append(first, len(keys)))
+        at = np.minimum(np.searchsorted(theirs, self.known), len(theirs) - 1)
+        size, first = np.where(theirs[at] == self.known, size[at], 0)[self.place], first[at][self.place]
+        filled = np.cumsum(size)
+        ends = np.append(np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1, len(self.owner))
+        upto = filled[ends - 1]
+        n, m = int(self.owner[-1]) + 1, int(others.max()) + 1
+        mine, yours, k = np.zeros(n, np.int64), np.zeros(m, np.int64), 0
+        while k < len(ends):
+            lo = int(ends[k - 1]) if k else 0
+            k = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + marks, side="right")))
+            sizes = size[lo : ends[k - 1]]
+            both = np.repeat(self.owner[lo : ends[k - 1]] << np.uint32(16), sizes) | others[_ranges(first[lo : ends[k - 1]], sizes)]
+            both.sort()
+            both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+            mine += np.bincount(both >> np.uint32(16), minlength=n)
+            yours += np.bincount(both & np.uint32(0xFFFF), minlength=m)
+        return mine, yours
+
+
+def within_two_on(dep: DataFrame, write: Callable, store: Callable, block: int = BLOCK, pack: int = PACK, marks: int = MARKS) -> DataFrame:
+    """within_two for workloads that share nodes, from rows (workload, node), which may repeat.
+
+    Workloads are dealt over blocks. A block's lists of neighbours, its own members included, are one row, packed.
+    Two workloads are within two steps of each other if their lists share a member, so every two blocks meet
+    once and count for both. They meet as a product of the stored blocks with themselves, which is read
+    again and never shuffles; what shuffles is the incidences, then the packed pairs of one step. write ends
+    a table's shuffles, store keeps its partitions.
+    """
+    rows = dep.select("workload", "node").dropna()
+    n, w = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("workload")).first()
+    blocks, packs = max(1, -(-w // block)), max(1, -(-n // pack))
+
+    def place(key, g: pd.DataFrame) -> pd.DataFrame:
+        """A block's workloads by name, and its incidences by pack of nodes."""
+        names, local = np.unique(g["workload"].to_numpy(), return_inverse=True)
+        if len(names) > 1 << 16:
+            raise ValueError("a block holds more workloads than 16 bits tell apart")
+        p, node, q = int(key[0]), g["node"].to_numpy(), g["q"].to_numpy()
+        order = np.argsort(q, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(q[order]) != 0))
+        out = [(-1, p, names.tolist(), None, None)]
+        for x, y in zip(cuts, np.append(cuts[1:], len(order))):
+            o = order[x:y]
+            out.append((int(q[o[0]]), p, None, node[o].tolist(), local[o].astype(np.int32).tolist()))
+        return pd.DataFrame(out, columns=["q", "p", "names", "nodes", "local"])
+
+    kinds = dict(rows.dtypes)
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = rows.select("*", hashed("workload", blocks).alias("p"), hashed("node", packs).alias("q")).repartition(blocks, "p")
+    placed = write(dealt.groupBy("p").applyInPandas(place, f"q int, p int, names array<{kinds['workload']}>, nodes array<{kinds['node']}>, local array<int>"))
+
+    def pairs(key, g: pd.DataFrame) -> pd.DataFrame:
+        """The pairs on a pack's nodes, by the block of the first."""
+        local = [np.asarray(x, np.uint64) for x in g["local"]]
+        code = np.concatenate([x + (np.uint64(p) << np.uint64(16)) for p, x in zip(g["p"].tolist(), local)])
+        node = pd.factorize(np.concatenate([np.asarray(x) for x in g["nodes"]]))[0]
+        order = np.lexsort((code, node))
+        code, node = code[order], node[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (node[1:] != node[:-1]))
+        code, node = code[new], node[new]
+        heads = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(heads, len(node)))
+        start, size = np.repeat(heads, size), np.repeat(size, size)
+        filled, out, lo = np.cumsum(size), [], 0
+        while lo < len(code):
+            hi = max(lo + 1, int(np.searchsorted(filled, (filled[lo - 1] if lo else 0) + PAIRS, side="right")))
+            own, near = np.repeat(code[lo:hi], size[lo:hi]), code[_ranges(start[lo:hi], size[lo:hi])]
+            to, key_ = own >> np.uint64(16), (near << np.uint64(16)) | (own & np.uint64(0xFFFF))
+            o = np.lexsort((key_, to))
+            to, key_ = to[o], key_[o]
+            cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            out += [(int(to[x]), _packed(np.unique(key_[x:y]))) for x, y in zip(cuts, np.append(cuts[1:], len(to)))]
+            lo = hi
+        return pd.DataFrame(out, columns=["p", "blob"])
+
+    def joined(key, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"p": [int(key[0])], "blob": [_packed(np.unique(np.concatenate([_unpacked(b) for b in g["blob"]])))]})
+
+    near = placed.where("q >= 0").select("q", "p", "nodes", "local").repartition(packs, "q").groupBy("q").applyInPandas(pairs, "p int, blob binary")
+    lists = store(near.repartition(blocks, "p").groupBy("p").applyInPandas(joined, "p int, blob binary"))
+
+    def cells(batches):
+        """(p, direct, counts) of every two blocks, for either; direct is there where a block meets itself."""
+        held = (None, None)
+        for b in batches:
+            for i, x, j, y in zip(b["i"].tolist(), b["x"], b["j"].tolist(), b["y"]):
+                if held[0] != i:
+                    held = (i, _Rows.of(_unpacked(x)))
+                mine, yours = held[1].common(_unpacked(y), marks)
+                out = [(i, np.bincount(held[1].owner) if i == j else None, mine)] + ([] if i == j else [(j, None, yours)])
+                yield pd.DataFrame(out, columns=["p", "direct", "counts"])
+
+    left = lists.select(F.col("p").alias("i"), F.col("blob").alias("x"))
+    right = lists.select(F.col("p").alias("j"), F.col("blob").alias("y"))
+    met = left.join(right.hint("shuffle_replicate_nl"), F.col("i") <= F.col("j")).mapInPandas(cells, "p int, direct array<int>, counts array<int>")
+
+    def summed(key, g: pd.DataFrame) -> pd.DataFrame:
+        names = next(x for x in g["names"] if x is not None)
+        total = np.zeros(len(names), np.int64)
+        for x in g["counts"]:
+            if x is not None:
+                total[: len(x)] += np.asarray(x)
+        direct = np.asarray(next(x for x in g["direct"] if x is not None))
+        return pd.DataFrame({"src": names, "direct": direct - 1, "reached": total - 1})
+
+    void = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    named = placed.where("q < 0").select("p", void("direct", "array<int>"), void("counts", "array<int>"), "names")
+    both = met.select("*", void("names", f"array<{kinds['workload']}>")).unionByName(named).repartition(blocks, "p")
+    return both.groupBy("p").applyInPandas(summed, f"src {kinds['workload']}, direct long, reached long").where("direct > 0")
+
+
 def identifiability(dep: DataFrame) -> DataFrame:
     """(node, size, shared): workloads on each node, and whether three or more make it a true hyperedge."""
     return dep.select("workload", "node").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("size")).withColumn("hyperedge", F.col("size") >= 3)

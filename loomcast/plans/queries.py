@@ -457,7 +457,7 @@ def degree_stats(spark, d):
 
 @query("SELECT src, count(*) AS indirect FROM (SELECT DISTINCT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) r WHERE NOT EXISTS (SELECT 1 FROM adj c WHERE c.src = r.src AND c.dst = r.dst) GROUP BY 1", DEP)
 def two_hop_counts(spark, d):
-    reach = graph.within_two(graph.adjacency(u.deployment(spark, d)), _store)
+    reach = graph.within_two_on(u.incidences(spark, d), _written, _store)
     return reach.where("reached > direct").select("src", (F.col("reached") - F.col("direct")).alias("indirect"))
 
 
@@ -469,6 +469,18 @@ def _store(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written to the cluster's shared folder and read back; the shuffle files behind them go at once."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, was = f"{u.shared_folder(spark)}/written-{uuid.uuid4().hex}", spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Label propagation in SQL for as many rounds as the tables' graphs are wide, and a few more.
 _ROUNDS = ", ".join(["l0 AS (SELECT DISTINCT workload, workload AS label FROM dep)", *(f"l{i} AS MATERIALIZED (SELECT a.workload, min(least(a.label, coalesce(b.label, a.label))) AS label FROM l{i - 1} a LEFT JOIN adj ON adj.src = a.workload LEFT JOIN l{i - 1} b ON b.workload = adj.dst GROUP BY 1)" for i in range(1, 9))])
 
@@ -603,7 +615,7 @@ def union_missing_cols(spark, d):
 
 @query("SELECT src, count(*) AS reached FROM (SELECT src, dst FROM adj UNION SELECT a.src, b.dst FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1", DEP)
 def reachable_2(spark, d):
-    return graph.within_two(graph.adjacency(u.deployment(spark, d)), _store).select("src", "reached")
+    return graph.within_two_on(u.incidences(spark, d), _written, _store).select("src", "reached")
 
 
 @query("SELECT DISTINCT workload, md5(workload::VARCHAR) AS digest FROM u ORDER BY digest, workload LIMIT 25", U)

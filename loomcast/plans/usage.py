@@ -57,9 +57,14 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(F.col("user_id").alias("workload"), seconds("ts").alias("sec"), "event_id", F.col("event_type").alias("state")).withColumn("t", F.floor(F.col("sec") / DAY).cast("long"))
 
 
+def incidences(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by order: the workload is a part, the node an order; a row a line, so rows may repeat."""
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("workload"), F.col("l_orderkey").alias("node"))
+
+
 def deployment(spark: SparkSession, d: str) -> DataFrame:
-    """Parts by order: the workload is a part, the node an order."""
-    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("workload"), F.col("l_orderkey").alias("node")).distinct()
+    """Parts by order, each once."""
+    return incidences(spark, d).distinct()
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:

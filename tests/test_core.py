@@ -490,3 +490,24 @@ def test_rounding_of_sql(spark):
     got = [r.v for r in rounded(rounded_as_sql(df)).orderBy("i").collect()]
     assert got == [v if v is None else duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     assert got != [r.v for r in rounded(df).orderBy("i").collect()]
+
+
+def test_within_two_on_against_sets(spark):
+    """Blocks so small that most pairs lie across two; rows repeat, some workloads are alone, and no pair of workloads shuffles as a row."""
+    rng = np.random.default_rng(6)
+    dep = [(f"w{a}", int(b)) for a, b in zip(rng.integers(0, 150, 260), rng.integers(0, 130, 260))] + [("alone", 999), (None, 3), ("w1", None)]
+    near = {w: set() for w, _ in dep}
+    for w, n in dep:
+        near[w] |= {v for v, m in dep if m == n and m is not None and v is not None and v != w}
+    del near[None]
+    want = {w: (len(s), len((s | {c for b in s for c in near[b]}) - {w})) for w, s in near.items() if s}
+    rows = []
+
+    def keep(df):
+        rows.append(df.cache().count())
+        return df
+
+    df = spark.createDataFrame(dep * 2, "workload string, node long")
+    got = {r.src: (r.direct, r.reached) for r in graph.within_two_on(df, keep, keep, 20, 50, 64).collect()}
+    assert got == want
+    assert rows[1] <= 8 and sum(rows) < 150  # a row a block and a block's part of a pack
