@@ -207,7 +207,7 @@ def within_two_on(dep: DataFrame, write: Callable, store: Callable, block: int =
     """
     rows = dep.select("workload", "node").dropna()
     n, w = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("workload")).first()
-    blocks, packs = max(1, -(-w // block)), max(1, -(-n // pack))
+    blocks, packs = max(1, -(-w // block), min(8, -(-w // 1024))), max(1, -(-n // pack))  # a few even where one would do, for there are no more tasks than pairs of them
 
     def place(key, g: pd.DataFrame) -> pd.DataFrame:
         """A block's workloads by name, and its incidences by pack of nodes."""
